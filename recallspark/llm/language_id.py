@@ -31,16 +31,27 @@ DOC_CHARS = 2_000
 LANGUAGES, SYMBOLS = 256, 255
 BLOCK_CHARS, LANES = 1024, 4096
 #: A document whose best figure is above this is in none of the languages.
-REJECT = 2.5
+REJECT, SHORT = 2.5, 40  # (but texts of fewer characters say too little)
+
+
+def _letter_table() -> np.ndarray:
+    return np.array([chr(i).isalpha() for i in range(65536)])
+
+
+LETTER = _letter_table()
 
 
 def symbols_of(text: str) -> np.ndarray:
-    """Code points of the lower-cased text."""
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    """Code points of the lower-cased text; a run of anything but letters is one space."""
+    sym = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    other = ~LETTER[np.minimum(sym, 65535)] & (sym < 65536)
+    sym = np.where(other, np.uint32(32), sym)
+    other[1:] &= other[:-1]
+    return sym[~other] if len(sym) else sym
 
 
 def _letters(text: str | None) -> bool:
-    return bool(text) and any(c.isalpha() for c in text)
+    return bool(text) and (text[0].isalpha() or any(c.isalpha() for c in text))
 
 
 def automaton(sym: np.ndarray, sigma: int) -> np.ndarray:
@@ -83,9 +94,10 @@ class Model:
     def rates(self, texts: list[str]) -> np.ndarray:
         """Phrases a character, by text and language."""
         sigma = self.sigma
-        cut, owner = [], []
+        cut, owner, chars = [], [], np.ones(len(texts))
         for k, text in enumerate(texts):
             sym = symbols_of(text)
+            chars[k] = max(1, len(sym))
             code = np.where(sym < 65536, self.codes[np.minimum(sym, 65535)], 0).astype(np.uint8)
             for a in range(0, max(1, len(code)), BLOCK_CHARS):
                 cut.append(code[a : a + BLOCK_CHARS])
@@ -109,7 +121,6 @@ class Model:
                     count[:w] += new
                     state[:w] = np.where(new, ~to, to)
                 np.add.at(out[:, lang], np.array(owner)[lanes], count)
-        chars = np.maximum(1, np.array([len(x) for x in texts]))
         return out / chars[:, None]
 
     @property
@@ -228,7 +239,8 @@ def keep_identified(docs: DataFrame, model: Model, most: float = REJECT) -> Data
     def known(text: pd.Series) -> pd.Series:
         out = []
         for at in range(0, len(text), 512):
-            out += [x[0] != "und" and x[2] <= most for x in share.value.predict([None if x is None else x for x in text.iloc[at : at + 512]])]
+            part = [None if x is None else x for x in text.iloc[at : at + 512]]
+            out += [x[0] != "und" and (x[2] <= most or len(t) < SHORT) for t, x in zip(part, share.value.predict(part))]
         return pd.Series(out, dtype=bool)
 
     return docs.where(known("text"))
