@@ -263,7 +263,7 @@ def _answers(w: Windows, rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 def _mixed_anchors(groups: DataFrame) -> DataFrame:
     """Contents whose anchor has other contents too, with their number m."""
-    many = groups.groupBy("core").agg(F.count("*").alias("m")).where("m >= 2")
+    many = staged(groups.groupBy("core").agg(F.count("*").alias("m")).where("m >= 2"), "mixed")
     return groups.join(many, "core")
 
 
@@ -273,7 +273,8 @@ def repeated_spans(docs: DataFrame, w: Windows) -> DataFrame:
     Spans overlap and may be met more than once; their union for a did is exact.
     """
     runs = docs.select("did", "text").where("text is not null").mapInArrow(_runs_of(w), "core long, content long, did long, at long")
-    often = runs.groupBy("core").agg(F.count("*").alias("c")).where("c >= 2").select("core")
+    # written, so that both sides of the join are plain exchanges and AQE can split a hot anchor
+    often = staged(runs.groupBy("core").agg(F.count("*").alias("c")).where("c >= 2").select("core"), "often")
     kept = staged(runs.join(often, "core", "left_semi").withColumn("n", F.lit(1).cast("long")), "runs")
     groups = _counted(w, kept, [])
     spans = [_answers(w, kept, groups)]
