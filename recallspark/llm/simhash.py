@@ -5,13 +5,15 @@ whose fingerprints differ in at most 4 of 64 bits are linked, and linked documen
 
 * Documents are grouped by fingerprint first (map-side combine): copies, however many, are one row
   from here on and are never expanded into pairs.
-* A fingerprint is cut into three segments of 22, 21 and 21 bits. Of 4 differing bits, the two
-  segments with the fewest hold at most 2 together (pigeonhole over the three pairs of segments).
-* Each segment, read as a 23-bit word, is decoded to the nearest codeword of the perfect
-  (23, 12, 7) code, and so are its 23 neighbours at one bit: 1 or 6 codeword indices. Two words
-  within 2 bits have a word between them at one bit from both, so they share an index.
-* Keys are (pair of segments, index, index); equal keys meet in a sorted partition and candidates
-  are verified on all 64 bits. So every linked pair meets under some key.
+* A fingerprint is cut into three segments of 22, 21 and 21 bits. Each segment, read as a 23-bit
+  word, is decoded to the nearest codeword of the perfect (23, 12, 7) code, and so are its 23
+  neighbours at one bit: 1 or 6 codeword indices. Two words within 2 bits have a word between them
+  at one bit from both, so they share an index.
+* Pigeonhole of 4 differing bits over three segments: either every segment differs, then none in
+  more than 2 bits, and all three share an index (key: three indices); or a segment is equal, and of
+  the others one differs in at most 2 bits (key: the equal segment and an index of the other).
+* Keys of 34 and 36 bits seldom meet by chance, so candidates grow with the links and not with the
+  square of the corpus. Equal keys meet in a sorted partition; candidates are verified on 64 bits.
 * Verified links are reduced to a spanning forest inside each key and task before they leave it.
   A key with more than `BUCKET` fingerprints is compared in blocks (i, j) of that size spread over
   tasks; none is dropped.
@@ -20,6 +22,7 @@ whose fingerprints differ in at most 4 of 64 bits are linked, and linked documen
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -119,13 +122,20 @@ def codeword_indices(word: np.ndarray) -> np.ndarray:
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         every = np.asarray(batch.column(0)).view(np.uint64)
-        for at in range(0, len(every), 4096):
-            fp = every[at : at + 4096]
-            near = [codeword_indices(((fp >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64)) for a, n in SEGMENTS]
-            for pair, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
-                key = (pair << 24) | (near[i][:, :, None] << 12) | near[j][:, None, :]
-                row, a, b = np.nonzero((near[i][:, :, None] >= 0) & (near[j][:, None, :] >= 0))
-                yield pa.RecordBatch.from_arrays([pa.array(key[row, a, b].astype(np.int32)), pa.array(fp[row].view(np.int64))], names=["key", "fp"])
+        for at in range(0, len(every), 1024):
+            fp = every[at : at + 1024]
+            same = [((fp >> np.uint64(a)) & np.uint64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
+            near = [codeword_indices(x) for x in same]
+            three = (near[0][:, :, None, None] << 24) | (near[1][:, None, :, None] << 12) | near[2][:, None, None, :]
+            row, *at3 = np.nonzero((near[0] >= 0)[:, :, None, None] & (near[1] >= 0)[:, None, :, None] & (near[2] >= 0)[:, None, None, :])
+            yield _keyed(three[row, *at3], fp[row])
+            for tag, (i, j) in enumerate(permutations(range(3), 2), 1):
+                row, k = np.nonzero(near[j] >= 0)
+                yield _keyed((tag << 40) | (same[i][row] << 12) | near[j][row, k], fp[row])
+
+
+def _keyed(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp.view(np.int64))], names=["key", "fp"])
 
 
 class Forest:
@@ -160,43 +170,60 @@ def _links(key: np.ndarray, fp: np.ndarray, bits: int) -> Iterator[tuple[np.ndar
         gap += 1
 
 
-def _verify(bits: int):
-    """Rows (key, fp) sorted by key: links within each key that join two trees of the task's forest."""
+def _verify(bits: int, most: int):
+    """Rows (key, fp) sorted by key: links within each key that join two trees of the task's forest;
+    a key of more than `most` rows comes back as `wide` instead."""
+
+    names = ["a", "b", "wide"]
 
     def rows(forest, key, fp):
         for a, b in _links(key, fp, bits):
             new = [x for x in zip(a.tolist(), b.tolist()) if x[0] != x[1] and forest.join(*x)]
             if new:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*new)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in zip(*new)), pa.nulls(len(new), pa.int64())], names=names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest()
+        forest, wide = Forest(), None
         key = fp = np.zeros(0, np.int64)
         for batch in batches:
-            key, fp = np.concatenate([key, np.asarray(batch.column(0))]), np.concatenate([fp, np.asarray(batch.column(1))])
-            if len(key):
-                whole = int(np.searchsorted(key, key[-1]))
-                yield from rows(forest, key[:whole], fp[:whole])
-                key, fp = key[whole:], fp[whole:]
+            more, prints = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            skip = int(np.searchsorted(more, wide, "right")) if wide is not None else 0
+            key, fp = np.concatenate([key, more[skip:]]), np.concatenate([fp, prints[skip:]])
+            if not len(key):
+                continue
+            start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            big = np.diff(np.append(start, len(key))) > most
+            for x in key[start[big]].tolist():
+                wide = x
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x], pa.int64())], names=names)
+            if big.any():
+                keep = ~np.isin(key, key[start[big]])
+                key, fp = key[keep], fp[keep]
+            whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            yield from rows(forest, key[:whole], fp[:whole])
+            key, fp = key[whole:], fp[whole:]
         yield from rows(forest, key, fp)
 
     return task
 
 
+def _met(keys: DataFrame, bits: int, most: int) -> DataFrame:
+    return keys.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_verify(bits, most), "a long, b long, wide long")
+
+
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp), a spanning forest a task."""
-    keys = prints.select("fp").mapInArrow(_keys, "key int, fp long")
-    sizes = staged(keys.groupBy("key").agg(F.count("*").alias("c")).where("c >= 2"), "keys")
-    cell = lambda i, j: F.xxhash64("key", i, j).alias("cell")
-    few = sizes.where(F.col("c") <= BUCKET).select("key")
-    met = keys.join(few, "key", "left_semi").select(cell(F.lit(0), F.lit(0)), "fp")
-    # keys with more fingerprints: blocks by a hash of the fingerprint, and a cell for each two blocks
-    wide = sizes.where(F.col("c") > BUCKET).select("key", F.ceil(F.col("c") / (BUCKET // 2)).cast("int").alias("parts"))
+    keys = prints.select("fp").repartition("fp").mapInArrow(_keys, "key long, fp long")
+    found = staged(_met(keys, bits, BUCKET), "links")
+    out, wide = found.where("wide is null"), found.where("wide is not null").select(F.col("wide").alias("key")).distinct()
     if not wide.isEmpty():
+        # blocks by a hash of the fingerprint, and a cell for each two blocks
+        wide = staged(keys.join(wide, "key", "left_semi").groupBy("key").agg(F.ceil(F.count("*") / (BUCKET // 4)).cast("int").alias("parts")), "wide")
         own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
         each = keys.join(wide, "key").select("key", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"), "fp")
-        met = met.unionByName(each.select(cell(F.least("own", "other"), F.greatest("own", "other")), "fp"))
-    return met.repartition(F.col("cell")).sortWithinPartitions("cell").mapInArrow(_verify(bits), "a long, b long")
+        cells = each.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+        out = out.unionByName(staged(_met(cells, bits, 1 << 40), "links"))
+    return out.select("a", "b")
 
 
 def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
