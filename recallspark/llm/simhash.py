@@ -213,7 +213,8 @@ def _met(keys: DataFrame, bits: int, most: int) -> DataFrame:
 
 def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """(a, b): links between distinct fingerprints (fp), a spanning forest a task."""
-    keys = prints.select("fp").repartition("fp").mapInArrow(_keys, "key long, fp long")
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = prints.select("fp").repartition(parts, "fp").mapInArrow(_keys, "key long, fp long")
     found = staged(_met(keys, bits, BUCKET), "links")
     out, wide = found.where("wide is null"), found.where("wide is not null").select(F.col("wide").alias("key")).distinct()
     if not wide.isEmpty():
