@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 
 MOST, TIERS, STEP = 4096, (4096, 2048, 1024, 512), 32_768
 END = 2
-CACHE = 200_000
+CACHE = 500_000
+#: Put between words that are encoded together; a word of its own.
+MARK = "\x01"
 
 
 class Encoder:
@@ -41,19 +43,35 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+
+    def learn(self, words: list[str]) -> None:
+        """Encode new words: many in one text, told apart by the mark."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            joined = f" {MARK} ".join(part)
+            if len(self.mark) != 1 or joined.count(MARK) != len(part) - 1:
+                for w in part:
+                    self.cache[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.uint32).tobytes()
+                continue
+            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, np.uint32)
+            ends = (np.flatnonzero(ids == self.mark[0]) * 4).tolist()
+            raw = ids.tobytes()
+            for w, a, b in zip(part, [0, *(x + 4 for x in ends)], [*ends, len(raw)]):
+                self.cache[w] = raw[a:b]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and END."""
         cache, end = self.cache, np.uint32(END).tobytes()
+        # the tokenizer lower-cases; in ASCII texts that can be done first, which saves entries
+        texts = [x.lower() if x.isascii() else x for x in texts]
         words = [None if any(s in x for s in self.special) else x.split(" ") for x in texts]
-        new = list({w for ws in words if ws is not None for w in ws if w not in cache})
+        every = set().union(*(ws for ws in words if ws is not None))
+        new = every.difference(cache)
         if len(cache) + len(new) > CACHE:
             cache.clear()
-            new = list({w for ws in words if ws is not None for w in ws})
-        for at in range(0, len(new), 1 << 14):
-            part = new[at : at + (1 << 14)]
-            for w, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[w] = np.array(x.ids, np.uint32).tobytes()
+            new = every
+        self.learn(sorted(new))
         out = []
         for x, ws in zip(texts, words):
             if ws is None:
