@@ -19,6 +19,7 @@ order of combination does not matter.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,6 +27,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,9 @@ SPACE = "\u2581"
 OWN_SPACE = "\uffff"  # stands for a U+2581 of the text itself, which is encoded as bytes
 CHUNK, BLOCK, STATES = 16_384, 64, 16
 UNIT, FLOOR, NEVER = 1 << 12, -200_000, -(1 << 61)
-CACHE, CACHED_CHARS = 300_000, 48
+CACHE, CACHED_CHARS = 400_000, 48
+#: A space after something else: no piece goes across its left side.
+EDGE = re.compile(f"(?<!{SPACE}){SPACE}")
 
 
 class Pieces:
@@ -121,12 +125,12 @@ class Pieces:
 
     def encode(self, text: str) -> tuple[int, bytes]:
         """Value and ids of a whole text."""
-        total, out = 0, []
-        for x in units(normalised(text)):
-            value, ids = self.unit(x)
-            total += value
-            out.append(ids)
-        return total, b"".join(out)
+        return self.joined(units(normalised(text)))
+
+    def joined(self, parts: list[str]) -> tuple[int, bytes]:
+        cache, unit = self.cache, self.unit
+        found = [cache.get(x) or unit(x) for x in parts]
+        return sum([x[0] for x in found]), b"".join([x[1] for x in found])
 
     def decode(self, ids: bytes) -> str:
         out = bytearray()
@@ -141,14 +145,14 @@ class Pieces:
     def matrix(self, before: str, body: str, after: str) -> np.ndarray:
         """Transfer matrix of a chunk between the character before it and those after it."""
         n, text = len(body), body + after
-        edges = [p for p in range(n) if text[p] == SPACE and (p or before) and (body[p - 1] if p else before) != SPACE]
+        edges = edges_of(before, body)
         if not edges:
             out = np.full((STATES, STATES), NEVER, np.int64)
             for i in range(min(STATES, n + 1)):
                 out[i] = self.exits(self.paths(text, i, n)[0], n)
             return out
         head = self.back_to_front(text, edges[0])
-        inner = sum(self.unit(text[a:b])[0] for a, b in zip(edges, edges[1:]))
+        inner = self.joined([text[a:b] for a, b in zip(edges, edges[1:])])[0]
         tail = self.exits(self.paths(text[edges[-1] :], 0, n - edges[-1])[0], n - edges[-1])
         enter = np.array([head[i] if i < len(head) else NEVER for i in range(STATES)], np.int64)
         return np.maximum(enter[:, None] + inner + tail[None, :], NEVER)
@@ -157,11 +161,25 @@ class Pieces:
     def exits(best: list[int], n: int) -> np.ndarray:
         return np.array([best[n + j] if n + j < len(best) else NEVER for j in range(STATES)], np.int64)
 
-    def between(self, body: str, after: str, enter: int, leave: int) -> tuple[int, bytes]:
+    def between(self, before: str, body: str, after: str, enter: int, leave: int) -> tuple[int, bytes]:
         """Value and ids of the pieces that start in a chunk, between the states at its two cuts."""
-        best, back = self.paths(body + after, enter, len(body))
-        end = len(body) + leave
-        return best[end], np.array(self.ids_of(body + after, enter, end, back), "<u4").tobytes()
+        text, n, edges = body + after, len(body), edges_of(before, body)
+        if not edges:
+            best, back = self.paths(text, enter, n)
+            return best[n + leave], np.array(self.ids_of(text, enter, n + leave, back), "<u4").tobytes()
+        first, last = edges[0], edges[-1]
+        head, back = self.paths(text[:first], enter, first)
+        ids = np.array(self.ids_of(text[:first], enter, first, back), "<u4").tobytes()
+        value, inner = self.joined([text[a:b] for a, b in zip(edges, edges[1:])])
+        tail, back = self.paths(text[last:], 0, n - last)
+        end = n - last + leave
+        return head[first] + value + tail[end], ids + inner + np.array(self.ids_of(text[last:], 0, end, back), "<u4").tobytes()
+
+
+def edges_of(before: str, body: str) -> list[int]:
+    """Positions in a chunk where a unit starts."""
+    skip = len(before)
+    return [m.start() - skip for m in EDGE.finditer(before + body) if m.start() >= skip]
 
 
 @lru_cache(maxsize=1)
@@ -177,16 +195,11 @@ def normalised(text: str) -> str:
 
 def units(text: str) -> list[str]:
     """Parts of a normalised text that start at a space after something else."""
-    out, start, n = [], 0, len(text)
-    while start < n:
-        skip = start
-        while skip < n and text[skip] == SPACE:
-            skip += 1
-        end = text.find(SPACE, skip) if skip < n else n
-        end = n if end < 0 else end
-        out.append(text[start:end])
-        start = end
-    return out
+    edges = [m.start() for m in EDGE.finditer(text)] if SPACE * 2 in text else None
+    if edges is None:
+        return [SPACE + x for x in text[1:].split(SPACE)] if text[:1] == SPACE else text.split(SPACE)[:1] + [SPACE + x for x in text.split(SPACE)[1:]]
+    cuts = ([] if edges[:1] == [0] else [0]) + edges + [len(text)]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -232,20 +245,22 @@ def _small(path: str, chunk: int):
     return task
 
 
-_CHUNKS = "did long, sha string, no int, before string, body string, after string"
+_CHUNKS = "did long, uid long, sha string, no int, before string, body string, after string"
 
 
 def _cut(chunk: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = [x.split()[0] for x in _CHUNKS.split(", ")], (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+        names, kinds = [x.split()[0] for x in _CHUNKS.split(", ")], (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+        uid = (TaskContext.get().partitionId() << 33) - 1
         for batch in batches:
             for did, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 if len(text) <= chunk:
                     continue
+                uid += 1
                 sha, text, rows = hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest(), normalised(text), []
                 for no, a in enumerate(range(0, len(text), chunk)):
-                    rows.append((did, sha, no, text[a - 1 : a] if a else "", text[a : a + chunk], text[a + chunk : a + chunk + STATES - 1]))
+                    rows.append((did, uid, sha, no, text[a - 1 : a] if a else "", text[a : a + chunk], text[a + chunk : a + chunk + STATES - 1]))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     return task
@@ -256,7 +271,7 @@ def _matrices(path: str):
         model = pieces(path)
         for batch in batches:
             out = [model.matrix(*x).tobytes() for x in zip(*(batch.column(k).to_pylist() for k in ("before", "body", "after")))]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("did", "sha", "no")] + [pa.array(out, pa.binary())], names=["did", "sha", "no", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("did", "uid", "no")] + [pa.array(out, pa.binary())], names=["did", "uid", "no", "m"])
 
     return task
 
@@ -265,10 +280,10 @@ def _backtrace(path: str):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(path)
         for batch in batches:
-            found = [model.between(*x) for x in zip(*(batch.column(k).to_pylist() for k in ("body", "after", "enter", "leave")))]
+            found = [model.between(*x) for x in zip(*(batch.column(k).to_pylist() for k in ("before", "body", "after", "enter", "leave")))]
             size = [len(x) for x in batch.column("body").to_pylist()]
             cols = [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary()), pa.array(size, pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("did", "sha", "no")] + cols, names=["did", "sha", "no", "score", "ids", "size"])
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in ("did", "uid", "sha", "no")] + cols, names=["did", "uid", "sha", "no", "score", "ids", "size"])
 
     return task
 
@@ -282,40 +297,42 @@ def _products(part: pd.DataFrame) -> pd.DataFrame:
     m = _matrix(part["m"].iloc[0])
     for raw in part["m"].iloc[1:]:
         m = times(m, _matrix(raw))
-    return part.head(1).assign(m=[m.tobytes()])[["did", "sha", "block", "m"]]
+    return part.head(1).assign(m=[m.tobytes()])[["uid", "block", "m"]]
 
 
 def _block_states(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("block")
     at = states([_matrix(x) for x in part["m"]], 0, 0)
-    return part.assign(enter=at[:-1], leave=at[1:])[["did", "sha", "block", "enter", "leave"]]
+    return part.assign(enter=at[:-1], leave=at[1:])[["uid", "block", "enter", "leave"]]
 
 
 def _chunk_states(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("no")
     at = states([_matrix(x) for x in part["m"]], int(part["enter"].iloc[0]), int(part["leave"].iloc[0]))
-    return part.assign(enter=at[:-1], leave=at[1:])[["did", "sha", "no", "enter", "leave"]]
+    return part.assign(enter=at[:-1], leave=at[1:])[["uid", "no", "enter", "leave"]]
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """did, n_chars, score (of the best path, in units of the vocabulary's ranks times UNIT), ids
     (little-endian unsigned 32-bit numbers) and sha (of giant documents' texts).
 
-    A NULL text is empty, and an empty one is the single piece of the space in front; rows that share
-    a doc_id and a text, if giant, come once; an empty table gives an empty result; other columns are
+    A NULL text is empty, and an empty one is the single piece of the space in front; NULL doc_ids and
+    repeated rows are encoded like any other; an empty table gives an empty result; other columns are
     ignored.
     """
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), "text")
     small = own.mapInArrow(_small(path, chunk), _RESULT)
-    giant = own.where(F.length("text") > chunk).mapInArrow(_cut(chunk), _CHUNKS).dropDuplicates(["did", "sha", "no"])
-    giant = staged(giant, "chunks")
-    m = giant.repartition("did", "sha", "no").mapInArrow(_matrices(path), "did long, sha string, no int, m binary")
+    giant = own.where(F.length("text") > chunk).mapInArrow(_cut(chunk), _CHUNKS)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    giant = staged(giant.repartition(parts, "uid", "no"), "chunks")  # `uid` numbers the documents from here on
+    m = giant.mapInArrow(_matrices(path), "did long, uid long, no int, m binary").select("uid", "no", "m")
     m = staged(m.withColumn("block", F.floor(F.col("no") / BLOCK).cast("int")), "matrices")
-    blocks = m.groupBy("did", "sha", "block").applyInPandas(_products, "did long, sha string, block int, m binary")
-    outer = blocks.groupBy("did", "sha").applyInPandas(_block_states, "did long, sha string, block int, enter int, leave int")
-    inner = m.join(outer, ["did", "sha", "block"]).groupBy("did", "sha", "block").applyInPandas(_chunk_states, "did long, sha string, no int, enter int, leave int")
-    parts = giant.join(inner, ["did", "sha", "no"]).mapInArrow(_backtrace(path), "did long, sha string, no int, score long, ids binary, size long")
-    joined = parts.groupBy("did", "sha").agg(
+    blocks = m.groupBy("uid", "block").applyInPandas(_products, "uid long, block int, m binary")
+    outer = blocks.groupBy("uid").applyInPandas(_block_states, "uid long, block int, enter int, leave int")
+    inner = m.join(outer, ["uid", "block"]).groupBy("uid", "block").applyInPandas(_chunk_states, "uid long, no int, enter int, leave int")
+    parts = giant.join(inner, ["uid", "no"]).select("did", "uid", "sha", "no", "before", "body", "after", "enter", "leave")
+    parts = parts.mapInArrow(_backtrace(path), "did long, uid long, sha string, no int, score long, ids binary, size long")
+    joined = parts.groupBy("did", "uid", "sha").agg(
         (F.sum("size") - 1).alias("n_chars"), F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("all")
     )
     ids = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
