@@ -4,12 +4,623 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from recallspark.functions import boxes, names, stats, vectors
+from recallspark.operators import geometry, lifecycle, relational, retrieval
+from recallspark.sources import views
+from recallspark.sources.shipping import ship
+from recallspark.sources.views import table, with_views
+from recallspark.streaming import sequence
+
+K = 10
+_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        _queries[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
+        if sql:
+            _oracles[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries)
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return dict(_oracles)
+
+
+# --- retrieval and decision ---------------------------------------------------------------------
+
+def _ranked(spark, d, k=K):
+    found = retrieval.nearest(views.query_vectors(spark, d), views.snapshot(spark, d), k + 1).where("id <> query_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _shortlist(spark, d):
+    alive = views.representations(spark, d).where("state = 'ACTIVE'").select("id", "identity_id")
+    return retrieval.revalidated(_ranked(spark, d), alive, K)
+
+
+@query(with_views("reps", "knn") + "SELECT query_id, id, similarity, rank::int AS rank FROM ranked WHERE rank <= 10")
+def knn_topk(spark, d):
+    return _ranked(spark, d).select("query_id", "id", "similarity", "rank")
+
+
+@query(with_views("reps", "knn", "shortlist") + "SELECT query_id, s.id, s.identity_id, s.similarity, fetched, dropped FROM short s JOIN status USING (query_id)")
+def retrieve_revalidated(spark, d):
+    short, status = _shortlist(spark, d)
+    return short.join(status, "query_id").select("query_id", "id", "identity_id", "similarity", "fetched", "dropped")
+
+
+@query(with_views("reps") + """, pairs AS (SELECT q.id AS query_id, g.id, CASE WHEN g.state = 'PENDING' THEN 'RUN_LOCAL' ELSE 'GLOBAL' END AS pool,
+ round(greatest(-1, least(1, list_dot_product(q.vector, g.vector))), 6) AS similarity FROM reps q JOIN reps g ON g.id <> q.id AND g.state <> 'ERASING' WHERE q.id % 50 = 7)
+SELECT query_id, id, pool, similarity, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, pool, id) AS rank FROM pairs) WHERE rank <= 10""")
+def retrieve_two_pools(spark, d):
+    reps, asked = views.representations(spark, d), views.query_vectors(spark, d)
+    pools = [retrieval.nearest(asked, reps.where(F.col("state") == s), K + 1).withColumn("pool", F.lit(p)) for s, p in (("ACTIVE", "GLOBAL"), ("PENDING", "RUN_LOCAL"))]
+    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "pool", "id")
+    both = pools[0].unionByName(pools[1]).where("id <> query_id").withColumn("rank", F.row_number().over(order))
+    return both.where(F.col("rank") <= K).select("query_id", "id", "pool", "similarity", "rank")
+
+
+@query(with_views("reps", "knn") + """, c AS (SELECT query_id, rank, sum(CASE WHEN state = 'ACTIVE' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS have FROM ranked WHERE rank <= 40),
+n AS (SELECT query_id, coalesce(min(rank) FILTER (have >= 5), max(rank)) AS pos FROM c GROUP BY query_id)
+SELECT query_id, CASE WHEN pos <= 5 THEN 5 WHEN pos <= 10 THEN 10 WHEN pos <= 20 THEN 20 ELSE 40 END AS depth FROM n""")
+def fetch_depth(spark, d):
+    alive = views.representations(spark, d).select("id", "state")
+    return retrieval.fetch_depth(_ranked(spark, d, 40).join(alive, "id"), F.col("state") == "ACTIVE", 5)
+
+
+@query(with_views("reps", "knn", "shortlist", "groups") + "SELECT query_id, identity_id, best, members, first_id, group_rank::int AS group_rank, margin FROM groups")
+def assess_groups(spark, d):
+    return retrieval.grouped(_shortlist(spark, d)[0]).select("query_id", "identity_id", "best", "members", "first_id", "group_rank", "margin")
+
+
+_DECIDED = with_views("reps", "knn", "shortlist", "groups") + """, dec AS (SELECT q.id AS query_id, t.identity_id, t.best, t.margin, CASE
+ WHEN (q.id % 10) / 10 < 0.5 THEN 'LOW_QUALITY' WHEN s.dropped > 0 THEN 'RETRIEVAL_INCOMPLETE' WHEN t.best IS NULL THEN 'NO_CANDIDATE'
+ WHEN t.best >= 0.35 AND t.margin < 0.02 THEN 'AMBIGUOUS_CANDIDATES' WHEN t.best >= 0.35 AND t.identity_id IS NULL THEN 'UNRESOLVED_NEIGHBOUR'
+ WHEN t.best >= 0.35 THEN 'MATCHED' WHEN t.best < 0.3 THEN 'NOT_SIMILAR' ELSE 'UNCERTAIN_SIMILARITY' END AS reason
+FROM reps q LEFT JOIN status s ON s.query_id = q.id LEFT JOIN groups t ON t.query_id = q.id AND t.group_rank = 1 WHERE q.id % 50 = 7)
+"""
+_POLICY = retrieval.Policy(quality=0.5, match=0.35, margin=0.02, ceiling=0.3)
+
+
+def _decided(spark, d):
+    short, status = _shortlist(spark, d)
+    asked = views.query_vectors(spark, d).select("query_id", "detection_score", F.lit(True).alias("converged"))
+    return retrieval.decided(asked, retrieval.grouped(short), status, _POLICY)
+
+
+@query(_DECIDED + "SELECT query_id, reason, CASE WHEN reason = 'MATCHED' THEN 'MATCH_EXISTING' WHEN reason IN ('NO_CANDIDATE', 'NOT_SIMILAR') THEN 'CREATE_NEW' ELSE 'ABSTAIN' END AS outcome, best, margin FROM dec")
+def decide_identity(spark, d):
+    return _decided(spark, d).select("query_id", "reason", "outcome", "best", "margin")
+
+
+@query(_DECIDED + """SELECT query_id, CASE WHEN reason = 'MATCHED' THEN 'IDENTITY_ANSWER' WHEN best >= 0.3 THEN 'POSSIBLE_PEOPLE' ELSE 'UNKNOWN' END AS answer,
+ CASE WHEN reason = 'MATCHED' THEN CASE WHEN identity_id = 9 THEN 8 ELSE identity_id END END AS identity_id FROM dec""")
+def face_answer_status(spark, d):
+    matched = F.col("reason") == "MATCHED"
+    answer = F.when(matched, "IDENTITY_ANSWER").when(F.col("best") >= 0.3, "POSSIBLE_PEOPLE").otherwise("UNKNOWN")
+    return _decided(spark, d).select("query_id", answer.alias("answer"), F.when(matched, F.when(F.col("identity_id") == 9, 8).otherwise(F.col("identity_id"))).alias("identity_id"))
+
+
+@query("SELECT count(*) FILTER (event_id % 997 < 500 AND (event_id % 7 = 0 OR event_id % 4 = 0)) = 0 AS converged, count(*) AS operations FROM events")
+def index_converged(spark, d):
+    open_ = (F.col("rep_id") < 500) & F.col("state").isin("PENDING", "FAILED")
+    return views.operations(spark, d).agg((F.count_if(open_) == 0).alias("converged"), F.count("*").alias("operations"))
+
+
+@query(with_views("reps") + "SELECT ann_key, CASE WHEN state = 'ACTIVE' THEN 'MISSING' ELSE 'EXTRA' END AS problem FROM reps WHERE (state = 'ACTIVE') <> (id % 29 <> 0)")
+def index_staleness(spark, d):
+    want = views.representations(spark, d).where("state = 'ACTIVE'").select("ann_key", F.lit(True).alias("want"))
+    have = views.snapshot(spark, d).select("ann_key", F.lit(True).alias("have"))
+    both = want.join(have, "ann_key", "full").where("want is null or have is null")
+    return both.select("ann_key", F.when(F.col("have").isNull(), "MISSING").otherwise("EXTRA").alias("problem"))
+
+
+@query("""SELECT vec_id, len(embedding) = 64 AS valid, round(sqrt(list_dot_product(embedding::double[], embedding::double[])), 6) AS norm FROM embeddings""")
+def vector_quality(spark, d):
+    v = F.col("embedding")
+    return table(spark, d, "embeddings").select("vec_id", vectors.valid(v, 64).alias("valid"), F.round(vectors.norm(v), 6).alias("norm"))
+
+
+# --- boxes --------------------------------------------------------------------------------------
+
+_IOU = """greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0))"""
+_UNION = f"((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_IOU})"
+
+
+def _generations(spark, d):
+    det = views.detections(spark, d)
+    vector = F.array(F.lit(1.0), (F.col("id") % 4) / 10)
+    key = (F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 86_400_000)).alias("day")
+    space = F.when(F.col("id") % 13 == 0, "old").otherwise("now").alias("space")
+    rows = det.select("id", "source_id", key, space, F.when(F.col("id") % 19 != 0, vector).alias("vector"), "x0", "y0", "x1", "y1")
+    return rows.where("id % 2 = 0"), rows.where("id % 2 = 1")
+
+
+_GEN = with_views("det") + """, f AS (SELECT id, source_id, (epoch_us(ts) // 1000) // 86400000 AS day, CASE WHEN id % 13 = 0 THEN 'old' ELSE 'now' END AS space,
+ CASE WHEN id % 19 <> 0 THEN (id % 4) / 10 END AS v, x0, y0, x1, y1 FROM det),
+"""
+_REL = f"""rel AS (SELECT a.id AS old_id, b.id AS new_id, {_IOU} / {_UNION} AS overlap FROM f a JOIN f b ON a.source_id = b.source_id AND a.day = b.day AND a.id % 2 = 0 AND b.id % 2 = 1
+ WHERE {_IOU} / {_UNION} >= 0.7 {{more}}),
+cnt AS (SELECT *, count(*) OVER (PARTITION BY old_id) AS forward, count(*) OVER (PARTITION BY new_id) AS backward FROM rel)
+"""
+
+
+@query(_GEN + _REL.format(more="") + "SELECT old_id, new_id, round(overlap, 6) AS overlap FROM cnt WHERE forward = 1 AND backward = 1")
+def geometric_pairs(spark, d):
+    pairs = geometry.related(*_generations(spark, d), ["source_id", "day"], cosine=None)
+    return geometry.mutual(pairs).withColumn("overlap", F.round("overlap", 6))
+
+
+@query(_GEN + _REL.format(more="AND a.space = 'now' AND b.space = 'now' AND (1 + a.v * b.v) / (sqrt(1 + a.v * a.v) * sqrt(1 + b.v * b.v)) >= 0.9") + """
+, g AS (SELECT old_id, max(forward) AS n, max(backward) AS m, min(new_id) AS new_id FROM cnt GROUP BY old_id),
+s AS (SELECT f.id AS old_id, g.new_id, CASE WHEN space <> 'now' THEN 'SPACE_CHANGED' WHEN v IS NULL THEN 'MISSING_VECTOR' WHEN n IS NULL THEN 'NO_CORRESPONDENCE'
+ WHEN n > 1 OR m > 1 THEN 'AMBIGUOUS' ELSE 'PAIR' END AS status FROM f LEFT JOIN g ON g.old_id = f.id WHERE f.id % 2 = 0)
+SELECT old_id, CASE WHEN status = 'PAIR' THEN new_id END AS new_id, status FROM s""")
+def correspond_pairs(spark, d):
+    return geometry.correspond(*_generations(spark, d), "now", ["source_id", "day"])
+
+
+@query(_GEN + f"""m AS (SELECT a.id AS selected_id, b.id AS face_id, {_IOU} / {_UNION} AS overlap FROM f a JOIN f b ON a.source_id = b.source_id AND a.day = b.day AND a.id % 10 = 0 AND b.id % 2 = 1 WHERE {_IOU} / {_UNION} >= 0.5)
+SELECT selected_id, face_id FROM (SELECT *, count(*) OVER (PARTITION BY selected_id) AS n FROM m) WHERE n = 1""")
+def box_unique_match(spark, d):
+    old, new = _generations(spark, d)
+    pairs = geometry.related(old.where("id % 10 = 0"), new, ["source_id", "day"], least=0.5, cosine=None)
+    return pairs.where("forward = 1").select(F.col("old_id").alias("selected_id"), F.col("new_id").alias("face_id"))
+
+
+@query(_GEN + f"p AS (SELECT a.id AS a_id, b.id AS b_id, round({_IOU} / {_UNION}, 6) AS iou FROM f a JOIN f b ON a.source_id = b.source_id AND a.day = b.day AND a.id < b.id) SELECT * FROM p WHERE iou > 0")
+def box_iou_pairs(spark, d):
+    old, new = _generations(spark, d)
+    rows = old.unionByName(new)
+    a, b = rows.alias("a"), rows.alias("b")
+    box = lambda s: [F.col(f"{s}.{c}") for c in ("x0", "y0", "x1", "y1")]
+    pairs = a.join(b, (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.day") == F.col("b.day")) & (F.col("a.id") < F.col("b.id")))
+    return pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.round(boxes.iou_corners(box("a"), box("b")), 6).alias("iou")).where("iou > 0")
+
+
+@query()
+def nms_boxes(spark, d):
+    rows = views.detections(spark, d).withColumn("day", F.to_date("ts"))
+    return geometry.suppressed(rows, ["source_id", "day"])
+
+
+@query(_GEN + """d AS (SELECT source_id, day, (x1 - x0) * (y1 - y0) AS area, row_number() OVER w AS n, lead((x1 - x0) * (y1 - y0)) OVER w AS second, id FROM f WINDOW w AS (PARTITION BY source_id, day ORDER BY (x1 - x0) * (y1 - y0) DESC, id))
+SELECT id, source_id, coalesce(area >= 1.4 * second, true) AS dominant, CASE WHEN second IS NULL THEN 'sole' WHEN area >= 2.5 * second THEN 'clear' WHEN area >= 1.4 * second THEN 'larger' ELSE 'close' END AS bucket FROM d WHERE n = 1""")
+def dominant_subject(spark, d):
+    old, new = _generations(spark, d)
+    size = boxes.area([F.col(c) for c in ("x0", "y0", "x1", "y1")])
+    w = Window.partitionBy("source_id", "day").orderBy(F.desc("area"), "id")
+    rows = old.unionByName(new).withColumn("area", size).withColumn("second", F.lead("area").over(w)).withColumn("n", F.row_number().over(w)).where("n = 1")
+    ratio = F.when(F.col("second").isNull(), "sole").when(F.col("area") >= 2.5 * F.col("second"), "clear").when(F.col("area") >= 1.4 * F.col("second"), "larger").otherwise("close")
+    return rows.select("id", "source_id", F.coalesce(F.col("area") >= 1.4 * F.col("second"), F.lit(True)).alias("dominant"), ratio.alias("bucket"))
+
+
+# --- sequences ----------------------------------------------------------------------------------
+
+@query("""SELECT event_id, user_id, slot FROM (SELECT event_id, user_id, floor(epoch_us(ts) / 1e6 * 0.001)::bigint AS slot,
+ row_number() OVER (PARTITION BY user_id, floor(epoch_us(ts) / 1e6 * 0.001) ORDER BY ts, event_id) AS n FROM events) WHERE n = 1""")
+def slot_sample(spark, d):
+    return sequence.slot_sample(table(spark, d, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 0.001, "event_id").select("event_id", "user_id", "slot")
+
+
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 3 <> 0 THEN floor((epoch_us(ts) // 1000) * 30000::double / (1001 * 1000::double) + 0.5)::bigint END, (epoch_us(ts) // 1000) // 1000) AS frame FROM events")
+def frame_index(spark, d):
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    known = F.when(F.col("event_id") % 3 != 0, F.floor(ms * F.lit(30000.0) / (F.lit(1001) * F.lit(1000.0)) + 0.5))
+    return table(spark, d, "events").select("event_id", F.coalesce(known, F.floor(ms / 1000)).alias("frame"))
+
+
+def _sessions(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", sequence.slot(F.col("ts"), 1 / 60).alias("slot"), (F.col("event_type") == "error").alias("gap"))
+    return sequence.gap_sessions(rows, "user_id", "slot", "event_id", 120, F.col("gap"))
+
+
+@query("""WITH s AS (SELECT event_id, user_id, event_type, floor(epoch_us(ts) / 1e6 * (1.0::double / 60))::bigint AS slot FROM events),
+n AS (SELECT *, slot - lag(slot) OVER (PARTITION BY user_id ORDER BY slot, event_id) AS silence FROM s),
+g AS (SELECT *, sum(CASE WHEN silence IS NULL OR silence > 120 OR event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY slot, event_id ROWS UNBOUNDED PRECEDING) AS session FROM n)
+SELECT user_id, session::bigint AS session, count(*) AS seen, min(slot) AS first_slot, max(slot) AS last_slot FROM g GROUP BY ALL""")
+def gap_sessions(spark, d):
+    return _sessions(spark, d).groupBy("user_id", "session").agg(F.count("*").alias("seen"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
+
+
+def _slotted(spark, d):
+    return views.detections(spark, d).withColumn("slot", sequence.slot(F.col("ts"), 1 / 3600)).drop("ts")
+
+
+@query()
+def track_boxes(spark, d):
+    return sequence.track_boxes(_slotted(spark, d), "source_id", max_gap=24)
+
+
+@query()
+def select_kept(spark, d):
+    size = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    rows = track_boxes(spark, d).withColumn("merit", boxes.merit(F.col("score"), size, F.lit(1.0)))
+    return sequence.select_kept(rows, ["source_id", "track"], 3, 0.5)
+
+
+@query(with_views("det") + "SELECT source_id, (id % 11) AS track, min((epoch_us(ts) // 1000)) AS first_ms, max((epoch_us(ts) // 1000)) AS last_ms, count(*) AS observations, string_agg(id::varchar, ',' ORDER BY ts, id) AS ids FROM det GROUP BY ALL")
+def track_spans(spark, d):
+    rows = views.detections(spark, d).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("track", F.col("id") % 11)
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id"))), lambda x: x["id"].cast("string")), ",")
+    return rows.groupBy("source_id", "track").agg(F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count("*").alias("observations"), ids.alias("ids"))
+
+
+@query("""WITH x AS (SELECT user_id, event_id % 40 AS track, event_id % 5 <> 0 AS matched, CASE WHEN event_id % 5 <> 0 THEN (event_id // 40) % 2 END AS identity FROM events)
+SELECT user_id, track, bool_and(matched) AND count(DISTINCT identity) = 1 AS settled, CASE WHEN bool_and(matched) AND count(DISTINCT identity) = 1 THEN min(identity) END AS identity_id FROM x GROUP BY ALL""")
+def settle_tracks(spark, d):
+    rows = table(spark, d, "events").select("user_id", (F.col("event_id") % 40).alias("track"), (F.col("event_id") % 5 != 0).alias("matched"), F.floor(F.col("event_id") / 40).alias("q"))
+    rows = rows.withColumn("identity", F.when(F.col("matched"), F.col("q") % 2))
+    out = rows.groupBy("user_id", "track").agg(F.bool_and("matched").alias("all"), F.countDistinct("identity").alias("n"), F.min("identity").alias("least"))
+    settled = F.col("all") & (F.col("n") == 1)
+    return out.select("user_id", "track", settled.alias("settled"), F.when(settled, F.col("least")).alias("identity_id"))
+
+
+# --- library queries ----------------------------------------------------------------------------
+
+@query(with_views("occ") + "SELECT c_custkey AS identity_id, count(occurrence_id) AS occurrences, count(DISTINCT source_id) AS sources FROM customer LEFT JOIN occ ON identity_id = c_custkey GROUP BY ALL")
+def identity_counts(spark, d):
+    counts = views.occurrences(spark, d).groupBy("identity_id").agg(F.count("*").alias("occurrences"), F.countDistinct("source_id").alias("sources"))
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("identity_id")).join(counts, "identity_id", "left")
+    return rows.na.fill(0, ["occurrences", "sources"])
+
+
+@query(with_views("occ") + "SELECT c_nationkey AS person_id, count(DISTINCT source_id) AS sources, count(DISTINCT identity_id) AS identities FROM occ JOIN customer ON identity_id = c_custkey GROUP BY ALL")
+def person_source_counts(spark, d):
+    who = table(spark, d, "customer").select(F.col("c_custkey").alias("identity_id"), F.col("c_nationkey").alias("person_id"))
+    return views.occurrences(spark, d).join(who, "identity_id").groupBy("person_id").agg(F.countDistinct("source_id").alias("sources"), F.countDistinct("identity_id").alias("identities"))
+
+
+_NAME = r"lower(regexp_replace(trim({c}), '\s+', ' ', 'g'))"
+
+
+@query(f"""WITH n AS (SELECT c_custkey, {_NAME.format(c='c_name')} AS name FROM customer),
+r AS (SELECT *, CASE WHEN name = 'customer#000000010' THEN 0 WHEN starts_with(name, 'customer#00000001') THEN 1 WHEN contains(name, '01') THEN 2 END AS rank FROM n)
+SELECT c_custkey, name, rank FROM r WHERE rank IS NOT NULL ORDER BY rank, name, c_custkey LIMIT 25""")
+def search_people(spark, d):
+    name = names.normalised(F.col("c_name"))
+    rank = names.match_rank(F.col("name"), "customer#000000010", "customer#00000001", "01")
+    rows = table(spark, d, "customer").select("c_custkey", name.alias("name")).withColumn("rank", rank)
+    return rows.where("rank is not null").orderBy("rank", "name", "c_custkey").limit(25)
+
+
+@query("""WITH n AS (SELECT c_custkey, substr(sha256(c_custkey::varchar), 1, 6) AS h FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT'))
+SELECT c_custkey, 'Person ' || upper(h) AS label FROM n WHERE starts_with(h, 'a')""")
+def search_unnamed(spark, d):
+    named = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    rows = table(spark, d, "customer").select("c_custkey").join(named, "c_custkey", "left_anti")
+    key = F.sha2(F.col("c_custkey").cast("string").cast("binary"), 256)
+    return rows.withColumn("h", key).where(F.startswith("h", F.lit("a"))).select("c_custkey", names.short_label(F.col("h")).alias("label"))
+
+
+@query(f"""WITH n AS (SELECT p_partkey, {_NAME.format(c='p_name')} AS name FROM part), r AS (SELECT *, CASE WHEN name = 'red widget' THEN 0 WHEN starts_with(name, 'red') THEN 1 WHEN contains(name, 'widget') THEN 2 END AS rank FROM n)
+SELECT p_partkey, name, rank FROM r WHERE rank IS NOT NULL ORDER BY rank, name, p_partkey LIMIT 20""")
+def search_sources(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", names.normalised(F.col("p_name")).alias("name"))
+    rank = names.match_rank(F.col("name"), "red widget", "red", "widget")
+    return rows.withColumn("rank", rank).where("rank is not null").orderBy("rank", "name", "p_partkey").limit(20)
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS processed, count(*) FILTER (o_orderstatus <> 'F') AS not_processed FROM orders")
+def search_coverage(spark, d):
+    done = F.col("o_orderstatus") == "F"
+    return table(spark, d, "orders").agg(F.count("*").alias("total"), F.count_if(done).alias("processed"), F.count_if(~done).alias("not_processed"))
+
+
+@query(with_views("occ") + """, p AS (SELECT occurrence_id, time_ms FROM occ WHERE time_ms < 788918400000 OR (time_ms = 788918400000 AND occurrence_id < 100000) ORDER BY time_ms DESC, occurrence_id DESC LIMIT 51)
+SELECT occurrence_id, time_ms, position::int AS position, n > 50 AS has_more FROM (SELECT *, row_number() OVER (ORDER BY time_ms DESC, occurrence_id DESC) AS position, count(*) OVER () AS n FROM p) WHERE position <= 50""")
+def appearances_page(spark, d):
+    rows = views.occurrences(spark, d).select("occurrence_id", "time_ms")
+    return relational.page(rows, [("time_ms", True), ("occurrence_id", True)], 50, (788_918_400_000, 100_000))
+
+
+@query("""WITH e AS (SELECT user_id AS rep_id, event_id, ts, event_id % 10 = 3 AS human, event_id % 7 AS identity FROM events WHERE event_id % 4 <> 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY rep_id ORDER BY human DESC, ts DESC, event_id DESC) AS n FROM e)
+SELECT rep_id, identity, human, event_id FROM r WHERE n = 1""")
+def placements(spark, d):
+    rows = table(spark, d, "events").where("event_id % 4 <> 2").select(
+        F.col("user_id").alias("rep_id"), "event_id", "ts", (F.col("event_id") % 10 == 3).alias("human"), (F.col("event_id") % 7).alias("identity"))
+    return rows.groupBy("rep_id").agg(F.max(F.struct("human", "ts", "event_id", "identity")).alias("m")).select("rep_id", "m.identity", "m.human", "m.event_id")
+
+
+@query("""WITH e AS (SELECT user_id AS face_id, event_id % 9 AS identity, max(event_id % 100) AS best FROM events GROUP BY ALL)
+SELECT face_id, identity, best, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY best DESC, identity) AS rank FROM e WHERE identity <> 8) WHERE rank <= 3""")
+def likely_people(spark, d):
+    best = table(spark, d, "events").groupBy(F.col("user_id").alias("face_id"), (F.col("event_id") % 9).alias("identity")).agg(F.max(F.col("event_id") % 100).alias("best"))
+    alive = spark.range(8).select(F.col("id").alias("identity"))
+    order = Window.partitionBy("face_id").orderBy(F.desc("best"), "identity")
+    return best.join(F.broadcast(alive), "identity", "left_semi").withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("face_id", "identity", "best", "rank")
+
+
+@query(with_views("reps") + "SELECT id, ann_key FROM reps WHERE state = 'ACTIVE' AND identity_id IS NULL")
+def unresolved(spark, d):
+    return views.representations(spark, d).where("state = 'ACTIVE' and identity_id is null").select("id", "ann_key")
+
+
+@query("""SELECT e.event_id, e.user_id FROM events e WHERE event_type = 'view' AND NOT EXISTS (SELECT 1 FROM events l WHERE l.user_id = e.user_id AND l.event_type = 'purchase' AND l.ts > e.ts)""")
+def open_reviews(spark, d):
+    e = table(spark, d, "events")
+    last = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.max("ts").alias("last"))
+    # a later correction exists exactly if the last one is later
+    return e.where("event_type = 'view'").join(last, "user_id", "left").where("last is null or last <= ts").select("event_id", "user_id")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1")
+def latest_run(spark, d):
+    return relational.latest(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).drop("o_orderdate")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber DESC, l_shipdate DESC) AS n FROM lineitem) WHERE n = 1")
+def newest_attempt(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max(F.struct("l_linenumber", "l_shipdate")).alias("m")).select("l_orderkey", "m.l_linenumber", "m.l_shipdate")
+
+
+# --- queue and index maintenance ----------------------------------------------------------------
+
+@query(with_views("ops") + "SELECT seq, priority, created_ms FROM ops WHERE state = 'PENDING' ORDER BY priority, created_ms, seq LIMIT 1")
+def job_claim_order(spark, d):
+    return views.operations(spark, d).where("state = 'PENDING'").orderBy("priority", "created_ms", "seq").limit(1).select("seq", "priority", "created_ms")
+
+
+@query(with_views("ops") + "SELECT seq, created_ms FROM ops WHERE state = 'PENDING' AND created_ms <= 1705000000000 ORDER BY created_ms, seq LIMIT 100")
+def due_operations(spark, d):
+    return views.operations(spark, d).where("state = 'PENDING' and created_ms <= 1705000000000").orderBy("created_ms", "seq").limit(100).select("seq", "created_ms")
+
+
+@query(with_views("ops") + "SELECT seq, rep_id, kind FROM ops o WHERE state = 'FAILED' AND NOT EXISTS (SELECT 1 FROM ops p WHERE p.state = 'PENDING' AND p.rep_id = o.rep_id AND p.kind = o.kind)")
+def requeue_failed(spark, d):
+    return relational.requeued(views.operations(spark, d)).select("seq", "rep_id", "kind")
+
+
+@query(with_views("ops") + "SELECT rep_id, kind, seq FROM (SELECT *, row_number() OVER (PARTITION BY rep_id ORDER BY seq DESC) AS n FROM ops) WHERE n = 1")
+def coalesce_operations(spark, d):
+    return relational.coalesced(views.operations(spark, d)).select("rep_id", "kind", "seq")
+
+
+@query(with_views("ops") + """SELECT seq, CASE WHEN ok THEN 'APPLIED' WHEN attempts + 1 >= 4 THEN 'FAILED' ELSE 'PENDING' END AS next_state,
+ CASE WHEN NOT ok AND attempts + 1 < 4 THEN (5 * pow(2, attempts))::bigint END AS wait_s, attempts + 1 AS next_attempts FROM ops""")
+def settle_operations(spark, d):
+    return relational.settled(views.operations(spark, d), 4, 5).select("seq", "next_state", "wait_s", "next_attempts")
+
+
+@query("""SELECT run_id, seq, CASE WHEN seq % 7 = 0 AND run_id % 3 = 0 THEN 'RUNNING' ELSE s END AS state FROM (SELECT user_id AS run_id, event_id AS seq,
+ CASE event_id % 4 WHEN 0 THEN 'INTERRUPTED' WHEN 1 THEN 'PAUSED' WHEN 2 THEN 'CANCELLED' ELSE 'QUEUED' END AS s FROM events)""")
+def startup_recovery(spark, d):
+    rows = views.operations(spark, d).select("run_id", "seq", F.expr("CASE seq % 4 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'PAUSING' WHEN 2 THEN 'CANCELLING' ELSE 'QUEUED' END").alias("was"))
+    finalizing = (F.col("seq") % 7 == 0) & (F.col("run_id") % 3 == 0)
+    to = F.when(finalizing, "RUNNING").when(F.col("was") == "RUNNING", "INTERRUPTED").when(F.col("was") == "PAUSING", "PAUSED").when(F.col("was") == "CANCELLING", "CANCELLED").otherwise(F.col("was"))
+    return rows.select("run_id", "seq", to.alias("state"))
+
+
+# --- storage ------------------------------------------------------------------------------------
+
+@query("SELECT lang AS kind, count(*) AS files, coalesce(sum(n_chars), 0)::bigint AS bytes, count(*) - count(n_chars) AS unknown FROM documents GROUP BY lang")
+def storage_by_kind(spark, d):
+    return table(spark, d, "documents").groupBy(F.col("lang").alias("kind")).agg(
+        F.count("*").alias("files"), F.coalesce(F.sum("n_chars"), F.lit(0)).alias("bytes"), (F.count("*") - F.count("n_chars")).alias("unknown"))
+
+
+@query("""SELECT count(*) AS files, sum(n_chars)::bigint AS bytes FROM documents WHERE doc_id IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')""")
+def recycled_bytes(spark, d):
+    held = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("doc_id"))
+    held = held.unionByName(table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("doc_id")))
+    return table(spark, d, "documents").join(held, "doc_id", "left_semi").agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL) AND doc_id NOT IN (SELECT item_id FROM benchmark WHERE item_id IS NOT NULL)")
+def unreferenced_artifacts(spark, d):
+    docs = table(spark, d, "documents")
+    out = relational.unreferenced(docs.select("doc_id", "text"), "doc_id", [(table(spark, d, "labels"), "doc_id"), (table(spark, d, "benchmark"), "item_id")])
+    return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query(with_views("reps") + "SELECT identity_id AS space_id, count(*) AS vectors FROM reps WHERE state = 'ACTIVE' AND identity_id % 3 <> 0 GROUP BY ALL")
+def missing_dependencies(spark, d):
+    active = views.representations(spark, d).where("state = 'ACTIVE' and identity_id is not null").groupBy(F.col("identity_id").alias("space_id")).agg(F.count("*").alias("vectors"))
+    installed = spark.range(10).where("id % 3 = 0").select(F.col("id").alias("space_id"))
+    return active.join(F.broadcast(installed), "space_id", "left_anti")
+
+
+# --- identity graph -----------------------------------------------------------------------------
+
+def _chain(spark, d):
+    """Customers; three of four are merged into customer key / 2."""
+    key = F.col("c_custkey")
+    return table(spark, d, "customer").select(key.alias("identity_id"), F.when((key % 4 != 0) & (key > 1), F.floor(key / 2)).alias("merged_into"))
+
+
+_CHAIN = """WITH RECURSIVE c AS (SELECT c_custkey AS identity_id, CASE WHEN c_custkey % 4 <> 0 AND c_custkey > 1 THEN c_custkey // 2 END AS merged_into FROM customer),
+up AS (SELECT identity_id, identity_id AS survivor_id, merged_into FROM c UNION ALL SELECT up.identity_id, c.identity_id, c.merged_into FROM up JOIN c ON c.identity_id = up.merged_into)
+"""
+
+
+@query(_CHAIN + "SELECT identity_id, survivor_id FROM up WHERE merged_into IS NULL")
+def merge_resolve_up(spark, d):
+    return lifecycle.survivors(_chain(spark, d))
+
+
+@query(_CHAIN + "SELECT survivor_id AS root, identity_id AS member FROM up WHERE merged_into IS NULL")
+def merge_closure_down(spark, d):
+    return lifecycle.family(_chain(spark, d))
+
+
+@query(with_views("occ") + "SELECT CASE WHEN identity_id % 10 = 3 THEN identity_id - 1 ELSE identity_id END AS identity_id, count(*) AS occurrences FROM occ GROUP BY 1")
+def merge_apply(spark, d):
+    merges = table(spark, d, "customer").where("c_custkey % 10 = 3").select(F.col("c_custkey").alias("loser"), (F.col("c_custkey") - 1).alias("survivor"))
+    return lifecycle.merged(views.occurrences(spark, d), merges).groupBy("identity_id").agg(F.count("*").alias("occurrences"))
+
+
+@query("""SELECT l_orderkey AS occurrence_id, CASE WHEN count(*) FILTER (l_partkey % 2 = 0) = 0 THEN 'STAY' WHEN count(*) FILTER (l_partkey % 2 = 0) = count(*) THEN 'MOVE' ELSE 'CONFLICT' END AS verdict FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) GROUP BY 1""")
+def split_plan(spark, d):
+    support = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("occurrence_id"), F.col("l_partkey").alias("rep_id")).distinct()
+    return lifecycle.split_plan(support, table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("rep_id")))
+
+
+@query(with_views("occ") + "SELECT source_id AS crop_id FROM occ GROUP BY 1 HAVING bool_and(identity_id % 5 < 4) ")
+def forget_plan(spark, d):
+    crops = views.occurrences(spark, d).select(F.col("source_id").alias("crop_id"), "identity_id")
+    members = table(spark, d, "customer").where("c_custkey % 5 < 4").select(F.col("c_custkey").alias("identity_id"))
+    return lifecycle.forget_plan(crops, members)
+
+
+@query(with_views("reps", "ops") + """SELECT id FROM reps WHERE state = 'ERASING' AND id IN (SELECT rep_id FROM ops WHERE kind = 'REMOVE' AND state = 'APPLIED')
+ AND id NOT IN (SELECT rep_id FROM ops WHERE state IN ('PENDING', 'FAILED') AND seq % 10 = 0)""")
+def erase_ready(spark, d):
+    ops = views.operations(spark, d).where("state = 'APPLIED' or seq % 10 = 0")
+    return lifecycle.erasable(views.representations(spark, d).withColumnRenamed("id", "rep_id"), ops).select(F.col("rep_id").alias("id"))
+
+
+# --- evaluation ---------------------------------------------------------------------------------
+
+def _leave_one_out(spark, d):
+    reps = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    found = retrieval.nearest(reps.where("id % 5 = 0").select("query_id", "vector"), reps.where("id % 5 <> 0").select("id", "vector"), 50)
+    who = reps.select("id", F.col("label").alias("identity"))
+    best = found.join(who, "id").groupBy("query_id", "identity").agg(F.max("similarity").alias("best"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("best"), "identity")
+    top = best.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("best").over(order))
+    return top.join(reps.select("query_id", F.col("label").alias("truth")), "query_id")
+
+
+_LOO = """WITH p AS (SELECT q.vec_id AS query_id, q.label AS truth, g.vec_id AS id, g.label AS identity, round(greatest(-1, least(1, list_dot_product(q.embedding::double[], g.embedding::double[]))), 6) AS s
+ FROM embeddings q JOIN embeddings g ON g.vec_id % 5 <> 0 WHERE q.vec_id % 5 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM p),
+b AS (SELECT query_id, truth, identity, max(s) AS best FROM k WHERE n <= 50 GROUP BY ALL),
+t AS (SELECT *, row_number() OVER w AS place, lead(best) OVER w AS second FROM b WINDOW w AS (PARTITION BY query_id ORDER BY best DESC, identity))
+"""
+
+
+@query(_LOO + "SELECT query_id, identity, best, round(best - second, 6) AS margin, identity = truth AS correct FROM t WHERE place = 1")
+def leave_one_out(spark, d):
+    return _leave_one_out(spark, d).where("place = 1").select("query_id", "identity", "best", F.round(F.col("best") - F.col("second"), 6).alias("margin"), (F.col("identity") == F.col("truth")).alias("correct"))
+
+
+@query(_LOO + """SELECT count(*) AS queries, round(avg((coalesce(place, 99) = 1)::int), 6) AS recall1, round(avg((coalesce(place, 99) <= 5)::int), 6) AS recall5, round(avg(coalesce(1.0::double / place, 0)), 6) AS mrr
+FROM (SELECT DISTINCT query_id FROM t) q LEFT JOIN (SELECT query_id, place FROM t WHERE identity = truth) r USING (query_id)""")
+def retrieval_metrics(spark, d):
+    t = _leave_one_out(spark, d)
+    ranks = t.groupBy("query_id").agg(F.min(F.when(F.col("identity") == F.col("truth"), F.col("place"))).alias("place"))
+    place = F.coalesce("place", F.lit(99))
+    return ranks.agg(F.count("*").alias("queries"), F.round(F.avg((place == 1).cast("int")), 6).alias("recall1"), F.round(F.avg((place <= 5).cast("int")), 6).alias("recall5"),
+                     F.round(F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))), 6).alias("mrr"))
+
+
+@query(_LOO + """, g AS (SELECT unnest([0.0, 0.01, 0.02, 0.05])::double AS m), x AS (SELECT best, coalesce(best - second, 9) AS margin, identity = truth AS ok FROM t WHERE place = 1),
+s AS (SELECT g.m AS margin, c.best AS threshold, count(*) FILTER (x.best >= c.best AND x.margin >= g.m) AS accepted, count(*) FILTER (x.best >= c.best AND x.margin >= g.m AND ok) AS correct
+ FROM g, (SELECT DISTINCT best FROM x) c, x GROUP BY ALL)
+SELECT margin, threshold, accepted, correct FROM s""")
+def policy_sweep(spark, d):
+    t = _leave_one_out(spark, d).where("place = 1").select("best", F.round(F.coalesce(F.col("best") - F.col("second"), F.lit(9.0)), 12).alias("margin"), (F.col("identity") == F.col("truth")).alias("ok"))
+    grid = t.select(F.explode(F.array(*map(F.lit, (0.0, 0.01, 0.02, 0.05)))).alias("m"), "best", "margin", "ok")
+    # scores seen once a margin, with what they add; accepted from a threshold on is a running total
+    step = (F.col("margin") >= F.col("m")).cast("long")
+    seen = grid.groupBy("m", "best").agg(F.sum(step).alias("a"), F.sum(step * F.col("ok").cast("long")).alias("c"))
+    down = Window.partitionBy("m").orderBy(F.desc("best"))
+    return seen.select(F.col("m").alias("margin"), F.col("best").alias("threshold"), F.sum("a").over(down).alias("accepted"), F.sum("c").over(down).alias("correct"))
+
+
+@query("""WITH p AS (SELECT a.label = b.label AS genuine, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 10 = 0)
+SELECT genuine, count(*) AS pairs, min(s) AS low, round(median(s), 6) AS mid, max(s) AS high, round(quantile_cont(s, 0.999), 6) AS tail FROM p GROUP BY genuine""")
+def pair_distributions(spark, d):
+    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    a, b = rows.where("vec_id % 10 = 0").alias("a"), rows.alias("b")
+    s = F.round(vectors.dot(F.col("a.embedding"), F.col("b.embedding")), 6)
+    pairs = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select((F.col("a.label") == F.col("b.label")).alias("genuine"), s.alias("s"))
+    return pairs.groupBy("genuine").agg(F.count("*").alias("pairs"), F.min("s").alias("low"), F.round(F.median("s"), 6).alias("mid"), F.max("s").alias("high"), F.round(F.percentile("s", 0.999), 6).alias("tail"))
+
+
+@query(_LOO + """, c AS (SELECT unnest([30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80]) AS cut) SELECT cut, count(*) FILTER (best >= cut / 100.0::double) AS accepted, count(*) FILTER (best >= cut / 100.0::double AND identity <> truth) AS false_accepts FROM c, t WHERE place = 1 GROUP BY cut""")
+def open_set_table(spark, d):
+    t = _leave_one_out(spark, d).where("place = 1").withColumn("cut", F.explode(F.sequence(F.lit(30), F.lit(80), F.lit(5))))
+    take = F.col("best") >= F.col("cut") / 100
+    return t.groupBy("cut").agg(F.count_if(take).alias("accepted"), F.count_if(take & (F.col("identity") != F.col("truth"))).alias("false_accepts"))
+
+
+_WILSON = "WITH k AS (SELECT l_returnflag AS grp, count(*)::double AS n, (count(*) FILTER (l_linestatus = 'F'))::double AS k FROM lineitem GROUP BY 1), z AS (SELECT *, k / n AS p, 1.959963984540054::double AS z FROM k)\n"
+
+
+def _shares(spark, d):
+    return table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("grp")).agg(F.count("*").alias("n"), F.count_if(F.col("l_linestatus") == "F").alias("k"))
+
+
+@query(_WILSON + "SELECT grp, round((p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 9) AS low, round((p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n), 9) AS high FROM z")
+def wilson_open(spark, d):
+    low, high = stats.wilson_open(F.col("k"), F.col("n"))
+    return _shares(spark, d).select("grp", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+@query(_WILSON + "SELECT grp, round(greatest(0, (p + z*z/(2*n) - z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 3) AS low, round(least(1, (p + z*z/(2*n) + z*sqrt(p*(1-p)/n + z*z/(4*n*n))) / (1 + z*z/n)), 3) AS high FROM z")
+def wilson_report(spark, d):
+    low, high = stats.wilson_report(F.col("k"), F.col("n"))
+    return _shares(spark, d).select("grp", low.alias("low"), high.alias("high"))
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most FROM events GROUP BY event_type")
+def nearest_rank(spark, d):
+    return table(spark, d, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("most"))
+
+
+@query("SELECT quality || '->' || toxic AS change, count(*) AS n FROM labels GROUP BY 1")
+def verdict_transitions(spark, d):
+    return table(spark, d, "labels").groupBy(F.concat_ws("->", "quality", "toxic").alias("change")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT CASE WHEN text = '' THEN 'EMPTY' WHEN lang <> 'en' THEN 'LANGUAGE' WHEN n_chars < 200 THEN 'SHORT' WHEN quality = 0 THEN 'QUALITY' ELSE 'KEPT' END AS rule, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def exclusion_ladder(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "lang", "n_chars", (F.col("text") == "").alias("empty")).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    rule = F.when(F.col("empty"), "EMPTY").when(F.col("lang") != "en", "LANGUAGE").when(F.col("n_chars") < 200, "SHORT").when(F.col("quality") == 0, "QUALITY").otherwise("KEPT")
+    return rows.groupBy(rule.alias("rule")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH h AS (SELECT c_custkey, sha256('split:' || c_name) AS x FROM customer),
+v AS (SELECT c_custkey, list_reduce(list_prepend(0::bigint, list_transform(range(1, 65), lambda i: (instr('0123456789abcdef', x[i]) - 1)::bigint)), lambda a, b: (a * 16 + b) % 10) AS r10, (instr('0123456789abcdef', x[64]) - 1) % 2 AS r2 FROM h)
+SELECT c_custkey, r10::int AS r10, r2::int AS r2 FROM v""")
+def hash_split(spark, d):
+    return table(spark, d, "customer").select("c_custkey", names.hash_remainder(F.col("c_name"), "split", 10).alias("r10"), names.hash_remainder(F.col("c_name"), "split", 2).alias("r2"))
+
+
+@query(_LOO + "SELECT query_id, best, rank::int AS rank FROM (SELECT query_id, best, row_number() OVER (ORDER BY best DESC, sha256(query_id::varchar)) AS rank FROM t WHERE place = 1 AND identity <> truth) WHERE rank <= 20")
+def hard_negatives(spark, d):
+    wrong = _leave_one_out(spark, d).where("place = 1 and identity <> truth").select("query_id", "best")
+    order = [F.desc("best"), F.sha2(F.col("query_id").cast("string").cast("binary"), 256)]
+    return wrong.orderBy(*order).limit(20).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+@query(_LOO + """, x AS (SELECT best, identity = truth AS ok FROM t WHERE place = 1), c AS (SELECT DISTINCT best FROM x),
+s AS (SELECT c.best, count(*) FILTER (NOT ok)::double / count(*) AS share FROM c JOIN x ON x.best <= c.best GROUP BY c.best) SELECT max(best) AS ceiling FROM s WHERE share >= 0.5""")
+def new_identity_ceiling(spark, d):
+    x = _leave_one_out(spark, d).where("place = 1").groupBy("best").agg(F.count("*").alias("n"), F.count_if(F.col("identity") != F.col("truth")).alias("wrong"))
+    up = Window.orderBy("best")  # one row a distinct score of the query set
+    return x.withColumn("share", F.sum("wrong").over(up) / F.sum("n").over(up)).where("share >= 0.5").agg(F.max("best").alias("ceiling"))
+
+
+# --- beyond parity: questions over occurrences ---------------------------------------------------
+
+@query(with_views("occ") + "SELECT b.identity_id AS other, count(DISTINCT b.source_id) AS together FROM occ a JOIN occ b ON a.source_id = b.source_id AND a.identity_id <> b.identity_id WHERE a.identity_id = 7 GROUP BY 1 ORDER BY together DESC, other LIMIT 20")
+def appears_with(spark, d):
+    rows = views.occurrences(spark, d).select("identity_id", "source_id").distinct()
+    mine = rows.where("identity_id = 7").select("source_id")
+    return rows.where("identity_id <> 7").join(mine, "source_id").groupBy(F.col("identity_id").alias("other")).agg(F.count("*").alias("together")).orderBy(F.desc("together"), "other").limit(20)
+
+
+@query(with_views("occ") + "SELECT source_id FROM occ WHERE identity_id IN (7, 10) GROUP BY 1 HAVING count(DISTINCT identity_id) = 2")
+def sources_with_all(spark, d):
+    rows = views.occurrences(spark, d).where(F.col("identity_id").isin(7, 10))
+    return rows.groupBy("source_id").agg(F.countDistinct("identity_id").alias("n")).where("n = 2").select("source_id")
+
+
+@query(with_views("occ") + "SELECT identity_id, max(time_ms) AS last_ms, arg_max(source_id, (time_ms, occurrence_id, source_id)) AS source_id FROM occ GROUP BY 1")
+def last_seen(spark, d):
+    return views.occurrences(spark, d).groupBy("identity_id").agg(F.max("time_ms").alias("last_ms"), F.max_by("source_id", F.struct("time_ms", "occurrence_id", "source_id")).alias("source_id"))
