@@ -21,6 +21,8 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 
 MOST, TIERS, STEP = 4096, (4096, 2048, 1024, 512), 32_768
 END = 2
-CACHE = 500_000
+CACHE = 1_000_000
 #: Put between words that are encoded together; a word of its own.
 MARK = "\x01"
 
@@ -45,8 +47,16 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words: many in one text, told apart by the mark."""
+    def learn(self, words: set[str]) -> None:
+        """Encode new words. A comma or stop behind a letter or digit is a word of its own for this
+        tokenizer, so the word before it is encoded once with and without."""
+        stems = {w: w[:-1] for w in words if len(w) > 1 and w[-1] in ".," and w[-2].isalnum()}
+        self.encode_words(sorted({*(words - stems.keys()), *stems.values(), ".", ","}.difference(self.cache)))
+        for w, stem in stems.items():
+            self.cache[w] = self.cache[stem] + self.cache[w[-1]]
+
+    def encode_words(self, words: list[str]) -> None:
+        """Many words in one text, told apart by the mark."""
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             joined = f" {MARK} ".join(part)
@@ -63,15 +73,14 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text and END."""
         cache, end = self.cache, np.uint32(END).tobytes()
-        # the tokenizer lower-cases; in ASCII texts that can be done first, which saves entries
-        texts = [x.lower() if x.isascii() else x for x in texts]
-        words = [None if any(s in x for s in self.special) else x.split(" ") for x in texts]
+        texts = [_lower(x) for x in texts]
+        words = [None if any(s in x for s in self.special) else x.replace("\n", " ").split(" ") for x in texts]
         every = set().union(*(ws for ws in words if ws is not None))
         new = every.difference(cache)
         if len(cache) + len(new) > CACHE:
             cache.clear()
             new = every
-        self.learn(sorted(new))
+        self.learn(new)
         out = []
         for x, ws in zip(texts, words):
             if ws is None:
@@ -82,6 +91,21 @@ class Encoder:
         return out
 
 
+def _lower(text: str) -> str:
+    """The tokenizer composes characters and lower-cases; where nothing is left to compose before and
+    after, lower-casing first gives the same ids and saves entries."""
+    if text.isascii():
+        return text.lower()
+    low = text.lower()
+    return low if is_normalized("NFC", text) and is_normalized("NFC", low) else text
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker, as they have most words in common."""
+    return Encoder(path)
+
+
 class Tiers:
     """Pieces of documents that wait for a window, by length, and the windows they fill."""
 
@@ -164,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, tiers = Encoder(tokenizer), Tiers(TaskContext.get().partitionId() << 40)
+        tokens, tiers = encoder(tokenizer), Tiers(TaskContext.get().partitionId() << 40)
 
         def rows(found) -> Iterator[pa.RecordBatch]:
             found = list(found)
@@ -175,7 +199,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 texts = [x or "" for x in batch.column(1).to_pylist()]
-                for did, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts)):
+                for did, ids in zip(batch.column(0).to_pylist(), tokens.encode(texts)):
                     yield from rows(tiers.add(did, ids))
                 yield from rows(tiers.pack(False))
         yield from rows(tiers.pack(True))
