@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -61,9 +60,12 @@ class Pieces:
                 self.ids[piece] = i
                 # a little for the piece itself, so that equal totals are rare
                 self.value[piece] = max(FLOOR, int(sp.get_score(i))) * UNIT + i % 61
-        self.byte_of = {i: b for b, i in self.bytes.items()}
+        # how a piece looks in a text, for decoding
+        self.raw = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(self.text)]
         self.unknown = (FLOOR - 10) * UNIT
         self.longest = min(STATES, max(map(len, self.ids)))
+        self.begins: dict[str, int | None] = {x[:k]: None for x in self.value for k in range(1, len(x))} | self.value
+        self.pairs = {x[k : k + 2] for x in self.ids for k in range(len(x) - 1)}
         self.cache: dict[str, tuple[int, bytes]] = {}
 
     def paths(self, text: str, start: int, stop: int) -> tuple[list[int], list[int]]:
@@ -72,16 +74,19 @@ class Pieces:
         n = len(text)
         best, back = [NEVER] * (n + 1), [0] * (n + 1)
         best[start] = 0
-        value, longest = self.value, self.longest
+        begins, longest = self.begins, self.longest
         for p in range(start, stop):
             have = best[p]
             if have == NEVER:
                 continue
-            single = value.get(text[p], self.unknown)
-            if have + single > best[p + 1] or (have + single == best[p + 1] and back[p + 1] < 1):
-                best[p + 1], back[p + 1] = have + single, 1
+            single = begins.get(text[p])
+            single = have + (self.unknown if single is None else single)
+            if single > best[p + 1] or (single == best[p + 1] and back[p + 1] < 1):
+                best[p + 1], back[p + 1] = single, 1
             for q in range(p + 2, min(n, p + longest) + 1):
-                x = value.get(text[p:q])
+                x = begins.get(text[p:q], NEVER)
+                if x == NEVER:  # no piece begins like this
+                    break
                 if x is not None and have + x >= best[q]:
                     if have + x > best[q] or back[q] < q - p:
                         best[q], back[q] = have + x, q - p
@@ -115,8 +120,13 @@ class Pieces:
         """Value and ids (little-endian unsigned 32-bit numbers) of one unit."""
         found = self.cache.get(text)
         if found is None:
-            best, back = self.paths(text, 0, len(text))
-            found = best[-1], np.array(self.ids_of(text, 0, len(text), back), "<u4").tobytes()
+            # pieces never hold some pairs of characters: there every path has a cut
+            cuts = [] if text[1:].isalpha() else [k for k in range(1, len(text)) if text[k - 1 : k + 1] not in self.pairs]
+            if cuts:
+                found = self.joined([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])])
+            else:
+                best, back = self.paths(text, 0, len(text))
+                found = best[-1], np.array(self.ids_of(text, 0, len(text), back), "<u4").tobytes()
             if len(text) <= CACHED_CHARS:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
@@ -133,14 +143,8 @@ class Pieces:
         return sum([x[0] for x in found]), b"".join([x[1] for x in found])
 
     def decode(self, ids: bytes) -> str:
-        out = bytearray()
-        for i in np.frombuffer(ids, "<u4").tolist():
-            b = self.byte_of.get(i)
-            if b is None:
-                out += self.text[i].replace(SPACE, " ").encode()
-            else:
-                out.append(b)
-        return out.decode("utf-8", "surrogatepass")[1:]
+        raw = self.raw
+        return b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "surrogatepass")[1:]
 
     def matrix(self, before: str, body: str, after: str) -> np.ndarray:
         """Transfer matrix of a chunk between the character before it and those after it."""
@@ -292,24 +296,62 @@ def _matrix(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.int64).reshape(STATES, STATES)
 
 
-def _products(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("no")
-    m = _matrix(part["m"].iloc[0])
-    for raw in part["m"].iloc[1:]:
-        m = times(m, _matrix(raw))
-    return part.head(1).assign(m=[m.tobytes()])[["uid", "block", "m"]]
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of each group of a partition sorted by its first `keys` columns."""
+    rows: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and rows[-1][:keys] != row[:keys]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _in_groups(keys: int, schema: str, rows_of):
+    """A task over sorted groups; rows_of(rows) gives the rows of the result."""
+    fields = [x.split() for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready = []
+        for rows in _groups(batches, keys):
+            ready += rows_of(rows)
+            if len(ready) > 4096:
+                yield batch(ready)
+                ready = []
+        if ready:
+            yield batch(ready)
+
+    return task
+
+
+def _grouped(df: DataFrame, keys: list[str], order: list[str], schema: str, rows_of) -> DataFrame:
+    return df.repartition(*keys).sortWithinPartitions(*order).mapInArrow(_in_groups(len(keys), schema, rows_of), schema)
+
+
+def _products(rows: list[tuple]) -> list[tuple]:
+    """(uid, block, no, m) of a block: its product."""
+    m = _matrix(rows[0][3])
+    for row in rows[1:]:
+        m = times(m, _matrix(row[3]))
+    return [(rows[0][0], rows[0][1], m.tobytes())]
 
 
-def _block_states(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("block")
-    at = states([_matrix(x) for x in part["m"]], 0, 0)
-    return part.assign(enter=at[:-1], leave=at[1:])[["uid", "block", "enter", "leave"]]
+def _block_states(rows: list[tuple]) -> list[tuple]:
+    """(uid, block, m) of a document: the states at both cuts of each block."""
+    at = states([_matrix(x[2]) for x in rows], 0, 0)
+    return [(x[0], x[1], i, j) for x, i, j in zip(rows, at, at[1:])]
 
 
-def _chunk_states(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values("no")
-    at = states([_matrix(x) for x in part["m"]], int(part["enter"].iloc[0]), int(part["leave"].iloc[0]))
-    return part.assign(enter=at[:-1], leave=at[1:])[["uid", "no", "enter", "leave"]]
+def _chunk_states(rows: list[tuple]) -> list[tuple]:
+    """(uid, block, no, m, enter, leave) of a block: the states at both cuts of each chunk."""
+    at = states([_matrix(x[3]) for x in rows], rows[0][4], rows[0][5])
+    return [(x[0], x[2], i, j) for x, i, j in zip(rows, at, at[1:])]
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -327,9 +369,10 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     giant = staged(giant.repartition(parts, "uid", "no"), "chunks")  # `uid` numbers the documents from here on
     m = giant.mapInArrow(_matrices(path), "did long, uid long, no int, m binary").select("uid", "no", "m")
     m = staged(m.withColumn("block", F.floor(F.col("no") / BLOCK).cast("int")), "matrices")
-    blocks = m.groupBy("uid", "block").applyInPandas(_products, "uid long, block int, m binary")
-    outer = blocks.groupBy("uid").applyInPandas(_block_states, "uid long, block int, enter int, leave int")
-    inner = m.join(outer, ["uid", "block"]).groupBy("uid", "block").applyInPandas(_chunk_states, "uid long, no int, enter int, leave int")
+    blocks = _grouped(m.select("uid", "block", "no", "m"), ["uid", "block"], ["uid", "block", "no"], "uid long, block int, m binary", _products)
+    outer = _grouped(blocks, ["uid"], ["uid", "block"], "uid long, block int, enter int, leave int", _block_states)
+    cells = m.select("uid", "block", "no", "m").join(outer, ["uid", "block"]).select("uid", "block", "no", "m", "enter", "leave")
+    inner = _grouped(cells, ["uid", "block"], ["uid", "block", "no"], "uid long, no int, enter int, leave int", _chunk_states)
     parts = giant.join(inner, ["uid", "no"]).select("did", "uid", "sha", "no", "before", "body", "after", "enter", "leave")
     parts = parts.mapInArrow(_backtrace(path), "did long, uid long, sha string, no int, score long, ids binary, size long")
     joined = parts.groupBy("did", "uid", "sha").agg(
