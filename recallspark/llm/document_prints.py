@@ -29,7 +29,7 @@ from recallspark.sources.staging import staged
 SPAN, CELLS = 12, 64
 PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
 BASES = (1_000_003, 998_244_353)
-EMPTY = (1 << 32) - 1
+EMPTY = (1 << 16) - 1
 
 _powers: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -100,24 +100,27 @@ class Prefix:
 
 
 def sketch(prefix: Prefix) -> np.ndarray:
-    """Least span hash of each cell, as 32 bits; EMPTY in cells without a span."""
-    cells = np.full(CELLS, EMPTY, np.uint64)
+    """Least span hash of each cell, its upper 16 bits; EMPTY in cells without a span."""
+    cells = np.full(CELLS, (1 << 64) - 1, np.uint64)
     if prefix.n:
         h = mixed(prefix.every(min(SPAN, prefix.n)))
-        np.minimum.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), (h >> np.uint64(32)) & np.uint64(EMPTY - 1))
-    return cells
+        np.minimum.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), mixed(h) >> np.uint64(1))
+        # the least value of a full cell is near zero, so it is mixed again before it is cut to 16 bits
+        full = cells < np.uint64(1 << 63)
+        return np.where(full, mixed(cells) % np.uint64(EMPTY), np.uint64(EMPTY))
+    return np.full(CELLS, EMPTY, np.uint64)
 
 
 def printed(prefix: Prefix, cells: np.ndarray) -> str:
     whole = int(prefix.spans(np.array([0]), np.array([prefix.n]))[0])
-    return f"{prefix.n:x}:{whole:016x}:" + cells.astype(">u4").tobytes().hex()
+    return f"{prefix.n:x}:{whole:016x}:" + cells.astype(">u2").tobytes().hex()
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1 for two fingerprints."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(s.rpartition(":")[2]), ">u4") for s in (a, b))
+    x, y = (np.frombuffer(bytes.fromhex(s.rpartition(":")[2]), ">u2") for s in (a, b))
     filled = (x != EMPTY) | (y != EMPTY)
     return float(((x == y) & filled).sum() / filled.sum()) if filled.any() else 0.0
 
@@ -187,7 +190,7 @@ def document_prints(docs: DataFrame) -> DataFrame:
     result; other columns are ignored.
     """
     order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
     table = staged(rows.mapInArrow(_stream, _ENDS), "prints")
     ends = table.where("part is not null").select("part", "first", "last_id", "last")
     # as many rows as partitions: the next partition's first text, and for the last the very first
