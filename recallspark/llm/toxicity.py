@@ -14,7 +14,6 @@ Bounds: `SAMPLE` labelled documents of each class in the order of a hash, `FEATU
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.llm.tables import sampled
+from recallspark.sources.staging import staged
 
 SAMPLE, FEATURES, SWAPS = 3000, 1024, 4
 MIN_DOCS, MIN_RATIO = 5, 3.0
-ROUNDS, RATE, DECAY, PENALTY = 400, 0.5, 1e-4, 5.0
+ROUNDS, RATE, DECAY, PENALTY = 1000, 1.0, 3e-5, 5.0
 THRESHOLD = 0.7
 #: Words whose weights are kept at hand in a task.
 CACHE = 300_000
@@ -53,13 +53,14 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"^{word[:k]}" for k in (4, 5, 6) if len(word) >= k)]
 
 
-def swaps(words: set[str], identity: dict[str, tuple[str, ...]] = IDENTITY) -> list[set[str]]:
-    """The words of the text with one identity term swapped for another of its kind."""
+def swaps(bag: set[str], identity: dict[str, tuple[str, ...]] = IDENTITY) -> list[set[str]]:
+    """The features of the text with one identity term swapped for another of its kind."""
     out = []
     for terms in identity.values():
         for term in terms:
-            if term in words:
-                out += [(words - {term}) | {other} for other in terms if other not in words]
+            if term in bag:
+                rest = bag.difference(features_of(term))
+                out += [rest.union(features_of(other)) for other in terms if other not in bag]
     return out[:: max(1, len(out) // SWAPS)][:SWAPS]
 
 
@@ -81,18 +82,12 @@ class Model:
         return total + sum(self.weights[f] for f in sorted(seen))
 
 
-def fit(texts: list[set[str]], toxic: list[int], identity: dict[str, tuple[str, ...]] = IDENTITY, penalty: float = PENALTY) -> Model:
+def fit(bags: list[set[str]], toxic: list[int], names: list[str], identity: dict[str, tuple[str, ...]] = IDENTITY, penalty: float = PENALTY) -> Model:
+    """Logistic regression on the features `names`, with the penalty on swapped copies."""
     y = np.array(toxic, float)
     yes, no = int(y.sum()), int(len(y) - y.sum())
     if not yes or not no:
         return Model({}, 4.0 if yes else -4.0)
-    bags = [{f for w in words for f in features_of(w)} for words in texts]
-    count = Counter(f for b, t in zip(bags, toxic) if t for f in b)
-    other = Counter(f for b, t in zip(bags, toxic) if not t for f in b if f in count)
-    ratio = {f: ((c + 0.5) / (yes + 1)) / ((other[f] + 0.5) / (no + 1)) for f, c in count.items() if c + other[f] >= MIN_DOCS}
-    names = sorted((f for f, r in ratio.items() if r >= MIN_RATIO), key=lambda f: (-count[f] * np.log(ratio[f]), f))[:FEATURES]
-    # identity terms stay among the features, so that the penalty has what to act on
-    names += sorted({f for terms in identity.values() for t in terms for f in features_of(t) if f in ratio} - set(names))
     at = {f: k for k, f in enumerate(names)}
 
     def matrix(rows: list[set[str]]) -> np.ndarray:
@@ -102,7 +97,7 @@ def fit(texts: list[set[str]], toxic: list[int], identity: dict[str, tuple[str,
         return out
 
     x = matrix(bags)
-    pairs = [(k, {f for w in s for f in features_of(w)}) for k, words in enumerate(texts) for s in swaps(words, identity)]
+    pairs = [(k, s) for k, bag in enumerate(bags) for s in swaps(bag, identity)]
     change = x[[k for k, _ in pairs]] - matrix([s for _, s in pairs]) if pairs else np.zeros((1, len(names)), np.float32)
     change = change.T @ change / max(1, len(pairs))
     w, b = np.zeros(len(names), np.float32), 0.0
@@ -117,22 +112,41 @@ def fit(texts: list[set[str]], toxic: list[int], identity: dict[str, tuple[str,
     return Model({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3}, float(b))
 
 
+def chosen(bags: DataFrame, identity: dict[str, tuple[str, ...]] = IDENTITY) -> list[str]:
+    """Features of (toxic, features) that are much likelier in toxic texts, at most FEATURES, and those
+    of the identity terms, so that the penalty has what to act on."""
+    sizes = {r["toxic"]: r["n"] for r in bags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    one = bags.select("toxic", F.explode("features").alias("f")).groupBy("f").agg(F.sum("toxic").alias("c"), F.sum(1 - F.col("toxic")).alias("o"))
+    ratio = ((F.col("c") + 0.5) / (sizes.get(1, 0) + 1)) / ((F.col("o") + 0.5) / (sizes.get(0, 0) + 1))
+    best = one.where(F.col("c") + F.col("o") >= MIN_DOCS).withColumn("r", ratio).where(F.col("r") >= MIN_RATIO)
+    names = [r["f"] for r in best.orderBy(F.desc(F.col("c") * F.log("r")), "f").limit(FEATURES).collect()]
+    return names + sorted({f for terms in identity.values() for t in terms for f in features_of(t)} - set(names))
+
+
 def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
     """Model of labelled documents (toxic 1 or 0) for which `usable` holds."""
     marks = labels.where("toxic is not null and doc_id is not null").where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = marks.cache()
-    chosen = [sampled(marks, marks.where(F.col("toxic") == k), SAMPLE) for k in (0, 1)]
-    ids = chosen[0].unionByName(chosen[1])  # at most 2 * SAMPLE rows
+    some = [sampled(marks, marks.where(F.col("toxic") == k), SAMPLE) for k in (0, 1)]
+    ids = some[0].unionByName(some[1])  # at most 2 * SAMPLE rows
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [sorted(words_of(x.as_py())) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
+            found = [sorted({f for w in words_of(x.as_py()) for f in features_of(w)}) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "features"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
-    found = sorted(rows.mapInArrow(bags, "doc_id long, toxic int, words array<string>").collect(), key=lambda r: (r["doc_id"], r["words"]))
-    marks.unpersist()
-    return fit([set(r["words"]) for r in found], [r["toxic"] for r in found])
+    table = staged(rows.mapInArrow(bags, "doc_id long, toxic int, features array<string>"), "bags")
+    names = chosen(table)
+    known = set(names)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [[f for f in x.as_py() if f in known] for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "features"])
+
+    found = table.mapInArrow(kept, "doc_id long, toxic int, features array<string>").collect()
+    found.sort(key=lambda r: (r["doc_id"], r["features"]))
+    return fit([set(r["features"]) for r in found], [r["toxic"] for r in found], names)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
