@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -65,6 +66,20 @@ class Pieces:
         self.unknown = (FLOOR - 10) * UNIT
         self.longest = min(STATES, max(map(len, self.ids)))
         self.begins: dict[str, int | None] = {x[:k]: None for x in self.value for k in range(1, len(x))} | self.value
+        # the same as a tree of characters, for whole units: (value or None, next characters)
+        leaf: dict = {}
+        self.tree: dict[str, tuple] = {}
+        for piece, value in self.value.items():
+            if len(piece) <= self.longest:
+                kids = self.tree
+                for c in piece[:-1]:
+                    have = kids.get(c, (None, leaf))
+                    if have[1] is leaf:
+                        have = kids[c] = have[0], {}
+                    kids = have[1]
+                kids[piece[-1]] = value, kids.get(piece[-1], (None, leaf))[1]
+        self.tree = {c: (self.unknown if x is None else x, kids) for c, (x, kids) in self.tree.items()}
+        self.other = self.unknown, leaf
         self.pairs = {x[k : k + 2] for x in self.ids for k in range(len(x) - 1)}
         self.cache: dict[str, tuple[int, bytes]] = {}
 
@@ -92,6 +107,28 @@ class Pieces:
                         best[q], back[q] = have + x, q - p
         return best, back
 
+    def best_path(self, text: str) -> tuple[int, bytes]:
+        """Value and ids of a unit: `paths` from its start to its end."""
+        n, tree, other = len(text), self.tree, self.other
+        best, back = [NEVER] * (n + 1), [0] * (n + 1)
+        best[0] = 0
+        for p, c in enumerate(text):
+            have = best[p]
+            x, kids = tree.get(c, other)
+            if have + x > best[p + 1]:
+                best[p + 1], back[p + 1] = have + x, 1
+            q = p + 1
+            while kids and q < n:
+                node = kids.get(text[q])
+                if node is None:
+                    break
+                x, kids = node
+                q += 1
+                if x is not None and have + x > best[q]:
+                    best[q], back[q] = have + x, q - p
+        ids = self.ids_of(text, 0, n, back)
+        return best[n], struct.pack(f"<{len(ids)}I", *ids)
+
     def back_to_front(self, text: str, stop: int) -> list[int]:
         """Best value from each position to `stop`."""
         best = [NEVER] * (stop + 1)
@@ -125,8 +162,7 @@ class Pieces:
             if cuts:
                 found = self.joined([text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])])
             else:
-                best, back = self.paths(text, 0, len(text))
-                found = best[-1], np.array(self.ids_of(text, 0, len(text), back), "<u4").tobytes()
+                found = self.best_path(text)
             if len(text) <= CACHED_CHARS:
                 if len(self.cache) >= CACHE:
                     self.cache.clear()
@@ -142,9 +178,13 @@ class Pieces:
         found = [cache.get(x) or unit(x) for x in parts]
         return sum([x[0] for x in found]), b"".join([x[1] for x in found])
 
-    def decode(self, ids: bytes) -> str:
+    def decoded(self, ids: bytes) -> bytes:
+        """UTF-8 of the text, without the space in front."""
         raw = self.raw
-        return b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "surrogatepass")[1:]
+        return b"".join([raw[i] for i in np.frombuffer(ids, "<u4").tolist()])[1:]
+
+    def decode(self, ids: bytes) -> str:
+        return self.decoded(ids).decode("utf-8", "surrogatepass")
 
     def matrix(self, before: str, body: str, after: str) -> np.ndarray:
         """Transfer matrix of a chunk between the character before it and those after it."""
@@ -402,7 +442,7 @@ def digest(encoded: DataFrame, path: str) -> DataFrame:
         model = pieces(path)
         for batch in batches:
             raw = [x.as_py() for x in batch.column("ids")]
-            sha = [hashlib.sha256(model.decode(x).encode("utf-8", "surrogatepass")).hexdigest() for x in raw]
+            sha = [hashlib.sha256(model.decoded(x)).hexdigest() for x in raw]
             did = [None if x == NO_ID else x for x in batch.column("did").to_pylist()]
             cols = [pa.array(did, pa.int64()), batch.column("n_chars"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), batch.column("score"), pa.array(sha)]
             yield pa.RecordBatch.from_arrays(cols, names=names)
