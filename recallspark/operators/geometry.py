@@ -47,6 +47,21 @@ def correspond(previous: DataFrame, current: DataFrame, space: str, keys: Sequen
     return rows.withColumn("status", status).select("old_id", F.when(F.col("status") == "PAIR", F.col("new_id")).alias("new_id"), "status")
 
 
+def supersession(previous: DataFrame, current: DataFrame, space: str, keys: Sequence[str]) -> DataFrame:
+    """(kind, old_id, new_id, reason): what replaces a generation of faces (with `erased`, `decided`).
+
+    SUPPRESSED: a current face that lies where an erased one was, and nowhere else; CARRIED: a human
+    decision that moves to the one face that corresponds; REVIEW: a decision that does not, and why.
+    """
+    gone = mutual(related(previous.where("erased"), current, keys, cosine=None))
+    kept = current.join(gone.select(F.col("new_id").alias("id")), "id", "left_anti")
+    alive = previous.where("not erased")
+    found = correspond(alive, kept, space, keys).join(alive.where("decided").select(F.col("id").alias("old_id")), "old_id", "left_semi")
+    pair = F.col("status") == "PAIR"
+    decided = found.select(F.when(pair, "CARRIED").otherwise("REVIEW").alias("kind"), "old_id", "new_id", F.when(~pair, F.col("status")).alias("reason"))
+    return decided.unionByName(gone.select(F.lit("SUPPRESSED").alias("kind"), "old_id", "new_id", F.lit(None).cast("string").alias("reason")))
+
+
 def suppressed(detections: DataFrame, keys: Sequence[str], most: float = 0.4) -> DataFrame:
     """Non-maximum suppression in each frame: by score (ties by id), drop what overlaps a kept box more.
     Frames of one source (the first key) are handled together in a task."""

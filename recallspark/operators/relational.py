@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.sources.staging import staged
+
 
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """First row of each key in the order given; one exchange on the key."""
@@ -69,3 +71,21 @@ def unreferenced(items: DataFrame, key: str, references: Sequence[tuple[DataFram
         one = frame.select(F.col(column).alias(key)).where(F.col(key).isNotNull())
         every = one if every is None else every.unionByName(one)
     return items.join(every.distinct(), key, "left_anti")
+
+
+def first_in_order(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
+    """(order, a, b) of the rows kept one after another, each unless a kept one before it has its `a`
+    or its `b`. `order` is unique; rows with a NULL in `a` or `b` are left out.
+
+    A round keeps the rows that come first in both of their groups and drops what shares a group with
+    them; groups are minima with map-side combine, and the tables between rounds are written.
+    """
+    left = staged(rows.select(order, a, b).dropna(subset=[a, b]), "left")
+    kept = left.where(F.lit(False))
+    while not left.isEmpty():
+        by_a, by_b = (left.groupBy(k).agg(F.min(order).alias(f"_first_{k}")) for k in (a, b))
+        first = (F.col(order) == F.col(f"_first_{a}")) & (F.col(order) == F.col(f"_first_{b}"))
+        now = staged(left.join(by_a, a).join(by_b, b).where(first).select(order, a, b), "first")
+        kept = kept.unionByName(now)
+        left = staged(left.join(now.select(a), a, "left_anti").join(now.select(b), b, "left_anti"), "left")
+    return kept

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallspark.functions import boxes, names, stats, vectors
 from recallspark.operators import geometry, lifecycle, relational, retrieval
+from recallspark.operators.graph import connected_components
 from recallspark.sources import views
 from recallspark.sources.shipping import ship
 from recallspark.sources.views import table, with_views
@@ -207,6 +208,21 @@ def dominant_subject(spark, d):
     return rows.select("id", "source_id", F.coalesce(F.col("area") >= 1.4 * F.col("second"), F.lit(True)).alias("dominant"), ratio.alias("bucket"))
 
 
+@query(_GEN + f"""er AS (SELECT a.id AS old_id, b.id AS new_id FROM f a JOIN f b ON a.source_id = b.source_id AND a.day = b.day AND a.id % 46 = 0 AND b.id % 2 = 1 WHERE {_IOU} / {_UNION} >= 0.7),
+ec AS (SELECT *, count(*) OVER (PARTITION BY old_id) AS forward, count(*) OVER (PARTITION BY new_id) AS backward FROM er),
+gone AS (SELECT old_id, new_id FROM ec WHERE forward = 1 AND backward = 1),
+""" + _REL.format(more="AND a.id % 46 <> 0 AND b.id NOT IN (SELECT new_id FROM gone) AND a.space = 'now' AND b.space = 'now' AND (1 + a.v * b.v) / (sqrt(1 + a.v * a.v) * sqrt(1 + b.v * b.v)) >= 0.9") + """
+, g AS (SELECT old_id, max(forward) AS n, max(backward) AS m, min(new_id) AS new_id FROM cnt GROUP BY old_id),
+s AS (SELECT f.id AS old_id, g.new_id, CASE WHEN space <> 'now' THEN 'SPACE_CHANGED' WHEN v IS NULL THEN 'MISSING_VECTOR' WHEN n IS NULL THEN 'NO_CORRESPONDENCE'
+ WHEN n > 1 OR m > 1 THEN 'AMBIGUOUS' ELSE 'PAIR' END AS status FROM f LEFT JOIN g ON g.old_id = f.id WHERE f.id % 2 = 0 AND f.id % 46 <> 0 AND f.id % 3 = 0)
+SELECT CASE WHEN status = 'PAIR' THEN 'CARRIED' ELSE 'REVIEW' END AS kind, old_id, CASE WHEN status = 'PAIR' THEN new_id END AS new_id, CASE WHEN status <> 'PAIR' THEN status END AS reason FROM s
+UNION ALL SELECT 'SUPPRESSED', old_id, new_id, NULL FROM gone""")
+def supersession_plan(spark, d):
+    old, new = _generations(spark, d)
+    old = old.withColumn("erased", F.col("id") % 46 == 0).withColumn("decided", F.col("id") % 3 == 0)
+    return geometry.supersession(old, new, "now", ["source_id", "day"])
+
+
 # --- sequences ----------------------------------------------------------------------------------
 
 @query("""SELECT event_id, user_id, slot FROM (SELECT event_id, user_id, floor(epoch_us(ts) / 1e6 * 0.001)::bigint AS slot,
@@ -517,10 +533,13 @@ def retrieval_metrics(spark, d):
                      F.round(F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))), 6).alias("mrr"))
 
 
-@query(_LOO + """, g AS (SELECT unnest([0.0, 0.01, 0.02, 0.05])::double AS m), x AS (SELECT best, coalesce(best - second, 9) AS margin, identity = truth AS ok FROM t WHERE place = 1),
+_SWEEP = _LOO + """, g AS (SELECT unnest([0.0, 0.01, 0.02, 0.05])::double AS m), x AS (SELECT best, coalesce(best - second, 9) AS margin, identity = truth AS ok FROM t WHERE place = 1),
 s AS (SELECT g.m AS margin, c.best AS threshold, count(*) FILTER (x.best >= c.best AND x.margin >= g.m) AS accepted, count(*) FILTER (x.best >= c.best AND x.margin >= g.m AND ok) AS correct
  FROM g, (SELECT DISTINCT best FROM x) c, x GROUP BY ALL)
-SELECT margin, threshold, accepted, correct FROM s""")
+"""
+
+
+@query(_SWEEP + "SELECT margin, threshold, accepted, correct FROM s")
 def policy_sweep(spark, d):
     t = _leave_one_out(spark, d).where("place = 1").select("best", F.round(F.coalesce(F.col("best") - F.col("second"), F.lit(9.0)), 12).alias("margin"), (F.col("identity") == F.col("truth")).alias("ok"))
     grid = t.select(F.explode(F.array(*map(F.lit, (0.0, 0.01, 0.02, 0.05)))).alias("m"), "best", "margin", "ok")
@@ -531,6 +550,43 @@ def policy_sweep(spark, d):
     return seen.select(F.col("m").alias("margin"), F.col("best").alias("threshold"), F.sum("a").over(down).alias("accepted"), F.sum("c").over(down).alias("correct"))
 
 
+@query(_SWEEP + """SELECT margin, threshold, accepted, round(correct::double / (SELECT count(*) FROM x), 6) AS recall FROM s
+WHERE margin > 0 AND threshold > 0.3 AND accepted = correct AND accepted >= 1 ORDER BY correct DESC, threshold, margin LIMIT 1""")
+def conservative_sweep(spark, d):
+    """The point above the floor with the highest recall and no false accept; low thresholds, then
+    low margins first."""
+    known = _leave_one_out(spark, d).where("place = 1").agg(F.count("*").alias("known"))
+    safe = policy_sweep(spark, d).where("margin > 0 and threshold > 0.3 and accepted = correct and accepted >= 1")
+    best = safe.orderBy(F.desc("correct"), "threshold", "margin").limit(1)
+    return best.join(known).select("margin", "threshold", "accepted", F.round(F.col("correct") / F.col("known"), 6).alias("recall"))
+
+
+@query("""WITH p AS (SELECT round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 0)
+SELECT round(greatest(0.3::double, coalesce(quantile_cont(s, 0.999), 0.3::double)), 4) AS floor, count(*) AS pairs FROM p""")
+def tail_floor(spark, d):
+    rows = table(spark, d, "embeddings").where("vec_id % 5 = 0").select("vec_id", "label", "embedding")
+    a, b = rows.alias("a"), rows.alias("b")
+    pairs = a.join(b, (F.col("a.vec_id") < F.col("b.vec_id")) & (F.col("a.label") != F.col("b.label")))
+    s = pairs.select(F.round(vectors.dot(F.col("a.embedding"), F.col("b.embedding")), 6).alias("s"))
+    tail = F.coalesce(F.percentile("s", 0.999), F.lit(0.3))
+    return s.agg(F.round(F.greatest(F.lit(0.3), tail), 4).alias("floor"), F.count("*").alias("pairs"))
+
+
+@query()
+def verified_export(spark, d):
+    """Decisions over documents: what is not confirmed, flagged or the same picture as an exported one
+    (declared so, or of one digest) is left out."""
+    doc = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"))
+    twins = rows.where("doc_id % 10 = 7").select(doc.alias("a"), (doc - 3).alias("b"))
+    known = rows.select(doc.alias("b"))
+    group = connected_components(twins.join(known, "b", "left_semi")).withColumnRenamed("node", "doc_id")
+    state = F.when(doc % 9 == 4, "NOT_VERIFIED").when(doc % 13 == 5, "FLAGGED")
+    rows = rows.join(group, "doc_id", "left").select("doc_id", "digest", F.coalesce("root", doc).alias("root"), state.alias("state"))
+    kept = relational.first_in_order(rows.where("state is null"), "doc_id", "root", "digest").select("doc_id", F.lit("EXPORTED").alias("kept"))
+    return rows.join(kept, "doc_id", "left").select("doc_id", F.coalesce("state", "kept", F.lit("DUPLICATE")).alias("status"))
+
+
 @query("""WITH p AS (SELECT a.label = b.label AS genuine, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 10 = 0)
 SELECT genuine, count(*) AS pairs, min(s) AS low, round(median(s), 6) AS mid, max(s) AS high, round(quantile_cont(s, 0.999), 6) AS tail FROM p GROUP BY genuine""")
 def pair_distributions(spark, d):
