@@ -72,10 +72,7 @@ def units(w: Windows, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
         while True:
             to = hi
             if giant and hi - at > tx.BLOCK:
-                to = at + tx.BLOCK
-                if w.unit == "word":  # end after a word
-                    gap = np.flatnonzero(tx.SPACE[data[to : min(hi, to + tx.BLOCK)]])
-                    to = to + int(gap[0]) if len(gap) else min(hi, to + tx.BLOCK)
+                to = part_end(data, at, hi, 2 * w.width) if w.unit == "word" else at + tx.BLOCK
             part = data[at:to]
             docs = np.array([0]) if giant else offsets[i:j] - lo
             if w.unit == "byte":
@@ -91,10 +88,24 @@ def units(w: Windows, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple]:
             back = len(sym) - w.width + 1
             if w.unit == "byte":
                 at, base = at + back, base + back
-            elif back > 0:
-                at, base = at + int(first[back]), base + back
-            else:  # hardly any words in this part: take more next time by starting over from its end
-                at, base = (at + int(first[0]), base) if len(first) and first[0] else (to, base + len(sym))
+            else:
+                at, base = at + int(first[back]) if back < len(first) else to, base + back
+
+
+def part_end(data: np.ndarray, at: int, hi: int, least: int) -> int:
+    """End of the part that starts at `at`: after a word, with at least `BLOCK` bytes and `least`
+    words in it, or the end `hi` of the document."""
+    to, words, before = at, 0, True
+    while to < hi and words < least:
+        space = tx.SPACE[data[to : min(hi, to + tx.BLOCK)]]
+        words += int(np.count_nonzero(~space & np.append(before, space[:-1])))
+        to, before = to + len(space), bool(space[-1])
+    while to < hi:
+        gap = np.flatnonzero(tx.SPACE[data[to : min(hi, to + tx.BLOCK)]])
+        if len(gap):
+            return to + int(gap[0])
+        to = min(hi, to + tx.BLOCK)
+    return to
 
 
 def run_rows(w: Windows, sym: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
