@@ -17,7 +17,7 @@ input, so windows travel in runs:
   what was a common anchor with many contexts falls apart; at run length 1 the key is the whole
   window and counting alone decides. No case is dropped at any level.
 
-`earlier=True` marks windows whose content also starts at a smaller (doc_id, position);
+`earlier=True` marks windows whose content also starts at a smaller (doc_id, hash of the text, position);
 `earlier=False` marks windows that also start anywhere else.
 """
 
@@ -138,16 +138,16 @@ def place(pos: np.ndarray, many: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _runs_of(w: Windows):
-    names = ["core", "content", "did", "at"]
+    names = ["core", "content", "did", "tie", "at"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = tx.ids_of(batch.column(0))
-            data, offsets = tx.text_buffer(batch.column(1))
+            ids, ties = tx.ids_of(batch.column(0)), tx.ids_of(batch.column(1))
+            data, offsets = tx.text_buffer(batch.column(2))
             for sym, bounds, rows, base in units(w, data, offsets):
                 doc, start, many, off, core, content = run_rows(w, sym, bounds)
                 if len(doc):
-                    cols = [core.view(np.int64), content.view(np.int64), ids[rows[doc]], place(start - bounds[doc] + base, many, off)]
+                    cols = [core.view(np.int64), content.view(np.int64), ids[rows[doc]], ties[rows[doc]], place(start - bounds[doc] + base, many, off)]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     return task
@@ -158,9 +158,9 @@ def _segments(w: Windows):
 
     def task(batches):
         for batch in batches:
-            out = {k: [] for k in ("core", "did", "at", "n", "m", "seg")}
+            out = {k: [] for k in ("core", "did", "tie", "at", "n", "m", "seg")}
             held = 0
-            for did, body, want in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            for did, tie, body, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3).to_pylist()):
                 raw = (body.as_py() or "").encode()
                 words = raw.split() if w.unit == "word" else raw
                 seen: dict[bytes, int] = {}
@@ -172,7 +172,7 @@ def _segments(w: Windows):
                             if y not in seen:
                                 seen[y] = xxhash.xxh64_intdigest(y)
                         seg = np.array([seen[y] for y in seg], np.uint64).tobytes()
-                    for k, v in (("core", x["core"]), ("did", did), ("at", x["at"]), ("n", x["n"]), ("m", x["m"]), ("seg", seg)):
+                    for k, v in (("core", x["core"]), ("did", did), ("tie", tie), ("at", x["at"]), ("n", x["n"]), ("m", x["m"]), ("seg", seg)):
                         out[k].append(v)
                     held += len(seg)
                 if held > 8 << 20:
@@ -184,8 +184,8 @@ def _segments(w: Windows):
     return task
 
 
-_KINDS = {"core": pa.int64(), "content": pa.int64(), "did": pa.int64(), "at": pa.int64(), "n": pa.int64(), "m": pa.int64(), "seg": pa.binary()}
-_SEG = "core long, did long, at long, n long, m long, seg binary"
+_KINDS = {"core": pa.int64(), "content": pa.int64(), "did": pa.int64(), "tie": pa.int64(), "at": pa.int64(), "n": pa.int64(), "m": pa.int64(), "seg": pa.binary()}
+_SEG = "core long, did long, tie long, at long, n long, m long, seg binary"
 
 
 def _batch(out: dict) -> pa.RecordBatch:
@@ -198,8 +198,8 @@ def _split(w: Windows, step: int):
 
     def task(batches):
         for batch in batches:
-            out = {k: [] for k in ("core", "content", "did", "at", "n", "seg")}
-            for did, at, n, seg in zip(*(batch.column(k).to_pylist() for k in ("did", "at", "n", "seg"))):
+            out = {k: [] for k in ("core", "content", "did", "tie", "at", "n", "seg")}
+            for did, tie, at, n, seg in zip(*(batch.column(k).to_pylist() for k in ("did", "tie", "at", "n", "seg"))):
                 pos, many, off = at >> 32, (at >> 16) & 0xFFFF, at & 0xFFFF
                 for q in range((off - many + 1) // step, off // step + 1):
                     high, low = min(off, (q + 1) * step - 1), max(off - many + 1, q * step)
@@ -207,7 +207,7 @@ def _split(w: Windows, step: int):
                     part = seg[skip * each : (skip + count - 1 + w.width) * each]
                     a = off - q * step  # the windows of the whole part share [a, a + width - step + 1)
                     core = xxhash.xxh64_intdigest(seg[a * each : (a + w.width - step + 1) * each], q * 2 + 1)
-                    row = (core, xxhash.xxh64_intdigest(part, 2), did, (pos + skip) << 32 | count << 16 | high, n, part)
+                    row = (core, xxhash.xxh64_intdigest(part, 2), did, tie, (pos + skip) << 32 | count << 16 | high, n, part)
                     for k, v in zip(out, row):
                         out[k].append(v - (1 << 64) if k in ("core", "content") and v >> 63 else v)
             if out["core"]:
@@ -220,17 +220,17 @@ def _shards(w: Windows):
     """Runs sorted by anchor: whole anchors together in shards of bounded size, to the kernel."""
 
     def found(rows):
-        rows.sort(key=lambda x: (x[1], x[2]))
-        spans = w.kernel([x[4] for x in rows], np.array([(x[2] >> 16) & 0xFFFF for x in rows]), w.width)
+        rows.sort(key=lambda x: x[1:4])
+        spans = w.kernel([x[5] for x in rows], np.array([(x[3] >> 16) & 0xFFFF for x in rows]), w.width)
         for k, a, b in spans:  # windows [a, b) of run k
-            if w.earlier or rows[k][3] < 2:
-                pos = rows[k][2] >> 32
-                yield rows[k][1], pos + a, pos + b - 1 + w.width
+            if w.earlier or rows[k][4] < 2:
+                pos = rows[k][3] >> 32
+                yield *rows[k][1:3], pos + a, pos + b - 1 + w.width
 
     def task(batches):
         rows, held, last, each, ready = [], 0, None, 8 if w.unit == "word" else 1, []
         for batch in batches:
-            for x in zip(*(batch.column(k).to_pylist() for k in ("core", "did", "at", "n", "seg"))):
+            for x in zip(*(batch.column(k).to_pylist() for k in ("core", "did", "tie", "at", "n", "seg"))):
                 if x[0] != last and held >= SHARD_SYMBOLS:
                     ready += found(rows)
                     rows, held = [], 0
@@ -239,7 +239,7 @@ def _shards(w: Windows):
                         ready = []
                 last = x[0]
                 rows.append(x)
-                held += len(x[4]) // each + 1
+                held += len(x[5]) // each + 1
         if rows:
             ready += found(rows)
         if ready:
@@ -249,27 +249,27 @@ def _shards(w: Windows):
 
 
 def _spans(rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["did", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["did", "tie", "a", "b"])
 
 
 def _counted(w: Windows, rows: DataFrame, carry: list[str]) -> DataFrame:
     """One row a content: its count, its first place (with `carry`), contents of its anchor."""
-    first = F.min(F.struct("did", "at", *carry)).alias("f")
+    first = F.min(F.struct("did", "tie", "at", *carry)).alias("f")
     groups = rows.groupBy("core", "content").agg(F.sum("n").alias("n"), first)
-    return staged(groups.select("core", "content", "n", *(F.col(f"f.{k}").alias(k) for k in ("did", "at", *carry))), "contents")
+    return staged(groups.select("core", "content", "n", *(F.col(f"f.{k}").alias(k) for k in ("did", "tie", "at", *carry))), "contents")
 
 
 def _answers(w: Windows, rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Spans that counting alone decides: all windows of a run whose content is held more than once
     (or, if only earlier places count, of all such runs but the first)."""
     if w.earlier:
-        groups = groups.select("core", "content", F.col("did").alias("did1"), (F.col("at") / F.lit(1 << 32)).cast("long").alias("p1"))
-        odd = ~((F.col("did") == F.col("did1")) & (F.shiftright("at", 32) == F.col("p1")))
+        groups = groups.select("core", "content", F.col("did").alias("did1"), F.col("tie").alias("tie1"), (F.col("at") / F.lit(1 << 32)).cast("long").alias("p1"))
+        odd = ~((F.col("did") == F.col("did1")) & (F.col("tie") == F.col("tie1")) & (F.shiftright("at", 32) == F.col("p1")))
     else:
         groups = groups.where("n >= 2").select("core", "content")
         odd = F.lit(True)
     pos, many = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF)
-    return rows.join(groups, ["core", "content"]).where(odd).select("did", pos.alias("a"), (pos + many - 1 + w.width).alias("b"))
+    return rows.join(groups, ["core", "content"]).where(odd).select("did", "tie", pos.alias("a"), (pos + many - 1 + w.width).alias("b"))
 
 
 def _mixed_anchors(groups: DataFrame) -> DataFrame:
@@ -279,28 +279,28 @@ def _mixed_anchors(groups: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, w: Windows) -> DataFrame:
-    """(did, a, b): spans of symbols covered by repeated windows, for documents (did, text).
+    """(did, tie, a, b): spans of symbols covered by repeated windows, for documents (did, tie, text).
 
-    Spans overlap and may be met more than once; their union for a did is exact.
+    Spans overlap and may be met more than once; their union for a document is exact.
     """
-    runs = docs.select("did", "text").where("text is not null").mapInArrow(_runs_of(w), "core long, content long, did long, at long")
+    runs = docs.select("did", "tie", "text").where("text is not null").mapInArrow(_runs_of(w), "core long, content long, did long, tie long, at long")
     # written, so that both sides of the join are plain exchanges and AQE can split a hot anchor
     often = staged(runs.groupBy("core").agg(F.count("*").alias("c")).where("c >= 2").select("core"), "often")
     kept = staged(runs.join(often, "core", "left_semi").withColumn("n", F.lit(1).cast("long")), "runs")
     groups = _counted(w, kept, [])
     spans = [_answers(w, kept, groups)]
-    want = _mixed_anchors(groups).groupBy("did").agg(F.collect_list(F.struct("core", "at", "n", "m")).alias("want"))
-    rows = staged(docs.select("did", "text").join(want, "did").mapInArrow(_segments(w), _SEG), "segments")
+    want = _mixed_anchors(groups).groupBy("did", "tie").agg(F.collect_list(F.struct("core", "at", "n", "m")).alias("want"))
+    rows = staged(docs.select("did", "tie", "text").join(want, ["did", "tie"]).mapInArrow(_segments(w), _SEG), "segments")
     for step in (*w.finer, None):
         few = rows.where(F.col("m") <= MOST).repartition(F.col("core")).sortWithinPartitions("core")
-        spans.append(few.mapInArrow(_shards(w), "did long, a long, b long"))
+        spans.append(few.mapInArrow(_shards(w), "did long, tie long, a long, b long"))
         rows = rows.where(F.col("m") > MOST)
         if step is None or rows.isEmpty():
             break
-        parts = staged(rows.mapInArrow(_split(w, step), "core long, content long, did long, at long, n long, seg binary"), "parts")
+        parts = staged(rows.mapInArrow(_split(w, step), "core long, content long, did long, tie long, at long, n long, seg binary"), "parts")
         groups = _counted(w, parts, ["seg"])
         spans.append(_answers(w, parts, groups))
-        rows = staged(_mixed_anchors(groups).select("core", "did", "at", "n", "m", "seg"), "segments")
+        rows = staged(_mixed_anchors(groups).select("core", "did", "tie", "at", "n", "m", "seg"), "segments")
     out = spans[0]
     for x in spans[1:]:
         out = out.unionByName(x)

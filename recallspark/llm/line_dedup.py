@@ -2,7 +2,8 @@
 
 Lines are the parts of a text between \\n. A line is deleted if it lies in a run of `lines`
 consecutive lines whose sequence also starts earlier (smaller doc_id, or the same document and an
-earlier line). Maximal repeated runs are unions of such windows, so later repeats of any run of at
+earlier line; different texts of one doc_id or without any are documents of their own, ordered by
+their hash). Maximal repeated runs are unions of such windows, so later repeats of any run of at
 least `lines` lines go as a whole; runs are judged on the input.
 
 1. *Select.* In each window of `lines` line hashes the minimum (leftmost on a tie) is a
@@ -17,7 +18,7 @@ least `lines` lines go as a whole; runs are judged on the input.
 4. *Delete* the lines of later runs.
 
 Defined results: a NULL text stays NULL and has no lines; a NULL doc_id sorts last; rows that share
-a doc_id get the same deletions; a text of fewer lines is kept; an empty table gives an empty
+doc_id and text get the same deletions; a text of fewer lines is kept; an empty table gives an empty
 result; other columns of the input are kept by `line_dedup` and ignored by `line_report`.
 """
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recallspark.llm.tables import text_key
 from recallspark.llm.text import NO_ID
 from recallspark.sources.staging import staged
 
@@ -37,8 +39,8 @@ def _did() -> Column:
 
 
 def fingerprints(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """(did, start, fp, pos, one, two): each window, its fingerprint at line pos, and its hashes."""
-    split = docs.where("text is not null").select(_did().alias("did"), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
+    """(did, tie, start, fp, pos, one, two): each window, its fingerprint at line pos, and its hashes."""
+    split = docs.where("text is not null").select(_did().alias("did"), text_key(), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
     split = split.where(F.size("h") >= lines)
     at = F.sequence(F.lit(1), F.size("h") - lines + 1)
     windows = F.transform(at, lambda i: F.struct(
@@ -48,24 +50,24 @@ def fingerprints(docs: DataFrame, lines: int = LINES) -> DataFrame:
         F.xxhash64(F.slice("h", i, lines)).alias("one"),
         F.hash(F.slice("h", i, lines)).alias("two"),
     ))
-    return split.select("did", F.explode(windows).alias("w")).select("did", "w.*")
+    return split.select("did", "tie", F.explode(windows).alias("w")).select("did", "tie", "w.*")
 
 
 def repeated_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """(did, start): windows whose lines also start earlier."""
+    """(did, tie, start): windows whose lines also start earlier."""
     windows = fingerprints(docs, lines)
-    place, selected = F.struct("did", "start"), F.struct("did", "pos")
+    place, selected = F.struct("did", "tie", "start"), F.struct("did", "tie", "pos")
     often = windows.groupBy("fp").agg(F.min(selected).alias("a"), F.max(selected).alias("b")).where("a <> b").select("fp")
-    kept = staged(windows.join(often, "fp", "left_semi").select("did", "start", "one", "two"), "windows")
+    kept = staged(windows.join(often, "fp", "left_semi").select("did", "tie", "start", "one", "two"), "windows")
     first = kept.groupBy("one", "two").agg(F.min(place).alias("f"), F.max(place).alias("g")).where("f <> g")
-    first = first.select("one", "two", F.col("f.did").alias("did1"), F.col("f.start").alias("start1"))
-    return kept.join(first, ["one", "two"]).where("did <> did1 or start <> start1").select("did", "start")
+    first = first.select("one", "two", F.col("f.did").alias("did1"), F.col("f.tie").alias("tie1"), F.col("f.start").alias("start1"))
+    return kept.join(first, ["one", "two"]).where("did <> did1 or tie <> tie1 or start <> start1").select("did", "tie", "start")
 
 
 def _deleted(docs: DataFrame, lines: int) -> DataFrame:
-    starts = repeated_windows(docs, lines).groupBy("did").agg(F.collect_set("start").alias("starts"))
+    starts = repeated_windows(docs, lines).groupBy("did", "tie").agg(F.collect_set("start").alias("starts"))
     gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + lines - 1))))
-    return docs.withColumn("did", _did()).join(starts, "did", "left").withColumn("gone", F.coalesce(gone, F.array().cast("array<int>"))).drop("did", "starts")
+    return docs.withColumn("did", _did()).withColumn("tie", text_key()).join(starts, ["did", "tie"], "left").withColumn("gone", F.coalesce(gone, F.array().cast("array<int>"))).drop("did", "tie", "starts")
 
 
 def _cut(docs: DataFrame, lines: int) -> DataFrame:

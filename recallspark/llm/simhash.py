@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.llm import text as tx
-from recallspark.llm.tables import keyed
+from recallspark.llm.tables import row_keyed, text_key
 from recallspark.operators.graph import connected_components
 from recallspark.sources.staging import staged
 
@@ -63,14 +63,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(did, fp) of every document."""
+    """(did, tie, fp) of every document."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x.as_py()) for x in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["did", "fp"])
+            fp = np.array([fingerprint(x.as_py()) for x in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=["did", "tie", "fp"])
 
-    return keyed(docs).mapInArrow(task, "did long, fp long")
+    return row_keyed(docs).mapInArrow(task, "did long, tie long, fp long")
 
 
 _golay: list[np.ndarray] = []
@@ -228,13 +228,14 @@ def links(prints: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def classes(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """(did, fp, component): the class of each document is the smallest did it reaches."""
+    """(did, tie, fp, component, first): the class of each document is the smallest did it reaches;
+    first is that document's tie."""
     prints = staged(fingerprints(docs), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("did").alias("least")), "nodes")
+    nodes = staged(prints.groupBy("fp").agg(F.min(F.struct("did", "tie")).alias("least")), "nodes")
     found = connected_components(links(nodes, bits)).select(F.col("node").alias("fp"), "root")
     nodes = staged(nodes.join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
-    least = nodes.groupBy("root").agg(F.min("least").alias("component"))
-    return prints.join(nodes.join(least, "root").select("fp", "component"), "fp").select("did", "fp", "component")
+    least = nodes.groupBy("root").agg(F.min("least").alias("f")).select("root", F.col("f.did").alias("component"), F.col("f.tie").alias("first"))
+    return prints.join(nodes.join(least, "root").select("fp", "component", "first"), "fp").select("did", "tie", "fp", "component", "first")
 
 
 def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
@@ -250,9 +251,10 @@ def near_duplicates(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The documents that are the smallest doc_id of their class; repeated rows of it stay once."""
-    keep = classes(docs, bits).where("did = component").select("did").distinct()
+    """The documents that are the smallest doc_id of their class (the smallest hash of the text where
+    several share it or have none); repeated rows of it stay once."""
+    keep = classes(docs, bits).where("did = component and tie = first").select("did", "tie").distinct()
     columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(tx.NO_ID)).alias("did")
-    kept = docs.select(did, *columns).join(keep, "did", "left_semi").dropDuplicates(["did"])
+    kept = docs.select(did, text_key(), *columns).join(keep, ["did", "tie"], "left_semi").dropDuplicates(["did", "tie"])
     return kept.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

@@ -2,11 +2,12 @@
 
 Words are maximal runs of bytes other than space and 0x09-0x0D. A window is `width` consecutive
 words of one document; a word is removed if a window that covers it has a word sequence that also
-starts earlier (smaller doc_id, or the same document and an earlier start). Windows are judged on
+starts earlier (smaller doc_id, or the same document and an earlier start; different texts of one
+doc_id or without any are documents of their own, ordered by their hash). Windows are judged on
 the input. See `anchors` for the distribution and `index.earlier_windows` for the search.
 
-Defined results: a NULL text has no words; a NULL doc_id sorts last; rows that share a doc_id are
-one document's repeats, get the same spans and do not count as earlier than each other; an empty
+Defined results: a NULL text has no words; a NULL doc_id sorts last; rows that share doc_id and text
+are one document's repeats, get the same spans and do not count as earlier than each other; an empty
 table gives an empty result; columns other than doc_id and text are ignored.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from recallspark.llm import index
 from recallspark.llm.anchors import Windows, repeated_spans
-from recallspark.llm.tables import keyed
+from recallspark.llm.tables import row_keyed
 
 WIDTH = 20
 
@@ -41,8 +42,8 @@ def merged(spans: list | None, most: int) -> list[tuple[int, int]]:
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, spans): each document with its array of spans, NULL if it has none."""
-    each = spans.groupBy("did").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return docs.join(each, "did", "left").select(F.when(F.col("did") != F.lit((1 << 63) - 1), F.col("did")).alias("doc_id"), "text", "spans")
+    each = spans.groupBy("did", "tie").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return docs.join(each, ["did", "tie"], "left").select(F.when(F.col("did") != F.lit((1 << 63) - 1), F.col("did")).alias("doc_id"), "text", "spans")
 
 
 def _apply(texts: bool):
@@ -73,5 +74,5 @@ def word_windows(width: int = WIDTH) -> Windows:
 
 def substring_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and (with `texts`) the kept words joined by a space."""
-    own = keyed(docs)
+    own = row_keyed(docs)
     return with_spans(own, repeated_spans(own, word_windows(width))).mapInArrow(_apply(texts), RESULT)

@@ -6,8 +6,8 @@ judged on the input. Bytes are removed without regard to characters; `text` hold
 with characters that were cut replaced by nothing. See `anchors` for the distribution and
 `index.repeated_windows` for the interval expansion.
 
-Defined results: a NULL text is empty; a NULL doc_id sorts last; rows that share a doc_id have the
-same spans; an empty table gives an empty result; columns other than doc_id and text are ignored.
+Defined results: a NULL text is empty; a NULL doc_id sorts last; rows that share doc_id and
+text have the same spans; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from recallspark.llm import index
 from recallspark.llm.anchors import Windows, repeated_spans
 from recallspark.llm.substring_dedup import merged, with_spans
-from recallspark.llm.tables import keyed
+from recallspark.llm.tables import row_keyed, text_key
 from recallspark.llm.text import NO_ID
 
 WIDTH = 400
@@ -57,15 +57,15 @@ def byte_windows(width: int = WIDTH) -> Windows:
 
 def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with `texts`) the text that is left."""
-    own = keyed(docs)
+    own = row_keyed(docs)
     return with_spans(own, repeated_spans(own, byte_windows(width))).mapInArrow(_apply(texts), RESULT)
 
 
 def cut_documents(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """The documents, all columns, with repeated bytes cut from the text; n_chars is counted again."""
     did = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did")
-    each = repeated_spans(keyed(docs), byte_windows(width)).groupBy("did").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(did, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).join(each, "did", "left")
+    each = repeated_spans(row_keyed(docs), byte_windows(width)).groupBy("did", "tie").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    rows = docs.select(did, text_key(), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns))).join(each, ["did", "tie"], "left")
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, spans: pd.Series) -> pd.Series:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recallspark.llm.text import NO_ID
@@ -17,6 +17,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.col("text"))
 
 
+def text_key() -> Column:
+    """Tells rows apart that share a doc_id (or have none) but not the text; equal rows share it."""
+    return F.xxhash64("text").alias("tie")
+
+
+def row_keyed(docs: DataFrame) -> DataFrame:
+    """(did, tie, text): `keyed` with the hash of the text, which together name a document."""
+    return keyed(docs).select("did", text_key(), "text")
+
+
 def sampled(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     """Rows whose doc_id is among the first `most` of `ids` in the order of a hash: ids alone are
     sorted, and the chosen ones (at most `most` numbers, so a bounded broadcast) select the rows."""
