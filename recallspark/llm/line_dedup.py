@@ -1,25 +1,27 @@
 """Line dedup by winnowing, in DataFrame functions only.
 
-Lines are the parts of a text between \\n. A line is deleted if it lies in a run of `lines`
-consecutive lines whose sequence also starts earlier (smaller doc_id, or the same document and an
-earlier line; different texts of one doc_id or without any are documents of their own, ordered by
-their hash). Maximal repeated runs are unions of such windows, so later repeats of any run of at
-least `lines` lines go as a whole; runs are judged on the input.
-
-1. *Select.* In each window of `lines` line hashes the minimum (leftmost on a tie) is a
-   fingerprint: every repeated run of that length is guaranteed to hold an equal one at an equal
-   offset. Fingerprints come with their position and the stretch of windows they are the minimum of.
-2. *Join positions.* Fingerprints that occur once are dropped by a semi-join on their counts
-   (counted with map-side combine).
-3. *Extend both ways.* Each window around a joined fingerprint is compared with the first place of
-   the same lines: windows reach `lines` - 1 lines to either side, and neighbouring matches merge.
-   First places are a minimum with map-side combine, so a run that a third of all documents share
-   is one row a task; joins back to the places are plain equi-joins that AQE splits on a hot key.
-4. *Delete* the lines of later runs.
-
-Defined results: a NULL text stays NULL and has no lines; a NULL doc_id sorts last; rows that share
-doc_id and text get the same deletions; a text of fewer lines is kept; an empty table gives an empty
-result; other columns of the input are kept by `line_dedup` and ignored by `line_report`.
+Lines are the parts of a text between \\n; those without a word (a run of characters other than space
+and 0x09-0x0D) are skipped over and never deleted. All below counts lines with words.
+
+1. *Select.* The unit of a line is the shortest run of lines from it on that holds `noise` words. A
+   window is the units that start in `reach` words from a line on; its smallest unit hash (leftmost on
+   a tie) is a fingerprint. Runs of noise + reach words hold a whole window, so they are guaranteed
+   to have a fingerprint in common, at one offset, wherever they repeat; a longer single line is a
+   window by itself. Most windows share their fingerprint with their neighbours.
+2. *Join positions.* Each fingerprint's place is joined to the first place of the same unit (smallest
+   doc_id, then hash of the text, then line; a minimum with map-side combine, so a unit that a third of
+   all documents share is one row a task). The join back is an equi-join on written rows, which AQE
+   splits on a hot fingerprint.
+3. *Extend both ways*, line by line, as far as both places agree and up to the next fingerprint on
+   either side, which is joined by itself.
+4. *Delete* the lines of the runs so found at the later place; the first place keeps them. Runs are
+   judged on the input.
+
+Hashes are 60 bits of MD5; a run must agree in its unit hash and, apart from that, in the hash of each
+line. Defined results: a NULL text stays NULL and has no lines; a NULL doc_id sorts last; different texts
+of one doc_id or without any are documents of their own; rows that share doc_id and text get the same
+deletions; a text of fewer than `noise` words is kept; an empty table gives an empty result; other
+columns of the input are kept by `line_dedup` and ignored by `line_report`.
 """
 
 from __future__ import annotations
@@ -31,69 +33,114 @@ from recallspark.llm.tables import text_key
 from recallspark.llm.text import NO_ID
 from recallspark.sources.staging import staged
 
-LINES = 3
+NOISE, REACH = 8, 12
+
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _did() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
 
 
-def fingerprints(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """(did, tie, start, fp, pos, one, two): each window, its fingerprint at line pos, and its hashes."""
-    split = docs.where("text is not null").select(_did().alias("did"), text_key(), F.transform(F.split("text", "\n"), lambda x: F.xxhash64(x)).alias("h"))
-    split = split.where(F.size("h") >= lines)
-    at = F.sequence(F.lit(1), F.size("h") - lines + 1)
-    windows = F.transform(at, lambda i: F.struct(
-        (i - 1).alias("start"),
-        F.array_min(F.slice("h", i, lines)).alias("fp"),
-        (i - 2 + F.array_position(F.slice("h", i, lines), F.array_min(F.slice("h", i, lines)))).alias("pos"),
-        F.xxhash64(F.slice("h", i, lines)).alias("one"),
-        F.hash(F.slice("h", i, lines)).alias("two"),
-    ))
-    return split.select("did", "tie", F.explode(windows).alias("w")).select("did", "tie", "w.*")
-
-
-def repeated_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """(did, tie, start): windows whose lines also start earlier."""
-    windows = fingerprints(docs, lines)
-    place, selected = F.struct("did", "tie", "start"), F.struct("did", "tie", "pos")
-    often = windows.groupBy("fp").agg(F.min(selected).alias("a"), F.max(selected).alias("b")).where("a <> b").select("fp")
-    kept = staged(windows.join(often, "fp", "left_semi").select("did", "tie", "start", "one", "two"), "windows")
-    first = kept.groupBy("one", "two").agg(F.min(place).alias("f"), F.max(place).alias("g")).where("f <> g")
-    first = first.select("one", "two", F.col("f.did").alias("did1"), F.col("f.tie").alias("tie1"), F.col("f.start").alias("start1"))
-    return kept.join(first, ["one", "two"]).where("did <> did1 or tie <> tie1 or start <> start1").select("did", "tie", "start")
-
-
-def _deleted(docs: DataFrame, lines: int) -> DataFrame:
-    starts = repeated_windows(docs, lines).groupBy("did", "tie").agg(F.collect_set("start").alias("starts"))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + lines - 1))))
-    return docs.withColumn("did", _did()).withColumn("tie", text_key()).join(starts, ["did", "tie"], "left").withColumn("gone", F.coalesce(gone, F.array().cast("array<int>"))).drop("did", "tie", "starts")
-
-
-def _cut(docs: DataFrame, lines: int) -> DataFrame:
-    spare = docs.select(*(F.col(f"`{c}`") for c in docs.columns))
-    found = _deleted(spare, lines)
-    parts = F.split("text", "\n")
-    kept = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    n = F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0))
-    gone = F.size(F.filter("gone", lambda g: g < n))
-    return found.withColumn("kept", F.when(F.size("gone") == 0, F.col("text")).otherwise(kept)).withColumn("n_lines", n).withColumn("n_removed", gone)
+def _number(text: Column) -> Column:
+    """60 bits of MD5."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def _many(line: Column) -> Column:
+    return F.size(F.regexp_extract_all(line, F.lit(WORD), F.lit(0)))
+
+
+def _enough(sizes: Column, words: int) -> Column:
+    """How many of the first elements add up to `words`; NULL if all of them do not."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("sum"))
+    more = lambda a, x: F.when(a["sum"] >= words, a).otherwise(F.struct((a["n"] + 1).alias("n"), (a["sum"] + x).alias("sum")))
+    return F.aggregate(sizes, start, more, lambda a: F.when(a["sum"] >= words, a["n"]))
+
+
+def fingerprints(docs: DataFrame, noise: int = NOISE, reach: int = REACH) -> DataFrame:
+    """(did, tie, fp, pos, unit, left, right): each selected unit, its first line and number of lines, and
+    the hashes of the lines before (nearest first) and from it on, up to the next fingerprints."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.struct(_many(x).alias("w"), _number(x).alias("h"))), lambda x: x["w"] > 0)
+    own = docs.where("text is not null").select(_did().alias("did"), text_key(), lines.alias("l"))
+    # Arrays that a lambda looks into are used twice or more and nothing filters on them (hence the outer
+    # explode), or Catalyst would move what makes them into the lambda.
+    own = own.select("did", "tie", F.transform("l", lambda x: x["h"]).alias("h"), F.transform("l", lambda x: x["w"]).alias("w"))
+    each = F.when(F.size("h") > 0, F.sequence(F.lit(1), F.size("h")))
+    unit = F.transform(each, lambda i: _enough(F.slice("w", i, noise), noise))
+    own = own.select("did", "tie", "h", "w", unit.alias("k"))
+    hashed = F.transform(each, lambda i: F.when(F.get("k", i - 1).isNotNull(), _number(F.array_join(F.transform(F.slice("h", i, F.coalesce(F.get("k", i - 1), F.lit(0))), lambda x: x.cast("string")), ","))))
+    own = own.select("did", "tie", "h", "w", "k", hashed.alias("u"))
+
+    def least(i: Column) -> Column:
+        some = F.slice("u", i, F.coalesce(_enough(F.slice("w", i, reach), reach), F.lit(reach)))
+        return i + F.array_position(some, F.array_min(some)).cast("int") - 1
 
+    at = F.array_distinct(F.filter(F.transform(each, least), lambda p: p.isNotNull()))
+    own = own.select("did", "tie", "h", "k", "u", at.alias("at"))
 
-def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
+    def place(p: Column, j: Column) -> Column:
+        before, after = F.coalesce(F.get("at", j - 1), F.lit(1)), F.coalesce(F.get("at", j + 1), F.size("h"))
+        before = F.when(j > 0, before).otherwise(F.lit(1))
+        after = F.greatest(after, p + F.get("k", p - 1) - 1)
+        return F.struct(
+            F.get("u", p - 1).alias("fp"), (p - 1).alias("pos"), F.get("k", p - 1).alias("unit"),
+            F.reverse(F.slice("h", before, p - before)).alias("left"), F.slice("h", p, after - p + 1).alias("right"),
+        )
+
+    return own.select("did", "tie", F.explode_outer(F.transform("at", place)).alias("p")).where("p is not null").select("did", "tie", "p.*")
+
+
+def _agree(a: Column, b: Column) -> Column:
+    """Number of leading elements in which two arrays agree."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
+    step = lambda s, same: F.when(s["on"] & same, F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("on")))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), start, step, lambda s: s["n"])
+
+
+def repeated_runs(docs: DataFrame, noise: int = NOISE, reach: int = REACH, extend: bool = True) -> DataFrame:
+    """(did, tie, a, b): runs of lines [a, b) that repeat an earlier place. Without `extend`, only the
+    units of the fingerprints themselves."""
+    places = staged(fingerprints(docs, noise, reach), "places")
+    first = places.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("did", "tie", "pos", "left", "right")).alias("f")).where("n > 1")
+    pairs = places.join(first.select("fp", "f"), "fp").where("did <> f.did or tie <> f.tie or pos <> f.pos")
+    back, on = (_agree(F.col(x), F.col(f"f.{x}")) for x in ("left", "right"))
+    runs = pairs.select("did", "tie", "pos", "unit", back.alias("back"), on.alias("on")).where("on >= unit")
+    if not extend:
+        runs = runs.withColumn("back", F.lit(0)).withColumn("on", F.col("unit"))
+    return runs.select("did", "tie", (F.col("pos") - F.col("back")).alias("a"), (F.col("pos") + F.col("on")).alias("b"))
+
+
+def _cut(docs: DataFrame, noise: int, reach: int, extend: bool = True) -> DataFrame:
+    runs = repeated_runs(docs, noise, reach, extend).groupBy("did", "tie").agg(F.collect_set(F.struct("a", "b")).alias("runs"))
+    found = docs.withColumn("did", _did()).withColumn("tie", text_key()).join(runs, ["did", "tie"], "left")
+    parts = F.split("text", "\n")
+    worded = F.filter(F.transform(parts, lambda x, i: F.when(_many(x) > 0, i)), lambda i: i.isNotNull())
+    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["a"], r["b"] - 1))))
+    found = found.select(*docs.columns, "runs", parts.alias("parts"), F.when(F.col("runs").isNotNull(), worded).alias("worded"), gone.alias("gone"))
+    numbers = F.transform("gone", lambda g: F.get("worded", g))
+    found = found.select(*docs.columns, "parts", numbers.alias("gone"), F.size("worded").alias("n_worded"), F.size("parts").alias("n"))
+    left = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), "gone")
+    kept = F.array_join(F.transform(left, lambda i: F.get("parts", i)), "\n")
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    lines = F.coalesce(F.when(F.size("parts") > 0, F.col("n")), F.lit(0))
+    return found.select(*docs.columns, kept.alias("kept"), lines.alias("n_lines"), F.when(F.col("n_worded") > 0, F.size("gone")).otherwise(0).alias("n_removed"))
+
+
+def line_dedup(docs: DataFrame, noise: int = NOISE, reach: int = REACH) -> DataFrame:
     """The documents with later repeated runs deleted; n_chars, if there, is counted again."""
     columns = docs.columns
     names = {c: f"c{i}" for i, c in enumerate(columns) if c not in ("doc_id", "text")}  # no clash with own columns
-    out = _cut(docs.withColumnsRenamed(names), lines)
+    out = _cut(docs.withColumnsRenamed(names), noise, reach)
     back = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text")} | {c: F.col(x).alias(c) for c, x in names.items()}
     if "n_chars" in names:
         back["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")
     return out.select(*(back[c] for c in columns))
 
 
-def line_report(docs: DataFrame, lines: int = LINES) -> DataFrame:
+def line_report(docs: DataFrame, noise: int = NOISE, reach: int = REACH, extend: bool = True) -> DataFrame:
     """doc_id, n_lines, n_removed and the digest of the text that is left (NULL: of the empty text)."""
-    out = _cut(docs.select("doc_id", "text"), lines)
+    out = _cut(docs.select("doc_id", "text"), noise, reach, extend)
     return out.select(
         "doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"),
         F.sha2(F.coalesce(F.col("kept"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),

@@ -79,6 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_NUMBER = "('0x' || substr(md5({x}), 1, 15))::BIGINT"
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 #: Only what DuckDB computes over whole tables in seconds; the others are held against brute force
@@ -97,16 +99,28 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(a.n, 0)::BIGINT AS n_remo
        sha256(coalesce(a.kept, '')) AS kept_sha256
 FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(x, ' ' ORDER BY i) FILTER (NOT gone) AS kept
                   FROM e GROUP BY doc_id) a USING (doc_id)""",
-    "op4_line_dedup": """
-WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents),
-p AS (SELECT doc_id, l, unnest(range(1, len(l) - 1)) AS i FROM d WHERE len(l) >= 3),
-s AS (SELECT doc_id, i, row_number() OVER (PARTITION BY l[i], l[i + 1], l[i + 2] ORDER BY doc_id, i) AS n FROM p),
-g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS i FROM s WHERE n > 1),
-e AS (SELECT d.doc_id, u.i, u.x, g.i IS NOT NULL AS gone
-      FROM d, LATERAL (SELECT unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i) u
-      LEFT JOIN g ON g.doc_id = d.doc_id AND g.i = u.i)
-SELECT d.doc_id, coalesce(len(d.l), 0)::BIGINT AS n_lines, coalesce(a.n, 0)::BIGINT AS n_removed,
-       sha256(coalesce(a.kept, '')) AS kept_sha256
-FROM d LEFT JOIN (SELECT doc_id, count(*) FILTER (gone) AS n, string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone) AS kept
-                  FROM e GROUP BY doc_id) a USING (doc_id)""",
+    "op4_line_dedup": rf"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+l0 AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS no, unnest(parts) AS line FROM d),
+l AS (SELECT doc_id, no, len(regexp_extract_all(line, '{_WORD}')) AS w, {_NUMBER.format(x='line')} AS h FROM l0),
+own AS (SELECT doc_id, list(no ORDER BY no) AS no, list(h ORDER BY no) AS h, list(w ORDER BY no) AS w FROM l WHERE w > 0 GROUP BY doc_id),
+e AS (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM own),
+k AS (SELECT *, list_filter(range(1, 9), lambda k: list_sum(w[i:i + k - 1]) >= 8)[1] AS k,
+      coalesce(list_filter(range(1, 13), lambda k: list_sum(w[i:i + k - 1]) >= 12)[1], 12) AS r FROM e),
+u AS (SELECT *, CASE WHEN k IS NOT NULL AND i + k - 1 <= len(h) THEN {_NUMBER.format(x="array_to_string(h[i:i + k - 1], ',')")} END AS u FROM k),
+m AS (SELECT a.doc_id, a.i, arg_min(b.i, (b.u, b.i)) AS pos FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + a.r - 1 AND b.u IS NOT NULL GROUP BY ALL),
+s AS (SELECT doc_id, pos, lag(pos, 1, 1) OVER w AS before, lead(pos) OVER w AS after FROM (SELECT DISTINCT doc_id, pos FROM m) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+p AS (SELECT s.doc_id, s.pos, u.u AS fp, u.k, list_reverse(u.h[s.before:s.pos - 1]) AS back, u.h[s.pos:greatest(coalesce(s.after, len(u.h)), s.pos + u.k - 1)] AS ahead
+      FROM s JOIN u ON u.doc_id = s.doc_id AND u.i = s.pos),
+f AS (SELECT *, first_value(doc_id) OVER w AS doc1, first_value(pos) OVER w AS pos1, first_value(back) OVER w AS back1, first_value(ahead) OVER w AS ahead1
+      FROM p WINDOW w AS (PARTITION BY fp ORDER BY doc_id, pos)),
+g AS (SELECT doc_id, pos, k, coalesce(list_filter(range(1, greatest(len(back), len(back1)) + 1), lambda j: back[j] IS DISTINCT FROM back1[j])[1] - 1, len(back)) AS b,
+      coalesce(list_filter(range(1, greatest(len(ahead), len(ahead1)) + 1), lambda j: ahead[j] IS DISTINCT FROM ahead1[j])[1] - 1, len(ahead)) AS a
+      FROM f WHERE doc_id <> doc1 OR pos <> pos1),
+x AS (SELECT DISTINCT doc_id, unnest(range(pos - b, pos + a)) AS i FROM g WHERE a >= k),
+gone AS (SELECT x.doc_id, own.no[x.i] AS no FROM x JOIN own USING (doc_id)),
+t AS (SELECT l0.doc_id, count(*) AS n, count(gone.no) AS cut, string_agg(line, chr(10) ORDER BY l0.no) FILTER (gone.no IS NULL) AS kept
+      FROM l0 LEFT JOIN gone ON gone.doc_id = l0.doc_id AND gone.no = l0.no GROUP BY l0.doc_id)
+SELECT doc_id, coalesce(t.n, 0)::BIGINT AS n_lines, coalesce(t.cut, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
+FROM documents LEFT JOIN t USING (doc_id)""",
 }

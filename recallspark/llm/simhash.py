@@ -43,23 +43,29 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of a text; 0 if it has no word."""
+def shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of a text, repeats included, in bounded parts."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.append(0, ends[:-1] + 1)
     k = min(shingle, len(words))
     xx = xxhash.xxh64_intdigest
-    votes = np.zeros(64, np.int64)
     n = len(words) - k + 1
     for i in range(0, n, 1 << 16):
         a, b = starts[i : min(n, i + (1 << 16))].tolist(), ends[i + k - 1 : min(n, i + (1 << 16)) + k - 1].tolist()
-        h = np.array([xx(joined[p:q], 42) for p, q in zip(a, b)], np.uint64)
+        yield np.array([xx(joined[p:q], 42) for p, q in zip(a, b)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """64-bit SimHash of a text; 0 if it has no word."""
+    votes, n = np.zeros(64, np.int64), 0
+    for h in shingle_hashes(text, shingle):
+        n += len(h)
         votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << i for i in np.flatnonzero(2 * votes > n).tolist()))
+    return int(sum(1 << i for i in np.flatnonzero(2 * votes > n).tolist())) if n else 0
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

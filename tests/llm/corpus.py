@@ -57,3 +57,49 @@ def covered(docs: list[tuple[int, list]], width: int, earlier: bool) -> dict[int
         for did, i in where[1:] if earlier else where if len(where) > 1 else ():
             out[did].update(range(i, i + width))
     return out
+
+
+def line_hash(x) -> int:
+    return int(hashlib.md5(x.encode()).hexdigest()[:15], 16)
+
+
+def lines_deleted(docs: list[tuple], noise: int, reach: int, extend: bool = True) -> dict:
+    """Numbers of the lines that winnowing deletes from (key, text) in order, by plain loops."""
+    own, places = {}, {}
+    for key, text in docs:
+        found = [(n, len(WORD.findall(x.encode())), line_hash(x)) for n, x in enumerate(text.split("\n"))]
+        own[key] = found = [x for x in found if x[1]]
+
+        def count(i, words):
+            total = 0
+            for k in range(i, len(found)):
+                total += found[k][1]
+                if total >= words:
+                    return k - i + 1
+            return None
+
+        size = [count(i, noise) for i in range(len(found))]
+        unit = [k and line_hash(",".join(str(x[2]) for x in found[i : i + k])) for i, k in enumerate(size)]
+        at = set()
+        for i in range(len(found)):
+            some = [(unit[j], j) for j in range(i, min(len(found), i + (count(i, reach) or reach))) if unit[j] is not None]
+            if some:
+                at.add(min(some)[1])
+        at = sorted(at)
+        for n, p in enumerate(at):
+            stop = max(at[n + 1] + 1 if n + 1 < len(at) else len(found), p + size[p])
+            places.setdefault(unit[p], []).append((key, p, size[p], at[n - 1] if n else 0, stop))
+    gone = {key: set() for key, _ in docs}
+    for same in places.values():
+        key1, p1, _, low1, high1 = same[0]
+        for key, p, k, low, high in same[1:]:
+            a, b = own[key], own[key1]
+            left = 0
+            while p - left - 1 >= low and p1 - left - 1 >= low1 and a[p - left - 1][2] == b[p1 - left - 1][2]:
+                left += 1
+            right = 0
+            while p + right < high and p1 + right < high1 and a[p + right][2] == b[p1 + right][2]:
+                right += 1
+            if right >= k:
+                gone[key] |= {a[i][0] for i in (range(p - left, p + right) if extend else range(p, p + k))}
+    return gone

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from recallspark.llm import anchors, line_dedup, substring_dedup, suffix_dedup
-from tests.llm.corpus import WORD, covered, frame, rows, sha
+from tests.llm.corpus import WORD, covered, frame, lines_deleted, rows, sha
 
 
 @pytest.mark.parametrize("width", [1, 4, 20])
@@ -36,18 +38,36 @@ def test_finer_levels_are_exact(spark, monkeypatch):
     test_suffix_dedup(spark, 40)
 
 
-@pytest.mark.parametrize("lines", [1, 2, 3])
-def test_line_dedup(spark, lines):
-    docs = [(r[0], r[1].split("\n")) for r in rows() if r[1] is not None]
-    gone = covered(docs, lines, True)
-    kept = {did: "\n".join(x for i, x in enumerate(w) if i not in gone[did]) for did, w in docs}
-    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in line_dedup.line_report(frame(spark), lines).collect()}
-    want = {did: (len(w), len(gone[did]), sha(kept[did].encode())) for did, w in docs}
+@pytest.mark.parametrize(("noise", "reach", "extend"), [(8, 12, True), (8, 12, False), (1, 1, True), (3, 20, True)])
+def test_line_dedup(spark, noise, reach, extend):
+    docs = [(r[0], r[1]) for r in sorted(rows()) if r[1] is not None]
+    gone = lines_deleted(docs, noise, reach, extend)
+    kept = {did: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[did]) for did, t in docs}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in line_dedup.line_report(frame(spark), noise, reach, extend).collect()}
+    want = {did: (len(t.split("\n")), len(gone[did]), sha(kept[did].encode())) for did, t in docs}
     assert got == want | {r[0]: (0, 0, sha(b"")) for r in rows() if r[1] is None}
-    out = line_dedup.line_dedup(frame(spark), lines)
-    assert out.columns == frame(spark).columns
-    for r in out.collect():
-        assert r["text"] == kept.get(r["doc_id"]) and r["n_chars"] == (None if r["text"] is None else len(r["text"])) and r["gone"] == "clash"
+    assert any(gone.values())
+    if extend:
+        out = line_dedup.line_dedup(frame(spark), noise, reach)
+        assert out.columns == frame(spark).columns
+        for r in out.collect():
+            assert r["text"] == kept.get(r["doc_id"]) and r["n_chars"] == (None if r["text"] is None else len(r["text"])) and r["gone"] == "clash"
+
+
+def test_repeated_runs_of_lines_are_found_whole(spark):
+    """Any later run of noise + reach words goes, short last lines and all; without extension they stay."""
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = [[line(25)], [line(9), line(12), line(2)], [line(3) for _ in range(9)] + [line(1)], [line(4), "", line(17), line(3)]]
+    data = []
+    for k in range(40):
+        own = [line(rng.randint(1, 12)) for _ in range(4)]
+        own[2:2] = shared[k % 4]
+        data.append((k, "\n".join(own), *(None,) * 6))
+    left = {extend: {r["doc_id"]: r["n_removed"] for r in line_dedup.line_report(frame(spark, data), extend=extend).collect()} for extend in (True, False)}
+    full = {k: 0 if k < 4 else sum(x != "" for x in shared[k % 4]) for k in range(40)}
+    assert left[True] == full
+    assert all(left[False][k] <= full[k] for k in full) and sum(left[False].values()) < sum(full.values())
 
 
 def test_cut_documents(spark):

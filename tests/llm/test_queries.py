@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline
 from recallspark.llm import queries
-from recallspark.llm.simhash import classes
+from recallspark.llm.similar import groups
 from recallspark.sources.staging import staged
 from tests.conftest import same_rows
 
@@ -32,7 +32,7 @@ def test_pipeline_stage_by_stage(spark):
         counts.append(docs.count())
         assert docs.where("length(text) <> n_chars").isEmpty()
         if name == "simhash_near_dedup":
-            assert classes(docs).select("component").distinct().count() == counts[-1]
+            assert groups(docs).select("component").distinct().count() == counts[-1]
     assert counts[0] >= counts[1] == counts[2] > counts[3] == counts[4]
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert packed.select("doc_id").distinct().count() == counts[-1]

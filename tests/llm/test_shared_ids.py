@@ -6,10 +6,11 @@ from collections import Counter
 
 import xxhash
 
-from recallspark.llm import line_dedup, simhash, substring_dedup, suffix_dedup
+from recallspark.llm import line_dedup, similar, simhash, substring_dedup, suffix_dedup
 from recallspark.llm.text import NO_ID
-from tests.llm.corpus import WORD, covered, frame, rows, sha
+from tests.llm.corpus import WORD, covered, frame, lines_deleted, rows, sha
 from tests.llm.test_near_dedup import plain_classes, plain_fingerprint
+from tests.llm.test_similar import plain_groups
 
 
 def shared() -> list[tuple]:
@@ -52,7 +53,7 @@ def test_suffix_dedup(spark):
 
 def test_line_dedup(spark):
     docs = documents()
-    gone = covered([(i, x.split("\n")) for i, (_, x) in enumerate(docs)], 3, True)
+    gone = lines_deleted([(i, x) for i, (_, x) in enumerate(docs)], 8, 12)
     kept = {(None if k[0] == NO_ID else k[0], x): ("\n".join(y for j, y in enumerate(x.split("\n")) if j not in gone[i]),) for i, (k, x) in enumerate(docs)}
     assert found(line_dedup.line_dedup(frame(spark, [r for r in shared() if r[1] is not None])), "text") == each(kept)
 
@@ -68,3 +69,10 @@ def test_unlike_rows_without_an_id_all_stay(spark):
     text = {x for _, x in documents() if len(x.split()) > 100}
     data = [(None, x, None, None, None, None, None, None) for x in sorted(text)]
     assert simhash.one_of_each(frame(spark, data)).count() == len(set(plain_classes({i: plain_fingerprint(r[1]) for i, r in enumerate(data)}, 4).values())) > 5
+
+
+def test_similar_one_of_each(spark):
+    docs = documents()
+    classes = plain_groups([x for _, x in docs])
+    want = {(None if docs[i][0][0] == NO_ID else docs[i][0][0], docs[i][1]) for i in set(classes)}
+    assert found(similar.one_of_each(frame(spark, [r for r in shared() if r[1] is not None])), "text") == Counter(want)
