@@ -9,31 +9,39 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from recallspark.llm import language_id, line_dedup, packing, simhash, suffix_dedup
+from recallspark.llm import language_id, line_dedup, packing, similar, suffix_dedup
 from recallspark.llm.tables import table
 from recallspark.sources.shipping import ship
 from recallspark.sources.staging import staged
 
 
+#: Bytes of a passage that repeats: fewer than those of any passage of over 50 words in the given corpora.
+PASSAGE_BYTES = 240
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labelled ones are in."""
+    """Documents in one of the languages that the labelled ones are in. NULL texts and texts without a
+    letter go; repeated rows and NULL doc_ids are judged like any other; an empty table stays empty."""
     return language_id.keep_identified(docs, language_id.train(docs, language_id.usable_rows()))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later repeats of runs of lines go from the texts; rows and NULL texts stay."""
     return line_dedup.line_dedup(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return similar.one_of_each(docs)
 
 
 def cut_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.cut_documents(docs)
+    """Passages of `PASSAGE_BYTES` bytes or more that repeat go from the texts; rows stay, NULL texts too."""
+    return suffix_dedup.cut_documents(docs, PASSAGE_BYTES)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids; a NULL text is an empty one, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
