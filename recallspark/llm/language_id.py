@@ -20,14 +20,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.llm.tables import single
+
 #: Bounds of the training sample, for each language: characters taken, documents they come from, and
 #: documents (others, if there are) that its own rate is measured on.
 TRAIN_CHARS, TRAIN_DOCS, RATE_DOCS = 16_000, 64, 64
 #: Characters of one training document at most, so that several documents make the sample.
 DOC_CHARS = 2_000
+#: Languages learned (the first by name), and code points told apart (the commonest in the training
+#: texts; all others count as one symbol that no language has).
 LANGUAGES, SYMBOLS = 256, 255
 BLOCK_CHARS, LANES = 1024, 4096
 #: A document whose best figure is above this is in none of the languages.
@@ -175,11 +179,10 @@ def labelled(docs: DataFrame, usable) -> list[tuple[str, list[str], list[str]]]:
     """A bounded sample of labelled rows: for each language, documents in the order of a hash."""
     rows = docs.where(usable).where("doc_id is not null and lang is not null and length(text) >= 20")
     langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(LANGUAGES).collect()]
-    ids = None
-    for lang in langs:
-        one = rows.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS + RATE_DOCS)
-        ids = one if ids is None else ids.unionByName(one)
-    some = rows.join(F.broadcast(ids), "doc_id", "left_semi") if langs else rows
+    # the first of each language, cut before the exchange; their ids are a bounded broadcast
+    place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(place)).where(F.col("n") <= TRAIN_DOCS + RATE_DOCS).select("doc_id").distinct().limit(LANGUAGES * (TRAIN_DOCS + RATE_DOCS))
+    some = single(rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi"), "lang")
     some = some.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DOC_CHARS).alias("text")).collect()
     out = []
     for lang in langs:

@@ -32,3 +32,9 @@ def sampled(rows: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     sorted, and the chosen ones (at most `most` numbers, so a bounded broadcast) select the rows."""
     chosen = ids.where("doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     return rows.join(F.broadcast(chosen), "doc_id", "left_semi")
+
+
+def single(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row (doc_id, keys, text) an id: the text of the least hash, however often the id repeats."""
+    least = F.min(F.struct(F.xxhash64("text").alias("tie"), "text")).alias("m")
+    return rows.groupBy("doc_id", *keys).agg(least).select("doc_id", *keys, "m.text")

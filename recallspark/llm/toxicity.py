@@ -2,13 +2,14 @@
 
 Features are the words of a text and their prefixes of 4 to 6 characters, present or not. Of a
 bounded labelled sample, features that are much likelier in toxic texts are kept, and a logistic
-regression is fitted on them. For every labelled text that mentions a group, copies with the
-identity term swapped for others of its kind are made, and the squared change of the score's logit
-between a text and its copies is added to the loss. Neutral mentions of a group therefore hardly
-change a score.
+regression is fitted on them. Its counterfactuals are labelled texts with an identity term, as they
+are and with `MENTIONS` copies of labelled texts into which a term is put (by chance, as groups are named
+unevenly in any sample): of each, further copies swap the term for others of its kind, and the squared
+change of the score's logit between a text and its copies is added to the loss. Neutral mentions of a
+group therefore hardly change a score; `swing` measures by how much they do.
 
 Bounds: `SAMPLE` labelled documents of each class in the order of a hash, `FEATURES` features,
-`SWAPS` copies of a text.
+`MENTIONS` texts with a term put in, `SWAPS` copies of a text.
 """
 
 from __future__ import annotations
@@ -22,17 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.tables import sampled
+from recallspark.llm.tables import sampled, single
 from recallspark.sources.staging import staged
 
-SAMPLE, FEATURES, SWAPS = 3000, 1024, 4
+SAMPLE, FEATURES, MENTIONS, SWAPS = 3000, 1024, 1500, 4
 MIN_DOCS, MIN_RATIO = 5, 3.0
-ROUNDS, RATE, DECAY, PENALTY = 1000, 1.0, 3e-5, 5.0
+#: Rounds at most; they end when no weight moves by more than `STILL`.
+ROUNDS, STILL = 3000, 1e-6
+RATE, DECAY, PENALTY = 1.0, 3e-5, 1.0
 THRESHOLD = 0.7
 #: Words whose weights are kept at hand in a task.
 CACHE = 300_000
 
-#: Identity terms by kind; terms of one kind are swapped for each other.
+#: Identity terms by kind and language; terms of one kind and language are swapped for each other.
 IDENTITY = {
     "religion": ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     "gender": ("woman", "man", "women", "men", "transgender"),
@@ -40,6 +43,15 @@ IDENTITY = {
     "origin": ("african", "asian", "european", "american", "mexican", "arab"),
     "race": ("black", "white", "latino"),
     "age": ("young", "old", "elderly"),
+    "religion de": ("christ", "muslim", "jude", "hindu", "buddhist", "atheist"),
+    "gender de": ("frau", "mann", "frauen", "männer"),
+    "origin de": ("afrikaner", "asiate", "europäer", "amerikaner", "araber", "türke"),
+    "religion fr": ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"),
+    "gender fr": ("femme", "homme", "femmes", "hommes"),
+    "origin fr": ("africain", "asiatique", "européen", "américain", "arabe", "maghrébin"),
+    "religion es": ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"),
+    "gender es": ("mujer", "hombre", "mujeres", "hombres"),
+    "origin es": ("africano", "asiático", "europeo", "americano", "árabe", "mexicano"),
 }
 
 WORD = re.compile(r"\w+")
@@ -82,36 +94,80 @@ class Model:
         return total + sum(self.weights[f] for f in sorted(seen))
 
 
+def mentions(bags: list[set[str]], identity: dict[str, tuple[str, ...]], most: int = MENTIONS) -> list[tuple[int, set[str]]]:
+    """(number of the text, its features with an identity term put in) for at most `most` texts."""
+    rng = np.random.default_rng(5)
+    terms = [t for kind in identity.values() for t in kind]
+    some = sorted(rng.permutation(len(bags))[:most].tolist())
+    return [(k, bags[k].union(features_of(terms[i]))) for k, i in zip(some, rng.integers(0, len(terms), len(some)).tolist())]
+
+
+class Rows:
+    """A sparse matrix by its entries."""
+
+    def __init__(self, n: int, width: int, row: list[int], col: list[int], value: list[float]):
+        self.n, self.width = n, width
+        self.row, self.col, self.value = np.array(row, np.int64), np.array(col, np.int64), np.array(value, float)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.n)
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * g[self.row], self.width)
+
+
+def _rows(bags: list[set[str]], at: dict[str, int], less: list[set[str]] | None = None) -> Rows:
+    """A row a bag: 1 for each feature in it, -1 for those of `less` (common features cancel)."""
+    row, col, value = [], [], []
+    for k, bag in enumerate(bags):
+        out = less[k] if less else set()
+        for some, v in ((bag - out, 1.0), (out - bag, -1.0)):
+            found = [at[f] for f in sorted(some) if f in at]
+            row += [k] * len(found)
+            col += found
+            value += [v] * len(found)
+    return Rows(len(bags), len(at), row, col, value)
+
+
 def fit(bags: list[set[str]], toxic: list[int], names: list[str], identity: dict[str, tuple[str, ...]] = IDENTITY, penalty: float = PENALTY) -> Model:
     """Logistic regression on the features `names`, with the penalty on swapped copies."""
+    if not 0 < sum(toxic) < len(toxic):
+        return Model({}, 4.0 if any(toxic) else -4.0)
+    at = {f: k for k, f in enumerate(names)}
+    named = mentions(bags, identity)
+    bags, toxic = bags + [bag for _, bag in named], toxic + [toxic[k] for k, _ in named]
     y = np.array(toxic, float)
     yes, no = int(y.sum()), int(len(y) - y.sum())
-    if not yes or not no:
-        return Model({}, 4.0 if yes else -4.0)
-    at = {f: k for k, f in enumerate(names)}
-
-    def matrix(rows: list[set[str]]) -> np.ndarray:
-        out = np.zeros((len(rows), len(names)), np.float32)
-        for k, row in enumerate(rows):
-            out[k, [at[f] for f in row if f in at]] = 1
-        return out
-
-    x = matrix(bags)
-    pairs = [(k, s) for k, bag in enumerate(bags) for s in swaps(bag, identity)]
-    change = x[[k for k, _ in pairs]] - matrix([s for _, s in pairs]) if pairs else np.zeros((1, len(names)), np.float32)
-    change = change.T @ change / max(1, len(pairs))
-    w, b = np.zeros(len(names), np.float32), 0.0
-    speed, slow, weight = np.zeros_like(w), 0.0, np.where(y == 1, 0.5 / yes, 0.5 / no).astype(np.float32)
-    step = RATE / (1 + penalty * float(np.abs(change).sum(axis=0).max(initial=0.0)))
+    x = _rows(bags, at)
+    pairs = [(bag, copy) for bag in bags for copy in swaps(bag, identity)]
+    change = _rows([a for a, _ in pairs], at, [b for _, b in pairs])
+    each = 1 / max(1, len(pairs))
+    w, b = np.zeros(len(names)), 0.0
+    speed, slow, weight = np.zeros_like(w), 0.0, np.where(y == 1, 0.5 / yes, 0.5 / no)
+    size = np.bincount(change.row, np.abs(change.value), change.n)
+    steep = np.bincount(change.col, np.abs(change.value) * size[change.row], change.width).max(initial=0.0) * each
+    step = RATE / (1 + penalty * steep)
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(x.times(w) + b, -30, 30)))
         g = (p - y) * weight
-        speed = 0.9 * speed + x.T @ g.astype(np.float32) + DECAY * w + 2 * penalty * (change @ w)
+        speed = 0.9 * speed + x.back(g) + DECAY * w + 2 * penalty * each * change.back(change.times(w))
         slow = 0.9 * slow + float(g.sum())
         w, b = w - step * speed, b - RATE * slow
+        if max(step * np.abs(speed).max(initial=0.0), RATE * abs(slow)) < STILL:
+            break
     return Model({f: float(v) for f, v in zip(names, w) if abs(v) > 1e-3}, float(b))
 
 
+def swing(model: Model, texts: list[str], identity: dict[str, tuple[str, ...]] = IDENTITY) -> float:
+    """Mean spread of the logit of a text over the terms of a kind put behind it."""
+    found, cache = [], {}
+    for k, text in enumerate(texts):
+        terms = list(identity.values())[k % len(identity)]
+        logits = [model.logit(words_of(f"{text} {t}"), cache) for t in terms]
+        found.append(max(logits) - min(logits))
+    return float(np.mean(found)) if found else 0.0
+
+
 def chosen(bags: DataFrame, identity: dict[str, tuple[str, ...]] = IDENTITY) -> list[str]:
     """Features of (toxic, features) that are much likelier in toxic texts, at most FEATURES, and those
     of the identity terms, so that the penalty has what to act on."""
@@ -123,7 +179,7 @@ def chosen(bags: DataFrame, identity: dict[str, tuple[str, ...]] = IDENTITY) ->
     return names + sorted({f for terms in identity.values() for t in terms for f in features_of(t)} - set(names))
 
 
-def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
+def train(docs: DataFrame, labels: DataFrame, usable, penalty: float = PENALTY) -> Model:
     """Model of labelled documents (toxic 1 or 0) for which `usable` holds."""
     marks = labels.where("toxic is not null and doc_id is not null").where(usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = [sampled(marks, marks.where(F.col("toxic") == k), SAMPLE) for k in (0, 1)]
@@ -135,6 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.string()))], names=["doc_id", "toxic", "features"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
+    rows = single(rows, "toxic").select("doc_id", "text", "toxic")
     table = staged(rows.mapInArrow(bags, "doc_id long, toxic int, features array<string>"), "bags")
     names = chosen(table)
     known = set(names)
@@ -146,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, usable) -> Model:
 
     found = table.mapInArrow(kept, "doc_id long, toxic int, features array<string>").collect()
     found.sort(key=lambda r: (r["doc_id"], r["features"]))
-    return fit([set(r["features"]) for r in found], [r["toxic"] for r in found], names)
+    return fit([set(r["features"]) for r in found], [r["toxic"] for r in found], names, penalty=penalty)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

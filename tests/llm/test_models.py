@@ -84,6 +84,28 @@ def test_swapped_terms_hardly_move_a_score():
     assert gap[toxicity.PENALTY] < 0.2 * gap[0.0]
 
 
+def plain_score(model, text: str | None) -> float:
+    words = set(re.findall(r"\w+", (text or "").lower()))
+    seen = words | {f"^{w[:k]}" for w in words for k in (4, 5, 6) if len(w) >= k}
+    return 1 / (1 + np.exp(-(model.bias + sum(model.weights.get(f, 0.0) for f in sorted(seen)))))
+
+
+def test_penalty_keeps_mentions_neutral(spark):
+    """Trained on the given labels: naming one group or another in a clean held-out text hardly moves the
+    score, without the penalty it does; scores equal a plain sum of weights, also on very long texts."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    usable, found = ~language_id.held_out(3, 1), {}
+    for penalty in (0.0, toxicity.PENALTY):
+        found[penalty] = toxicity.train(docs, labels, usable, penalty)
+    clean = [r["text"] for r in docs.join(labels.where("toxic = 0"), "doc_id").orderBy("doc_id").limit(150).collect()]
+    assert toxicity.swing(found[toxicity.PENALTY], clean) < 0.05 < 1 < toxicity.swing(found[0.0], clean)
+    model = found[toxicity.PENALTY]
+    texts = [*clean[:50], None, "", " ".join(clean) * 5, clean[0], clean[0]]
+    got = toxicity.score(frame(spark, [(i, x) + (None,) * 6 for i, x in enumerate(texts)]), model).orderBy("doc_id").collect()
+    assert np.allclose([r["score"] for r in got], [plain_score(model, x) for x in texts])
+    assert got[-1]["score"] == got[-2]["score"]
+
+
 def test_toxicity_edges(spark):
     docs, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     model = toxicity.train(docs, labels, language_id.held_out(3, 1))
