@@ -1,19 +1,19 @@
 """Hierarchical multi-length packing of tokenised documents.
 
-Sequences come in context-size tiers, all powers of two up to `MOST`. A document longer than the
-longest tier gives whole long windows first; what is left is routed to the smallest tier that holds
-it. Each tier packs its own documents, longest first; the gap that stays in a window is filled from
-the shorter tiers, longest fitting piece first, and at last by cutting a shorter document where the
-gap ends. Windows of a tier are therefore full, which leaves no padding. What stays at the end of a
-task (less than one window a tier) is cut to falling powers of two.
-
-Windows of a tier are dealt into step groups of `STEP` tokens each, so that every group costs the
-same whatever its tier; `step_group` numbers them inside a task.
-
-Packing is done inside the tasks that tokenise: no document waits for another task and nothing is
-shuffled. Tokens of a word (a part of the text between spaces) are kept in a bounded cache, as
-white space separates words for this tokenizer; texts that hold a special token's string are
-encoded whole.
+Documents are routed to context-size tiers: a document longer than the longest tier gives whole long
+windows first, and what is left goes to the smallest tier that holds it. Each tier packs its own
+documents, longest first; the gap that stays in a window is filled from its own and the shorter tiers,
+longest fitting piece first, and at last by cutting a shorter document where the gap ends. Windows are
+therefore full, which leaves no padding. What stays at the end of a task (less than one window a tier)
+is cut to falling powers of two.
+
+Packing is done inside the tasks that tokenise: no document waits for another task and no tokens are
+shuffled. Then windows of one size are dealt into step groups of `STEP` tokens over all tasks: every
+group of a size costs the same, but for the last one. Only the numbers of windows by task and size are
+gathered for that (tasks times sizes rows).
+
+Tokens of a word (a part of the text between spaces) are kept in a bounded cache, as white space
+separates words for this tokenizer; texts that hold a special token's string are encoded whole.
 """
 
 from __future__ import annotations
@@ -27,9 +27,14 @@ from unicodedata import is_normalized
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from recallspark.sources.staging import staged
 
 MOST, TIERS, STEP = 4096, (4096, 2048, 1024, 512), 32_768
+#: Windows that wait in a tier before it packs, so that there is a choice of lengths.
+HELD = 8
 END = 2
 CACHE = 1_000_000
 #: Put between words that are encoded together; a word of its own.
@@ -106,71 +111,84 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+class Tier:
+    """Pieces that wait in one tier, by length."""
+
+    def __init__(self):
+        self.lengths: list[tuple[int, int]] = []  # (length, number of the piece), in order
+        self.tokens = 0
+
+    def put(self, length: int, number: int) -> None:
+        insort(self.lengths, (length, number))
+        self.tokens += length
+
+    def take(self, room: int) -> tuple[int, int] | None:
+        """The longest piece of at most `room` tokens."""
+        at = bisect_right(self.lengths, (room, 1 << 62)) - 1
+        return self.pop(at) if at >= 0 else None
+
+    def pop(self, at: int) -> tuple[int, int]:
+        found = self.lengths.pop(at)
+        self.tokens -= found[0]
+        return found
+
+
 class Tiers:
-    """Pieces of documents that wait for a window, by length, and the windows they fill."""
+    """The tiers of a task and the windows they fill."""
 
     def __init__(self, first_id: int):
         self.next = first_id
-        self.waiting: list[tuple[int, int]] = []  # (length, number of the piece), in order
-        self.pieces: dict[int, tuple] = {}  # number: (did, document's ids, start, length)
+        self.tiers = {t: Tier() for t in TIERS}
+        self.pieces: dict[int, tuple] = {}  # number: (did, document's ids, start)
         self.count = 0
-        self.tokens = 0
-        self.steps: dict[int, tuple[int, int]] = {}
-        self.groups = 0
+        self.made: dict[int, int] = {}  # windows by size
 
     def add(self, did: int | None, ids: np.ndarray) -> Iterator[tuple]:
-        """Whole long windows of a document at once; the rest waits."""
-        start = 0
-        while len(ids) - start >= MOST:
+        """Whole long windows of a document at once; the rest is routed to its tier."""
+        whole = len(ids) // MOST * MOST
+        for start in range(0, whole, MOST):
             yield from self.window(MOST, [(did, ids, start, MOST)])
-            start += MOST
-        if start < len(ids):
-            self.wait(did, ids, start, len(ids) - start)
+        if whole < len(ids):
+            self.route(did, ids, whole, len(ids) - whole)
 
-    def wait(self, did, ids, start: int, length: int) -> None:
-        insort(self.waiting, (length, self.count))
-        self.pieces[self.count] = (did, ids, start, length)
+    def route(self, did, ids, start: int, length: int) -> None:
+        tier = min(t for t in TIERS if t >= length)
+        self.tiers[tier].put(length, self.count)
+        self.pieces[self.count] = (did, ids, start)
         self.count += 1
-        self.tokens += length
-
-    def take(self, at: int) -> tuple:
-        length, number = self.waiting.pop(at)
-        self.tokens -= length
-        return self.pieces.pop(number)
 
-    def fill(self, size: int) -> list[tuple]:
-        """Pieces of exactly `size` tokens in all: the longest that fit, the last one cut."""
+    def fill(self, size: int, tiers: list[int]) -> list[tuple]:
+        """Pieces of exactly `size` tokens in all from `tiers` (own first), the last one cut if need be."""
         out, room = [], size
         while room:
-            at = bisect_right(self.waiting, (room, 1 << 62)) - 1
-            if at >= 0:
-                out.append(self.take(at))
-            else:
-                did, ids, start, length = self.take(0)
+            found = next((x for t in tiers if (x := self.tiers[t].take(room))), None)
+            if found is None:  # nothing fits: the shortest piece is cut, its rest routed again
+                length, number = self.tiers[next(t for t in reversed(tiers) if self.tiers[t].lengths)].pop(0)
+                did, ids, start = self.pieces.pop(number)
+                self.route(did, ids, start + room, length - room)
                 out.append((did, ids, start, room))
-                self.wait(did, ids, start + room, length - room)
-            room -= out[-1][3]
+                return out
+            length, number = found
+            out.append((*self.pieces.pop(number), length))
+            room -= length
         return out
 
     def pack(self, flush: bool) -> Iterator[tuple]:
-        """Windows while enough waits for the tier of the longest waiting piece."""
-        keep = 0 if flush else 16 * MOST
-        while self.waiting and self.tokens > keep:
-            longest = self.waiting[-1][0]
-            tier = next((t for t in reversed(TIERS) if t >= longest), MOST)
-            while tier > self.tokens:
-                tier //= 2
-            yield from self.window(tier, self.fill(tier))
+        """Windows of each tier while more than `HELD` of them wait there; at the end, all."""
+        for tier in TIERS:
+            own = self.tiers[tier]
+            while own.tokens > (0 if flush else HELD * tier):
+                tiers = [t for t in TIERS if t <= tier]
+                size, have = tier, sum(self.tiers[t].tokens for t in tiers)
+                while size > have:
+                    size //= 2
+                yield from self.window(size, self.fill(size, tiers))
 
     def window(self, size: int, pieces: list[tuple]) -> Iterator[tuple]:
-        group, held = self.steps.get(size, (-1, STEP))
-        if held + size > STEP:
-            group, held = self.groups, 0
-            self.groups += 1
-        self.steps[size] = group, held + size
-        offset = 0
+        number, offset = self.made.get(size, 0), 0
+        self.made[size] = number + 1
         for did, ids, start, length in pieces:
-            yield did, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), self.next, offset, size, group
+            yield did, start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), self.next, offset, size, number
             offset += length
         self.next += 1
 
@@ -184,7 +202,8 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     A NULL text is an empty one (the end token only); NULL doc_ids and repeated rows are packed like
     any other; an empty table gives an empty result; other columns are ignored. `sequence_id` holds
-    the number of the task in its upper bits.
+    the number of the task in its upper bits, `step_group` counts the groups of the windows of one size
+    (`tier`).
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,4 +223,11 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
                 yield from rows(tiers.pack(False))
         yield from rows(tiers.pack(True))
 
-    return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(task, RESULT)
+    packed = staged(docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(task, RESULT), "packed")
+    number, group = F.shiftright("sequence_id", 40).alias("task"), F.col("step_group")
+    made = packed.groupBy(number, "tier").agg((F.max(group) + 1).alias("n"))
+    before = Window.partitionBy("tier").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    base = made.select("task", "tier", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    each = packed.withColumn("task", F.shiftright("sequence_id", 40)).join(base, ["task", "tier"])
+    step = F.floor((F.col("base") + group) * F.col("tier") / F.lit(STEP))
+    return each.withColumn("step_group", step).select(*_NAMES)

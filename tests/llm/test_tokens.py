@@ -49,6 +49,25 @@ def test_packing(spark):
     assert full <= 1.01 * sum(map(len, ids.values()))
 
 
+def test_tiers_and_step_groups(spark):
+    """A window of a tier holds whole documents of that tier or shorter ones (longer only as cut parts), and
+    all step groups of a size but the last cost the same, over all tasks."""
+    found = packing.pack(table(spark, data() * 12), WORDS).collect()
+    groups, windows = defaultdict(int), defaultdict(list)
+    for r in found:
+        groups[r["tier"], r["step_group"]] += r["length"]
+        windows[r["sequence_id"]].append(r)
+    assert len({r["sequence_id"] >> 40 for r in found}) > 1
+    for size in {t for t, _ in groups}:
+        mine = [n for (t, _), n in sorted(groups.items()) if t == size]
+        assert all(n == packing.STEP for n in mine[:-1]) and mine[-1] <= packing.STEP
+        assert sorted(g for t, g in groups if t == size) == list(range(len(mine)))
+    for rows_ in windows.values():
+        size = rows_[0]["tier"]
+        assert sum(r["length"] for r in rows_) == size and all(r["tier"] == size for r in rows_)
+        assert all(r["length"] <= size for r in rows_)
+
+
 def test_packing_edges(spark):
     assert packing.pack(table(spark, []), WORDS).count() == 0
     out = packing.pack(table(spark, [(None, None), (5, ""), (5, "")]), WORDS).collect()
