@@ -2,7 +2,9 @@
 
 The encoding of a text is the sequence of vocabulary pieces with the largest total score (a Viterbi
 path); characters without a piece are encoded as their UTF-8 bytes. Spaces become U+2581 and one is
-put in front, as the model's normaliser does; decoding undoes both.
+put in front, as the model's normaliser does; decoding undoes both. A merge model's vocabulary has ranks
+and no probabilities; the score of the piece at rank r is the logarithm of 1 / (r + OFFSET), the usual law
+of frequencies by rank (nothing is trained). The library merges pairs instead, so its ids may differ.
 
 No piece has U+2581 behind another character, so a text falls into units (a space and what follows
 it) whose best paths are independent; a bounded cache keeps those of common units.
@@ -24,6 +26,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,9 @@ from recallspark.sources.staging import staged
 SPACE = "\u2581"
 OWN_SPACE = "\uffff"  # stands for a U+2581 of the text itself, which is encoded as bytes
 CHUNK, BLOCK, STATES = 16_384, 64, 16
-UNIT, FLOOR, NEVER = 1 << 12, -200_000, -(1 << 61)
-CACHE, CACHED_CHARS = 400_000, 48
+#: Score of one bit, offset of the ranks, score of a character without a piece in bits.
+UNIT, OFFSET, UNKNOWN, NEVER = 1 << 16, 301, 64, -(1 << 61)
+CACHE, CACHED_CHARS = 200_000, 48
 #: A space after something else: no piece goes across its left side.
 EDGE = re.compile(f"(?<!{SPACE}){SPACE}")
 
@@ -60,13 +64,12 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[piece] = i
                 # a little for the piece itself, so that equal totals are rare
-                self.value[piece] = max(FLOOR, int(sp.get_score(i))) * UNIT + i % 61
+                self.value[piece] = i % 61 - int(log2(max(0.0, -sp.get_score(i)) + OFFSET) * UNIT)
         # how a piece looks in a text, for decoding
         self.raw = [bytes([int(x[3:5], 16)]) if sp.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(self.text)]
-        self.unknown = (FLOOR - 10) * UNIT
+        self.unknown = -UNKNOWN * UNIT
         self.longest = min(STATES, max(map(len, self.ids)))
-        self.begins: dict[str, int | None] = {x[:k]: None for x in self.value for k in range(1, len(x))} | self.value
-        # the same as a tree of characters, for whole units: (value or None, next characters)
+        # the vocabulary as a tree of characters: (value or None, next characters)
         leaf: dict = {}
         self.tree: dict[str, tuple] = {}
         for piece, value in self.value.items():
@@ -86,35 +89,14 @@ class Pieces:
     def paths(self, text: str, start: int, stop: int) -> tuple[list[int], list[int]]:
         """Best value of reaching each position from `start`, pieces starting before `stop`, and the
         length of the last piece (the longest of equal ones)."""
-        n = len(text)
+        n, tree, other = len(text), self.tree, self.other
         best, back = [NEVER] * (n + 1), [0] * (n + 1)
         best[start] = 0
-        begins, longest = self.begins, self.longest
         for p in range(start, stop):
             have = best[p]
             if have == NEVER:
                 continue
-            single = begins.get(text[p])
-            single = have + (self.unknown if single is None else single)
-            if single > best[p + 1] or (single == best[p + 1] and back[p + 1] < 1):
-                best[p + 1], back[p + 1] = single, 1
-            for q in range(p + 2, min(n, p + longest) + 1):
-                x = begins.get(text[p:q], NEVER)
-                if x == NEVER:  # no piece begins like this
-                    break
-                if x is not None and have + x >= best[q]:
-                    if have + x > best[q] or back[q] < q - p:
-                        best[q], back[q] = have + x, q - p
-        return best, back
-
-    def best_path(self, text: str) -> tuple[int, bytes]:
-        """Value and ids of a unit: `paths` from its start to its end."""
-        n, tree, other = len(text), self.tree, self.other
-        best, back = [NEVER] * (n + 1), [0] * (n + 1)
-        best[0] = 0
-        for p, c in enumerate(text):
-            have = best[p]
-            x, kids = tree.get(c, other)
+            x, kids = tree.get(text[p], other)
             if have + x > best[p + 1]:
                 best[p + 1], back[p + 1] = have + x, 1
             q = p + 1
@@ -126,8 +108,13 @@ class Pieces:
                 q += 1
                 if x is not None and have + x > best[q]:
                     best[q], back[q] = have + x, q - p
-        ids = self.ids_of(text, 0, n, back)
-        return best[n], struct.pack(f"<{len(ids)}I", *ids)
+        return best, back
+
+    def best_path(self, text: str) -> tuple[int, bytes]:
+        """Value and ids of a unit."""
+        best, back = self.paths(text, 0, len(text))
+        ids = self.ids_of(text, 0, len(text), back)
+        return best[-1], struct.pack(f"<{len(ids)}I", *ids)
 
     def back_to_front(self, text: str, stop: int) -> list[int]:
         """Best value from each position to `stop`."""
@@ -395,7 +382,7 @@ def _chunk_states(rows: list[tuple]) -> list[tuple]:
 
 
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """did, n_chars, score (of the best path, in units of the vocabulary's ranks times UNIT), ids
+    """did, n_chars, score (of the best path, UNIT a bit), ids
     (little-endian unsigned 32-bit numbers) and sha (of giant documents' texts).
 
     A NULL text is empty, and an empty one is the single piece of the space in front; NULL doc_ids and
