@@ -37,6 +37,8 @@ from recallspark.sources.staging import staged
 
 #: Different contents of one anchor that one index shard takes.
 MOST = 128
+#: Places of one content from which on they are not gathered by their content.
+HOT = 1000
 #: Symbols in an index shard, and rows of a task's output batch.
 SHARD_SYMBOLS, OUT_ROWS = 1 << 20, 20_000
 
@@ -262,14 +264,21 @@ def _counted(w: Windows, rows: DataFrame, carry: list[str]) -> DataFrame:
 def _answers(w: Windows, rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Spans that counting alone decides: all windows of a run whose content is held more than once
     (or, if only earlier places count, of all such runs but the first)."""
+    rows = rows.select("core", "content", "did", "tie", "at")
     if w.earlier:
-        groups = groups.select("core", "content", F.col("did").alias("did1"), F.col("tie").alias("tie1"), (F.col("at") / F.lit(1 << 32)).cast("long").alias("p1"))
+        groups = groups.select("core", "content", "n", F.col("did").alias("did1"), F.col("tie").alias("tie1"), (F.col("at") / F.lit(1 << 32)).cast("long").alias("p1"))
         odd = ~((F.col("did") == F.col("did1")) & (F.col("tie") == F.col("tie1")) & (F.shiftright("at", 32) == F.col("p1")))
     else:
-        groups = groups.where("n >= 2").select("core", "content")
+        groups = groups.where("n >= 2").select("core", "content", "n")
         odd = F.lit(True)
     pos, many = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF)
-    return rows.join(groups, ["core", "content"]).where(odd).select("did", "tie", pos.alias("a"), (pos + many - 1 + w.width).alias("b"))
+    # Contents that many places share are few (places / HOT at most); Spark broadcasts them if their written
+    # size allows it, so that their places need not meet in one task.
+    hot = staged(groups.where(F.col("n") > HOT).drop("n"), "hot")
+    keys = ["core", "content"]
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("n") <= HOT).drop("n"), keys)
+    both = cold.unionByName(rows.join(hot, keys))
+    return both.where(odd).select("did", "tie", pos.alias("a"), (pos + many - 1 + w.width).alias("b"))
 
 
 def _mixed_anchors(groups: DataFrame) -> DataFrame:

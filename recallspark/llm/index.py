@@ -102,15 +102,13 @@ class WaveletMatrix:
 class FMIndex:
     """Backward search over the Burrows-Wheeler transform of a shard.
 
-    The lowest level of the wavelet matrix lists the places of each symbol together; `base[c]` is
-    where symbol c starts there, `head[c]` the first suffix that starts with c.
+    Of the transform only the wavelet matrix stays: levels of packed bits with a count a word. The lowest
+    level lists the places of each symbol together; `base[c]` is where symbol c starts there, `head[c]`
+    the first suffix that starts with c.
     """
 
-    def __init__(self, sym: np.ndarray, depth: int):
-        self.order, self.kept = suffix_order(sym, depth)
+    def __init__(self, sym: np.ndarray, bwt: np.ndarray):
         self.n, self.sigma = len(sym), int(sym.max()) + 1
-        bwt = sym[self.order - 1]
-        self.bwt = bwt
         self.wavelet = WaveletMatrix(bwt, self.sigma)
         count = np.bincount(sym, minlength=self.sigma)
         self.head = np.cumsum(count) - count
@@ -149,9 +147,11 @@ def earlier_windows(segs: list[bytes], many: np.ndarray, width: int):
     """Windows of word runs that also start earlier in the shard, in reading order.
 
     The runs are streamed against the FM-index of the shard from their ends backwards, all at once:
-    each step extends the match to the left. A match of `width` words is above the threshold; its
-    interval gives the first place where the window starts. The match is then cut to its first
-    width - 1 words (the interval widens to their group) before the next step.
+    each step extends the match to the left. A match of `width` words is above the threshold, and where
+    its interval starts names the window: the first run and place that ask for it are its first. The
+    match is then cut to its first width - 1 words before the next step: the interval widens to the
+    edges of the suffixes that share so many words, which are kept as bits. The suffix order and its ranks
+    are dropped once the transform and the edges are made.
     """
     words = [np.frombuffer(x, np.uint64) for x in segs]
     size = np.array([len(x) for x in words])
@@ -159,35 +159,51 @@ def earlier_windows(segs: list[bytes], many: np.ndarray, width: int):
     begin = np.cumsum(size + 1) - size - 1
     sym = np.zeros(int((size + 1).sum()), np.int64)
     sym[runs(begin, size)] = ids
-    index = FMIndex(sym, width)
-    starts = {k: prefix_groups(index.order, index.kept, k) for k in (width - 1, width)}
-    ends = {}
-    for k, start in starts.items():
-        edge = np.append(np.flatnonzero(np.append(True, start[1:] != start[:-1])), index.n)
-        ends[k] = (np.repeat(edge[1:], np.diff(edge)), np.minimum.reduceat(index.order, edge[:-1]), np.repeat(np.arange(len(edge) - 1), np.diff(edge)))
-    first_place = ends[width][1]
-    group = ends[width][2]
+    order, kept = suffix_order(sym, width)
+    index = FMIndex(sym, sym[order - 1])
+    group = prefix_groups(order, kept, width - 1)
+    edges = Edges(np.append(True, group[1:] != group[:-1]))
+    del order, kept, group
     lane = np.arange(len(segs))
     lo, hi = np.zeros(len(segs), np.int64), np.full(len(segs), index.n)
     match = np.zeros(len(segs), np.int64)
-    marked = []
+    found = []
     for t in range(int(size.max())):
         on = lane[size > t]
         at = size[on] - 1 - t
-        full = match[on] == width
-        if full.any():
-            f = on[full]
-            hi[f] = ends[width - 1][0][lo[f]]
-            lo[f] = starts[width - 1][lo[f]]
-            match[f] = width - 1
+        full = on[match[on] == width]
+        lo[full], hi[full] = edges.around(lo[full])
+        match[full] = width - 1
         lo[on], hi[on] = index.step(sym[begin[on] + at], lo[on], hi[on])
         match[on] += 1  # the runs are part of the shard, so every match goes on
         hit = on[match[on] == width]
-        if len(hit):
-            own = size[hit] - 1 - t
-            early = first_place[group[lo[hit]]] < begin[hit] + own
-            marked.append((hit[early], own[early]))
-    yield from spans_of(marked)
+        found.append((lo[hit].copy(), hit, size[hit] - 1 - t))
+    if not found:
+        return
+    window, run, at = (np.concatenate(x) for x in zip(*found))
+    first = np.full(index.n, np.iinfo(np.int64).max)
+    np.minimum.at(first, window, begin[run] + at)
+    early = first[window] < begin[run] + at
+    yield from spans_of([(run[early], at[early])])
+
+
+class Edges:
+    """A bit a place of the suffix order where a group starts, with counts and the sampled places of ones."""
+
+    def __init__(self, new: np.ndarray):
+        padded = np.zeros((len(new) // 64 + 1) * 64, bool)
+        padded[: len(new)] = new
+        self.words = np.packbits(padded, bitorder="little").view(np.uint64)
+        self.counts = np.zeros(len(self.words) + 1, np.int64)
+        np.cumsum(np.bitwise_count(self.words), out=self.counts[1:])
+        self.starts = np.append(np.flatnonzero(new), len(new)).astype(np.int32)
+
+    def around(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the group of each place starts and ends."""
+        word = at >> 6
+        upto = self.words[word] & (~np.uint64(0) >> (np.uint64(63) - (at & 63).astype(np.uint64)))
+        k = self.counts[word] + np.bitwise_count(upto) - 1
+        return self.starts[k].astype(np.int64), self.starts[k + 1].astype(np.int64)
 
 
 def repeated_windows(segs: list[bytes], many: np.ndarray, width: int):
@@ -206,11 +222,13 @@ def repeated_windows(segs: list[bytes], many: np.ndarray, width: int):
     code = np.zeros(256, np.int64)
     code[used] = np.arange(1, len(used) + 1)
     sym[runs(begin, size)] = code[raw]
-    index = FMIndex(sym, width)
-    n = index.n
+    order, _ = suffix_order(sym, width)
+    bwt = sym[order - 1]
+    index, n = FMIndex(sym, bwt), len(sym)
     seen = np.zeros(n + 1, bool)
     seen[[0, n]] = True
-    back = _one_step(index)
+    back = _one_step(bwt)
+    del bwt
     lo, hi = np.zeros(1, np.int64), np.full(1, n)
     for _ in range(width):
         one = hi - lo == 1
@@ -226,17 +244,16 @@ def repeated_windows(segs: list[bytes], many: np.ndarray, width: int):
     inner = ~seen[1:n]
     shared[1:] |= inner
     shared[:-1] |= inner
-    at = np.sort(index.order[shared])
+    at = np.sort(order[shared])
     run = np.searchsorted(begin, at, "right") - 1
     win = at - begin[run]
     fits = win < many[run]
     yield from spans_of([(run[fits], win[fits])])
 
 
-def _one_step(index: FMIndex) -> np.ndarray:
+def _one_step(bwt: np.ndarray) -> np.ndarray:
     """Place of the suffix one symbol longer, for every place."""
-    order = np.argsort(index.bwt, kind="stable")
-    out = np.empty(index.n, np.int64)
-    out[order] = np.arange(index.n)
+    order = np.argsort(bwt, kind="stable")
+    out = np.empty(len(bwt), np.int64)
+    out[order] = np.arange(len(bwt))
     return out
-
