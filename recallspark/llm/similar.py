@@ -12,7 +12,7 @@ Such pairs differ in about 19 of 128 SimHash bits, too many for the three segmen
   only 12 bits, so a key joins it with one of `ANCHORS` shingles of the set that are least under
   as many hashes; of those, alike sets share each with the probability of their similarity.
 * *Join.* Equal keys meet in a sorted partition; fingerprints within `BITS` are linked. Links are
-  reduced to a spanning forest a task, keys with more than `BUCKET` fingerprints are compared in blocks.
+  reduced to a star a component and task, keys with more than `BUCKET` fingerprints are compared in blocks.
   Components of the links are loose classes: a superset of the groups.
 * *Verify.* The sets of one loose class, once each, meet in a task, which links pairs of exact
   similarity at least 0.8; pairs that other links have joined already are left out. A large class is
@@ -151,18 +151,15 @@ _WIDE = "a binary, b binary, wide long"
 
 
 def _loose(bits: int, most: int):
-    """Rows (key, fp) sorted by key: links that join two trees of the task's forest; a key of more than
+    """Rows (key, fp) sorted by key: at the end of a task each fingerprint is linked to the smallest one that
+    it reaches there, so that tasks which meet one group agree in most of their links; a key of more than
     `most` rows comes back as `wide` instead."""
     kinds = (pa.binary(), pa.binary(), pa.int64())
 
-    def rows(forest, key, code):
-        new = []
+    def join(forest, key, code):
         for i, j in near_rows(key, code, bits):
             for a, b in zip(code[i], code[j]):
-                a, b = a.tobytes(), b.tobytes()
-                if a != b and forest.join(a, b):
-                    new.append((a, b, None))
-        return new
+                forest.join(a.tobytes(), b.tobytes())
 
     def batch(found):
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], names=["a", "b", "wide"])
@@ -178,19 +175,18 @@ def _loose(bits: int, most: int):
                 continue
             start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             big = key[start[np.diff(np.append(start, len(key))) > most]]
-            found = [(None, None, x) for x in big.tolist()]
             if len(big):
                 wide = int(big[-1])
                 keep = ~np.isin(key, big)
                 key, code = key[keep], code[keep]
+                yield batch([(None, None, x) for x in big.tolist()])
             whole = int(np.searchsorted(key, key[-1])) if len(key) else 0
-            found += rows(forest, key[:whole], code[:whole])
+            join(forest, key[:whole], code[:whole])
             key, code = key[whole:], code[whole:]
-            if found:
-                yield batch(found)
-        found = rows(forest, key, code)
-        if found:
-            yield batch(found)
+        join(forest, key, code)
+        found = [(x, forest.root(x), None) for x in list(forest.up)]
+        for at in range(0, len(found), 10_000):
+            yield batch(found[at : at + 10_000])
 
     return task
 
@@ -200,7 +196,7 @@ def _met(keys: DataFrame, bits: int, most: int) -> DataFrame:
 
 
 def loose_links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
-    """(a, b): links between fingerprints of nodes (fp, anchors), a spanning forest a task."""
+    """(a, b): links between fingerprints of nodes (fp, anchors), a star a component and task."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = nodes.where(F.size("anchors") > 0).select("fp", "anchors").repartition(parts, "fp").mapInArrow(_keys, "key long, fp binary")
     found = staged(_met(keys, bits, BUCKET), "links")
