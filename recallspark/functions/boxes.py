@@ -45,6 +45,28 @@ def centre_distance(a: Box, b: Box) -> Column:
     return F.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
 
 
+def shape(points: Column, box: Box) -> Column:
+    """Landmarks (an array of [x, y]) in coordinates of the box, whose sides count at least 1e-9."""
+    w, h = F.greatest(box[2] - box[0], F.lit(1e-9)), F.greatest(box[3] - box[1], F.lit(1e-9))
+    return F.transform(points, lambda p: F.array((p[0] - box[0]) / w, (p[1] - box[1]) / h))
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """1 for equal shapes down to 0 at a mean distance of 0.5; 1 if one is missing."""
+    apart = F.zip_with(a, b, lambda p, q: F.hypot(p[0] - q[0], p[1] - q[1]))
+    mean = F.aggregate(apart, F.lit(0.0), lambda total, x: total + x) / F.size(a)
+    return F.when(mean.isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), 1 - mean / 0.5))
+
+
+def frontal(points: Column) -> Column:
+    """1 for a nose (third point) midway between the eyes (first two), less with its distance from there
+    in eye distances, 0.1 at least; 1 without three landmarks."""
+    left, right, nose = (F.get(F.get(points, F.lit(i)), F.lit(0)) for i in range(3))
+    eyes = F.abs(right - left)
+    turned = F.greatest(F.lit(0.1), 1 - F.abs(nose - (left + right) / 2) / F.when(eyes > 0, eyes))
+    return F.when(F.coalesce(F.size(points), F.lit(0)) < 3, 1.0).otherwise(F.coalesce(turned, F.lit(0.1)))
+
+
 def merit(score: Column, box: Box, frontal: Column) -> Column:
     return score * F.sqrt(area(box)) * frontal
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,3 +32,21 @@ def hash_remainder(key: Column, salt: str, n: int) -> Column:
     digits = F.split(F.sha2(F.concat(F.lit(f"{salt}:"), key).cast("binary"), 256), "")
     digits = F.filter(digits, lambda c: c != "")
     return F.aggregate(digits, F.lit(0), lambda rest, c: (rest * 16 + F.conv(c, 16, 10).cast("int")) % n)
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters with marks up to U+017F and the ASCII letters they are composed on."""
+    pairs = [(chr(i), unicodedata.normalize("NFKD", chr(i))[0]) for i in range(0xC0, 0x180)]
+    pairs = [(a, b) for a, b in pairs if a != b and b.isascii()]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def slug(name: Column) -> Column:
+    """Lower-case ASCII letters and digits, all else one underscore; marks are taken off letters."""
+    plain = F.lower(F.translate(name, *_plain_letters()))
+    return F.regexp_replace(F.regexp_replace(plain, "[^a-z0-9]+", "_"), "^_|_$", "")
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """JSON of the fields in the order of their names, without blanks; NULL fields are left out."""
+    return F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))))

@@ -25,3 +25,9 @@ def wilson_report(k: Column, n: Column) -> tuple[Column, Column]:
     """Interval of k of n; NULL without observations, clamped, three places."""
     low, high = _wilson(k, n)
     return (F.when(n > 0, F.round(F.greatest(F.lit(0.0), low), 3)), F.when(n > 0, F.round(F.least(F.lit(1.0), high), 3)))
+
+
+def verdict(false_accepts: Column, recall: Column, least: float, threshold: float) -> tuple[Column, Column]:
+    """(verdict, threshold): enabled without false accepts at `least` recall; else 2, which no score reaches."""
+    fine = (false_accepts == 0) & (recall >= least)
+    return F.when(fine, "ENABLED").otherwise("DISABLED"), F.when(fine, threshold).otherwise(2.0)

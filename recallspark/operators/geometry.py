@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +16,26 @@ def _box(side: str) -> list[Column]:
     return [F.col(f"{side}.{c}") for c in ("x0", "y0", "x1", "y1")]
 
 
+def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float = 0.125) -> DataFrame:
+    """Pairs of boxes (aliases a and b) of equal keys that may overlap: an equi-join on the cells of a grid
+    that they touch, each pair met in the one cell that holds the corner of what they share."""
+    size = F.lit(cell)
+
+    def gridded(rows: DataFrame) -> DataFrame:
+        span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / size), F.greatest(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+        return rows.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
+
+    a, b = gridded(a).alias("a"), gridded(b).alias("b")
+    pairs = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "_cx", "_cy")])
+    corner = [F.floor(F.greatest(F.col(f"a.{c}"), F.col(f"b.{c}")) / size) for c in ("x0", "y0")]
+    return pairs.where((corner[0] == F.col("a._cx")) & (corner[1] == F.col("a._cy")))
+
+
 def related(previous: DataFrame, current: DataFrame, keys: Sequence[str], least: float = MIN_IOU, cosine: float | None = MIN_COSINE) -> DataFrame:
     """(old_id, new_id, overlap, forward, backward): faces (id, keys, x0..y1, vector) of two
     generations that overlap, and are alike if `cosine` is given; forward and backward count the
-    candidates of either side. Keys (source, time, space) make it an equi-join."""
-    pairs = previous.alias("a").join(current.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+    candidates of either side. Keys (source, time, space) and grid cells make it an equi-join."""
+    pairs = overlapping(previous, current, keys)
     pairs = pairs.withColumn("overlap", boxes.iou_corners(_box("a"), _box("b"))).where(F.col("overlap") >= least)
     if cosine is not None:
         pairs = pairs.where(vectors.cosine(F.col("a.vector"), F.col("b.vector")) >= cosine)
@@ -63,27 +77,11 @@ def supersession(previous: DataFrame, current: DataFrame, space: str, keys: Sequ
 
 
 def suppressed(detections: DataFrame, keys: Sequence[str], most: float = 0.4) -> DataFrame:
-    """Non-maximum suppression in each frame: by score (ties by id), drop what overlaps a kept box more.
-    Frames of one source (the first key) are handled together in a task."""
-
-    def source(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([*keys[1:], "score", "id"], ascending=[True] * len(keys[1:]) + [False, True], kind="stable")
-        frame = part.groupby(list(keys[1:]), sort=False).ngroup().to_numpy() if len(keys) > 1 else [0] * len(part)
-        keep: list[int] = []
-        last, kept = None, []
-        for i, b in enumerate(part[["x0", "y0", "x1", "y1"]].to_numpy().tolist()):
-            if frame[i] != last:
-                last, kept = frame[i], []
-            if all(_iou(b, other) <= most for other in kept):
-                keep.append(i)
-                kept.append(b)
-        return part.iloc[keep]
-
-    return detections.groupBy(keys[0]).applyInPandas(source, detections.schema)
-
-
-def _iou(a: list[float], b: list[float]) -> float:
-    w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-    h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-    union = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h
-    return w * h / union if union > 0 else 0.0
+    """Non-maximum suppression in each frame (keys): by score (ties by id), drop what overlaps a kept
+    box more. A frame's boxes are one array, folded in order of score."""
+    rows = F.struct(*(F.col(c) for c in detections.columns)).alias("row")
+    frames = detections.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("_s"), F.col("id").alias("_i"), rows))).alias("all"))
+    box = lambda x: [x["row"][c] for c in ("x0", "y0", "x1", "y1")]
+    clear = lambda kept, x: F.forall(kept, lambda k: boxes.iou_corners(box(k), box(x)) <= most)
+    kept = F.aggregate("all", F.slice("all", 1, 0), lambda k, x: F.when(clear(k, x), F.concat(k, F.array(x))).otherwise(k))
+    return frames.select(F.explode(kept).alias("k")).select("k.row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recallspark.sources.staging import staged, unstage
@@ -59,3 +59,21 @@ def erasable(representations: DataFrame, operations: DataFrame) -> DataFrame:
     still = operations.where("state in ('PENDING', 'FAILED')").select("rep_id").distinct()
     rows = representations.where("state = 'ERASING'")
     return rows.join(done, "rep_id", "left_semi").join(still, "rep_id", "left_anti")
+
+
+def reconciled_names(identities: DataFrame, families: DataFrame) -> DataFrame:
+    """(identity_id, name, members, inherited) of survivors for identities (identity_id, name) and families
+    (root, member): the survivor's own name wins, else the first of its members'."""
+    named = families.join(identities.select(F.col("identity_id").alias("member"), "name"), "member")
+    own = F.max(F.when(F.col("member") == F.col("root"), F.col("name")))
+    found = named.groupBy("root").agg(own.alias("own"), F.min("name").alias("first"), F.count("*").alias("members"))
+    return found.select(F.col("root").alias("identity_id"), F.coalesce("own", "first").alias("name"), "members", (F.col("own").isNull() & F.col("first").isNotNull()).alias("inherited"))
+
+
+def after_delete(hit: DataFrame, surviving: DataFrame, named: Column) -> DataFrame:
+    """(identity_id, representative, outcome) of identities that lost occurrences: the earliest surviving
+    occurrence (identity_id, occurrence_id, time_ms) if there is one, else kept if named, else deleted."""
+    first = surviving.join(hit, "identity_id", "left_semi").groupBy("identity_id").agg(F.min_by("occurrence_id", F.struct("time_ms", "occurrence_id")).alias("representative"))
+    rows = hit.join(first, "identity_id", "left")
+    outcome = F.when(F.col("representative").isNotNull(), "REPICKED").when(named, "KEPT_NAMED").otherwise("DELETED")
+    return rows.select("identity_id", "representative", outcome.alias("outcome"))

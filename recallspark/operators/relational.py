@@ -34,6 +34,23 @@ def page(rows: DataFrame, order: Sequence[tuple[str, bool]], size: int, after: S
     return probe.where(F.col("position") <= size)
 
 
+def running_sums(rows: DataFrame, keys: Sequence[str], order: str, sums: Sequence[str], descending: bool = False, width: float = 1e-3) -> DataFrame:
+    """Rows (keys, order, ...; `order` once a key) with `sums` summed from the first value of `order` on.
+
+    In two levels: totals of buckets of `order`, `width` wide, are summed first (as many rows as there are
+    buckets, however many rows there are); inside a bucket its rows follow. No task takes all of a key."""
+    bucket = F.floor(F.col(order) / width)
+    way = F.desc if descending else F.asc
+    at = rows.withColumn("_bucket", bucket)
+    totals = at.groupBy(*keys, "_bucket").agg(*(F.sum(c).alias(f"_{c}") for c in sums))
+    before = Window.partitionBy(*keys).orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(*keys, "_bucket", *(F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums))
+    inside = Window.partitionBy(*keys, "_bucket").orderBy(way(order))
+    own = at.withColumns({c: F.sum(c).over(inside) for c in sums})
+    joined = own.join(base, [*keys, "_bucket"])
+    return joined.withColumns({c: F.col(c) + F.col(f"_{c}") for c in sums}).drop("_bucket", *(f"_{c}" for c in sums))
+
+
 def transition(rows: DataFrame, requests: DataFrame, key: str, states: Sequence[str], to: str) -> DataFrame:
     """Requests (key, revision) against rows (key, state, revision): a request is accepted if the row
     is in one of the states at that revision; accepted rows change state and revision."""

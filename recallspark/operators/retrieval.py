@@ -1,13 +1,14 @@
 """Similarity retrieval, grouping and decision.
 
-Nearest neighbours are exact. Queries are taken in blocks of at most `BLOCK` rows (so the broadcast
-is bounded); each gallery task keeps its own k best of every query by one matrix product a batch, and
-only those are ranked globally.
+Nearest neighbours are exact. Queries and gallery are dealt into blocks by a hash of their ids; every
+two blocks meet in one task of a cogroup, which multiplies two bounded matrices and keeps what the
+result needs: the k best of each query, the best of each identity, or counts of the scores. Nothing
+is collected but two row counts, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,26 +16,48 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Rows of a block of queries and of a block of the gallery, and queries scored at a time.
+BLOCK, GALLERY, LANES = 4096, 32_768, 512
 
 
-def _best(ids: np.ndarray, vectors: np.ndarray, k: int):
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep_s = np.full((len(ids), 0), 0.0)
-        keep_k = np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            flat = batch.column(1).flatten() if len(batch.column(1)) else pa.array([], pa.float64())
-            m = np.asarray(flat, float).reshape(len(batch.column(0)), -1) if len(flat) else np.zeros((0, vectors.shape[1]))
-            if not len(m):
-                continue
-            s = np.concatenate([keep_s, np.round(np.clip(vectors @ m.T, -1, 1), 6)], axis=1)
-            keys = np.concatenate([keep_k, np.broadcast_to(np.asarray(batch.column(0)), (len(ids), len(m)))], axis=1)
-            order = np.lexsort((keys, -s), axis=1)[:, :k]
-            keep_s, keep_k = np.take_along_axis(s, order, 1), np.take_along_axis(keys, order, 1)
-        n = keep_s.shape[1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, n)), pa.array(keep_k.reshape(-1)), pa.array(keep_s.reshape(-1))], names=["query_id", "id", "similarity"])
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks().flatten()
+    return np.asarray(flat, float).reshape(len(column), -1)
 
-    return task
+
+def _scores(left: pa.Table, right: pa.Table) -> Iterator[tuple[slice, np.ndarray]]:
+    """Similarities, to six places, of some queries with the whole gallery block."""
+    if left.num_rows and right.num_rows:
+        q, g = _matrix(left["vector"]), _matrix(right["vector"])
+        for at in range(0, len(q), LANES):
+            yield slice(at, at + LANES), np.round(np.clip(q[at : at + LANES] @ g.T, -1, 1), 6)
+
+
+def _table(parts: list[tuple], schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+    fields = [x.split() for x in schema.split(", ")]
+    columns = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0)] * len(fields)
+    return pa.table({n: pa.array(c, kinds[t]) for (n, t), c in zip(fields, columns)})
+
+
+def _blocks(rows: DataFrame, size: int) -> int:
+    return max(1, -(-rows.count() // (size // 2)))
+
+
+def _meet(left: DataFrame, right: DataFrame, parts: tuple[int, int], ids: tuple[str, str], task: Callable, schema: str) -> DataFrame:
+    """task(left block, right block) for every two blocks."""
+    own = [F.pmod(F.xxhash64(i), F.lit(n)).cast("int") for i, n in zip(ids, parts)]
+    every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in parts]
+    a = left.select(own[0].alias("_l"), every[1].alias("_r"), "*").groupBy("_l", "_r")
+    b = right.select(every[0].alias("_l"), own[1].alias("_r"), "*").groupBy("_l", "_r")
+    return a.cogroup(b).applyInArrow(task, schema)
+
+
+def _vectors(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    return rows.select(F.col(key).cast("long").alias(key), F.col("vector").cast("array<double>").alias("vector"), *more)
+
+
+_NEAR = "query_id long, id long, similarity double"
 
 
 def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
@@ -42,23 +65,91 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
 
     Unit vectors; similarity to six places; ties by id.
     """
-    gallery = gallery.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
-    rows = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
-    parts = max(1, -(-rows.count() // (BLOCK // 2)))
-    out = None
-    for block in range(parts):
-        mine = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == block)
-        found = mine.collect()
-        if not found:
-            continue
-        some = gallery.mapInArrow(_best(np.array([r[0] for r in found]), np.array([r[1] for r in found], float), k), "query_id long, id long, similarity double")
-        out = some if out is None else out.unionByName(some)
-    if out is None:
-        out = gallery.where("false").select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("similarity"))
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        asked, ids = np.asarray(left["query_id"]), np.asarray(right["id"])
+        parts = []
+        for some, s in _scores(left, right):
+            least = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -2.0)
+            row, at = np.nonzero(s >= least[:, None])
+            order = np.lexsort((ids[at], -s[row, at], row))
+            row, at = row[order], at[order]
+            first = np.searchsorted(row, row)
+            keep = np.arange(len(row)) - first < k
+            row, at = row[keep], at[keep]
+            parts.append((asked[some][row], ids[at], s[row, at]))
+        return _table(parts, _NEAR)
+
+    rows, all_ = _vectors(queries, "query_id"), _vectors(gallery, "id")
+    out = _meet(rows, all_, (_blocks(rows, BLOCK), _blocks(all_, GALLERY)), ("query_id", "id"), task, _NEAR)
     rank = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return out.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
 
 
+_BEST = "query_id long, identity long, best double"
+
+
+def best_of_each(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(query_id, identity, best): the best similarity of every identity in the gallery (id, vector,
+    identity), a query itself (the row with its id) left out."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("identity")
+        asked, ids, who = (np.asarray(x) for x in (left["query_id"], right["id"], right["identity"]))
+        edge = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
+        parts = []
+        for some, s in _scores(left, right):
+            s[asked[some][:, None] == ids[None, :]] = -2
+            best = np.maximum.reduceat(s, edge, axis=1)
+            row, at = np.nonzero(best >= -1)
+            parts.append((asked[some][row], who[edge][at], best[row, at]))
+        return _table(parts, _BEST)
+
+    rows, all_ = _vectors(queries, "query_id"), _vectors(gallery, "id", F.col("identity").cast("long").alias("identity"))
+    out = _meet(rows, all_, (_blocks(rows, BLOCK), _blocks(all_, GALLERY)), ("query_id", "id"), task, _BEST)
+    return out.groupBy("query_id", "identity").agg(F.max("best").alias("best"))
+
+
+_CLOSE = "a long, b long, s double"
+
+
+def close_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, s): pairs of rows (id, vector), a before b, with a similarity of at least `least`."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = np.asarray(left["id"]), np.asarray(right["id"])
+        parts = []
+        for some, s in _scores(left, right):
+            row, at = np.nonzero((s >= least) & (a[some][:, None] < b[None, :]))
+            parts.append((a[some][row], b[at], s[row, at]))
+        return _table(parts, _CLOSE)
+
+    own, n = [_vectors(rows, "id") for _ in range(2)], _blocks(rows, BLOCK)
+    return _meet(*own, (n, n), ("id", "id"), task, _CLOSE)
+
+
+_COUNTS = "genuine boolean, s double, n long"
+
+
+def pair_scores(rows: DataFrame) -> DataFrame:
+    """(genuine, s, n): how often each score (six places, so at most 2,000,001 values) occurs among all
+    pairs of rows (id, vector, identity), by whether both have one identity."""
+
+    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, who, other = (np.asarray(x) for x in (left["id"], right["id"], left["identity"], right["identity"]))
+        parts = []
+        for some, s in _scores(left, right):
+            pair = a[some][:, None] < b[None, :]
+            same = who[some][:, None] == other[None, :]
+            for genuine in (True, False):
+                value, n = np.unique(s[pair & (same == genuine)], return_counts=True)
+                parts.append((np.full(len(value), genuine), value, n))
+        return _table(parts, _COUNTS)
+
+    own, n = [_vectors(rows, "id", F.col("identity").cast("long").alias("identity")) for _ in range(2)], _blocks(rows, BLOCK)
+    return _meet(*own, (n, n), ("id", "id"), task, _COUNTS).groupBy("genuine", "s").agg(F.sum("n").alias("n"))
+
+
 def fetch_depth(ranked: DataFrame, usable: Column, k: int) -> DataFrame:
     """(query_id, depth): the smallest of k, 2k, 4k, ... whose fetched rows hold k usable ones."""
     seen = Window.partitionBy("query_id").orderBy("rank")

@@ -10,32 +10,21 @@ from pyspark.sql import functions as F
 from recallspark.functions import boxes, names, stats, vectors
 from recallspark.operators import geometry, lifecycle, relational, retrieval
 from recallspark.operators.graph import connected_components
+from recallspark.plans import evaluation, memory, registry  # noqa: F401 (they register their queries)
+from recallspark.plans.registry import query
 from recallspark.sources import views
-from recallspark.sources.shipping import ship
 from recallspark.sources.views import table, with_views
 from recallspark.streaming import sequence
 
 K = 10
-_queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_oracles: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        _queries[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
-        if sql:
-            _oracles[f.__name__] = sql
-        return f
-
-    return add
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return dict(registry.QUERIES)
 
 
 def oracles() -> dict[str, str]:
-    return dict(_oracles)
+    return dict(registry.ORACLES)
 
 
 # --- retrieval and decision ---------------------------------------------------------------------
@@ -63,7 +52,7 @@ def retrieve_revalidated(spark, d):
 
 
 @query(with_views("reps") + """, pairs AS (SELECT q.id AS query_id, g.id, CASE WHEN g.state = 'PENDING' THEN 'RUN_LOCAL' ELSE 'GLOBAL' END AS pool,
- round(greatest(-1, least(1, list_dot_product(q.vector, g.vector))), 6) AS similarity FROM reps q JOIN reps g ON g.id <> q.id AND g.state <> 'ERASING' WHERE q.id % 50 = 7)
+ round(greatest(-1, least(1, list_dot_product(q.vector, g.vector))), 6) AS similarity FROM reps q JOIN reps g ON g.id <> q.id AND g.state <> 'ERASING' WHERE q.id % 20 = 0)
 SELECT query_id, id, pool, similarity, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, pool, id) AS rank FROM pairs) WHERE rank <= 10""")
 def retrieve_two_pools(spark, d):
     reps, asked = views.representations(spark, d), views.query_vectors(spark, d)
@@ -87,10 +76,10 @@ def assess_groups(spark, d):
 
 
 _DECIDED = with_views("reps", "knn", "shortlist", "groups") + """, dec AS (SELECT q.id AS query_id, t.identity_id, t.best, t.margin, CASE
- WHEN (q.id % 10) / 10 < 0.5 THEN 'LOW_QUALITY' WHEN s.dropped > 0 THEN 'RETRIEVAL_INCOMPLETE' WHEN t.best IS NULL THEN 'NO_CANDIDATE'
+ WHEN ((q.id // 20) % 10) / 10 < 0.5 THEN 'LOW_QUALITY' WHEN s.dropped > 0 THEN 'RETRIEVAL_INCOMPLETE' WHEN t.best IS NULL THEN 'NO_CANDIDATE'
  WHEN t.best >= 0.35 AND t.margin < 0.02 THEN 'AMBIGUOUS_CANDIDATES' WHEN t.best >= 0.35 AND t.identity_id IS NULL THEN 'UNRESOLVED_NEIGHBOUR'
  WHEN t.best >= 0.35 THEN 'MATCHED' WHEN t.best < 0.3 THEN 'NOT_SIMILAR' ELSE 'UNCERTAIN_SIMILARITY' END AS reason
-FROM reps q LEFT JOIN status s ON s.query_id = q.id LEFT JOIN groups t ON t.query_id = q.id AND t.group_rank = 1 WHERE q.id % 50 = 7)
+FROM reps q LEFT JOIN status s ON s.query_id = q.id LEFT JOIN groups t ON t.query_id = q.id AND t.group_rank = 1 WHERE q.id % 20 = 0)
 """
 _POLICY = retrieval.Policy(quality=0.5, match=0.35, margin=0.02, ceiling=0.3)
 
@@ -185,9 +174,8 @@ def box_unique_match(spark, d):
 def box_iou_pairs(spark, d):
     old, new = _generations(spark, d)
     rows = old.unionByName(new)
-    a, b = rows.alias("a"), rows.alias("b")
     box = lambda s: [F.col(f"{s}.{c}") for c in ("x0", "y0", "x1", "y1")]
-    pairs = a.join(b, (F.col("a.source_id") == F.col("b.source_id")) & (F.col("a.day") == F.col("b.day")) & (F.col("a.id") < F.col("b.id")))
+    pairs = geometry.overlapping(rows, rows, ["source_id", "day"]).where("a.id < b.id")
     return pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.round(boxes.iou_corners(box("a"), box("b")), 6).alias("iou")).where("iou > 0")
 
 
@@ -252,19 +240,31 @@ def gap_sessions(spark, d):
 
 
 def _slotted(spark, d):
-    return views.detections(spark, d).withColumn("slot", sequence.slot(F.col("ts"), 1 / 3600)).drop("ts")
+    """Detections with five landmarks and a face vector, some without."""
+    x, y, w, h = F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    points = F.array(*(F.array(x + w * (a + F.col("id") % 4 / 40), y + h * b) for a, b in ((0.3, 0.4), (0.7, 0.4), (0.5, 0.6), (0.35, 0.8), (0.65, 0.8))))
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    rows = views.detections(spark, d).withColumn("slot", sequence.slot(F.col("ts"), 1 / 3600)).drop("ts")
+    rows = rows.withColumn("points", F.when(F.col("id") % 9 != 0, points))
+    vector = F.when(F.col("id") % 6 != 0, F.array(F.lit(1.0), (F.col("id") % 5 - 2).cast("double")))
+    return rows.withColumn("landmarks", boxes.shape(F.col("points"), box)).withColumn("vector", vector)
+
+
+def _tracked(spark, d):
+    return sequence.track_boxes(_slotted(spark, d), "source_id", max_gap=24)
 
 
 @query()
 def track_boxes(spark, d):
-    return sequence.track_boxes(_slotted(spark, d), "source_id", max_gap=24)
+    return _tracked(spark, d).drop("points", "landmarks", "vector")
 
 
 @query()
 def select_kept(spark, d):
     size = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    rows = track_boxes(spark, d).withColumn("merit", boxes.merit(F.col("score"), size, F.lit(1.0)))
-    return sequence.select_kept(rows, ["source_id", "track"], 3, 0.5)
+    rows = _tracked(spark, d).withColumn("merit", boxes.merit(F.col("score"), size, boxes.frontal(F.col("points"))))
+    rows = rows.select("source_id", "track", "slot", "id", "score", "merit", F.floor(F.col("slot") / 100).alias("chunk"))
+    return sequence.select_kept(rows, ["source_id", "track"], 3, 0.5, chunk="chunk", lifetime=12)
 
 
 @query(with_views("det") + "SELECT source_id, (id % 11) AS track, min((epoch_us(ts) // 1000)) AS first_ms, max((epoch_us(ts) // 1000)) AS last_ms, count(*) AS observations, string_agg(id::varchar, ',' ORDER BY ts, id) AS ids FROM det GROUP BY ALL")
@@ -501,19 +501,17 @@ def erase_ready(spark, d):
 # --- evaluation ---------------------------------------------------------------------------------
 
 def _leave_one_out(spark, d):
-    reps = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
-    found = retrieval.nearest(reps.where("id % 5 = 0").select("query_id", "vector"), reps.where("id % 5 <> 0").select("id", "vector"), 50)
-    who = reps.select("id", F.col("label").alias("identity"))
-    best = found.join(who, "id").groupBy("query_id", "identity").agg(F.max("similarity").alias("best"))
+    """Every identity's place for the queries, each against all rows but itself."""
+    reps = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), F.col("embedding").alias("vector"))
+    best = retrieval.best_of_each(reps.where("id % 20 = 0").withColumnRenamed("id", "query_id"), reps)
     order = Window.partitionBy("query_id").orderBy(F.desc("best"), "identity")
     top = best.withColumn("place", F.row_number().over(order)).withColumn("second", F.lead("best").over(order))
-    return top.join(reps.select("query_id", F.col("label").alias("truth")), "query_id")
+    return top.join(reps.select(F.col("id").alias("query_id"), F.col("identity").alias("truth")), "query_id")
 
 
-_LOO = """WITH p AS (SELECT q.vec_id AS query_id, q.label AS truth, g.vec_id AS id, g.label AS identity, round(greatest(-1, least(1, list_dot_product(q.embedding::double[], g.embedding::double[]))), 6) AS s
- FROM embeddings q JOIN embeddings g ON g.vec_id % 5 <> 0 WHERE q.vec_id % 5 = 0),
-k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM p),
-b AS (SELECT query_id, truth, identity, max(s) AS best FROM k WHERE n <= 50 GROUP BY ALL),
+_LOO = """WITH p AS (SELECT q.vec_id AS query_id, q.label AS truth, g.label AS identity, round(greatest(-1, least(1, list_dot_product(q.embedding::double[], g.embedding::double[]))), 6) AS s
+ FROM embeddings q JOIN embeddings g ON g.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0),
+b AS (SELECT query_id, truth, identity, max(s) AS best FROM p GROUP BY ALL),
 t AS (SELECT *, row_number() OVER w AS place, lead(best) OVER w AS second FROM b WINDOW w AS (PARTITION BY query_id ORDER BY best DESC, identity))
 """
 
@@ -545,9 +543,8 @@ def policy_sweep(spark, d):
     grid = t.select(F.explode(F.array(*map(F.lit, (0.0, 0.01, 0.02, 0.05)))).alias("m"), "best", "margin", "ok")
     # scores seen once a margin, with what they add; accepted from a threshold on is a running total
     step = (F.col("margin") >= F.col("m")).cast("long")
-    seen = grid.groupBy("m", "best").agg(F.sum(step).alias("a"), F.sum(step * F.col("ok").cast("long")).alias("c"))
-    down = Window.partitionBy("m").orderBy(F.desc("best"))
-    return seen.select(F.col("m").alias("margin"), F.col("best").alias("threshold"), F.sum("a").over(down).alias("accepted"), F.sum("c").over(down).alias("correct"))
+    seen = grid.groupBy("m", "best").agg(F.sum(step).alias("accepted"), F.sum(step * F.col("ok").cast("long")).alias("correct"))
+    return relational.running_sums(seen, ["m"], "best", ["accepted", "correct"], descending=True).select(F.col("m").alias("margin"), F.col("best").alias("threshold"), "accepted", "correct")
 
 
 @query(_SWEEP + """SELECT margin, threshold, accepted, round(correct::double / (SELECT count(*) FROM x), 6) AS recall FROM s
@@ -561,15 +558,19 @@ def conservative_sweep(spark, d):
     return best.join(known).select("margin", "threshold", "accepted", F.round(F.col("correct") / F.col("known"), 6).alias("recall"))
 
 
-@query("""WITH p AS (SELECT round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 = 0)
-SELECT round(greatest(0.3::double, coalesce(quantile_cont(s, 0.999), 0.3::double)), 4) AS floor, count(*) AS pairs FROM p""")
+_PAIRS = """WITH p AS (SELECT a.label = b.label AS genuine, round(greatest(-1, least(1, list_dot_product(a.embedding::double[], b.embedding::double[]))), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+"""
+
+
+def _pair_scores(spark, d):
+    return retrieval.pair_scores(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), F.col("embedding").alias("vector")))
+
+
+@query(_PAIRS + "SELECT round(greatest(0.3::double, coalesce(quantile_cont(s, 0.999), 0.3::double)), 4) AS floor, count(*) AS pairs FROM p WHERE NOT genuine")
 def tail_floor(spark, d):
-    rows = table(spark, d, "embeddings").where("vec_id % 5 = 0").select("vec_id", "label", "embedding")
-    a, b = rows.alias("a"), rows.alias("b")
-    pairs = a.join(b, (F.col("a.vec_id") < F.col("b.vec_id")) & (F.col("a.label") != F.col("b.label")))
-    s = pairs.select(F.round(vectors.dot(F.col("a.embedding"), F.col("b.embedding")), 6).alias("s"))
-    tail = F.coalesce(F.percentile("s", 0.999), F.lit(0.3))
-    return s.agg(F.round(F.greatest(F.lit(0.3), tail), 4).alias("floor"), F.count("*").alias("pairs"))
+    s = _pair_scores(spark, d).where("not genuine")
+    tail = F.coalesce(F.percentile("s", 0.999, F.col("n")), F.lit(0.3))
+    return s.agg(F.round(F.greatest(F.lit(0.3), tail), 4).alias("floor"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 
 
 @query()
@@ -587,14 +588,10 @@ def verified_export(spark, d):
     return rows.join(kept, "doc_id", "left").select("doc_id", F.coalesce("state", "kept", F.lit("DUPLICATE")).alias("status"))
 
 
-@query("""WITH p AS (SELECT a.label = b.label AS genuine, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE a.vec_id % 10 = 0)
-SELECT genuine, count(*) AS pairs, min(s) AS low, round(median(s), 6) AS mid, max(s) AS high, round(quantile_cont(s, 0.999), 6) AS tail FROM p GROUP BY genuine""")
+@query(_PAIRS + "SELECT genuine, count(*) AS pairs, min(s) AS low, round(median(s), 6) AS mid, max(s) AS high, round(quantile_cont(s, 0.999), 6) AS tail FROM p GROUP BY genuine")
 def pair_distributions(spark, d):
-    rows = table(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    a, b = rows.where("vec_id % 10 = 0").alias("a"), rows.alias("b")
-    s = F.round(vectors.dot(F.col("a.embedding"), F.col("b.embedding")), 6)
-    pairs = a.join(b, F.col("a.vec_id") < F.col("b.vec_id")).select((F.col("a.label") == F.col("b.label")).alias("genuine"), s.alias("s"))
-    return pairs.groupBy("genuine").agg(F.count("*").alias("pairs"), F.min("s").alias("low"), F.round(F.median("s"), 6).alias("mid"), F.max("s").alias("high"), F.round(F.percentile("s", 0.999), 6).alias("tail"))
+    at = lambda share: F.round(F.percentile("s", share, F.col("n")), 6)
+    return _pair_scores(spark, d).groupBy("genuine").agg(F.sum("n").alias("pairs"), F.min("s").alias("low"), at(0.5).alias("mid"), F.max("s").alias("high"), at(0.999).alias("tail"))
 
 
 @query(_LOO + """, c AS (SELECT unnest([30, 35, 40, 45, 50, 55, 60, 65, 70, 75, 80]) AS cut) SELECT cut, count(*) FILTER (best >= cut / 100.0::double) AS accepted, count(*) FILTER (best >= cut / 100.0::double AND identity <> truth) AS false_accepts FROM c, t WHERE place = 1 GROUP BY cut""")
@@ -655,11 +652,11 @@ def hard_negatives(spark, d):
 
 
 @query(_LOO + """, x AS (SELECT best, identity = truth AS ok FROM t WHERE place = 1), c AS (SELECT DISTINCT best FROM x),
-s AS (SELECT c.best, count(*) FILTER (NOT ok)::double / count(*) AS share FROM c JOIN x ON x.best <= c.best GROUP BY c.best) SELECT max(best) AS ceiling FROM s WHERE share >= 0.5""")
+s AS (SELECT c.best, count(*) FILTER (NOT ok)::double / count(*) AS share FROM c JOIN x ON x.best <= c.best GROUP BY c.best) SELECT max(best) AS ceiling FROM s WHERE share >= 0.99""")
 def new_identity_ceiling(spark, d):
-    x = _leave_one_out(spark, d).where("place = 1").groupBy("best").agg(F.count("*").alias("n"), F.count_if(F.col("identity") != F.col("truth")).alias("wrong"))
-    up = Window.orderBy("best")  # one row a distinct score of the query set
-    return x.withColumn("share", F.sum("wrong").over(up) / F.sum("n").over(up)).where("share >= 0.5").agg(F.max("best").alias("ceiling"))
+    x = _leave_one_out(spark, d).where("place = 1").groupBy(F.lit(0).alias("all"), "best").agg(F.count("*").alias("n"), F.count_if(F.col("identity") != F.col("truth")).alias("wrong"))
+    sums = relational.running_sums(x, ["all"], "best", ["n", "wrong"])
+    return sums.where(F.col("wrong") / F.col("n") >= 0.99).agg(F.max("best").alias("ceiling"))
 
 
 # --- beyond parity: questions over occurrences ---------------------------------------------------

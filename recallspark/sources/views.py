@@ -25,8 +25,9 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = representations(spark, sf_dir).where("id % 50 = 7")
-    return rows.select(F.col("id").alias("query_id"), "vector", ((F.col("id") % 10) / 10).alias("detection_score"))
+    """The query set of every search: ids divisible by 20."""
+    rows = representations(spark, sf_dir).where("id % 20 = 0")
+    return rows.select(F.col("id").alias("query_id"), "vector", (F.floor(F.col("id") / 20) % 10 / 10).alias("detection_score"))
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,26 @@ def operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence with a JSON payload of two candidates; one in ten has a version that nobody reads."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("evidence_id"), (F.col("event_id") % 997).alias("rep_id"), (F.col("event_id") % 7).alias("identity_id"), "ts",
+        F.expr("CASE event_id % 6 WHEN 0 THEN 'CONFIRMATION' WHEN 1 THEN 'CORRECTION' ELSE 'RECOGNITION' END").alias("kind"),
+        F.expr("CASE event_id % 3 WHEN 0 THEN 'SUBJECT' WHEN 1 THEN 'NEIGHBOUR' ELSE 'CONTEXT' END").alias("role"),
+        F.expr(PAYLOAD).alias("payload"),
+    )
+
+
+#: JSON of an event's payload, in expressions that both engines read alike.
+PAYLOAD = """concat('{"version": ', CASE WHEN event_id % 10 = 9 THEN '2' ELSE '1' END, ', "candidates": [{"identity": ', CAST(event_id % 7 AS STRING), ', "similarity": 0.',
+ CAST(500 + event_id % 400 AS STRING), ', "members": {"', CAST(event_id % 13 AS STRING), '": 0.', CAST(500 + event_id % 400 AS STRING), ', "', CAST(13 + event_id % 11 AS STRING), '": 0.', CAST(450 + event_id % 40 AS STRING), '}}, {"identity": ',
+ CAST((event_id + event_id % 3) % 7 AS STRING), ', "similarity": 0.', CAST(480 + event_id % 380 AS STRING), ', "members": {"', CAST(event_id % 17 AS STRING), '": 0.', CAST(470 + event_id % 390 AS STRING), '}}]}')"""
+
+
 #: The same views for DuckDB.
 SQL = {
+    "ev": f"""ev AS (SELECT event_id AS evidence_id, event_id % 997 AS rep_id, event_id % 7 AS identity_id, ts, CASE event_id % 6 WHEN 0 THEN 'CONFIRMATION' WHEN 1 THEN 'CORRECTION' ELSE 'RECOGNITION' END AS kind,
+ CASE event_id % 3 WHEN 0 THEN 'SUBJECT' WHEN 1 THEN 'NEIGHBOUR' ELSE 'CONTEXT' END AS role, {PAYLOAD} AS payload FROM events)""",
     "reps": """reps AS (SELECT vec_id AS id, vec_id + 1 AS ann_key, CASE WHEN vec_id % 17 <> 0 THEN label END AS identity_id,
  CASE WHEN vec_id % 23 = 0 THEN 'ERASING' WHEN vec_id % 11 = 0 THEN 'PENDING' ELSE 'ACTIVE' END AS state, embedding::double[] AS vector FROM embeddings)""",
     "occ": """occ AS (SELECT l_orderkey * 10 + l_linenumber AS occurrence_id, o_custkey AS identity_id, l_partkey AS source_id, epoch_ms(o_orderdate) AS time_ms
@@ -69,7 +88,7 @@ SQL = {
  CASE WHEN event_id % 7 = 0 THEN 'FAILED' WHEN event_id % 4 = 0 THEN 'PENDING' ELSE 'APPLIED' END AS state, (event_id % 5)::int AS attempts, event_id % 6 <> 1 AS ok,
  event_id % 5 AS priority, (epoch_us(ts) // 1000) AS created_ms, user_id AS run_id FROM events)""",
     "knn": """pairs AS (SELECT q.id AS query_id, g.id, g.identity_id, g.state, round(greatest(-1, least(1, list_dot_product(q.vector, g.vector))), 6) AS similarity
- FROM reps q JOIN reps g ON g.id % 29 <> 0 WHERE q.id % 50 = 7 AND g.id <> q.id),
+ FROM reps q JOIN reps g ON g.id % 29 <> 0 WHERE q.id % 20 = 0 AND g.id <> q.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM pairs)""",
     "shortlist": """fetched AS (SELECT * FROM ranked WHERE rank <= 10),
 short AS (SELECT * FROM fetched WHERE state = 'ACTIVE'),

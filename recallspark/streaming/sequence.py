@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,95 +33,188 @@ def gap_sessions(rows: DataFrame, source: str, slot_column: str, key: str, max_g
     return rows.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(order)).drop("_new")
 
 
-def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w = np.clip(np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]), 0, None)
-    h = np.clip(np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]), 0, None)
-    size = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    union = size(a)[:, None] + size(b)[None, :] - w * h
-    return np.divide(w * h, union, out=np.zeros_like(union), where=union > 0)
-
-
-def track_boxes(rows: DataFrame, source: str, min_iou: float = 0.2, max_gap: int = 2) -> DataFrame:
+class Tracks:
+    """Live tracks of one session, as parallel arrays: where each was last seen and how it moved."""
+
+    def __init__(self, min_iou: float, max_gap: int, veto: float):
+        self.min_iou, self.max_gap, self.veto = min_iou, max_gap, veto
+        self.number = self.slot = np.zeros(0, np.int64)
+        self.box = self.speed = np.zeros((0, 4))
+        self.shape: list = []
+        self.face: list = []
+        self.begun = 0
+
+    def fits(self, now: int, boxes: np.ndarray, shapes: list, faces: list) -> np.ndarray:
+        """Rows (fit, live track, box) of what may go together, best fit first."""
+        guess = self.box + self.speed * (now - self.slot)[:, None]
+        fit = overlaps(guess, boxes)
+        for t, b in np.argwhere(fit >= self.min_iou):
+            fit[t, b] *= agreement(self.shape[t], shapes[b])
+            if alike(self.face[t], faces[b]) < self.veto:
+                fit[t, b] = -1.0
+        t, b = np.nonzero(fit >= self.min_iou)
+        return np.stack([fit[t, b], t, b], axis=1)[np.lexsort((b, t, -fit[t, b]))]
+
+    def place(self, now: int, boxes: np.ndarray, shapes: list, faces: list) -> np.ndarray:
+        """Track numbers of the boxes of a slot."""
+        self.keep(now - self.slot <= self.max_gap)
+        to = np.full(len(boxes), -1)
+        used: set[int] = set()
+        for _, t, b in self.fits(now, boxes, shapes, faces):
+            t, b = int(t), int(b)
+            if t not in used and to[b] < 0:
+                used.add(t)
+                to[b] = t
+        old = np.flatnonzero(to >= 0)
+        at = to[old]
+        self.speed[at] = (boxes[old] - self.box[at]) / np.maximum(now - self.slot[at], 1)[:, None]
+        self.box[at], self.slot[at] = boxes[old], now
+        for t, b in zip(at.tolist(), old.tolist()):
+            self.shape[t], self.face[t] = shapes[b], faces[b]
+        fresh = np.flatnonzero(to < 0)
+        out = np.where(to >= 0, self.number[to] if len(self.number) else 0, 0)
+        out[fresh] = self.begun + np.arange(len(fresh))
+        self.begun += len(fresh)
+        self.number, self.slot = np.append(self.number, out[fresh]), np.append(self.slot, np.full(len(fresh), now))
+        self.box, self.speed = np.concatenate([self.box, boxes[fresh]]), np.concatenate([self.speed, np.zeros((len(fresh), 4))])
+        self.shape += [shapes[b] for b in fresh]
+        self.face += [faces[b] for b in fresh]
+        return out
+
+    def keep(self, alive: np.ndarray) -> None:
+        self.number, self.slot, self.box, self.speed = self.number[alive], self.slot[alive], self.box[alive], self.speed[alive]
+        self.shape, self.face = ([x for x, on in zip(some, alive) if on] for some in (self.shape, self.face))
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of every box of `a` with every one of `b`."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    both = np.prod(np.clip(high - low, 0, None), axis=2)
+    union = np.prod(a[:, 2:] - a[:, :2], axis=1)[:, None] + np.prod(b[:, 2:] - b[:, :2], axis=1)[None, :] - both
+    return np.divide(both, union, out=np.zeros_like(union), where=union > 0)
+
+
+def agreement(a, b) -> float:
+    """1 for equal shapes (points in box coordinates) down to 0 at a mean distance of 0.5; 1 if one is missing."""
+    if a is None or b is None:
+        return 1.0
+    return max(0.0, 1.0 - float(np.hypot(*(np.asarray(a) - np.asarray(b)).T).mean()) / 0.5)
+
+
+def alike(a, b) -> float:
+    """Cosine of two face vectors; 1 if one is missing."""
+    if a is None or b is None:
+        return 1.0
+    size = float(np.linalg.norm(a) * np.linalg.norm(b))
+    return float(np.dot(a, b)) / size if size > 0 else 1.0
+
+
+def track_boxes(rows: DataFrame, source: str, min_iou: float = 0.2, max_gap: int = 2, veto: float = 0.2) -> DataFrame:
     """Rows (source, slot, id, x0, y0, x1, y1) with `track`: in each slot, boxes continue the live
-    tracks they fit best (moved on at their last speed), best first; the rest begin new tracks.
+    tracks that they fit best (moved on at their last speed), best first; the rest begin new tracks.
+    A fit is the overlap times the agreement of `landmarks` (in box coordinates), and a track is not
+    continued by a face whose `vector` has a cosine below `veto` to its last one; both columns are optional.
 
-    A source is one ordered sequence and is held by one task.
+    A silence of more than max_gap slots ends all tracks, so a source falls into sessions that tasks
+    take separately. A session is read in order from a sorted partition: a task holds the live tracks
+    and one slot, whatever its length. Numbers count on through a source.
     """
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["slot", "id"], kind="stable")
-        box = part[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        slots, out = part["slot"].to_numpy(), np.zeros(len(part), np.int64)
-        live: list[list] = []  # track, slot, box, speed
-        count, begin = 0, 0
-        for end in np.append(np.flatnonzero(np.diff(slots)) + 1, len(slots)).tolist():
-            now, here = int(slots[begin]), box[begin:end]
-            live = [t for t in live if now - t[1] <= max_gap]
-            free = set(range(len(here)))
-            if live:
-                fit = _overlap(np.array([t[2] + t[3] * (now - t[1]) for t in live]), here)
-                while fit.max(initial=-1.0) >= min_iou:
-                    r, c = np.unravel_index(int(fit.argmax()), fit.shape)
-                    t = live[r]
-                    t[3] = (here[c] - t[2]) / max(now - t[1], 1)
-                    t[1], t[2] = now, here[c]
-                    out[begin + c] = t[0]
-                    fit[r, :] = fit[:, c] = -1
-                    free.discard(int(c))
-            for c in sorted(free):
-                live.append([count, now, here[c], np.zeros(4)])
-                out[begin + c] = count
-                count += 1
-            begin = end
-        return part.assign(track=out)
-
-    schema = T.StructType([*rows.schema.fields, T.StructField("track", T.LongType())])
-    return rows.groupBy(source).applyInPandas(one, schema)
-
-
-def select_kept(rows: DataFrame, track: list[str], keep: int, min_score: float, min_gap: int = 2) -> DataFrame:
-    """Best faces of each track (score, merit, slot, id): good ones first and spread out, then filled up.
-    Tracks of one source (the first key) are handled together in a task."""
-
-    def chosen(score: list[float], slots: list[int]) -> list[int]:
-        good = [i for i in range(len(score)) if score[i] >= min_score]
-        if not good:
-            return [0][:keep]
-        kept: list[int] = []
-        for spread in (True, False):
-            for i in good:
-                if len(kept) < keep and i not in kept and (not spread or all(abs(slots[i] - slots[k]) >= min_gap for k in kept)):
-                    kept.append(i)
-        return kept
-
-    def source(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([*track[1:], "merit", "id"], ascending=[True] * len(track[1:]) + [False, True], kind="stable")
-        number = part.groupby(track[1:], sort=False).ngroup().to_numpy() if len(track) > 1 else np.zeros(len(part))
-        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), len(part)]
-        score, slots = part["score"].tolist(), part["slot"].tolist()
-        return part.iloc[[a + i for a, b in zip(cuts, cuts[1:]) for i in chosen(score[a:b], slots[a:b])]]
-
-    return rows.groupBy(track[0]).applyInPandas(source, rows.schema)
-
-
-def encounters(stream: DataFrame, source: str, max_gap: int) -> DataFrame:
-    """Closed encounters (source, first_slot, last_slot, seen) of a stream (source, slot), late rows
-    dropped by the caller's watermark. Needs no more state than one row a source."""
+    names = [c for c in ("landmarks", "vector") if c in rows.columns]
+    sessions = gap_sessions(rows, source, "slot", "id", max_gap)
+
+    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, live, rest = None, Tracks(min_iou, max_gap, veto), None
+
+        def placed(part: pd.DataFrame) -> pd.DataFrame:
+            nonlocal key, live
+            out = []
+            for who, group in part.groupby([source, "session", "slot"], sort=False, dropna=False):
+                if who[:2] != key:
+                    key, live = who[:2], Tracks(min_iou, max_gap, veto)
+                given = [group[c].tolist() if c in names else [None] * len(group) for c in ("landmarks", "vector")]
+                shapes = [None if x is None else np.stack([np.asarray(p, float) for p in x]) for x in given[0]]
+                out.append(group.assign(track=live.place(int(who[2]), group[["x0", "y0", "x1", "y1"]].to_numpy(float), shapes, given[1])))
+            return pd.concat(out)
+
+        for part in parts:
+            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
+            last = (part[[source, "session", "slot"]] == part[[source, "session", "slot"]].iloc[-1]).all(axis=1)
+            rest = part[last]  # the last slot may go on in the next batch
+            if not last.all():
+                yield placed(part[~last])
+        if rest is not None and len(rest):
+            yield placed(rest)
+
+    schema = T.StructType([*sessions.schema.fields, T.StructField("track", T.LongType())])
+    found = sessions.repartition(source, "session").sortWithinPartitions(source, "session", "slot", "id").mapInPandas(task, schema)
+    many = found.groupBy(source, "session").agg((F.max("track") + 1).alias("_n"))
+    before = Window.partitionBy(source).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
+    base = many.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    out = found.join(base, [source, "session"]).withColumn("track", F.col("track") + F.col("_base"))
+    return out.select(*rows.columns, "track")
+
+
+def select_kept(rows: DataFrame, track: Sequence[str], keep: int, min_score: float, min_gap: int = 2, chunk: str | None = None, lifetime: int | None = None) -> DataFrame:
+    """Best faces of each track (score, merit, slot, id; one row a slot): good ones at least `min_gap`
+    slots apart in the order of merit, then more good ones until `keep`; the best alone if none is good.
+    With `chunk`, so many of each chunk of a track, and of these the first `lifetime` of the track.
+
+    Every face kept keeps others from at most 2 * (min_gap - 1) slots, so a number of best rows that
+    depends on the parameters alone decides; only these are put into an array.
+    """
+    keys = [*track, *([chunk] if chunk else [])]
+    enough = 1 + (keep - 1) * (1 + 2 * (min_gap - 1)) + keep
+    good = F.col("score") >= min_score
+    order = Window.partitionBy(*keys).orderBy(F.desc("_good"), F.desc("merit"), "id")
+    best = rows.withColumn("_good", good).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= enough)
+    some = best.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_rank", "_good", F.struct(*rows.columns).alias("row")))).alias("all"))
+    fine = F.filter("all", lambda x: x["_good"])
+    none = F.slice(fine, 1, 0)
+    room = lambda kept: F.size(kept) < keep
+    apart = lambda kept, x: F.forall(kept, lambda k: F.abs(k["row"]["slot"] - x["row"]["slot"]) >= min_gap)
+    spread = F.aggregate("fine", none, lambda kept, x: F.when(room(kept) & apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    filled = F.aggregate("fine", F.col("spread"), lambda kept, x: F.when(room(kept) & ~F.exists(kept, lambda k: k["_rank"] == x["_rank"]), F.concat(kept, F.array(x))).otherwise(kept))
+    picked = some.withColumn("fine", fine).withColumn("spread", spread).withColumn("filled", F.when(F.size("fine") == 0, F.slice("all", 1, min(keep, 1))).otherwise(filled))
+    out = picked.select(*keys, F.posexplode("filled").alias("_at", "x")).select(*keys, "_at", "x.row")
+    if lifetime is not None:
+        life = Window.partitionBy(*track).orderBy(*([chunk] if chunk else []), "_at")
+        out = out.withColumn("_n", F.row_number().over(life)).where(F.col("_n") <= lifetime)
+    return out.select("row.*")
+
+
+def encounters(stream: DataFrame, source: str, ts: str, rate: float, max_gap: int, gap: str | None = None) -> DataFrame:
+    """Closed encounters (source, first_slot, last_slot, seen) of a stream (source, ts) with a watermark
+    on `ts`; an encounter ends at a silence of more than max_gap slots or at a row marked `gap`.
+
+    State is one row a source with an open encounter. When the watermark has passed the longest silence
+    the encounter is emitted and the state dropped; rows behind the watermark are dropped by Spark.
+    """
+    rows = stream.select(source, ts, slot(F.col(ts), rate).alias("slot"), (F.col(gap) if gap else F.lit(False)).alias("gap"))
 
     def closing(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        first, last, seen = state.get if state.exists else (None, None, 0)
         out = []
-        slots = sorted(x for part in parts for x in part["slot"].tolist())
-        for x in slots:
-            if last is not None and x - last > max_gap:
-                out.append((key[0], first, last, seen))
-                first, seen = None, 0
-            first, last, seen = x if first is None else first, max(x, last if last is not None else x), seen + 1
-        state.update((first, last, seen))
+        if state.hasTimedOut:
+            out.append((key[0], *state.get))
+            state.remove()
+        else:
+            open_ = state.get if state.exists else None
+            seen = sorted((x, not g) for part in parts for x, g in zip(part["slot"].tolist(), part["gap"].tolist()))
+            for x, real in seen:
+                if open_ is not None and (not real or x - open_[1] > max_gap):
+                    out.append((key[0], *open_))
+                    open_ = None
+                if real:
+                    open_ = (x, x, 1) if open_ is None else (min(x, open_[0]), max(x, open_[1]), open_[2] + 1)
+            if open_ is None:
+                state.remove() if state.exists else None
+            else:
+                state.update(open_)
+                until = int((open_[1] + max_gap + 1) / rate * 1000)
+                state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[source, "first_slot", "last_slot", "seen"])
 
     kind = stream.schema[source].dataType.simpleString()
-    return stream.groupBy(source).applyInPandasWithState(
-        closing, f"{source} {kind}, first_slot long, last_slot long, seen long", "first long, last long, seen long", "append", GroupStateTimeout.NoTimeout
+    return rows.groupBy(source).applyInPandasWithState(
+        closing, f"{source} {kind}, first_slot long, last_slot long, seen long", "first long, last long, seen long", "append", GroupStateTimeout.EventTimeTimeout
     )
