@@ -44,27 +44,26 @@ def difference_hash(grey: Column, width: int, height: int) -> Column:
 
 
 def near_pairs(prints: DataFrame, bits: int) -> DataFrame:
-    """(a, b): pictures (picture_id, bits), a before b, at most `bits` apart. By pigeonhole they agree in one
-    of bits + 1 bands, which makes it an equi-join; pictures of equal prints are compared as one."""
-    own = prints.groupBy("bits").agg(F.min("picture_id").alias("picture_id"))
+    """(a, b): pictures (picture_id, bits: each once), a before b, at most `bits` apart. By pigeonhole they
+    agree in one of bits + 1 bands, which makes it an equi-join."""
     edges = [64 * k // (bits + 1) for k in range(bits + 2)]
     band = F.array(*(F.struct(F.lit(k).alias("k"), F.call_function("shiftrightunsigned", F.col("bits"), F.lit(lo)).bitwiseAND((1 << (hi - lo)) - 1).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))))
-    keys = own.select("picture_id", "bits", F.explode(band).alias("key"))
+    keys = prints.select("picture_id", "bits", F.explode(band).alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.picture_id") < F.col("b.picture_id")))
     near = met.where(F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= bits)
-    found = near.select(F.col("a.picture_id").alias("a"), F.col("b.picture_id").alias("b")).distinct()
-    same = prints.join(own.withColumnRenamed("picture_id", "a"), "bits").where("picture_id <> a").select("a", F.col("picture_id").alias("b"))
-    return found.unionByName(same)
+    return near.select(F.col("a.picture_id").alias("a"), F.col("b.picture_id").alias("b")).distinct()
 
 
 def first_of_near(prints: DataFrame, bits: int) -> DataFrame:
     """(picture_id, kept): in order, a picture is kept unless it is within `bits` of one kept before it.
 
-    Pictures of one print share their first one's fate but for being kept. A round keeps what no undecided
-    earlier picture is near to and drops what is near a kept one; tables between rounds are written."""
-    edges = staged(near_pairs(prints, bits), "near")
-    left = staged(prints.select("picture_id"), "left")
+    Only the first picture of a print can be kept: what drops it drops its copies too. A round keeps what
+    no undecided earlier picture is near to and drops what is near a kept one; tables between rounds are
+    written."""
+    own = staged(prints.groupBy("bits").agg(F.min("picture_id").alias("picture_id")), "prints")
+    edges = staged(near_pairs(own, bits), "near")
+    left = staged(own.select("picture_id"), "left")
     kept = left.where(F.lit(False))
     while not left.isEmpty():
         open_ = edges.join(left.withColumnRenamed("picture_id", "a"), "a", "left_semi").select(F.col("b").alias("picture_id"))

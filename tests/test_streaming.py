@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from recallspark.sources.shipping import ship
 from recallspark.streaming.sequence import encounters
 
-ROWS = [(s, x) for s, slots in (("a", [0, 1, 2, 9, 10, 30]), ("b", [5, 8, 11, 14]), ("c", [1, 50])) for x in slots]
+#: (source, seconds, gap marker); a slot is a second, and the last batch only moves the watermark on.
+ROWS = [(s, x, False) for s, slots in (("a", [0, 1, 2, 9, 10, 30]), ("b", [5, 8, 11, 14]), ("c", [1, 50])) for x in slots]
+ROWS += [("d", 2, False), ("d", 3, True), ("d", 4, False), ("d", 5, False)]
+LAST = [("z", 500, False), ("z", 501, False)]
 
 
 def closed(max_gap: int) -> list[tuple]:
     out, open_ = [], {}
-    for s, x in sorted(ROWS):
-        first, last, seen = open_.get(s, (x, x, 0))
-        if x - last > max_gap:
-            out.append((s, first, last, seen))
-            first, seen = x, 0
-        open_[s] = first, x, seen + 1
-    return sorted(out)
+    for s, x, gap in sorted(ROWS):
+        now = open_.pop(s, None)
+        if now and (gap or x - now[1] > max_gap):
+            out.append((s, *now))
+            now = None
+        if not gap:
+            open_[s] = (now[0], x, now[2] + 1) if now else (x, x, 1)
+    return sorted(out + [(s, *now) for s, now in open_.items()])
 
 
 def test_encounters(spark, tmp_path):
     ship(spark)
-    for k, (lo, hi) in enumerate(((0, 6), (6, 12), (12, 99))):
-        part = [r for r in ROWS if lo <= r[1] < hi]
-        spark.createDataFrame(part, "source string, slot long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"k={k}"))
-    stream = spark.readStream.schema("source string, slot long, k int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = encounters(stream.select("source", "slot"), "source", 3).writeStream.format("memory").queryName("met").outputMode("append")
-    query.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(100)
-    assert sorted(tuple(r) for r in spark.table("met").collect()) == closed(3)
+    parts = [[r for r in ROWS if lo <= r[1] < hi] for lo, hi in ((0, 6), (6, 12), (12, 99))] + [LAST[:1], LAST[1:]]
+    for k, part in enumerate(parts):
+        rows = [(s, datetime.fromtimestamp(1000 + x, UTC), g) for s, x, g in part]
+        spark.createDataFrame(rows, "source string, ts timestamp, gap boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"k={k}"))
+    stream = spark.readStream.schema("source string, ts timestamp, gap boolean, k int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = encounters(stream.withWatermark("ts", "20 seconds").select("source", "ts", "gap"), "source", "ts", 1.0, 3, "gap")
+    query = found.writeStream.format("memory").queryName("met").outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+    query.trigger(availableNow=True).start().awaitTermination(100)
+    got = sorted((r["source"], r["first_slot"] - 1000, r["last_slot"] - 1000, r["seen"]) for r in spark.table("met").collect())
+    assert got == closed(3)  # also those that were open when their source fell silent
