@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from recallspark.llm import language_id, line_dedup, packing, similar, suffix_dedup
 from recallspark.llm.tables import table
 from recallspark.sources.shipping import ship
-from recallspark.sources.staging import staged
+from recallspark.sources.staging import discard, mark, staged
 
 
 #: Bytes of a passage that repeats: fewer than those of any passage of over 50 words in the given corpora.
@@ -57,13 +57,14 @@ STAGES = [
     ("packing", _shipped(pack_sequences)),
 ]
 
-#: Language models, fingerprint classes and tokenizers are not expressible in SQL; tests/llm holds
-#: every stage against a brute-force version.
+#: Language models, fingerprint classes and tokenizers are not expressible in SQL; tests/llm holds the operator
+#: of every stage against a brute-force version or held-out labels, and each stage's result on its edge cases.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), mark()
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
+        discard(spark, since, keep=docs)  # what this stage wrote on the way, and its input
     return docs

@@ -239,6 +239,22 @@ def gap_sessions(spark, d):
     return _sessions(spark, d).groupBy("user_id", "session").agg(F.count("*").alias("seen"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
 
 
+@query("""WITH s AS (SELECT event_id, user_id, event_type, floor(epoch_us(ts) / 1e6 * (1.0::double / 60))::bigint AS slot FROM events),
+n AS (SELECT *, row_number() OVER w AS no, slot - lag(slot) OVER w AS silence, coalesce(lag(event_type) OVER w = 'error', true) AS fresh FROM s WINDOW w AS (PARTITION BY user_id ORDER BY slot, event_type <> 'error')),
+g AS (SELECT *, sum(CASE WHEN fresh OR silence > 120 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY no) AS session FROM n),
+e AS (SELECT user_id, session, min(slot) AS first_slot, max(slot) AS last_slot, count(*) AS seen, max(session) OVER (PARTITION BY user_id) AS last_session FROM g WHERE event_type <> 'error' GROUP BY user_id, session),
+m AS (SELECT *, (last_slot + 121) * 60000 AS until, (SELECT max(epoch_us(ts) // 1000) - 3600000 FROM events) AS mark FROM e)
+SELECT user_id, first_slot, last_slot, seen FROM m WHERE session < last_session OR until < mark
+ OR EXISTS (SELECT 1 FROM g WHERE g.user_id = m.user_id AND g.event_type = 'error' AND g.slot >= m.last_slot)""")
+def stream_encounters(spark, d):
+    """The events as a stream: encounters of a source that a silence of two hours, an error or the watermark
+    has closed."""
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")  # a pattern, as the table may be one file
+    rows = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("gap"))
+    return sequence.drained(sequence.encounters(rows.withWatermark("ts", "1 hour"), "user_id", "ts", 1 / 60, 120, "gap"), "encounters")
+
+
 def _slotted(spark, d):
     """Detections with five landmarks and a face vector, some without."""
     x, y, w, h = F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from recallspark.sources.staging import shared_dir
+
 
 def slot(ts: Column, rate: float) -> Column:
     return F.floor(F.unix_micros(ts.cast("timestamp")) / 1e6 * rate)
@@ -218,3 +221,12 @@ def encounters(stream: DataFrame, source: str, ts: str, rate: float, max_gap: in
     return rows.groupBy(source).applyInPandasWithState(
         closing, f"{source} {kind}, first_slot long, last_slot long, seen long", "first long, last long, seen long", "append", GroupStateTimeout.EventTimeTimeout
     )
+
+
+def drained(stream: DataFrame, name: str) -> DataFrame:
+    """What a stream gives for all that its source holds now: run to the end into a table of the shared folder."""
+    spark = stream.sparkSession
+    where = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{where}/state").trigger(availableNow=True).start(f"{where}/rows")
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/rows")
