@@ -641,3 +641,18 @@ def policy_modes(spark, d):
     raw = F.when(key % 3 == 0, '{"calibration": {"mode": "off", "match_threshold": 2.0}}').when(key % 3 == 1, '{"calibration": {"mode": "on", "match_threshold": 0.5}}').otherwise("not json")
     at = F.get_json_object(raw, "$.calibration.match_threshold").cast("double")
     return table(spark, d, "events").select("event_id", at.alias("threshold"), F.coalesce(at <= 1, F.lit(False)).alias("automatic"))
+
+
+@query("SELECT user_id, count(*) AS frames, count(DISTINCT floor(epoch_us(ts) / 1e6 * 0.001)) AS kept, count(*) - count(DISTINCT floor(epoch_us(ts) / 1e6 * 0.001)) AS dropped FROM events GROUP BY 1")
+def dropped_frames(spark, d):
+    """Frames that a source which takes the latest one of a slot leaves out."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 * 0.001)
+    counts = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("frames"), F.countDistinct(at).alias("kept"))
+    return counts.withColumn("dropped", F.col("frames") - F.col("kept"))
+
+
+@query(with_views("reps") + "SELECT identity_id, min(id) AS id FROM reps WHERE state = 'ERASING' AND id % 29 <> 0 AND identity_id IS NOT NULL GROUP BY 1")
+def erased_faces(spark, d):
+    """Erased faces of the previous generation, one an observation."""
+    gone = views.snapshot(spark, d).where("state = 'ERASING' and identity_id is not null")
+    return relational.latest(gone.select("identity_id", "id"), ["identity_id"], [F.asc("id")])
