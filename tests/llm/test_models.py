@@ -149,6 +149,17 @@ def test_quality_keeps_good_documents(spark):
     assert np.mean([out[r["doc_id"]]["kept"] for r in marks if r["quality"] == 1]) >= 0.98
 
 
+def test_quality_verdict_on_held_out_labels(spark):
+    """Calibrated on the labels of even ids, judged on those of odd ones."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    forest = quality_rules.train(docs, labels.where("doc_id % 2 = 0"))
+    out = {r["doc_id"]: r for r in quality_rules.judge(docs, forest).collect()}
+    marks = [r for r in labels.where("doc_id % 2 = 1 and quality is not null").collect() if not out[r["doc_id"]]["base_failed"]]
+    assert np.mean([out[r["doc_id"]]["kept"] for r in marks if r["quality"] == 1]) >= 0.95
+    same = quality_rules.judge(frame(spark, [(k, "ties and " * 40_000) + (None,) * 6 for k in (1, 1, None)]), forest).collect()
+    assert len({(r["n_words"], r["anomaly"], r["kept"]) for r in same}) == 1 and same[0]["n_words"] == 80_000
+
+
 def test_quality_edges(spark):
     docs, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     forest = quality_rules.train(docs, labels)

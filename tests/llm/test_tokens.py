@@ -105,6 +105,16 @@ def test_chunks_give_the_same_best_paths(spark, chunk):
         assert back[did] == text and value[did] == (best_value(model, pieces.normalised(text)), len(text))
 
 
+def test_about_as_many_pieces_as_the_library():
+    import sentencepiece
+
+    model, library = pieces.Pieces(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    text = ["the house is big, and the people of the old town were happy to see it.", "La maison est grande et les gens sont contents.", "Das Haus ist alt, und die Leute sind froh."]
+    ours, theirs = (sum(n) for n in ([len(model.encode(x)[1]) // 4 for x in text], [len(library.encode(x)) for x in text]))
+    assert ours <= 1.03 * theirs
+    assert [library.id_to_piece(i) for i in np.frombuffer(model.encode("the house is big")[1], "<u4").tolist()] == ["▁the", "▁house", "▁is", "▁big"]
+
+
 def test_digest_edges(spark):
     assert pieces.digest(pieces.encode(table(spark, []), PIECES), PIECES).count() == 0
     out = pieces.digest(pieces.encode(table(spark, [(None, None), (5, "x"), (5, "x")]), PIECES), PIECES).collect()
