@@ -186,11 +186,12 @@ def document_prints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness.
 
     A NULL text is empty; NULL doc_ids come last in the descending order; rows that share a doc_id
-    are ordered by their text; a single document is its own next one; an empty table gives an empty
+    are ordered by the hash of their text; a single document is its own next one; an empty table gives an empty
     result; other columns are ignored.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(order[0]).sortWithinPartitions(*order)
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc(), F.col("text").asc_nulls_first()]
+    # ranges by id and hash: rows without an id, or many of one id, fall into ranges too
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     table = staged(rows.mapInArrow(_stream, _ENDS), "prints")
     ends = table.where("part is not null").select("part", "first", "last_id", "last")
     # as many rows as partitions: the next partition's first text, and for the last the very first

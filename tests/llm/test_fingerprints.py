@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import random
 
+import xxhash
+
 from recallspark.llm import document_prints as dp
 from tests.llm.corpus import frame, rows
 
@@ -47,3 +49,15 @@ def test_empty_single_and_null(spark):
     assert one["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and one["near_next"] == 1.0
     twice = dp.document_prints(frame(spark, [(None, None) + (None,) * 6] * 2 + [(3, "same") + (None,) * 6] * 2)).collect()
     assert sorted(str(r["doc_id"]) for r in twice) == ["3", "3", "None", "None"]
+
+
+def test_rows_of_one_id_are_ordered_by_the_hash_of_their_text(spark):
+    texts = [f"text {k} of many without an id " * (k % 5 + 1) for k in range(60)]
+    data = [(None if k % 3 else 7, x) + (None,) * 6 for k, x in enumerate(texts)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    order = sorted(data, key=lambda r: (r[0] is None, signed(xxhash.xxh64_intdigest(r[1].encode(), 42))))
+    want = set()
+    for k, r in enumerate(order):
+        after, cut = order[(k + 1) % len(order)][1], len(r[1]) // 3
+        want.add((r[0], hashlib.sha256((r[1][: len(r[1]) - cut] + after[:cut]).encode()).hexdigest()))
+    assert {(r["doc_id"], r["edited_sha256"]) for r in dp.document_prints(frame(spark, data)).collect()} == want
