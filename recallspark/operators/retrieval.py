@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of queries and of a block of the gallery, and queries scored at a time.
-BLOCK, GALLERY, LANES = 4096, 32_768, 512
+#: Rows of a block of queries, of the gallery and of rows that all pairs are counted of, and queries scored at a time.
+BLOCK, GALLERY, PAIRED, LANES = 4096, 32_768, 1024, 512
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -146,7 +146,7 @@ def pair_scores(rows: DataFrame) -> DataFrame:
                 parts.append((np.full(len(value), genuine), value, n))
         return _table(parts, _COUNTS)
 
-    own, n = [_vectors(rows, "id", F.col("identity").cast("long").alias("identity")) for _ in range(2)], _blocks(rows, BLOCK)
+    own, n = [_vectors(rows, "id", F.col("identity").cast("long").alias("identity")) for _ in range(2)], _blocks(rows, PAIRED)
     return _meet(*own, (n, n), ("id", "id"), task, _COUNTS).groupBy("genuine", "s").agg(F.sum("n").alias("n"))
 
 

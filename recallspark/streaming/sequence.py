@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from recallspark.sources.staging import shared_dir
+from recallspark.sources.staging import shared_dir, staged
 
 
 def slot(ts: Column, rate: float) -> Column:
@@ -56,6 +56,8 @@ class Tracks:
             if alike(self.face[t], faces[b]) < self.veto:
                 fit[t, b] = -1.0
         t, b = np.nonzero(fit >= self.min_iou)
+        if not len(t):
+            return np.zeros((0, 3))
         return np.stack([fit[t, b], t, b], axis=1)[np.lexsort((b, t, -fit[t, b]))]
 
     def place(self, now: int, boxes: np.ndarray, shapes: list, faces: list) -> np.ndarray:
@@ -130,14 +132,17 @@ def track_boxes(rows: DataFrame, source: str, min_iou: float = 0.2, max_gap: int
 
         def placed(part: pd.DataFrame) -> pd.DataFrame:
             nonlocal key, live
-            out = []
-            for who, group in part.groupby([source, "session", "slot"], sort=False, dropna=False):
-                if who[:2] != key:
-                    key, live = who[:2], Tracks(min_iou, max_gap, veto)
-                given = [group[c].tolist() if c in names else [None] * len(group) for c in ("landmarks", "vector")]
-                shapes = [None if x is None else np.stack([np.asarray(p, float) for p in x]) for x in given[0]]
-                out.append(group.assign(track=live.place(int(who[2]), group[["x0", "y0", "x1", "y1"]].to_numpy(float), shapes, given[1])))
-            return pd.concat(out)
+            keys = list(zip(*(part[c].tolist() for c in (source, "session", "slot"))))
+            box = part[["x0", "y0", "x1", "y1"]].to_numpy(float)
+            marks, faces = ([part[c].tolist() if c in names else [None] * len(part)][0] for c in ("landmarks", "vector"))
+            marks = [None if x is None else np.stack([np.asarray(p, float) for p in x]) for x in marks]
+            cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
+            out = np.zeros(len(keys), np.int64)
+            for lo, hi in zip(cuts, cuts[1:]):
+                if keys[lo][:2] != key:
+                    key, live = keys[lo][:2], Tracks(min_iou, max_gap, veto)
+                out[lo:hi] = live.place(int(keys[lo][2]), box[lo:hi], marks[lo:hi], faces[lo:hi])
+            return part.assign(track=out)
 
         for part in parts:
             part = part if rest is None else pd.concat([rest, part], ignore_index=True)
@@ -149,7 +154,7 @@ def track_boxes(rows: DataFrame, source: str, min_iou: float = 0.2, max_gap: int
             yield placed(rest)
 
     schema = T.StructType([*sessions.schema.fields, T.StructField("track", T.LongType())])
-    found = sessions.repartition(source, "session").sortWithinPartitions(source, "session", "slot", "id").mapInPandas(task, schema)
+    found = staged(sessions.repartition(source, "session").sortWithinPartitions(source, "session", "slot", "id").mapInPandas(task, schema), "tracked")
     many = found.groupBy(source, "session").agg((F.max("track") + 1).alias("_n"))
     before = Window.partitionBy(source).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
     base = many.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
