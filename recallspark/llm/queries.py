@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import document_prints, language_id, line_dedup, packing, pieces, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
+from recallspark.llm import document_prints, filter_audit, language_id, line_dedup, packing, pieces, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
 from recallspark.llm.tables import table
 from recallspark.sources.shipping import ship
 
@@ -65,6 +65,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(table(ship(spark), sf_dir, "documents"), path), path)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup, op2_language_id, op3_document_fingerprints, op4_line_dedup, op5_simhash_near_dedup,
-        op6_packing, op7_suffix_array_dedup, op8_toxicity, op9_quality_rules, op10_sentencepiece, pipeline,
+        op6_packing, op7_suffix_array_dedup, op8_toxicity, op9_quality_rules, op10_sentencepiece, op13_filter_audit, pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -123,4 +127,25 @@ t AS (SELECT l0.doc_id, count(*) AS n, count(gone.no) AS cut, string_agg(line, c
       FROM l0 LEFT JOIN gone ON gone.doc_id = l0.doc_id AND gone.no = l0.no GROUP BY l0.doc_id)
 SELECT doc_id, coalesce(t.n, 0)::BIGINT AS n_lines, coalesce(t.cut, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
 FROM documents LEFT JOIN t USING (doc_id)""",
+    "op13_filter_audit": rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+f AS (SELECT part, doc_id, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+             100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+             coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY text) AS e FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')) AS failed FROM f LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, failed, count(*) AS n, count(*) FILTER (good) AS ng, count(*) FILTER (toxic) AS nt FROM x GROUP BY ALL),
+z AS (SELECT unnest(string_split('ABCDE', '')) AS k),
+o AS (SELECT a.k || b.k || c.k || d.k || e.k AS filter_order FROM z a, z b, z c, z d, z e
+      WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6))::INTEGER AS step FROM o),
+p AS (SELECT part, filter_order, step, filter_order[step] AS filter, failed, n, ng, nt, contains(failed, filter_order[step]) AS own,
+             len(list_filter(string_split(failed, ''), lambda k: k <> '' AND position(k IN filter_order) < step)) > 0 AS gone FROM g, s),
+r AS (SELECT part, filter_order, step, filter, coalesce(sum(n) FILTER (NOT own AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (own AND NOT gone), 0) AS removed,
+             coalesce(sum(n) FILTER (own AND gone), 0) AS redundant, coalesce(sum(n) FILTER (failed = filter), 0) AS unique_fails,
+             coalesce(sum(ng) FILTER (own AND NOT gone), 0) AS good_lost, coalesce(sum(nt) FILTER (own AND NOT gone), 0) AS toxic_lost FROM p GROUP BY ALL)
+SELECT part, filter_order, step, filter, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+       good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley
+FROM r""",
 }
