@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import document_prints, filter_audit, language_id, line_dedup, packing, pieces, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
+from recallspark.llm import document_prints, filter_audit, language_id, line_dedup, packing, pieces, quality_rules, simhash, substring_dedup, suffix_dedup, token_groups, toxicity
 from recallspark.llm.tables import table
 from recallspark.sources.shipping import ship
 
@@ -65,6 +65,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(table(ship(spark), sf_dir, "documents"), path), path)
 
 
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_groups.jaccard_join(table(ship(spark), sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -78,7 +82,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup, op2_language_id, op3_document_fingerprints, op4_line_dedup, op5_simhash_near_dedup,
-        op6_packing, op7_suffix_array_dedup, op8_toxicity, op9_quality_rules, op10_sentencepiece, op13_filter_audit, pipeline,
+        op6_packing, op7_suffix_array_dedup, op8_toxicity, op9_quality_rules, op10_sentencepiece, op12_jaccard_join, op13_filter_audit, pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -127,6 +131,16 @@ t AS (SELECT l0.doc_id, count(*) AS n, count(gone.no) AS cut, string_agg(line, c
       FROM l0 LEFT JOIN gone ON gone.doc_id = l0.doc_id AND gone.no = l0.no GROUP BY l0.doc_id)
 SELECT doc_id, coalesce(t.n, 0)::BIGINT AS n_lines, coalesce(t.cut, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
 FROM documents LEFT JOIN t USING (doc_id)""",
+    "op12_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+t AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 2 THEN [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]
+                                        WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+k AS MATERIALIZED (SELECT doc_id, len(s) AS n, md5(unnest(s)) AS k FROM t),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM k a JOIN k b ON a.k = b.k AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+r(doc_id, c) AS (SELECT a, a FROM l UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.doc_id)
+SELECT t.doc_id, len(t.s)::BIGINT AS n_shingles, coalesce(m.c, t.doc_id) AS component_id
+FROM t LEFT JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
     "op13_filter_audit": rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
 f AS (SELECT part, doc_id, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
