@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recallspark.llm import document_prints, filter_audit, language_id, line_dedup, packing, pieces, quality_rules, simhash, substring_dedup, suffix_dedup, token_groups, toxicity
+from recallspark.llm import document_prints, filter_audit, language_id, line_dedup, packing, pieces, prefix_trie, quality_rules, simhash, substring_dedup, suffix_dedup, token_groups, toxicity
 from recallspark.llm.tables import table
 from recallspark.sources.shipping import ship
 
@@ -65,6 +65,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(pieces.encode(table(ship(spark), sf_dir, "documents"), path), path)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = prefix_trie.prefix_trie(table(ship(spark), sf_dir, "conversations"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_groups.jaccard_join(table(ship(spark), sf_dir, "documents"))
 
@@ -82,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_substring_dedup, op2_language_id, op3_document_fingerprints, op4_line_dedup, op5_simhash_near_dedup,
-        op6_packing, op7_suffix_array_dedup, op8_toxicity, op9_quality_rules, op10_sentencepiece, op12_jaccard_join, op13_filter_audit, pipeline,
+        op6_packing, op7_suffix_array_dedup, op8_toxicity, op9_quality_rules, op10_sentencepiece, op11_prefix_trie, op12_jaccard_join, op13_filter_audit, pipeline,
     )
     return {f.__name__: f for f in found}
 
@@ -131,6 +136,24 @@ t AS (SELECT l0.doc_id, count(*) AS n, count(gone.no) AS cut, string_agg(line, c
       FROM l0 LEFT JOIN gone ON gone.doc_id = l0.doc_id AND gone.no = l0.no GROUP BY l0.doc_id)
 SELECT doc_id, coalesce(t.n, 0)::BIGINT AS n_lines, coalesce(t.cut, 0)::BIGINT AS n_removed, sha256(coalesce(t.kept, '')) AS kept_sha256
 FROM documents LEFT JOIN t USING (doc_id)""",
+    "op11_prefix_trie": rf"""
+WITH c AS (SELECT conv_id, list({{'k': md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 'w': len({_WORDS})}}
+                  ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS t
+           FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+b AS (SELECT conv_id, list_reduce(list_prepend(4294967295, [ascii(x)::BIGINT FOR x IN string_split(conv_id::VARCHAR, '')]), lambda a, x:
+        list_reduce(list_prepend(xor(a, x), [0::BIGINT FOR i IN range(8)]), lambda v, i: if(v & 1 = 1, xor(v >> 1, 3988292384), v >> 1))) AS a FROM c),
+h AS (SELECT conv_id, xor(a, 4294967295) % 4 AS h FROM b),
+r AS (SELECT c.conv_id, list_concat(coalesce(o.t, [])[1:h.h], c.t[h.h + 1:]) AS t
+      FROM c JOIN h USING (conv_id) LEFT JOIN c o ON o.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT conv_id, unnest(range(0, len(t) + 1)) AS d, t FROM r),
+n AS (SELECT d, array_to_string([x.k FOR x IN t[1:d]], '') AS k, any_value(array_to_string([x.k FOR x IN t[1:d - 1]], '')) AS up, any_value(CASE WHEN d > 0 THEN t[d].w ELSE 0 END) AS w,
+             count(*) AS n, min(conv_id) AS least, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(t) = d), '')) AS ends
+      FROM p GROUP BY ALL),
+q AS (SELECT up AS k, d - 1 AS d, count(*) AS children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(q.children, 0) AS children FROM n LEFT JOIN q USING (k, d)),
+s AS (SELECT a.k, a.d, count(*) FILTER (b.children = 0) AS leaves, sum((b.n - 1) * b.w) AS saved FROM m a JOIN m b ON starts_with(b.k, a.k) GROUP BY ALL)
+SELECT m.least AS conv_id, m.d::BIGINT AS depth, u.least AS parent_conv_id, m.n AS n_convs, m.children AS n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, m.ends AS ends_sha256
+FROM m JOIN s USING (k, d) LEFT JOIN m u ON m.d > 0 AND u.k = m.up AND u.d = m.d - 1""",
     "op12_jaccard_join": rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
 t AS (SELECT doc_id, list_distinct(CASE WHEN len(w) > 2 THEN [array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]
