@@ -5,23 +5,25 @@ and 0x09-0x0D) are skipped over and never deleted. All below counts lines with w
 
 1. *Select.* The unit of a line is the shortest run of lines from it on that holds `noise` words. A
    window is the units that start in `reach` words from a line on; its smallest unit hash (leftmost on
-   a tie) is a fingerprint. Runs of noise + reach words hold a whole window, so they are guaranteed
-   to have a fingerprint in common, at one offset, wherever they repeat; a longer single line is a
-   window by itself. Most windows share their fingerprint with their neighbours.
-2. *Join positions.* Each fingerprint's place is joined to the first place of the same unit (smallest
-   doc_id, then hash of the text, then line; a minimum with map-side combine, so a unit that a third of
-   all documents share is one row a task). The join back is an equi-join on written rows, which AQE
-   splits on a hot fingerprint.
-3. *Extend both ways*, line by line, as far as both places agree and up to the next fingerprint on
-   either side, which is joined by itself.
+   a tie) is a fingerprint. Runs of noise + reach words hold a whole window, so they have a
+   fingerprint in common, at one offset, wherever they repeat; a longer single line is a window by
+   itself. Most windows share their fingerprint with their neighbours.
+2. *Join positions.* Fingerprints that are selected once are dropped by an equi-join with their counts. A
+   place carries the lines of `reach` words before it and of noise + reach words after it: no shared run
+   of that length reaches farther beyond the first, the last and between two of its fingerprints.
+3. *Extend both ways.* Every run of lines that ends or begins with the unit, within what the place carries,
+   is a key; its first place (smallest doc_id, then hash of the text, then line) is a minimum with
+   map-side combine, so a run that a third of all documents share is one row a task. A run with an
+   earlier place repeats, whichever document that is in, so the longest match with any earlier place is
+   found without comparing places to each other. Joins back are equi-joins on written rows, which AQE
+   splits on a hot key.
 4. *Delete* the lines of the runs so found at the later place; the first place keeps them. Runs are
-   judged on the input.
+   judged on the input. A run of noise + reach words or more that repeats goes whole.
 
-Hashes are 60 bits of MD5; a run must agree in its unit hash and, apart from that, in the hash of each
-line. Defined results: a NULL text stays NULL and has no lines; a NULL doc_id sorts last; different texts
-of one doc_id or without any are documents of their own; rows that share doc_id and text get the same
-deletions; a text of fewer than `noise` words is kept; an empty table gives an empty result; other
-columns of the input are kept by `line_dedup` and ignored by `line_report`.
+Hashes are 60 bits of MD5. Defined results: a NULL text stays NULL and has no lines; a NULL doc_id sorts last;
+different texts of one doc_id or without any are documents of their own; rows that share doc_id and text get the
+same deletions; a text of fewer than `noise` words is kept; an empty table gives an empty result; other
+columns of the input are kept by `line_dedup`, whatever their names, and ignored by `line_report`.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ def _enough(sizes: Column, words: int) -> Column:
 
 def fingerprints(docs: DataFrame, noise: int = NOISE, reach: int = REACH) -> DataFrame:
     """(did, tie, fp, pos, unit, left, right): each selected unit, its first line and number of lines, and
-    the hashes of the lines before (nearest first) and from it on, up to the next fingerprints."""
+    the hashes of the lines before it (nearest first) and from it on, as far as a place carries them."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.struct(_many(x).alias("w"), _number(x).alias("h"))), lambda x: x["w"] > 0)
     own = docs.where("text is not null").select(_did().alias("did"), text_key(), lines.alias("l"))
     # Arrays that a lambda looks into are used twice or more and nothing filters on them (hence the outer
@@ -77,38 +79,41 @@ def fingerprints(docs: DataFrame, noise: int = NOISE, reach: int = REACH) -> Dat
         return i + F.array_position(some, F.array_min(some)).cast("int") - 1
 
     at = F.array_distinct(F.filter(F.transform(each, least), lambda p: p.isNotNull()))
-    own = own.select("did", "tie", "h", "k", "u", at.alias("at"))
+    own = own.select("did", "tie", "h", "w", "k", "u", at.alias("at"))
 
-    def place(p: Column, j: Column) -> Column:
-        before, after = F.coalesce(F.get("at", j - 1), F.lit(1)), F.coalesce(F.get("at", j + 1), F.size("h"))
-        before = F.when(j > 0, before).otherwise(F.lit(1))
-        after = F.greatest(after, p + F.get("k", p - 1) - 1)
+    def place(p: Column) -> Column:
+        low = F.greatest(F.lit(1), p - reach)
+        before = F.coalesce(_enough(F.reverse(F.slice("w", low, p - low)), reach), p - low)
+        after = F.coalesce(_enough(F.slice("w", p + 1, noise + reach), noise + reach), F.lit(noise + reach))
         return F.struct(
             F.get("u", p - 1).alias("fp"), (p - 1).alias("pos"), F.get("k", p - 1).alias("unit"),
-            F.reverse(F.slice("h", before, p - before)).alias("left"), F.slice("h", p, after - p + 1).alias("right"),
+            F.reverse(F.slice("h", p - before, before)).alias("left"), F.slice("h", p, after + 1).alias("right"),
         )
 
     return own.select("did", "tie", F.explode_outer(F.transform("at", place)).alias("p")).where("p is not null").select("did", "tie", "p.*")
 
 
-def _agree(a: Column, b: Column) -> Column:
-    """Number of leading elements in which two arrays agree."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("on"))
-    step = lambda s, same: F.when(s["on"] & same, F.struct((s["n"] + 1).alias("n"), F.lit(True).alias("on"))).otherwise(F.struct(s["n"].alias("n"), F.lit(False).alias("on")))
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), start, step, lambda s: s["n"])
+def _joined(hashes: Column) -> Column:
+    return F.array_join(F.transform(hashes, lambda x: x.cast("string")), ",")
 
 
 def repeated_runs(docs: DataFrame, noise: int = NOISE, reach: int = REACH, extend: bool = True) -> DataFrame:
     """(did, tie, a, b): runs of lines [a, b) that repeat an earlier place. Without `extend`, only the
     units of the fingerprints themselves."""
     places = staged(fingerprints(docs, noise, reach), "places")
-    first = places.groupBy("fp").agg(F.count("*").alias("n"), F.min(F.struct("did", "tie", "pos", "left", "right")).alias("f")).where("n > 1")
-    pairs = places.join(first.select("fp", "f"), "fp").where("did <> f.did or tie <> f.tie or pos <> f.pos")
-    back, on = (_agree(F.col(x), F.col(f"f.{x}")) for x in ("left", "right"))
-    runs = pairs.select("did", "tie", "pos", "unit", back.alias("back"), on.alias("on")).where("on >= unit")
+    many = places.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    places = places.join(many, "fp")
+    ahead, back = F.sequence(F.col("unit"), F.size("right")), F.sequence(F.lit(1), F.size("left"))
     if not extend:
-        runs = runs.withColumn("back", F.lit(0)).withColumn("on", F.col("unit"))
-    return runs.select("did", "tie", (F.col("pos") - F.col("back")).alias("a"), (F.col("pos") + F.col("on")).alias("b"))
+        ahead, back = F.array("unit"), F.array().cast("array<int>")
+    run = lambda lines, a, b: F.struct(_number(lines).alias("run"), a.alias("a"), b.alias("b"))
+    pos = F.col("pos")
+    ahead = F.transform(ahead, lambda n: run(_joined(F.slice("right", 1, n)), pos, pos + n))
+    back = F.transform(F.when(F.size("left") > 0, back), lambda n: run(F.concat_ws("|", _joined(F.slice("left", 1, n)), _joined(F.slice("right", 1, F.col("unit")))), pos - n, pos + F.col("unit")))
+    each = F.explode(F.concat(ahead, F.coalesce(back, F.array().cast("array<struct<run:bigint,a:int,b:int>>"))))
+    runs = staged(places.select("did", "tie", "pos", each.alias("r")).select("did", "tie", "pos", "r.*"), "runs")
+    first = runs.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("did", "tie", "pos")).alias("f")).where("n > 1").select("run", "f")
+    return runs.join(first, "run").where("did <> f.did or tie <> f.tie or pos <> f.pos").select("did", "tie", "a", "b")
 
 
 def _cut(docs: DataFrame, noise: int, reach: int, extend: bool = True) -> DataFrame:
@@ -129,13 +134,13 @@ def _cut(docs: DataFrame, noise: int, reach: int, extend: bool = True) -> DataFr
 
 def line_dedup(docs: DataFrame, noise: int = NOISE, reach: int = REACH) -> DataFrame:
     """The documents with later repeated runs deleted; n_chars, if there, is counted again."""
-    columns = docs.columns
-    names = {c: f"c{i}" for i, c in enumerate(columns) if c not in ("doc_id", "text")}  # no clash with own columns
-    out = _cut(docs.withColumnsRenamed(names), noise, reach)
-    back = {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text")} | {c: F.col(x).alias(c) for c, x in names.items()}
-    if "n_chars" in names:
+    own = [F.col(f"`{c}`").alias({"doc_id": "doc_id", "text": "text"}.get(c, f"c{i}")) for i, c in enumerate(docs.columns)]
+    out = _cut(docs.select(*own), noise, reach)
+    back = {c: F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)}
+    back |= {"doc_id": F.col("doc_id"), "text": F.col("kept").alias("text")}
+    if "n_chars" in back:
         back["n_chars"] = F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")
-    return out.select(*(back[c] for c in columns))
+    return out.select(*back.values())
 
 
 def line_report(docs: DataFrame, noise: int = NOISE, reach: int = REACH, extend: bool = True) -> DataFrame:

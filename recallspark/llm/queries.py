@@ -122,15 +122,11 @@ k AS (SELECT *, list_filter(range(1, 9), lambda k: list_sum(w[i:i + k - 1]) >= 8
       coalesce(list_filter(range(1, 13), lambda k: list_sum(w[i:i + k - 1]) >= 12)[1], 12) AS r FROM e),
 u AS (SELECT *, CASE WHEN k IS NOT NULL AND i + k - 1 <= len(h) THEN {_NUMBER.format(x="array_to_string(h[i:i + k - 1], ',')")} END AS u FROM k),
 m AS (SELECT a.doc_id, a.i, arg_min(b.i, (b.u, b.i)) AS pos FROM u a JOIN u b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i AND a.i + a.r - 1 AND b.u IS NOT NULL GROUP BY ALL),
-s AS (SELECT doc_id, pos, lag(pos, 1, 1) OVER w AS before, lead(pos) OVER w AS after FROM (SELECT DISTINCT doc_id, pos FROM m) WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
-p AS (SELECT s.doc_id, s.pos, u.u AS fp, u.k, list_reverse(u.h[s.before:s.pos - 1]) AS back, u.h[s.pos:greatest(coalesce(s.after, len(u.h)), s.pos + u.k - 1)] AS ahead
-      FROM s JOIN u ON u.doc_id = s.doc_id AND u.i = s.pos),
-f AS (SELECT *, first_value(doc_id) OVER w AS doc1, first_value(pos) OVER w AS pos1, first_value(back) OVER w AS back1, first_value(ahead) OVER w AS ahead1
-      FROM p WINDOW w AS (PARTITION BY fp ORDER BY doc_id, pos)),
-g AS (SELECT doc_id, pos, k, coalesce(list_filter(range(1, greatest(len(back), len(back1)) + 1), lambda j: back[j] IS DISTINCT FROM back1[j])[1] - 1, len(back)) AS b,
-      coalesce(list_filter(range(1, greatest(len(ahead), len(ahead1)) + 1), lambda j: ahead[j] IS DISTINCT FROM ahead1[j])[1] - 1, len(ahead)) AS a
-      FROM f WHERE doc_id <> doc1 OR pos <> pos1),
-x AS (SELECT DISTINCT doc_id, unnest(range(pos - b, pos + a)) AS i FROM g WHERE a >= k),
+p AS (SELECT DISTINCT m.doc_id, m.pos, u.u AS fp, u.h FROM m JOIN u ON u.doc_id = m.doc_id AND u.i = m.pos),
+g AS (SELECT a.doc_id, a.pos, coalesce(list_filter(range(1, a.pos), lambda j: a.h[a.pos - j] IS DISTINCT FROM CASE WHEN b.pos > j THEN b.h[b.pos - j] END)[1] - 1, a.pos - 1) AS back,
+      coalesce(list_filter(range(0, len(a.h) - a.pos + 1), lambda j: a.h[a.pos + j] IS DISTINCT FROM b.h[b.pos + j])[1], len(a.h) - a.pos + 1) AS ahead
+      FROM p a JOIN p b ON a.fp = b.fp AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.pos < a.pos)),
+x AS (SELECT DISTINCT doc_id, unnest(range(pos - back, pos + ahead)) AS i FROM (SELECT doc_id, pos, max(back) AS back, max(ahead) AS ahead FROM g GROUP BY ALL)),
 gone AS (SELECT x.doc_id, own.no[x.i] AS no FROM x JOIN own USING (doc_id)),
 t AS (SELECT l0.doc_id, count(*) AS n, count(gone.no) AS cut, string_agg(line, chr(10) ORDER BY l0.no) FILTER (gone.no IS NULL) AS kept
       FROM l0 LEFT JOIN gone ON gone.doc_id = l0.doc_id AND gone.no = l0.no GROUP BY l0.doc_id)

@@ -64,7 +64,8 @@ def line_hash(x) -> int:
 
 
 def lines_deleted(docs: list[tuple], noise: int, reach: int, extend: bool = True) -> dict:
-    """Numbers of the lines that winnowing deletes from (key, text) in order, by plain loops."""
+    """Numbers of the lines that winnowing deletes from (key, text) in order, by plain loops: those of the longest
+    run that each selected place has in common with any earlier place of its unit."""
     own, places = {}, {}
     for key, text in docs:
         found = [(n, len(WORD.findall(x.encode())), line_hash(x)) for n, x in enumerate(text.split("\n"))]
@@ -85,21 +86,18 @@ def lines_deleted(docs: list[tuple], noise: int, reach: int, extend: bool = True
             some = [(unit[j], j) for j in range(i, min(len(found), i + (count(i, reach) or reach))) if unit[j] is not None]
             if some:
                 at.add(min(some)[1])
-        at = sorted(at)
-        for n, p in enumerate(at):
-            stop = max(at[n + 1] + 1 if n + 1 < len(at) else len(found), p + size[p])
-            places.setdefault(unit[p], []).append((key, p, size[p], at[n - 1] if n else 0, stop))
+        for p in sorted(at):
+            places.setdefault(unit[p], []).append((key, p, size[p]))
     gone = {key: set() for key, _ in docs}
     for same in places.values():
-        key1, p1, _, low1, high1 = same[0]
-        for key, p, k, low, high in same[1:]:
-            a, b = own[key], own[key1]
-            left = 0
-            while p - left - 1 >= low and p1 - left - 1 >= low1 and a[p - left - 1][2] == b[p1 - left - 1][2]:
-                left += 1
-            right = 0
-            while p + right < high and p1 + right < high1 and a[p + right][2] == b[p1 + right][2]:
-                right += 1
-            if right >= k:
-                gone[key] |= {a[i][0] for i in (range(p - left, p + right) if extend else range(p, p + k))}
+        for n, (key, p, k) in enumerate(same):
+            a = [x[2] for x in own[key]]
+            for key1, p1, _ in same[:n]:
+                b = [x[2] for x in own[key1]]
+                left = right = 0
+                while left < min(p, p1) and a[p - left - 1] == b[p1 - left - 1]:
+                    left += 1
+                while p + right < len(a) and p1 + right < len(b) and a[p + right] == b[p1 + right]:
+                    right += 1
+                gone[key] |= {own[key][i][0] for i in (range(p - left, p + right) if extend else range(p, p + k))}
     return gone

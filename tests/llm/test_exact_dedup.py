@@ -70,6 +70,36 @@ def test_repeated_runs_of_lines_are_found_whole(spark):
     assert all(left[False][k] <= full[k] for k in full) and sum(left[False].values()) < sum(full.values())
 
 
+def test_no_later_copy_of_a_run_keeps_a_line(spark):
+    """Sixty corpora of own words, each with a run of 14 short lines in twelve documents, of which an even earlier one
+    holds three lines among others; lines of one run that repeats go in all copies but the first."""
+    rng, data, runs = random.Random(4), [], {}
+    for c in range(60):
+        line = lambda n: " ".join(f"w{c}x{rng.randrange(10**6)}" for _ in range(n))  # noqa: B023, E731
+        run = [line(rng.randint(1, 6)) for _ in range(14)]
+        part = rng.randrange(11)
+        docs = [[line(4), *run[part : part + 3], line(4)]]
+        docs += [[line(rng.randint(1, 6)) for _ in range(rng.randint(0, 5))] + run + [line(rng.randint(1, 6)) for _ in range(rng.randint(0, 5))] for _ in range(11)]
+        for k, lines in enumerate(docs):
+            data.append((12 * c + k, "\n".join(lines), *(None,) * 6))
+            runs[12 * c + k] = (k, run)
+    left = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.line_dedup(frame(spark, data)).collect()}
+    for did, (k, run) in runs.items():
+        if k > 1:
+            assert not set(run) & set(left[did])
+        own = [x for x in data[did][1].split("\n") if x not in run]
+        assert [x for x in left[did] if x and x not in run] == own
+
+
+def test_line_dedup_keeps_columns_named_like_its_own(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    names = "doc_id long, x string, c2 string, c1 string, text string, c0 string, kept string, runs string, `a.b` string, fp string"
+    docs = spark.createDataFrame([(k, "x", "two", "one", text, "zero", "kept", "runs", "dot", "fp") for k in (1, 2)], names)
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == docs.columns
+    assert sorted(out.collect()) == [(1, "x", "two", "one", text, "zero", "kept", "runs", "dot", "fp"), (2, "x", "two", "one", "", "zero", "kept", "runs", "dot", "fp")]
+
+
 def test_cut_documents(spark):
     out = suffix_dedup.cut_documents(frame(spark), 40)
     assert out.columns == frame(spark).columns
