@@ -287,19 +287,35 @@ def _mixed_anchors(groups: DataFrame) -> DataFrame:
     return groups.join(many, "core")
 
 
+def once(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The documents (did, tie, text) without repeated rows, and (did, tie, rows) of those that were repeated, if any:
+    however many rows share a doc_id (or have none) and a text, their spans are found and kept once."""
+    docs = docs.select("did", "tie", "text").where("text is not null")
+    again = staged(docs.groupBy("did", "tie").agg(F.count("*").alias("rows")).where("rows > 1"), "again")
+    if again.isEmpty():
+        return docs, None
+    keys = ["did", "tie"]
+    return docs.join(again, keys, "left_anti").unionByName(docs.join(again, keys, "left_semi").dropDuplicates(keys)), again
+
+
 def repeated_spans(docs: DataFrame, w: Windows) -> DataFrame:
     """(did, tie, a, b): spans of symbols covered by repeated windows, for documents (did, tie, text).
 
     Spans overlap and may be met more than once; their union for a document is exact.
     """
-    runs = docs.select("did", "tie", "text").where("text is not null").mapInArrow(_runs_of(w), "core long, content long, did long, tie long, at long")
+    docs, again = once(docs)
+    runs = docs.mapInArrow(_runs_of(w), "core long, content long, did long, tie long, at long")
+    if again is None:
+        runs = runs.withColumn("n", F.lit(1).cast("long"))
+    else:
+        runs = runs.join(again, ["did", "tie"], "left").select("core", "content", "did", "tie", "at", F.coalesce("rows", F.lit(1)).cast("long").alias("n"))
     # written, so that both sides of the join are plain exchanges and AQE can split a hot anchor
-    often = staged(runs.groupBy("core").agg(F.count("*").alias("c")).where("c >= 2").select("core"), "often")
-    kept = staged(runs.join(often, "core", "left_semi").withColumn("n", F.lit(1).cast("long")), "runs")
+    often = staged(runs.groupBy("core").agg(F.sum("n").alias("c")).where("c >= 2").select("core"), "often")
+    kept = staged(runs.join(often, "core", "left_semi"), "runs")
     groups = _counted(w, kept, [])
     spans = [_answers(w, kept, groups)]
     want = _mixed_anchors(groups).groupBy("did", "tie").agg(F.collect_list(F.struct("core", "at", "n", "m")).alias("want"))
-    rows = staged(docs.select("did", "tie", "text").join(want, ["did", "tie"]).mapInArrow(_segments(w), _SEG), "segments")
+    rows = staged(docs.join(want, ["did", "tie"]).mapInArrow(_segments(w), _SEG), "segments")
     for step in (*w.finer, None):
         few = rows.where(F.col("m") <= MOST).repartition(F.col("core")).sortWithinPartitions("core")
         spans.append(few.mapInArrow(_shards(w), "did long, tie long, a long, b long"))

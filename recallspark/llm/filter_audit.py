@@ -41,14 +41,13 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def text_flags(docs: DataFrame) -> DataFrame:
     """(name, least, a, b, c, d): each distinct text, the smallest doc_id that holds it, and what it fails."""
-    texts = _named(docs).groupBy("name").agg(F.min("did").alias("least"), F.min("text").alias("text"))
-    words = texts.select("name", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
+    named = _named(docs)
+    words = named.groupBy("name").agg(F.min("text").alias("text")).select("name", F.explode(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("word"))
     counts = words.groupBy("name", "word").agg(F.count("*").alias("n")).groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    # a regular expression would visit every character of a text for the capitals
+    # the other flags leave the text where it is read, and a regular expression would visit every character for the capitals
     capitals = F.length("text") - F.length(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    others = texts.select(
-        "name", "least", (100 * capitals > MAX_CAPITALS * F.length("text")).alias("c"), F.col("text").rlike(r"[#$%&*|]").alias("d"),
-    )
+    flags = named.select("name", "did", (100 * capitals > MAX_CAPITALS * F.length("text")).alias("c"), F.col("text").rlike(r"[#$%&*|]").alias("d"))
+    others = flags.groupBy("name").agg(F.min("did").alias("least"), F.max("c").alias("c"), F.max("d").alias("d"))
     n, kinds = F.coalesce("n", F.lit(0)), F.coalesce("kinds", F.lit(0))
     return others.join(counts, "name", "left").select("name", "least", (n < MIN_WORDS).alias("a"), (100 * kinds < MIN_DISTINCT * n).alias("b"), "c", "d")
 

@@ -38,7 +38,7 @@ from recallspark.llm.text import NO_ID
 from recallspark.sources.staging import staged
 
 SPACE = "\u2581"
-OWN_SPACE = "\uffff"  # stands for a U+2581 of the text itself, which is encoded as bytes
+OWN_SPACE = " "  # stands for a U+2581 of the text itself, which is encoded as bytes: no space is left to mean one
 CHUNK, BLOCK, STATES = 16_384, 64, 16
 #: Score of one bit, offset of the ranks, score of a character without a piece in bits.
 UNIT, OFFSET, UNKNOWN, NEVER = 1 << 16, 301, 64, -(1 << 61)
@@ -219,9 +219,7 @@ def pieces(path: str) -> Pieces:
 
 
 def normalised(text: str) -> str:
-    if SPACE in text:
-        text = text.replace(SPACE, OWN_SPACE)
-    return SPACE + text.replace(" ", SPACE)
+    return SPACE + (text.translate({32: SPACE, ord(SPACE): OWN_SPACE}) if SPACE in text else text.replace(" ", SPACE))
 
 
 def units(text: str) -> list[str]:
@@ -339,7 +337,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple
 def _in_groups(keys: int, schema: str, rows_of):
     """A task over sorted groups; rows_of(rows) gives the rows of the result."""
     fields = [x.split() for x in schema.split(", ")]
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
 
     def batch(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows), fields)], names=[n for n, _ in fields])
@@ -381,6 +379,12 @@ def _chunk_states(rows: list[tuple]) -> list[tuple]:
     return [(x[0], x[2], i, j) for x, i, j in zip(rows, at, at[1:])]
 
 
+def _in_order(rows: list[tuple]) -> list[tuple]:
+    """(uid, no, did, sha, score, ids, size) of a document's chunks: its row of the result."""
+    sizes, scores = sum(x[6] for x in rows), sum(x[4] for x in rows)
+    return [(rows[0][2], sizes - 1, scores, b"".join(x[5] for x in rows), rows[0][3])]
+
+
 def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """did, n_chars, score (of the best path, UNIT a bit), ids
     (little-endian unsigned 32-bit numbers) and sha (of giant documents' texts).
@@ -402,11 +406,8 @@ def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     inner = _grouped(cells, ["uid", "block"], ["uid", "block", "no"], "uid long, no int, enter int, leave int", _chunk_states)
     parts = giant.join(inner, ["uid", "no"]).select("did", "uid", "sha", "no", "before", "body", "after", "enter", "leave")
     parts = parts.mapInArrow(_backtrace(path), "did long, uid long, sha string, no int, score long, ids binary, size long")
-    joined = parts.groupBy("did", "uid", "sha").agg(
-        (F.sum("size") - 1).alias("n_chars"), F.sum("score").alias("score"), F.sort_array(F.collect_list(F.struct("no", "ids"))).alias("all")
-    )
-    ids = F.aggregate("all", F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
-    return small.unionByName(joined.select("did", "n_chars", "score", ids.alias("ids"), "sha"))
+    parts = parts.select("uid", "no", "did", "sha", "score", "ids", "size")
+    return small.unionByName(_grouped(parts, ["uid"], ["uid", "no"], _RESULT, _in_order))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -6,7 +6,8 @@ from collections import Counter
 
 import xxhash
 
-from recallspark.llm import line_dedup, similar, simhash, substring_dedup, suffix_dedup
+from recallspark.llm import anchors, line_dedup, similar, simhash, substring_dedup, suffix_dedup
+from recallspark.llm.tables import row_keyed
 from recallspark.llm.text import NO_ID
 from tests.llm.corpus import WORD, covered, frame, lines_deleted, rows, sha
 from tests.llm.test_near_dedup import plain_classes, plain_fingerprint
@@ -76,3 +77,19 @@ def test_similar_one_of_each(spark):
     classes = plain_groups([x for _, x in docs])
     want = {(None if docs[i][0][0] == NO_ID else docs[i][0][0], docs[i][1]) for i in set(classes)}
     assert found(similar.one_of_each(frame(spark, [r for r in shared() if r[1] is not None])), "text") == Counter(want)
+
+
+def test_repeated_rows_are_one_group(spark):
+    """3,000 equal rows without an id: their runs and spans are those of one text, and every row is cut alike."""
+    text = " ".join(f"w{k}" for k in range(300))
+    data = [(None, text, *(None,) * 6)] * 3000 + [(1, "own start " + text, *(None,) * 6)]
+    docs = frame(spark, data)
+    for windows in (substring_dedup.word_windows(20), suffix_dedup.byte_windows(400)):
+        most = anchors.repeated_spans(row_keyed(docs), windows).groupBy("did", "tie").count().agg({"count": "max"}).first()[0]
+        assert most < 4 * len(text)
+    out = {(r["doc_id"], r["n_words"], r["n_removed"]): r["count"] for r in substring_dedup.substring_dedup(docs).groupBy("doc_id", "n_words", "n_removed").count().collect()}
+    assert out == {(1, 302, 0): 1, (None, 300, 300): 3000}
+    assert suffix_dedup.suffix_dedup(docs).where("doc_id is null and n_removed <> n_bytes").isEmpty()
+    alone = substring_dedup.substring_dedup(docs.where("doc_id is null")).agg({"n_removed": "max"}).first()[0]
+    assert alone == 0
+    assert suffix_dedup.suffix_dedup(docs.where("doc_id is null")).agg({"n_removed": "min"}).first()[0] == len(text)

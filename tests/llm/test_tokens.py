@@ -119,3 +119,14 @@ def test_digest_edges(spark):
     assert pieces.digest(pieces.encode(table(spark, []), PIECES), PIECES).count() == 0
     out = pieces.digest(pieces.encode(table(spark, [(None, None), (5, "x"), (5, "x")]), PIECES), PIECES).collect()
     assert sorted((str(r["doc_id"]), r["n_chars"]) for r in out) == [("5", 1), ("5", 1), ("None", 0)]
+
+
+def test_every_character_comes_back(spark):
+    """U+2581, U+FFFF and their like are characters of their own, in short texts and across chunks."""
+    odd = "a\u2581b\uffff \u2581\uffff\ufffe  \u00a0\u2581 x\U0010ffff"
+    texts = [odd, "\uffff", "\u2581", odd * 40, " \u2581" * 300]
+    docs = frame(spark, [(k, x, *(None,) * 6) for k, x in enumerate(texts)])
+    for chunk in (16_384, 33):
+        found = pieces.encode(docs, PIECES, chunk)
+        assert {r["did"]: r["text"] for r in pieces.decode(found, PIECES).collect()} == dict(enumerate(texts))
+        assert {r["did"]: r["n_chars"] for r in found.collect()} == {k: len(x) for k, x in enumerate(texts)}
