@@ -53,6 +53,21 @@ def _meet(left: DataFrame, right: DataFrame, parts: tuple[int, int], ids: tuple[
     return a.cogroup(b).applyInArrow(task, schema)
 
 
+def _meet_own(rows: DataFrame, parts: int, task: Callable, schema: str) -> DataFrame:
+    """task(left block, right block, pairs) for every two blocks of rows (id, ...) once: `pairs` marks, of some ids of the
+    left and all of the right, those that this meeting answers for (within one block, a before b)."""
+    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    rows = rows.select(own.alias("_own"), "*")
+    a = rows.select(F.col("_own").alias("_l"), F.explode(F.sequence("_own", F.lit(parts - 1))).alias("_r"), "*").drop("_own").groupBy("_l", "_r")
+    b = rows.select(F.explode(F.sequence(F.lit(0), "_own")).alias("_l"), F.col("_own").alias("_r"), "*").drop("_own").groupBy("_l", "_r")
+
+    def met(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        same = key[0].as_py() == key[1].as_py()
+        return task(left, right, lambda x, y: x[:, None] < y[None, :] if same else np.ones((len(x), len(y)), bool))
+
+    return a.cogroup(b).applyInArrow(met, schema)
+
+
 def _vectors(rows: DataFrame, key: str, *more: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias(key), F.col("vector").cast("array<double>").alias("vector"), *more)
 
@@ -116,16 +131,16 @@ _CLOSE = "a long, b long, s double"
 def close_pairs(rows: DataFrame, least: float) -> DataFrame:
     """(a, b, s): pairs of rows (id, vector), a before b, with a similarity of at least `least`."""
 
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+    def task(left: pa.Table, right: pa.Table, pairs: Callable) -> pa.Table:
         a, b = np.asarray(left["id"]), np.asarray(right["id"])
         parts = []
         for some, s in _scores(left, right):
-            row, at = np.nonzero((s >= least) & (a[some][:, None] < b[None, :]))
-            parts.append((a[some][row], b[at], s[row, at]))
+            row, at = np.nonzero((s >= least) & pairs(a[some], b))
+            x, y = a[some][row], b[at]
+            parts.append((np.minimum(x, y), np.maximum(x, y), s[row, at]))
         return _table(parts, _CLOSE)
 
-    own, n = [_vectors(rows, "id") for _ in range(2)], _blocks(rows, BLOCK)
-    return _meet(*own, (n, n), ("id", "id"), task, _CLOSE)
+    return _meet_own(_vectors(rows, "id"), _blocks(rows, BLOCK), task, _CLOSE)
 
 
 _COUNTS = "genuine boolean, s double, n long"
@@ -135,19 +150,19 @@ def pair_scores(rows: DataFrame) -> DataFrame:
     """(genuine, s, n): how often each score (six places, so at most 2,000,001 values) occurs among all
     pairs of rows (id, vector, identity), by whether both have one identity."""
 
-    def task(left: pa.Table, right: pa.Table) -> pa.Table:
+    def task(left: pa.Table, right: pa.Table, pairs: Callable) -> pa.Table:
         a, b, who, other = (np.asarray(x) for x in (left["id"], right["id"], left["identity"], right["identity"]))
         parts = []
         for some, s in _scores(left, right):
-            pair = a[some][:, None] < b[None, :]
+            pair = pairs(a[some], b)
             same = who[some][:, None] == other[None, :]
             for genuine in (True, False):
                 value, n = np.unique(s[pair & (same == genuine)], return_counts=True)
                 parts.append((np.full(len(value), genuine), value, n))
         return _table(parts, _COUNTS)
 
-    own, n = [_vectors(rows, "id", F.col("identity").cast("long").alias("identity")) for _ in range(2)], _blocks(rows, PAIRED)
-    return _meet(*own, (n, n), ("id", "id"), task, _COUNTS).groupBy("genuine", "s").agg(F.sum("n").alias("n"))
+    own = _vectors(rows, "id", F.col("identity").cast("long").alias("identity"))
+    return _meet_own(own, _blocks(rows, PAIRED), task, _COUNTS).groupBy("genuine", "s").agg(F.sum("n").alias("n"))
 
 
 def fetch_depth(ranked: DataFrame, usable: Column, k: int) -> DataFrame:
