@@ -276,8 +276,8 @@ def exact_links(docs: DataFrame, members: DataFrame, shingle: int, per_cent: int
     """(a, b): names of linked sets among members (class, name, size, copies, did, tie), a forest a class."""
     size = members.groupBy("class").agg(F.count("*").alias("n"), F.sum("size").alias("m")).where("n > 1")
     parts = F.greatest(F.ceil(F.col("n") / most_sets), F.ceil(F.col("m") / most_tokens)).cast("int")
-    # written, so that its size decides whether the texts are shuffled to it or it is sent to them
-    wanted = staged(members.join(size.select("class", parts.alias("parts")), "class").select("class", "name", "copies", "parts", "did", "tie"), "wanted")
+    # one plan at every size: members grow with the documents, so they are never sent whole to the texts
+    wanted = members.join(size.select("class", parts.alias("parts")), "class").hint("merge")
     rows = row_keyed(docs).join(wanted, ["did", "tie"]).select("class", "name", "copies", "parts", "text")
     rows = staged(rows.mapInArrow(_sets(shingle), "class long, name binary, copies long, parts int, set binary"), "sets")
 
