@@ -14,7 +14,7 @@ from recallspark.plans import evaluation, memory, registry, search  # noqa: F401
 from recallspark.plans.registry import query
 from recallspark.sources import views
 from recallspark.sources.views import table, with_views
-from recallspark.streaming import sequence
+from recallspark.streaming import live, sequence
 
 K = 10
 
@@ -255,12 +255,50 @@ def stream_encounters(spark, d):
     return sequence.drained(sequence.encounters(rows.withWatermark("ts", "1 hour"), "user_id", "ts", 1 / 60, 120, "gap"), "encounters")
 
 
+_POOL_MERIT = "((event_id % 101) / 100) * sqrt(0.2 + (event_id % 13) / 20)"
+
+
+@query(f"""WITH x AS (SELECT user_id, event_id, event_type = 'error' AS gap, floor((epoch_us(ts) / 1e6) * (1 / 60.0::double))::bigint AS slot, {_POOL_MERIT} AS merit, ts FROM events),
+s AS (SELECT *, lag(slot) OVER o AS before, lag(gap) OVER o AS cut FROM x WINDOW o AS (PARTITION BY user_id ORDER BY slot, NOT gap, event_id)),
+n AS (SELECT *, sum(CASE WHEN NOT gap AND (before IS NULL OR cut OR slot - before > 120) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY slot, NOT gap, event_id) AS session FROM s),
+e AS (SELECT user_id, session, min(slot) AS first_slot, max(slot) AS last_slot, count(*) AS seen, list([{{'m': merit, 'i': event_id}}] ORDER BY slot, event_id) AS faces
+      FROM n WHERE NOT gap GROUP BY ALL),
+p AS (SELECT *, list_reduce(faces, lambda a, x: CASE WHEN len(a) < 8 THEN a || x WHEN x[1].m > list_min([f.m FOR f IN a])
+      THEN list_filter(a, lambda f, k: k <> list_position([f.m FOR f IN a], list_min([f.m FOR f IN a]))) || x ELSE a END) AS pool FROM e)
+SELECT user_id, first_slot, last_slot, seen, array_to_string([f.i FOR f IN pool], ',') AS pool FROM p""")
+def stream_pools(spark, d):
+    """The events as a stream: encounters with the pool of their eight best faces. Closed ones come from the stream,
+    those the end of the input leaves open from its state."""
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")
+    rows = stream.select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), (F.col("event_type") == "error").alias("gap"), F.expr(_POOL_MERIT).alias("merit"))
+    rows = rows.withColumn("slot", sequence.slot(F.col("ts"), 1 / 60)).withWatermark("ts", "1 hour")
+    closed, state = live.run(live.pooled_encounters(rows, "user_id", 120, 1 / 60), "pools")
+    every = closed.unionByName(live.open_pools(spark, state, "user_id"))
+    ids = F.array_join(F.transform("pool", lambda x: x["id"].cast("string")), ",")
+    return every.select("user_id", "first_slot", "last_slot", "seen", ids.alias("pool"))
+
+
+@query()
+def stream_tracks(spark, d):
+    """The detections as a stream, tracked as it runs: the tracks of `track_boxes`."""
+    events = table(spark, d, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{d}/event[s].parquet")
+    rows = _slotted_rows(views.detections_of(stream)).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    placed, state = live.run(live.track_stream(rows, "source_id", 1 / 3600, max_gap=24), "tracks")
+    return placed.unionByName(live.placed_at_the_end(live.tracker_state(spark, state, "source_id"), "source_id", max_gap=24))
+
+
 def _slotted(spark, d):
+    return _slotted_rows(views.detections(spark, d)).drop("ts")
+
+
+def _slotted_rows(rows):
     """Detections with five landmarks and a face vector, some without."""
     x, y, w, h = F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     points = F.array(*(F.array(x + w * (a + F.col("id") % 4 / 40), y + h * b) for a, b in ((0.3, 0.4), (0.7, 0.4), (0.5, 0.6), (0.35, 0.8), (0.65, 0.8))))
     box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
-    rows = views.detections(spark, d).withColumn("slot", sequence.slot(F.col("ts"), 1 / 3600)).drop("ts")
+    rows = rows.withColumn("slot", sequence.slot(F.col("ts"), 1 / 3600))
     rows = rows.withColumn("points", F.when(F.col("id") % 9 != 0, points))
     vector = F.when(F.col("id") % 6 != 0, F.array(F.lit(1.0), (F.col("id") % 5 - 2).cast("double")))
     return rows.withColumn("landmarks", boxes.shape(F.col("points"), box)).withColumn("vector", vector)

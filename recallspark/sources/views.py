@@ -38,7 +38,11 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    return detections_of(table(spark, sf_dir, "events"))
+
+
+def detections_of(e: DataFrame) -> DataFrame:
+    """The same of events that are a stream."""
     x0, y0 = (F.col("event_id") % 7) / 10, (F.col("event_id") % 5) / 10
     return e.select(
         F.col("event_id").alias("id"), F.col("user_id").alias("source_id"), "ts", x0.alias("x0"), y0.alias("y0"),
