@@ -50,7 +50,11 @@ def _meet(left: DataFrame, right: DataFrame, parts: tuple[int, int], ids: tuple[
     every = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in parts]
     a = left.select(own[0].alias("_l"), every[1].alias("_r"), "*").groupBy("_l", "_r")
     b = right.select(every[0].alias("_l"), own[1].alias("_r"), "*").groupBy("_l", "_r")
-    return a.cogroup(b).applyInArrow(task, schema)
+
+    def met(left: pa.Table, right: pa.Table) -> pa.Table:
+        return task(left, right) if left.num_rows and right.num_rows else _table([], schema)  # a missing side has no columns
+
+    return a.cogroup(b).applyInArrow(met, schema)
 
 
 def _meet_own(rows: DataFrame, parts: int, task: Callable, schema: str) -> DataFrame:
@@ -62,6 +66,8 @@ def _meet_own(rows: DataFrame, parts: int, task: Callable, schema: str) -> DataF
     b = rows.select(F.explode(F.sequence(F.lit(0), "_own")).alias("_l"), F.col("_own").alias("_r"), "*").drop("_own").groupBy("_l", "_r")
 
     def met(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table([], schema)
         same = key[0].as_py() == key[1].as_py()
         return task(left, right, lambda x, y: x[:, None] < y[None, :] if same else np.ones((len(x), len(y)), bool))
 
