@@ -57,13 +57,12 @@ def _meet(left: DataFrame, right: DataFrame, parts: tuple[int, int], ids: tuple[
     return a.cogroup(b).applyInArrow(met, schema)
 
 
-def _meet_own(rows: DataFrame, parts: int, task: Callable, schema: str) -> DataFrame:
-    """task(left block, right block, pairs) for every two blocks of rows (id, ...) once: `pairs` marks, of some ids of the
+def _meet_own(left: DataFrame, right: DataFrame, parts: int, task: Callable, schema: str) -> DataFrame:
+    """task(left block, right block, pairs) for every two blocks once of rows (id, ...), given twice: `pairs` marks, of some ids of the
     left and all of the right, those that this meeting answers for (within one block, a before b)."""
     own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
-    rows = rows.select(own.alias("_own"), "*")
-    a = rows.select(F.col("_own").alias("_l"), F.explode(F.sequence("_own", F.lit(parts - 1))).alias("_r"), "*").drop("_own").groupBy("_l", "_r")
-    b = rows.select(F.explode(F.sequence(F.lit(0), "_own")).alias("_l"), F.col("_own").alias("_r"), "*").drop("_own").groupBy("_l", "_r")
+    a = left.select(own.alias("_l"), F.explode(F.sequence(own, F.lit(parts - 1))).alias("_r"), "*").groupBy("_l", "_r")
+    b = right.select(F.explode(F.sequence(F.lit(0), own)).alias("_l"), own.alias("_r"), "*").groupBy("_l", "_r")
 
     def met(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -146,7 +145,7 @@ def close_pairs(rows: DataFrame, least: float) -> DataFrame:
             parts.append((np.minimum(x, y), np.maximum(x, y), s[row, at]))
         return _table(parts, _CLOSE)
 
-    return _meet_own(_vectors(rows, "id"), _blocks(rows, BLOCK), task, _CLOSE)
+    return _meet_own(_vectors(rows, "id"), _vectors(rows, "id"), _blocks(rows, BLOCK), task, _CLOSE)
 
 
 _COUNTS = "genuine boolean, s double, n long"
@@ -167,8 +166,8 @@ def pair_scores(rows: DataFrame) -> DataFrame:
                 parts.append((np.full(len(value), genuine), value, n))
         return _table(parts, _COUNTS)
 
-    own = _vectors(rows, "id", F.col("identity").cast("long").alias("identity"))
-    return _meet_own(own, _blocks(rows, PAIRED), task, _COUNTS).groupBy("genuine", "s").agg(F.sum("n").alias("n"))
+    own = [_vectors(rows, "id", F.col("identity").cast("long").alias("identity")) for _ in range(2)]
+    return _meet_own(*own, _blocks(rows, PAIRED), task, _COUNTS).groupBy("genuine", "s").agg(F.sum("n").alias("n"))
 
 
 def fetch_depth(ranked: DataFrame, usable: Column, k: int) -> DataFrame:
