@@ -83,3 +83,39 @@ def crop(box: Box, width: Column, height: Column, margin: float = 0.5) -> list[C
     floor = lambda x: F.greatest(F.lit(0), F.floor(F.round(x, 6)).cast("int"))
     ceil = lambda x, most: F.least(most, F.ceil(F.round(x, 6)).cast("int"))
     return [floor(box[0] - w), floor(box[1] - h), ceil(box[2] + w, width), ceil(box[3] + h, height)]
+
+
+def similarity_transform(source: Column, target: Column) -> Column:
+    """[[a, -b, x], [b, a, y]]: the least-squares turn, scale and shift, never a reflection, of points (arrays of [x, y])
+    onto others. NULL if they differ in number or one is not finite, if all source points are one (variance below
+    1e-12), or if no turn is better than another.
+
+    In the plane a turn with scale is a complex factor, so the fit is closed: one fold sums the products of the points,
+    each less the first one."""
+    at = lambda p, i: F.get(p, F.lit(i))
+    less = lambda points, p, i: at(p, i) - at(at(points, 0), i)
+    pairs = F.zip_with(source, target, lambda p, q: F.struct(less(source, p, 0).alias("x"), less(source, p, 1).alias("y"), less(target, q, 0).alias("u"), less(target, q, 1).alias("v")))
+    terms = {
+        "n": lambda p: F.lit(1.0), "x": lambda p: p["x"], "y": lambda p: p["y"], "u": lambda p: p["u"], "v": lambda p: p["v"],
+        "own": lambda p: p["x"] * p["x"] + p["y"] * p["y"], "along": lambda p: p["x"] * p["u"] + p["y"] * p["v"], "across": lambda p: p["x"] * p["v"] - p["y"] * p["u"],
+    }
+    sums = F.aggregate(pairs, F.struct(*(F.lit(0.0).alias(k) for k in terms)), lambda s, p: F.struct(*((s[k] + f(p)).alias(k) for k, f in terms.items())))
+    # an array of one, so that each step sees the last one's values instead of computing them again
+    step = lambda row, f: F.transform(F.array(row) if isinstance(row, Column) else row[0], f)
+    some = F.when(F.size(source) == F.size(target), F.when(F.size(source) > 0, sums))
+    centred = step(some, lambda s: F.struct(
+        s["n"].alias("n"), (s["x"] / s["n"]).alias("x"), (s["y"] / s["n"]).alias("y"), (s["u"] / s["n"]).alias("u"), (s["v"] / s["n"]).alias("v"),
+        (s["own"] - (s["x"] * s["x"] + s["y"] * s["y"]) / s["n"]).alias("own"), (s["along"] - (s["x"] * s["u"] + s["y"] * s["v"]) / s["n"]).alias("along"),
+        (s["across"] - (s["x"] * s["v"] - s["y"] * s["u"]) / s["n"]).alias("across"),
+    ))
+    turned = step([centred], lambda s: F.when((s["own"] >= 1e-12 * s["n"]) & (F.abs(s["own"]) < F.lit(float("inf"))), F.struct((s["along"] / s["own"]).alias("a"), (s["across"] / s["own"]).alias("b"), s["x"].alias("x"), s["y"].alias("y"), s["u"].alias("u"), s["v"].alias("v"))))
+    x0, y0, u0, v0 = (at(at(points, 0), i) for points in (source, target) for i in (0, 1))
+    laid = step([turned], lambda s: F.struct(
+        s["a"].alias("a"), s["b"].alias("b"), (s["u"] + u0 - s["a"] * (s["x"] + x0) + s["b"] * (s["y"] + y0)).alias("s"), (s["v"] + v0 - s["b"] * (s["x"] + x0) - s["a"] * (s["y"] + y0)).alias("t"),
+    ))
+    finite = lambda x: F.abs(x) < F.lit(float("inf"))
+    out = step([laid], lambda s: F.when(
+        F.coalesce(((s["a"] != 0) | (s["b"] != 0)) & finite(s["a"]) & finite(s["b"]) & finite(s["s"]) & finite(s["t"]), F.lit(False)),
+        F.array(F.array(s["a"], -s["b"], s["s"]), F.array(s["b"], s["a"], s["t"])),
+    ))
+    return F.get(out, F.lit(0))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallspark.operators.relational import transition
+from recallspark.operators.relational import in_sequence, transition
 
 LAST_MS = 1 << 62  # an open end
 
@@ -84,13 +84,9 @@ def created(faces: DataFrame, first_id: int) -> tuple[DataFrame, DataFrame]:
     """(identities, assignments) for faces (rep_id, outcome, identity_id): a new ACTIVE identity for each
     CREATE_NEW, numbered on from `first_id` in the order of rep_id; all others keep the matched one.
 
-    Numbers are counted in two levels (inside ranges of rep_id, then over the ranges), so no task takes all."""
-    new = faces.where("outcome = 'CREATE_NEW'").withColumn("_range", F.floor(F.col("rep_id") / 4096))
-    sizes = new.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    base = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy("rep_id")) - 1
-    numbered = new.withColumn("_at", inside).join(base, "_range").select("rep_id", (F.lit(first_id) + F.col("_base") + F.col("_at")).alias("identity_id"))
+    Numbers are counted in two levels (see `in_sequence`), so no task takes all."""
+    new = faces.where("outcome = 'CREATE_NEW'").select("rep_id")
+    numbered = in_sequence(new, ["rep_id"], "identity_id", first_id)
     kept = faces.where("outcome = 'MATCH_EXISTING'").select("rep_id", "identity_id")
     return numbered.select("identity_id", F.lit("ACTIVE").alias("state"), F.col("rep_id").alias("representative")), kept.unionByName(numbered)
 
@@ -128,3 +124,34 @@ def merged_spans(spans: DataFrame, keys: Sequence[str]) -> DataFrame:
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = spans.select(*keys, "start", "end").withColumn("_new", F.coalesce((F.col("start") > reach), F.lit(True)).cast("int"))
     return marked.withColumn("_run", F.sum("_new").over(order)).groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
+
+
+def _binned(spans: DataFrame, base: int, top: int) -> DataFrame:
+    """Spans (start, end, ...) in the bins, `base * 2 ** level` wide, that they touch on their own level (the first whose
+    bins are longer than they are, so two bins at most) and on all above up to `top`."""
+    own = F.least(F.lit(top), F.greatest(F.lit(0), F.ceil(F.log2((F.col("end") - F.col("start") + 1) / F.lit(float(base)))).cast("int")))
+    rows = spans.withColumn("_own", own).withColumn("_level", F.explode(F.sequence("_own", F.lit(top))))
+    width = F.lit(base).cast("long") * F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_level"))
+    rows = rows.withColumn("_first", F.floor(F.col("start") / width)).withColumn("_last", F.floor(F.col("end") / width))
+    return rows.withColumn("_bin", F.explode(F.sequence("_first", "_last"))).drop("_last")
+
+
+def overlapping_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str], base: int) -> DataFrame:
+    """Pairs of spans (keys, start, end, ...; ends included) of both sides with the same keys that overlap, once each; the
+    right side's columns are named `other_...`.
+
+    A pair meets on the level of its longer span: that one is in two bins there at most, and the shorter one too. So a
+    long span does not fan out over every short bin, and rows before the join grow with the input times the levels.
+    """
+    longest = max(1, *((rows.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0) for rows in (left, right)))
+    top = 0
+    while base << top <= longest:
+        top += 1
+    a = _binned(left, base, top)
+    b = _binned(right.withColumnsRenamed({c: f"other_{c}" for c in right.columns if c not in keys}).withColumnsRenamed({"other_start": "start", "other_end": "end"}), base, top)
+    b = b.withColumnsRenamed({"start": "other_start", "end": "other_end", "_own": "_own2", "_first": "_first2"})
+    met = [*keys, "_level", "_bin"]
+    longer = a.where("_level = _own").join(b, met).unionByName(a.where("_level > _own").join(b.where("_level = _own2"), met))
+    real = (F.col("start") <= F.col("other_end")) & (F.col("other_start") <= F.col("end"))
+    once = F.col("_bin") == F.greatest("_first", "_first2")  # the first bin that both touch
+    return longer.where(real & once).drop("_level", "_bin", "_own", "_own2", "_first", "_first2")

@@ -31,6 +31,19 @@ def family(identities: DataFrame) -> DataFrame:
     return found.select(F.col("survivor_id").alias("root"), F.col("identity_id").alias("member"))
 
 
+def family_of(identities: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, member): each asked root (identity_id) and every identity that was merged into it, directly or through
+    others. Only what the roots reach is read on, level by level; who was met is not followed again, so cycles end."""
+    below = identities.where("merged_into is not null").select(F.col("merged_into").alias("member"), F.col("identity_id").alias("child"))
+    key = F.col("identity_id")
+    met = front = staged(roots.where("identity_id is not null").select(key.alias("root"), key.alias("member")).distinct(), "family")
+    while not front.isEmpty():
+        found = front.join(below, "member").select("root", F.col("child").alias("member")).distinct()
+        front = staged(found.join(met, ["root", "member"], "left_anti"), "family")
+        met = met.unionByName(front)
+    return met
+
+
 def merged(owned: DataFrame, merges: DataFrame) -> DataFrame:
     """Rows (…, identity_id) moved to the survivor of the merges (loser, survivor)."""
     to = merges.select(F.col("loser").alias("identity_id"), "survivor")

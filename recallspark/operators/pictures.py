@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,12 +29,31 @@ def enrolment(files: DataFrame, person: str, order: str, digest: str, least: int
     return rows.select(person, order, F.when(asked, "QUERY").otherwise("ENROL").alias("part"))
 
 
-def sampled(files: DataFrame, person: str, order: str, least: int, people: int, most: int, salt: str = "sample") -> DataFrame:
-    """(person, order): the first `most` files of the first `people` (by salted hash) with at least `least`."""
-    many = files.groupBy(person).agg(F.count("*").alias("_many")).where(F.col("_many") >= least)
-    chosen = many.orderBy(F.sha2(F.concat(F.lit(f"{salt}:"), F.col(person)).cast("binary"), 256)).limit(people)
-    place = F.row_number().over(Window.partitionBy(person).orderBy(order))
-    return files.join(chosen, person, "left_semi").withColumn("_place", place).where(F.col("_place") <= most).select(person, order)
+def sampled(files: DataFrame, person: str, order: str, digest: str, least: int, people: int, most: int, salt: str = "sample") -> DataFrame:
+    """(person, order): the first `people` people, by salted hash of the name, with at least `least` distinct files that
+    nobody chosen before them keeps; each keeps the first `most` of these, and those with fewer free all of theirs.
+
+    A person is decided when nobody undecided comes before them at any of their files: all such people are decided in one
+    round, over written tables, and a file that many people hold is one row of a minimum.
+    """
+    key = F.sha2(F.concat(F.lit(f"{salt}:"), F.col(person)).cast("binary"), 256)
+    own = files.where(F.col(person).isNotNull()).groupBy(person, digest).agg(F.min(order).alias(order)).withColumn("_key", F.struct(key.alias("hash"), F.col(person).alias("name")))
+    left, kept = staged(own, "left"), None
+    while not left.isEmpty():
+        first = left.groupBy(digest).agg(F.min("_key").alias("_first"))
+        sizes = left.join(first, digest).groupBy(person).agg(F.bool_and(F.col("_first") == F.col("_key")).alias("_ready"), F.count("*").alias("_many"))
+        ready = staged(sizes.where("_ready"), "ready")
+        place = F.row_number().over(Window.partitionBy(person).orderBy(order, digest))
+        now = left.join(ready.where(F.col("_many") >= least).select(person), person, "left_semi").withColumn("_place", place).where(F.col("_place") <= most)
+        now = staged(now.drop("_place"), "kept")
+        kept = now if kept is None else kept.unionByName(now)
+        after = staged(left.join(ready, person, "left_anti").join(now.select(digest), digest, "left_anti"), "left")
+        unstage(left)
+        left = after
+    if kept is None:
+        return files.select(person, order).limit(0)
+    chosen = kept.select(person, "_key").distinct().orderBy("_key").limit(people).select(person)
+    return kept.join(chosen, person, "left_semi").select(person, order)
 
 
 def difference_hash(grey: Column, width: int, height: int) -> Column:
@@ -43,12 +64,26 @@ def difference_hash(grey: Column, width: int, height: int) -> Column:
     return F.aggregate(F.arrays_zip(at.alias("i"), bits.alias("b")), F.lit(0).cast("long"), lambda h, x: h.bitwiseOR(F.call_function("shiftleft", x["b"], x["i"])))
 
 
+def band_triples(bands: int) -> list[tuple[int, int, int]]:
+    """Triples of bands of which any four bands hold one: three of a third of the bands, or two of it and one of the next."""
+    thirds = [range(bands * k // 3, bands * (k + 1) // 3) for k in range(3)]
+    inside = [t for some in thirds for t in combinations(some, 3)]
+    return inside + [(*two, one) for k in range(3) for two in combinations(thirds[k], 2) for one in thirds[(k + 1) % 3]]
+
+
 def near_pairs(prints: DataFrame, bits: int) -> DataFrame:
-    """(a, b): pictures (picture_id, bits: each once), a before b, at most `bits` apart. By pigeonhole they
-    agree in one of bits + 1 bands, which makes it an equi-join."""
-    edges = [64 * k // (bits + 1) for k in range(bits + 2)]
-    band = F.array(*(F.struct(F.lit(k).alias("k"), F.call_function("shiftrightunsigned", F.col("bits"), F.lit(lo)).bitwiseAND((1 << (hi - lo)) - 1).alias("v")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))))
-    keys = prints.select("picture_id", "bits", F.explode(band).alias("key"))
+    """(a, b): pictures (picture_id, bits: each once), a before b, at most `bits` apart.
+
+    Of bits + 4 bands at least four agree, hence a triple of `band_triples`: an equi-join on three bands at once, 16
+    bits of a key for 8 differing ones, so few pictures meet that are not near."""
+    bands = bits + 4
+    edges = [64 * k // bands for k in range(bands + 1)]
+    band = [F.call_function("shiftrightunsigned", F.col("bits"), F.lit(lo)).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:])]
+    triples = F.array(*(F.array(F.lit(x).cast("int"), F.lit(y).cast("int"), F.lit(z).cast("int")) for x, y, z in band_triples(bands)))
+    some = prints.select("picture_id", "bits", F.array(*band).alias("band"))
+    wide = max(hi - lo for lo, hi in zip(edges, edges[1:]))
+    key = lambda t, k: sum((F.get("band", t[i]) * (1 << (wide * i)) for i in range(3)), k.cast("long") * (1 << (3 * wide)))
+    keys = some.select("picture_id", "bits", F.explode(F.transform(triples, key)).alias("key"))
     a, b = keys.alias("a"), keys.alias("b")
     met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.picture_id") < F.col("b.picture_id")))
     near = met.where(F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits"))) <= bits)

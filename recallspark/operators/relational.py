@@ -106,3 +106,39 @@ def first_in_order(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
         kept = kept.unionByName(now)
         left = staged(left.join(now.select(a), a, "left_anti").join(now.select(b), b, "left_anti"), "left")
     return kept
+
+
+def in_sequence(rows: DataFrame, order: Sequence[str], name: str = "sequence", first: int = 1) -> DataFrame:
+    """Rows with gapless numbers in the order of columns that tell them apart.
+
+    In two levels: rows are sorted over ranges and numbered inside each; what earlier ranges hold is added from a row
+    a range. No task takes all rows."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    at = staged(at.withColumn("_range", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"), "sequence")
+    sizes = at.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    base = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return at.join(F.broadcast(base), "_range").withColumn(name, F.lit(first) + F.col("_base") + F.col("_at")).drop("_range", "_at", "_base")
+
+
+def changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The change feed between two snapshots: sequence, kind (INSERT, UPDATE, DELETE), key, changed (names of the
+    columns that differ, of an UPDATE) and data (the new row; NULL of a DELETE), in the order of the key, without gaps.
+
+    A key names a row of a snapshot; rows without a key are in no feed. Both have the same columns."""
+    columns = [c for c in new.columns if c != key]
+    sides = [rows.where(F.col(key).isNotNull()).select(key, F.struct(*columns).alias(name)) for rows, name in ((old, "_old"), (new, "data"))]
+    differ = F.array(*(F.when(~F.col("_old")[c].eqNullSafe(F.col("data")[c]), F.lit(c)) for c in columns))
+    both = sides[0].join(sides[1], key, "full_outer").withColumn("changed", F.filter(differ, lambda c: c.isNotNull()))
+    kind = F.when(F.col("_old").isNull(), "INSERT").when(F.col("data").isNull(), "DELETE").when(F.size("changed") > 0, "UPDATE")
+    rows = both.withColumn("kind", kind).where("kind is not null")
+    return in_sequence(rows.select("kind", key, F.when(F.col("kind") == "UPDATE", F.col("changed")).otherwise(F.array().cast("array<string>")).alias("changed"), "data"), [key])
+
+
+def followed(snapshot: DataFrame, feed: DataFrame, key: str) -> DataFrame:
+    """A snapshot after a feed of `changes`: the last change of a key wins."""
+    last = feed.groupBy(key).agg(F.max_by(F.struct("kind", "data"), "sequence").alias("_c"))
+    columns = [c for c in snapshot.columns if c != key]
+    kept = snapshot.join(last.select(key), key, "left_anti").select(key, *columns)
+    return kept.unionByName(last.where("_c.kind <> 'DELETE'").select(key, *(F.col("_c.data")[c].alias(c) for c in columns)))

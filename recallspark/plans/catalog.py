@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from recallspark.functions import boxes, names, stats, vectors
 from recallspark.operators import geometry, lifecycle, relational, retrieval
 from recallspark.operators.graph import connected_components
-from recallspark.plans import evaluation, memory, registry, search  # noqa: F401 (they register their queries)
+from recallspark.plans import closures, evaluation, memory, registry, search  # noqa: F401 (they register their queries)
 from recallspark.plans.registry import query
 from recallspark.sources import views
 from recallspark.sources.views import table, with_views

@@ -100,10 +100,15 @@ def pool_people(spark, d):
     return each.join(twin, "person", "left").select("person", reason.alias("reason"), "pictures")
 
 
-@query(_DIGESTS + """, p AS (SELECT person, dense_rank() OVER (ORDER BY sha256('sample:' || person)) AS place, doc_id, place AS n FROM o WHERE many >= 3) SELECT person, doc_id FROM p WHERE place <= 8 AND n <= 5""")
+@query("""WITH RECURSIVE f AS (SELECT source AS person, min(doc_id) AS doc_id, sha256(coalesce(text, '')) AS digest FROM documents WHERE source IS NOT NULL GROUP BY ALL),
+o AS (SELECT person, row_number() OVER (ORDER BY sha256('sample:' || person), person) AS n, list({'d': digest, 'i': doc_id} ORDER BY doc_id) AS files FROM f GROUP BY person),
+r AS (SELECT 0::BIGINT AS n, 0 AS chosen, []::VARCHAR[] AS taken, NULL::VARCHAR AS person, []::BIGINT[] AS kept
+ UNION ALL SELECT n, chosen + (len(a) >= 3)::INT, CASE WHEN len(a) >= 3 THEN list_concat(taken, [x.d FOR x IN a[1:5]]) ELSE taken END, person, CASE WHEN len(a) >= 3 THEN [x.i FOR x IN a[1:5]] ELSE [] END
+ FROM (SELECT o.n, r.chosen, r.taken, o.person, list_filter(o.files, lambda x: NOT list_contains(r.taken, x.d)) AS a FROM r JOIN o ON o.n = r.n + 1 WHERE r.chosen < 8))
+SELECT person, unnest(kept) AS doc_id FROM r WHERE len(kept) > 0""")
 def sample_people(spark, d):
-    """Eight people in the order of a salted hash, at most five pictures each, every digest once."""
-    return pictures.sampled(pictures.distinct_files(_files(spark, d), "doc_id", "digest"), "person", "doc_id", 3, 8, 5)
+    """Eight people in the order of a salted hash, at most five pictures each that nobody before them keeps."""
+    return pictures.sampled(_files(spark, d), "person", "doc_id", "digest", 3, 8, 5)
 
 
 @query("""SELECT l.doc_id, CASE WHEN d.doc_id IS NULL THEN 'FILE_GONE' WHEN l.doc_id % 9 = 0 THEN 'DIGEST_CHANGED' WHEN d.text IS NULL THEN 'EMPTY' WHEN toxic = 1 AND quality = 1 THEN 'CONTRADICTION' ELSE 'CURRENT' END AS reason
@@ -145,7 +150,7 @@ def _pictures(spark, d):
     key = F.col("event_id")
     base = F.when(key % 5 == 4, key - key % 5).otherwise(key)
     grey = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.pmod(F.xxhash64(base, i), F.lit(250)) + F.when((key % 5 == 4) & (i == key % 72), 97).otherwise(0))
-    return table(spark, d, "events").where("event_id < 4000").select(key.alias("picture_id"), grey.alias("grey"))
+    return table(spark, d, "events").select(key.alias("picture_id"), grey.alias("grey"))
 
 
 @query()

@@ -185,16 +185,21 @@ def presence_by_source(spark, d):
  UNION ALL SELECT a.identity_id, b.identity_id, 3 FROM v a JOIN v b ON a.source_id = b.source_id AND a.identity_id < b.identity_id AND abs(a.start_ms - b.start_ms) <= 7200000)
 SELECT a, b, min(level)::int AS level FROM p GROUP BY a, b""")
 def cooccurrence_levels(spark, d):
-    """1 seen together, 2 in one hour of a source, 3 within two hours: equi-joins on the hours that a span
-    touches, instead of a range join."""
-    hour = lambda ms: F.floor(ms / 3600000)
-    v = _visits(spark, d).select("source_id", "identity_id", "start_ms", "end_ms")
-    a = v.select("source_id", F.col("identity_id").alias("a"), F.col("start_ms").alias("s"), F.col("end_ms").alias("e"), F.explode(F.sequence(hour(F.col("start_ms")) - 2, hour(F.col("end_ms")) + 2)).alias("hour"))
-    b = v.select("source_id", F.col("identity_id").alias("b"), F.col("start_ms").alias("s2"), F.col("end_ms").alias("e2"), hour(F.col("start_ms")).alias("hour"))
-    together = (F.col("s") <= F.col("e2")) & (F.col("s2") <= F.col("e"))
-    level = F.when(together, 1).when(hour(F.col("s")) == hour(F.col("s2")), 2).when(F.abs(F.col("s") - F.col("s2")) <= 7200000, 3)
-    met = a.join(b, ["source_id", "hour"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), level.alias("level"))
-    return met.where("level is not null").groupBy("a", "b").agg(F.min("level").alias("level"))
+    """1 seen together, 2 in one hour of a source, 3 within two hours. Together is a join of each identity's merged spans
+    in bins of their own length; an hour and its presence are counted once; of starts, only the first and last of an
+    identity in two hours travel: two of one such bin are near, and of neighbouring ones the nearest two decide."""
+    hour, near = 3_600_000, 7_200_000
+    v = _visits(spark, d).select("source_id", "identity_id", F.col("start_ms").alias("start"), F.col("end_ms").alias("end"))
+    spans = history.merged_spans(v, ["source_id", "identity_id"])
+    pairs = history.overlapping_pairs(spans, spans, ["source_id"], hour).select(F.col("identity_id").alias("x"), F.col("other_identity_id").alias("y"), F.lit(1).alias("level"))
+    hours = v.select("source_id", F.floor(F.col("start") / hour).alias("bin"), "identity_id").distinct()
+    pairs = pairs.unionByName(hours.join(hours.withColumnRenamed("identity_id", "y"), ["source_id", "bin"]).select(F.col("identity_id").alias("x"), "y", F.lit(2).alias("level")))
+    ends = v.groupBy("source_id", F.floor(F.col("start") / near).alias("bin"), "identity_id").agg(F.min("start").alias("low"), F.max("start").alias("high"))
+    other = ends.select("source_id", F.col("identity_id").alias("y"), F.col("low").alias("low2"), F.explode(F.array(F.struct(F.col("bin"), F.lit(False).alias("next")), F.struct((F.col("bin") - 1).alias("bin"), F.lit(True).alias("next")))).alias("b"))
+    other = other.select("source_id", "y", "low2", "b.bin", "b.next")
+    close = ends.join(other, ["source_id", "bin"]).where(~F.col("next") | (F.col("low2") - F.col("high") <= near))
+    pairs = pairs.unionByName(close.select(F.col("identity_id").alias("x"), "y", F.lit(3).alias("level"))).where("x <> y")
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.min("level").alias("level"))
 
 
 # --- corrections, names, runs ---------------------------------------------------------------------------
@@ -480,7 +485,8 @@ def merge_lineage(spark, d):
 SELECT DISTINCT crop_id FROM o WHERE identity_id IN (SELECT identity_id FROM m) AND crop_id NOT IN (SELECT crop_id FROM o WHERE identity_id NOT IN (SELECT identity_id FROM m))""")
 def forget_family(spark, d):
     """Crops to erase with everybody who was merged into three people."""
-    family = lifecycle.family(_named_chain(spark, d)).where(F.col("root").isin(12, 20, 44)).select(F.col("member").alias("identity_id"))
+    chain = _named_chain(spark, d)
+    family = lifecycle.family_of(chain, chain.where(F.col("identity_id").isin(12, 20, 44))).select(F.col("member").alias("identity_id"))
     return lifecycle.forget_plan(views.occurrences(spark, d).select(F.col("source_id").alias("crop_id"), "identity_id"), family)
 
 

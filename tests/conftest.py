@@ -62,4 +62,4 @@ def same_rows(spark_df, relation) -> None:
     at = [relation.columns.index(c) for c in names]
     theirs = sorted(tuple(plain(r[k]) for k in at) for r in relation.fetchall())
     assert len(mine) == len(theirs)
-    assert mine == theirs
+    assert mine == theirs, [(a, b) for a, b in zip(mine, theirs) if a != b][:3]
