@@ -305,13 +305,15 @@ def repeated_spans(docs: DataFrame, w: Windows) -> DataFrame:
     """
     docs, again = once(docs)
     runs = docs.mapInArrow(_runs_of(w), "core long, content long, did long, tie long, at long")
+    # written, so that both sides of the join are plain exchanges and AQE can split a hot anchor
     if again is None:
-        runs = runs.withColumn("n", F.lit(1).cast("long"))
+        often = staged(runs.groupBy("core").agg(F.count("*").alias("c")).where("c >= 2").select("core"), "often")
+        kept = runs.join(often, "core", "left_semi").withColumn("n", F.lit(1).cast("long"))
     else:
         runs = runs.join(again, ["did", "tie"], "left").select("core", "content", "did", "tie", "at", F.coalesce("rows", F.lit(1)).cast("long").alias("n"))
-    # written, so that both sides of the join are plain exchanges and AQE can split a hot anchor
-    often = staged(runs.groupBy("core").agg(F.sum("n").alias("c")).where("c >= 2").select("core"), "often")
-    kept = staged(runs.join(often, "core", "left_semi"), "runs")
+        often = staged(runs.groupBy("core").agg(F.sum("n").alias("c")).where("c >= 2").select("core"), "often")
+        kept = runs.join(often, "core", "left_semi")
+    kept = staged(kept, "runs")
     groups = _counted(w, kept, [])
     spans = [_answers(w, kept, groups)]
     want = _mixed_anchors(groups).groupBy("did", "tie").agg(F.collect_list(F.struct("core", "at", "n", "m")).alias("want"))
