@@ -7,9 +7,10 @@ does not have is a phrase by itself). Phrases a character times log2 of the trai
 the cross entropy (Ziv and Merhav); divided by the rate that the language's own text needs, the
 language with the smallest figure wins.
 
-Whole texts are parsed, in blocks of `BLOCK_CHARS` characters; a phrase ends at the end of a block.
-All blocks of a batch are stepped together through dense transition tables, in which a missing
-transition already holds the restart of the parse.
+Whole texts are parsed, in blocks of `BLOCK_CHARS` characters that are stepped together through dense
+transition tables, in which a missing transition already holds the restart of the parse. A block is then
+entered again in the state its predecessor ended in, until both parses begin a phrase at one place (which they
+do after a few phrases): the result is that of one parse of the whole text, whatever the size of a block.
 """
 
 from __future__ import annotations
@@ -25,17 +26,17 @@ from pyspark.sql import functions as F
 
 from recallspark.llm.tables import single
 
-#: Bounds of the training sample, for each language: characters taken, documents they come from, and
-#: documents (others, if there are) that its own rate is measured on.
-TRAIN_CHARS, TRAIN_DOCS, RATE_DOCS = 16_000, 64, 64
-#: Characters of one training document at most, so that several documents make the sample.
+#: Bounds of the training sample, for each language: characters taken (fewer if the languages together exceed
+#: `TRAIN_TOTAL`), documents they come from, and documents (others, if there are) that its own rate is measured on.
+TRAIN_CHARS, TRAIN_TOTAL, TRAIN_DOCS, RATE_DOCS = 16_000, 1_000_000, 64, 64
+#: Characters taken of one document of the sample, from a place given by a hash, so that several make it up.
 DOC_CHARS = 2_000
-#: Languages learned (the first by name), and code points told apart (the commonest in the training
-#: texts; all others count as one symbol that no language has).
-LANGUAGES, SYMBOLS = 256, 255
+#: Symbols of a language at most; the code points of a larger alphabet share them by a hash. What does not occur in the
+#: training text of a language is a symbol that it does not have.
+SYMBOLS = 255
 BLOCK_CHARS, LANES = 1024, 4096
-#: A document whose best figure is above this is in none of the languages.
-REJECT, SHORT = 2.5, 40  # (but texts of fewer characters say too little)
+#: A document whose best figure, without its last phrase, is above this is in none of the languages.
+REJECT = 2.5
 
 
 def _letter_table() -> np.ndarray:
@@ -88,89 +89,140 @@ def automaton(sym: np.ndarray, sigma: int) -> np.ndarray:
     return go[:n]
 
 
+def alphabet(texts: list[str]) -> tuple[np.ndarray, int]:
+    """Symbol of each code point below 65536 (0: not in the texts), and the number of symbols with 0."""
+    used = np.zeros(65536, bool)
+    for x in texts:
+        sym = symbols_of(x)
+        used[sym[sym < 65536]] = True
+    points = np.flatnonzero(used)
+    codes = np.zeros(65536, np.uint8)
+    codes[points] = np.arange(len(points)) + 1 if len(points) <= SYMBOLS else points * 40503 % 65521 % SYMBOLS + 1
+    return codes, int(codes.max(initial=0)) + 1
+
+
 @dataclass
 class Model:
     langs: list[str]
-    codes: np.ndarray  # symbol of each code point below 65536; 0: not learned
-    go: list[np.ndarray]  # for each language, flat (state, symbol) -> state, negative: a new phrase began
+    codes: list[np.ndarray]  # for each language, the symbol of each code point below 65536; 0: it does not have it
+    sigma: list[int]  # number of symbols
+    go: list[np.ndarray]  # flat (state, symbol) -> state, negative: a new phrase began
     scale: np.ndarray  # figure of one phrase a character
 
-    def rates(self, texts: list[str]) -> np.ndarray:
-        """Phrases a character, by text and language."""
-        sigma = self.sigma
-        cut, owner, chars = [], [], np.ones(len(texts))
+    def phrases(self, texts: list[str], langs: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases by text and language (all, or those numbered), and characters (one at least) of each text."""
+        cut, owner, chars, before = [], [], np.ones(len(texts)), []
         for k, text in enumerate(texts):
             sym = symbols_of(text)
             chars[k] = max(1, len(sym))
-            code = np.where(sym < 65536, self.codes[np.minimum(sym, 65535)], 0).astype(np.uint8)
-            for a in range(0, max(1, len(code)), BLOCK_CHARS):
-                cut.append(code[a : a + BLOCK_CHARS])
+            sym = np.minimum(sym, 65535).astype(np.uint16)  # U+FFFF is no letter
+            for a in range(0, max(1, len(sym)), BLOCK_CHARS):
+                before.append(len(cut) - 1 if a else -1)
+                cut.append(sym[a : a + BLOCK_CHARS])
                 owner.append(k)
-        out = np.zeros((len(texts), len(self.langs)))
-        size = np.array([len(x) for x in cut])
+        size, before, owner = np.array([len(x) for x in cut], np.int64), np.array(before, np.int64), np.array(owner, np.int64)
         order = np.argsort(-size, kind="stable")
-        for at in range(0, len(order), LANES):
-            lanes = order[at : at + LANES]
-            most = int(size[lanes[0]]) if len(lanes) else 0
-            grid = np.zeros((most, len(lanes)), np.uint8)
-            for k, x in enumerate(lanes):
-                grid[: size[x], k] = cut[x]
-            active = np.searchsorted(-size[lanes], -np.arange(most), "left")
-            for lang, go in enumerate(self.go):
-                state, count = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
-                for t in range(most):
-                    w = active[t]
-                    to = go[state[:w] * sigma + grid[t, :w]]
-                    new = to < 0
-                    count[:w] += new
-                    state[:w] = np.where(new, ~to, to)
-                np.add.at(out[:, lang], np.array(owner)[lanes], count)
-        return out / chars[:, None]
-
-    @property
-    def sigma(self) -> int:
-        return int(self.codes.max()) + 1
-
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """(language, score, figure) of each text."""
+        most = int(size.max(initial=0))
+        grid = np.full((most, len(cut)), 65535, np.uint16)  # columns by falling size
+        for k, x in enumerate(order):
+            grid[: size[x], k] = cut[x]
+        place = np.empty(len(cut), np.int64)
+        place[order] = np.arange(len(cut))
+        size, before, owner = size[order], np.where(before[order] >= 0, place[before[order]], -1), owner[order]
+        out = np.zeros((len(texts), len(self.langs)))
+        for lang in range(len(self.langs)) if langs is None else langs:
+            count, begun, state = self._fresh(lang, grid, size)
+            self._joined(lang, grid, size, before, count, begun, state)
+            np.add.at(out[:, lang], owner, count)
+        return out, chars
+
+    def _fresh(self, lang: int, grid: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of each block by itself, where they begin, and the state at its end."""
+        go, sigma, codes = self.go[lang], self.sigma[lang], self.codes[lang]
+        count, state, begun = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64), np.zeros(grid.shape, bool)
+        for a in range(0, len(size), LANES):
+            lanes = slice(a, a + LANES)
+            active = np.searchsorted(-size[lanes], -np.arange(len(grid)), "left")
+            for t in range(int(size[a])):
+                w = slice(a, a + active[t])
+                to = go[state[w] * sigma + codes[grid[t, w]]]
+                new = to < 0
+                begun[t, w] = new
+                count[w] += new
+                state[w] = np.where(new, ~to, to)
+        return count, begun, state
+
+    def _joined(self, lang: int, grid, size, before, count, begun, state) -> None:
+        """Counts of blocks that go on where their predecessors ended. A block whose end changes by that is followed by
+        another round for its successor."""
+        go, sigma, codes = self.go[lang], self.sigma[lang], self.codes[lang]
+        after = np.full(len(size), -1)
+        after[before[before >= 0]] = np.flatnonzero(before >= 0)
+        fresh, own, todo = count.copy(), state.copy(), np.flatnonzero(before >= 0)
+        while len(todo):
+            lanes, now = todo, state[before[todo]]
+            done, seen, ends = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64), []
+            t = 0
+            while len(lanes):
+                over = size[lanes] <= t
+                if over.any():  # never met its fresh parse: its own end counts
+                    ends.append((lanes[over], done[over], now[over]))
+                    lanes, now, done, seen = lanes[~over], now[~over], done[~over], seen[~over]
+                    continue
+                to = go[now * sigma + codes[grid[t, lanes]]]
+                new, was = to < 0, begun[t, lanes]
+                done += new
+                seen += was
+                now = np.where(new, ~to, to)
+                met = new & was
+                ends.append((lanes[met], fresh[lanes[met]] - seen[met] + done[met], own[lanes[met]]))
+                lanes, now, done, seen = lanes[~met], now[~met], done[~met], seen[~met]
+                t += 1
+            todo = np.zeros(0, np.int64)
+            for some, phrases, end in ends:
+                count[some] = phrases
+                moved = some[state[some] != end]
+                state[some] = end
+                todo = np.append(todo, after[moved][after[moved] >= 0])
+
+    def rates(self, texts: list[str], langs: list[int] | None = None) -> np.ndarray:
+        """Phrases a character, by text and language."""
+        found, chars = self.phrases(texts, langs)
+        return found / chars[:, None]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, float]]:
+        """(language, score, figure, the figure without the last phrase, which the end of the text cuts) of each text."""
         known = [k for k, x in enumerate(texts) if _letters(x)]
-        out = [("und", 0.0, float("inf"))] * len(texts)
+        out = [("und", 0.0, float("inf"), float("inf"))] * len(texts)
         if not self.langs or not known:
             return out
-        figures = self.rates([texts[k] for k in known]) * self.scale
+        found, chars = self.phrases([texts[k] for k in known])
+        figures = found / chars[:, None] * self.scale
         best = figures.argmin(axis=1)
         rest = np.sort(figures, axis=1)
         for row, k in enumerate(known):
             first, second = rest[row, 0], rest[row, 1] if len(self.langs) > 1 else rest[row, 0] + 1
-            out[k] = (self.langs[best[row]], float(second / (first + second)) if second > 0 else 0.5, float(first))
+            less = (found[row, best[row]] - 1) / chars[row] * self.scale[best[row]]
+            out[k] = (self.langs[best[row]], float(second / (first + second)) if second > 0 else 0.5, float(first), float(less))
         return out
 
 
 def learn(samples: list[tuple[str, list[str], list[str]]]) -> Model:
     """Model of (language, texts to learn, texts to measure its own rate on)."""
-    count = np.zeros(65536, np.int64)
-    for _, texts, _ in samples:
-        for x in texts:
-            sym = symbols_of(x)
-            count += np.bincount(sym[sym < 65536], minlength=65536)
-    used = np.argsort(-count, kind="stable")[: min(SYMBOLS, int((count > 0).sum()))]
-    codes = np.zeros(65536, np.int64)
-    codes[np.sort(used)] = np.arange(1, len(used) + 1)
-    sigma = len(used) + 1
-    model = Model([x[0] for x in samples], codes, [], np.ones(len(samples)))
-    lengths = []
+    model = Model([x[0] for x in samples], [], [], [], np.ones(len(samples)))
     for _, texts, _ in samples:
-        sym = np.concatenate([codes[np.minimum(symbols_of(x), 65535)] for x in texts] or [np.zeros(0, np.int64)])
-        lengths.append(len(sym))
-        go = automaton(sym, sigma)
+        codes, sigma = alphabet(texts)
+        go = automaton(np.concatenate([codes[np.minimum(symbols_of(x), 65535)] for x in texts] or [np.zeros(0, np.uint8)]).astype(np.int64), sigma)
         start = np.where(go[0] >= 0, go[0], 0)
         start[0] = 0
         go = np.where(go >= 0, go, ~start[None, :].astype(np.int32))
         go[0] = ~start  # from the start state every character begins a phrase
-        go[:, 0] = ~0  # an unknown character is a phrase, and the next one begins another
+        go[:, 0] = ~0  # a character it does not have is a phrase, and the next one begins another
+        model.codes.append(codes)
+        model.sigma.append(sigma)
         model.go.append(go.reshape(-1))
     for k, (_, texts, own) in enumerate(samples):
-        rate = model.rates(own or texts)[:, k] if own or texts else np.ones(1)
+        rate = model.rates(own or texts, [k])[:, k] if own or texts else np.ones(1)
         model.scale[k] = 1 / max(1e-6, float(np.median(rate)))
     return model
 
@@ -178,18 +230,20 @@ def learn(samples: list[tuple[str, list[str], list[str]]]) -> Model:
 def labelled(docs: DataFrame, usable) -> list[tuple[str, list[str], list[str]]]:
     """A bounded sample of labelled rows: for each language, documents in the order of a hash."""
     rows = docs.where(usable).where("doc_id is not null and lang is not null and length(text) >= 20")
-    langs = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").limit(LANGUAGES).collect()]
-    # the first of each language, cut before the exchange; their ids are a bounded broadcast
     place = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(place)).where(F.col("n") <= TRAIN_DOCS + RATE_DOCS).select("doc_id").distinct().limit(LANGUAGES * (TRAIN_DOCS + RATE_DOCS))
+    # the first of each language, cut before the exchange; their ids are a bounded broadcast
+    ids = rows.select("lang", "doc_id").withColumn("n", F.row_number().over(place)).where(F.col("n") <= TRAIN_DOCS + RATE_DOCS).select("doc_id").distinct()
     some = single(rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi"), "lang")
-    some = some.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, DOC_CHARS).alias("text")).collect()
-    out = []
-    for lang in langs:
-        mine = sorted((r["h"], r["text"]) for r in some if r["lang"] == lang)
-        texts = list(dict.fromkeys(x[1] for x in mine))
+    start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - DOC_CHARS + 1))
+    some = some.select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", start.cast("int"), F.lit(DOC_CHARS)).alias("text")).collect()
+    by_lang: dict[str, list] = {}
+    for r in some:
+        by_lang.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    out, most = [], min(TRAIN_CHARS, TRAIN_TOTAL // max(1, len(by_lang)))
+    for lang in sorted(by_lang):
+        texts = list(dict.fromkeys(x[1] for x in sorted(by_lang[lang])))
         half = max(1, len(texts) // 2)
-        train, left = [], TRAIN_CHARS
+        train, left = [], most
         for x in texts[:half]:
             if left > 0:
                 train.append(x[:left])
@@ -243,7 +297,7 @@ def keep_identified(docs: DataFrame, model: Model, most: float = REJECT) -> Data
         out = []
         for at in range(0, len(text), 512):
             part = [None if x is None else x for x in text.iloc[at : at + 512]]
-            out += [x[0] != "und" and (x[2] <= most or len(t) < SHORT) for t, x in zip(part, share.value.predict(part))]
+            out += [x[0] != "und" and x[3] <= most for x in share.value.predict(part)]
         return pd.Series(out, dtype=bool)
 
     return docs.where(known("text"))

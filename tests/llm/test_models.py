@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recallspark.llm import language_id, quality_rules, queries, toxicity
 from tests.llm.corpus import frame, rows
@@ -166,3 +168,49 @@ def test_quality_edges(spark):
     assert quality_rules.judge(docs, forest).count() == 0
     out = quality_rules.judge(frame(spark, [(None, None) + (None,) * 6] * 2), forest).collect()
     assert [(r["n_words"], r["base_failed"], r["kept"]) for r in out] == [(0, True, False)] * 2
+
+
+def test_a_text_is_parsed_as_one(monkeypatch):
+    """Blocks of any size give the phrases of a plain parse of the whole text."""
+    rng = random.Random(1)
+    word = lambda a: "".join(rng.choice(a) for _ in range(rng.randint(1, 6)))
+    train = [" ".join(word("abcde") for _ in range(60)), " ".join(word("cdefgh") for _ in range(50))]
+    model = language_id.learn([("aa", train[:1], train[:1]), ("bb", train[1:], train[1:])])
+    texts = [train[0][7:90], train[1], "", "x", " ".join(word("abcdefgh") for _ in range(80)), train[0] * 3, train[1][:9] + train[0], "zzz" * 30]
+
+    def phrases(text, own):
+        sym, own = "".join(map(chr, language_id.symbols_of(text))), "".join("".join(map(chr, language_id.symbols_of(x))) for x in own)
+        at = n = 0
+        while at < len(sym):
+            k = 1
+            while at + k < len(sym) and sym[at : at + k + 1] in own:
+                k += 1
+            at, n = at + k, n + 1
+        return n
+
+    for block in (1, 2, 7, 1024):
+        monkeypatch.setattr(language_id, "BLOCK_CHARS", block)
+        got = model.phrases(texts)[0]
+        assert got.tolist() == [[phrases(x, train[:1]), phrases(x, train[1:])] for x in texts]
+
+
+def test_large_alphabets_many_languages_and_short_texts(spark):
+    """Han and Hangul beside Latin letters; three hundred languages; a text is judged by its figure, however short."""
+    rng = random.Random(2)
+    make = lambda points, n: "".join(chr(rng.choice(points)) for _ in range(n))
+    han, hangul, latin = [0x4E00 + 7 * k for k in range(900)], [0xAC00 + 11 * k for k in range(700)], [97 + k for k in range(26)]
+    common = {k: [make(p, rng.randint(1, 4)) for _ in range(150)] for k, p in (("zh", han), ("ko", hangul), ("en", latin))}
+    say = lambda k, n: " ".join(rng.choice(common[k]) for _ in range(n))
+    rows = [(i, say(k, 60), k) for i, k in enumerate(["zh", "ko", "en"] * 40)]
+    model = language_id.train(frame(spark, [(*r, *(None,) * 5) for r in rows]), F.lit(True))
+    assert [x[0] for x in model.predict([say(k, 8) for k in ("zh", "ko", "en")])] == ["zh", "ko", "en"]
+    assert all(x[3] <= language_id.REJECT for x in model.predict([say(k, n) for k in common for n in (2, 4, 30)]))
+    odd = "qjxz wvkq zxjq"
+    short, long = model.predict([odd, " ".join([odd] * 30)])
+    assert (short[3] <= language_id.REJECT) == (long[3] <= language_id.REJECT)
+    words = {f"l{k:03d}": [make(latin, rng.randint(3, 8)) for _ in range(40)] for k in range(260)}
+    many = [(i, " ".join(rng.choice(w) for _ in range(80)), k) for i, (k, w) in enumerate((k, w) for k, w in words.items() for _ in range(2))]
+    model = language_id.train(frame(spark, [(*r, *(None,) * 5) for r in many]), F.lit(True))
+    assert model.langs == sorted(words)
+    hits = [x[0] for x in model.predict([" ".join(rng.choice(words[k]) for _ in range(30)) for k in sorted(words)[::20]])]
+    assert sum(a == b for a, b in zip(hits, sorted(words)[::20])) >= 12
