@@ -39,7 +39,7 @@ from recallspark.sources.staging import staged
 
 SPACE = "\u2581"
 OWN_SPACE = " "  # stands for a U+2581 of the text itself, which is encoded as bytes: no space is left to mean one
-CHUNK, BLOCK, STATES = 16_384, 64, 16
+CHUNK, BLOCK, STATES = 32_768, 64, 16
 #: Score of one bit, offset of the ranks, score of a character without a piece in bits.
 UNIT, OFFSET, UNKNOWN, NEVER = 1 << 16, 301, 64, -(1 << 61)
 CACHE, CACHED_CHARS = 300_000, 48
