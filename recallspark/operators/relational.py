@@ -51,6 +51,16 @@ def running_sums(rows: DataFrame, keys: Sequence[str], order: str, sums: Sequenc
     return joined.withColumns({c: F.col(c) + F.col(f"_{c}") for c in sums}).drop("_bucket", *(f"_{c}" for c in sums))
 
 
+def best_point(sweep: DataFrame, known: DataFrame, accepted: int, precision: float, recall: float) -> DataFrame:
+    """Of a sweep (margin, threshold, accepted, correct) the point with the highest recall (of `known` queries, one row)
+    among those that reach three limits; the lowest threshold, then margin, of several. None may reach them."""
+    fit = sweep.where((F.col("accepted") >= accepted) & (F.col("correct") >= precision * F.col("accepted")))
+    fit = fit.join(F.broadcast(known)).where(F.col("correct") >= recall * F.col("known"))  # one row
+    best = fit.orderBy(F.desc("correct"), "threshold", "margin").limit(1)
+    shares = [F.round(F.col("correct") / F.col(of), 6).alias(name) for of, name in (("accepted", "precision"), ("known", "recall"))]
+    return best.select("margin", "threshold", "accepted", "correct", *shares)
+
+
 def transition(rows: DataFrame, requests: DataFrame, key: str, states: Sequence[str], to: str) -> DataFrame:
     """Requests (key, revision) against rows (key, state, revision): a request is accepted if the row
     is in one of the states at that revision; accepted rows change state and revision."""
@@ -67,6 +77,26 @@ def coalesced(operations: DataFrame) -> DataFrame:
     return latest(operations, ["rep_id"], [F.desc("seq")])
 
 
+def enqueued(queue: DataFrame, batch: DataFrame) -> DataFrame:
+    """(rep_id, kind, seq, action) of a queue's pending rows (rep_id, kind, seq; a kind once a representation) and a batch
+    that is appended in the order of `seq`: KEPT, DELETED or INSERTED.
+
+    Each operation of the batch deletes a pending one of the opposite kind and comes in unless its own kind is pending.
+    What that leaves follows from the last of each kind: the first operation after the last opposite one comes in,
+    unless the batch has no opposite one and its kind was pending. No group of a representation is collected."""
+    last = batch.groupBy("rep_id", "kind").agg(F.max("seq").alias("last"))
+    ends = last.groupBy("rep_id").agg(F.max_by("kind", "last").alias("to"), F.count("*").alias("kinds"))
+    other = last.join(ends, "rep_id").where(F.col("kind") != F.col("to")).select("rep_id", F.col("last").alias("turn"))
+    run = batch.join(ends.select("rep_id", F.col("to").alias("kind")), ["rep_id", "kind"]).join(other, "rep_id", "left")
+    fresh = run.where(F.col("turn").isNull() | (F.col("seq") > F.col("turn"))).groupBy("rep_id", "kind").agg(F.min("seq").alias("seq"))
+    said = queue.join(ends.where("kinds = 1").select("rep_id", F.col("to").alias("kind")), ["rep_id", "kind"], "left_semi").select("rep_id", "kind")
+    opposed = last.select("rep_id", F.when(F.col("kind") == "ADD", "REMOVE").otherwise("ADD").alias("kind"), F.lit(True).alias("_gone"))
+    old = queue.select("rep_id", "kind", "seq").join(opposed, ["rep_id", "kind"], "left")
+    old = old.select("rep_id", "kind", "seq", F.when(F.col("_gone"), "DELETED").otherwise("KEPT").alias("action"))
+    new = fresh.join(said, ["rep_id", "kind"], "left_anti").select("rep_id", "kind", "seq", F.lit("INSERTED").alias("action"))
+    return old.unionByName(new)
+
+
 def settled(operations: DataFrame, most: int, base_s: int) -> DataFrame:
     """State after an attempt (ok, attempts): APPLIED, PENDING with backoff, or FAILED at `most`."""
     attempts = F.col("attempts") + 1

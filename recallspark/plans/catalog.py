@@ -406,12 +406,12 @@ def placements(spark, d):
 
 
 @query("""WITH e AS (SELECT user_id AS face_id, event_id % 9 AS identity, max(event_id % 100) AS best FROM events GROUP BY ALL)
-SELECT face_id, identity, best, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY best DESC, identity) AS rank FROM e WHERE identity <> 8) WHERE rank <= 3""")
+SELECT face_id, identity, best, rank::int AS rank FROM (SELECT *, row_number() OVER (PARTITION BY face_id ORDER BY best DESC, identity) AS rank FROM e WHERE identity IN (SELECT n_nationkey FROM nation WHERE n_nationkey <> 8)) WHERE rank <= 3""")
 def likely_people(spark, d):
     best = table(spark, d, "events").groupBy(F.col("user_id").alias("face_id"), (F.col("event_id") % 9).alias("identity")).agg(F.max(F.col("event_id") % 100).alias("best"))
-    alive = spark.range(8).select(F.col("id").alias("identity"))
+    alive = table(spark, d, "nation").where("n_nationkey <> 8").select(F.col("n_nationkey").alias("identity"))
     order = Window.partitionBy("face_id").orderBy(F.desc("best"), "identity")
-    return best.join(F.broadcast(alive), "identity", "left_semi").withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("face_id", "identity", "best", "rank")
+    return best.join(alive, "identity", "left_semi").withColumn("rank", F.row_number().over(order)).where("rank <= 3").select("face_id", "identity", "best", "rank")
 
 
 @query(with_views("reps") + "SELECT id, ann_key FROM reps WHERE state = 'ACTIVE' AND identity_id IS NULL")
@@ -459,18 +459,36 @@ def coalesce_operations(spark, d):
     return relational.coalesced(views.operations(spark, d)).select("rep_id", "kind", "seq")
 
 
+@query(with_views("ops") + """, q AS (SELECT rep_id, kind, min(seq) AS seq FROM ops WHERE state = 'PENDING' AND seq % 2 = 0 GROUP BY ALL), b AS (SELECT rep_id, kind, seq FROM ops WHERE state <> 'APPLIED' AND seq % 2 = 1),
+a AS (SELECT rep_id, list([{'k': kind, 's': seq}] ORDER BY seq) AS asked FROM b GROUP BY rep_id), h AS (SELECT rep_id, list({'k': kind, 's': seq} ORDER BY kind) AS have FROM q GROUP BY rep_id),
+f AS (SELECT rep_id, coalesce(have, []) AS have, list_reduce(list_prepend(coalesce(have, []), asked), lambda acc, x: CASE WHEN len(list_filter(acc, lambda o: o.k = x[1].k)) > 0
+  THEN list_filter(acc, lambda o: o.k = x[1].k) ELSE list_concat(list_filter(acc, lambda o: o.k = x[1].k), x) END) AS left_ FROM a LEFT JOIN h USING (rep_id)
+  UNION ALL SELECT rep_id, have, have FROM h WHERE rep_id NOT IN (SELECT rep_id FROM a))
+SELECT rep_id, o.k AS kind, o.s AS seq, 'INSERTED' AS action FROM (SELECT rep_id, unnest(list_filter(left_, lambda o: NOT list_contains(have, o))) AS o FROM f)
+UNION ALL SELECT rep_id, o.k, o.s, CASE WHEN list_contains(left_, o) THEN 'KEPT' ELSE 'DELETED' END FROM (SELECT rep_id, left_, unnest(have) AS o FROM f)""")
+def append_operations(spark, d):
+    """The odd open operations appended to a queue of the even pending ones."""
+    ops = views.operations(spark, d)
+    queue = ops.where("state = 'PENDING' and seq % 2 = 0").groupBy("rep_id", "kind").agg(F.min("seq").alias("seq"))
+    return relational.enqueued(queue, ops.where("state <> 'APPLIED' and seq % 2 = 1").select("rep_id", "kind", "seq"))
+
+
 @query(with_views("ops") + """SELECT seq, CASE WHEN ok THEN 'APPLIED' WHEN attempts + 1 >= 4 THEN 'FAILED' ELSE 'PENDING' END AS next_state,
  CASE WHEN NOT ok AND attempts + 1 < 4 THEN (5 * pow(2, attempts))::bigint END AS wait_s, attempts + 1 AS next_attempts FROM ops""")
 def settle_operations(spark, d):
     return relational.settled(views.operations(spark, d), 4, 5).select("seq", "next_state", "wait_s", "next_attempts")
 
 
-@query("""SELECT run_id, seq, CASE WHEN seq % 7 = 0 AND run_id % 3 = 0 THEN 'RUNNING' ELSE s END AS state FROM (SELECT user_id AS run_id, event_id AS seq,
+@query("""WITH r AS (SELECT c_custkey AS run_id FROM customer WHERE c_nationkey % 5 = 0)
+SELECT run_id, seq, CASE WHEN run_id IN (SELECT run_id FROM r) AND s <> 'QUEUED' THEN 'RUNNING' ELSE s END AS state FROM (SELECT user_id AS run_id, event_id AS seq,
  CASE event_id % 4 WHEN 0 THEN 'INTERRUPTED' WHEN 1 THEN 'PAUSED' WHEN 2 THEN 'CANCELLED' ELSE 'QUEUED' END AS s FROM events)""")
 def startup_recovery(spark, d):
+    """Jobs that were under way when the program stopped: one whose run is being finalized goes on, others rest."""
     rows = views.operations(spark, d).select("run_id", "seq", F.expr("CASE seq % 4 WHEN 0 THEN 'RUNNING' WHEN 1 THEN 'PAUSING' WHEN 2 THEN 'CANCELLING' ELSE 'QUEUED' END").alias("was"))
-    finalizing = (F.col("seq") % 7 == 0) & (F.col("run_id") % 3 == 0)
-    to = F.when(finalizing, "RUNNING").when(F.col("was") == "RUNNING", "INTERRUPTED").when(F.col("was") == "PAUSING", "PAUSED").when(F.col("was") == "CANCELLING", "CANCELLED").otherwise(F.col("was"))
+    runs = table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_nationkey") % 5 == 0, "FINALIZING").otherwise("DONE").alias("run_state"))
+    rows = rows.join(runs.where("run_state = 'FINALIZING'"), "run_id", "left")
+    to = (F.when(F.col("was") == "QUEUED", "QUEUED").when(F.col("run_state").isNotNull(), "RUNNING").when(F.col("was") == "RUNNING", "INTERRUPTED")
+          .when(F.col("was") == "PAUSING", "PAUSED").otherwise("CANCELLED"))
     return rows.select("run_id", "seq", to.alias("state"))
 
 
@@ -496,11 +514,11 @@ def unreferenced_artifacts(spark, d):
     return out.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@query(with_views("reps") + "SELECT identity_id AS space_id, count(*) AS vectors FROM reps WHERE state = 'ACTIVE' AND identity_id % 3 <> 0 GROUP BY ALL")
+@query(with_views("reps") + "SELECT identity_id AS space_id, count(*) AS vectors FROM reps WHERE state = 'ACTIVE' AND identity_id NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (0, 3)) GROUP BY ALL")
 def missing_dependencies(spark, d):
     active = views.representations(spark, d).where("state = 'ACTIVE' and identity_id is not null").groupBy(F.col("identity_id").alias("space_id")).agg(F.count("*").alias("vectors"))
-    installed = spark.range(10).where("id % 3 = 0").select(F.col("id").alias("space_id"))
-    return active.join(F.broadcast(installed), "space_id", "left_anti")
+    installed = table(spark, d, "nation").where("n_regionkey in (0, 3)").select(F.col("n_nationkey").alias("space_id"))
+    return active.join(installed, "space_id", "left_anti")
 
 
 # --- identity graph -----------------------------------------------------------------------------
@@ -612,6 +630,14 @@ def conservative_sweep(spark, d):
     return best.join(known).select("margin", "threshold", "accepted", F.round(F.col("correct") / F.col("known"), 6).alias("recall"))
 
 
+@query(_SWEEP + """SELECT margin, threshold, accepted, correct, round(correct::double / accepted, 6) AS precision, round(correct::double / (SELECT count(*) FROM x), 6) AS recall FROM s
+WHERE accepted >= 5 AND correct >= 0.2::double * accepted AND correct >= 0.01::double * (SELECT count(*) FROM x) ORDER BY correct DESC, threshold, margin LIMIT 1""")
+def operating_point(spark, d):
+    """The point of the highest recall that keeps a precision, a recall and a number accepted; low thresholds first."""
+    known = _leave_one_out(spark, d).where("place = 1").agg(F.count("*").alias("known"))
+    return relational.best_point(policy_sweep(spark, d), known, accepted=5, precision=0.2, recall=0.01)
+
+
 _PAIRS = """WITH p AS (SELECT a.label = b.label AS genuine, round(greatest(-1, least(1, list_dot_product(a.embedding::double[], b.embedding::double[]))), 6) AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
 """
 
@@ -620,9 +646,13 @@ def _pair_scores(spark, d):
     return retrieval.pair_scores(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), F.col("embedding").alias("vector")))
 
 
-@query(_PAIRS + "SELECT round(greatest(0.3::double, coalesce(quantile_cont(s, 0.999), 0.3::double)), 4) AS floor, count(*) AS pairs FROM p WHERE NOT genuine")
+@query("""WITH h AS (SELECT vec_id, label, embedding::double[] AS v FROM embeddings WHERE (instr('0123456789abcdef', sha256('half:' || vec_id)[64]) - 1) % 2 = 0),
+p AS (SELECT round(greatest(-1, least(1, list_dot_product(a.v, b.v))), 6) AS s FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.label <> b.label)
+SELECT round(greatest(0.3::double, coalesce(quantile_cont(s, 0.999), 0.3::double)), 4) AS floor, count(*) AS pairs FROM p""")
 def tail_floor(spark, d):
-    s = _pair_scores(spark, d).where("not genuine")
+    """The lowest threshold that may be chosen, of pairs of the selection half alone."""
+    half = table(spark, d, "embeddings").where(names.hash_remainder(F.col("vec_id").cast("string"), "half", 2) == 0)
+    s = retrieval.pair_scores(half.select(F.col("vec_id").alias("id"), F.col("label").alias("identity"), F.col("embedding").alias("vector"))).where("not genuine")
     tail = F.coalesce(F.percentile("s", 0.999, F.col("n")), F.lit(0.3))
     return s.agg(F.round(F.greatest(F.lit(0.3), tail), 4).alias("floor"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"))
 

@@ -46,6 +46,17 @@ def append_log(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame,
     return good, rows.where("bad").join(F.broadcast(last)).select("at", "value", (F.col("at") == F.col("last")).alias("torn"))
 
 
+def checked_log(spark: SparkSession, path: str, schema: str, version: str, known: list[int]) -> DataFrame:
+    """The records of an append log that is whole: a last line that was cut short is left out, any other damage and a
+    record whose `version` column is not known are refused with a ValueError."""
+    good, bad = append_log(spark, path, schema)
+    damaged = bad.where("not torn").count()
+    strange = good.where(F.col(version).isNull() | ~F.col(version).isin(known)).count()
+    if damaged or strange:
+        raise ValueError(f"{path}: {damaged} damaged lines, {strange} records of an unknown version")
+    return good
+
+
 def report(rows: DataFrame, path: str, key: str) -> None:
     """A JSON document for each key: its rows as lines, in a folder of the key."""
     rows.repartition(key).write.mode("overwrite").partitionBy(key).json(path)

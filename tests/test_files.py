@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pytest
+
 from recallspark.sources import files
 from recallspark.streaming import chunks
 
@@ -50,3 +52,15 @@ def test_chunks_over_a_restart(spark, tmp_path):
         stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         chunks.record(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert sorted(r["id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == list(range(40))
+
+
+def test_a_checked_log_refuses_damage(spark, tmp_path):
+    """A torn last line is left out; a broken line before it, or a version nobody knows, is refused."""
+    whole = '{"version": 1, "id": 1}\n{"version": 2, "id": 2}\n'
+    for name, text in (("torn", whole + '{"version": 1, "i'), ("broken", '{"versi\n' + whole), ("strange", whole + '{"version": 9, "id": 3}\n')):
+        (tmp_path / name).write_text(text)
+    read = lambda name: files.checked_log(spark, str(tmp_path / name), "version int, id int", "version", [1, 2])
+    assert sorted(r["id"] for r in read("torn").collect()) == [1, 2]
+    for name in ("broken", "strange"):
+        with pytest.raises(ValueError, match=name):
+            read(name)
