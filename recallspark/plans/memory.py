@@ -634,7 +634,7 @@ def space_identity(spark, d):
     return row.select("space_id", F.sha2(F.col("canonical").cast("binary"), 256).alias("identity_key"), "canonical")
 
 
-@query("""SELECT c_custkey, trim(regexp_replace(lower(strip_accents(replace(c_name, '#', ' é-ß '))), '[^a-z0-9]+', '_', 'g'), '_') AS slug, lower(replace(c_name, '#', ' ')) AS same_name FROM customer""")
+@query("""SELECT c_custkey, trim(regexp_replace(strip_accents(replace(c_name, '#', ' é-ß ')), '[^A-Za-z0-9]+', '_', 'g'), '_') AS slug, lower(replace(c_name, '#', ' ')) AS same_name FROM customer""")
 def name_keys(spark, d):
     name = F.replace("c_name", F.lit("#"), F.lit(" é-ß "))
     return table(spark, d, "customer").select("c_custkey", names.slug(name).alias("slug"), names.same_name_key(F.replace("c_name", F.lit("#"), F.lit("_"))).alias("same_name"))
