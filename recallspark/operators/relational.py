@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.functions.names import match_rank
 from recallspark.sources.staging import staged
 
 
@@ -61,6 +62,37 @@ def best_point(sweep: DataFrame, known: DataFrame, accepted: int, precision: flo
     return best.select("margin", "threshold", "accepted", "correct", *shares)
 
 
+def named_like(rows: DataFrame, kind: str, text: str, limit: int) -> DataFrame:
+    """(kind, id, name, rank, position): the first `limit` rows (id, name: normalised) whose name is the normalised text
+    (rank 0), begins with it (1) or holds it (2), by rank, name and id."""
+    found = rows.withColumn("rank", match_rank(F.col("name"), text)).where("rank is not null").orderBy("rank", "name", "id").limit(limit)
+    position = F.row_number().over(Window.orderBy("rank", "name", "id"))  # over `limit` rows
+    return found.select(F.lit(kind).alias("kind"), "id", "name", "rank", position.alias("position"))
+
+
+def name_search(text: str, people: DataFrame, identities: DataFrame, sources: DataFrame, occurrences: DataFrame, coverage: DataFrame, wanted: Sequence[str], limit: int) -> DataFrame:
+    """One answer of four kinds (PERSON, IDENTITY, SOURCE, OCCURRENCE) with what was searched.
+
+    People, identities and sources are rows (id, name); occurrences (id, identity_id, time_ms) are the newest of the people
+    and identities found, which are looked up for them whether or not they are wanted themselves. Every row says the
+    query as it was understood, the plan, the kinds asked for and the coverage (total, processed: one row)."""
+    query = " ".join(text.split()).casefold()
+    kinds = ("PERSON", "IDENTITY", "SOURCE", "OCCURRENCE")
+    if not query or limit < 1 or not wanted or any(kind not in kinds for kind in wanted):
+        raise ValueError(f"a text, a limit and some of {kinds} are needed")
+    found = [named_like(rows, kind, query, limit) for kind, rows in zip(kinds, (people, identities, sources))]
+    who = found[0].unionByName(found[1]).select(F.col("id").alias("identity_id"))
+    newest = occurrences.join(F.broadcast(who), "identity_id", "left_semi").orderBy(F.desc("time_ms"), F.desc("id")).limit(limit)
+    place = F.row_number().over(Window.orderBy(F.desc("time_ms"), F.desc("id")))  # over `limit` rows
+    found.append(newest.select(F.lit("OCCURRENCE").alias("kind"), "id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("rank"), place.alias("position")))
+    answer = [rows for kind, rows in zip(kinds, found) if kind in wanted]
+    out = answer[0]
+    for rows in answer[1:]:
+        out = out.unionByName(rows)
+    asked = coverage.select(F.lit(query).alias("query"), F.lit("NAME_LOOKUP").alias("plan"), F.lit(",".join(wanted)).alias("kinds"), "total", "processed")
+    return out.join(F.broadcast(asked))  # one row
+
+
 def transition(rows: DataFrame, requests: DataFrame, key: str, states: Sequence[str], to: str) -> DataFrame:
     """Requests (key, revision) against rows (key, state, revision): a request is accepted if the row
     is in one of the states at that revision; accepted rows change state and revision."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recallspark.functions import boxes
+from recallspark.functions import boxes, names
 from recallspark.operators import lifecycle, relational
 from recallspark.plans.registry import query
 from recallspark.sources import views
@@ -66,3 +66,28 @@ def snapshots(spark, d):
     rows = table(spark, d, "orders").select(key.alias("order_id"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"))
     late = rows.where("order_id % 10 <> 7").withColumn("status", F.when(F.col("order_id") % 4 == 0, "X").otherwise(F.col("status")))
     return rows.where("order_id % 10 <> 3"), late.withColumn("priority", F.when(F.col("order_id") % 6 != 0, F.col("priority")))
+
+
+_NAMED = "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT')"
+_RANK = "CASE WHEN name = 'er' THEN 0 WHEN starts_with(name, 'er') THEN 1 WHEN contains(name, 'er') THEN 2 END"
+
+
+@query(with_views("occ") + f""", c AS (SELECT 'PERSON' AS kind, c_custkey AS id, lower(trim(c_name)) AS name FROM customer WHERE {_NAMED}
+ UNION ALL SELECT 'IDENTITY', c_custkey, 'person ' || substr(sha256(c_custkey::VARCHAR), 1, 6) FROM customer WHERE NOT {_NAMED}
+ UNION ALL SELECT 'SOURCE', p_partkey, lower(regexp_replace(trim(p_name), '\\s+', ' ', 'g')) FROM part),
+r AS (SELECT *, {_RANK} AS rank FROM c), n AS (SELECT kind, id, name, rank, row_number() OVER (PARTITION BY kind ORDER BY rank, name, id) AS position FROM r WHERE rank IS NOT NULL QUALIFY position <= 15),
+o AS (SELECT 'OCCURRENCE' AS kind, occurrence_id AS id, NULL::VARCHAR AS name, NULL::INT AS rank, row_number() OVER (ORDER BY time_ms DESC, occurrence_id DESC) AS position
+      FROM occ WHERE identity_id IN (SELECT id FROM n WHERE kind IN ('PERSON', 'IDENTITY')) QUALIFY position <= 15)
+SELECT kind, id, name, rank::INT AS rank, position::INT AS position, 'er' AS query, 'NAME_LOOKUP' AS plan, 'PERSON,IDENTITY,SOURCE,OCCURRENCE' AS kinds, total, processed
+FROM (SELECT * FROM n UNION ALL SELECT * FROM o), (SELECT count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS processed FROM orders)""")
+def search_names(spark, d):
+    """People, unnamed identities, sources and their newest occurrences for one text, with coverage and plan."""
+    who = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name"))
+    urgent = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("id"))
+    people = who.join(urgent, "id", "left_semi").select("id", names.normalised(F.col("c_name")).alias("name"))
+    label = names.short_label(F.sha2(F.col("id").cast("string").cast("binary"), 256))
+    unnamed = who.join(urgent, "id", "left_anti").select("id", names.normalised(label).alias("name"))
+    sources = table(spark, d, "part").select(F.col("p_partkey").alias("id"), names.normalised(F.col("p_name")).alias("name"))
+    occurrences = views.occurrences(spark, d).select(F.col("occurrence_id").alias("id"), "identity_id", "time_ms")
+    coverage = table(spark, d, "orders").agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("processed"))
+    return relational.name_search(" ER ", people, unnamed, sources, occurrences, coverage, ("PERSON", "IDENTITY", "SOURCE", "OCCURRENCE"), 15)
