@@ -162,11 +162,11 @@ def correspond_pairs(spark, d):
     return geometry.correspond(*_generations(spark, d), "now", ["source_id", "day"])
 
 
-@query(_GEN + f"""m AS (SELECT a.id AS selected_id, b.id AS face_id, {_IOU} / {_UNION} AS overlap FROM f a JOIN f b ON a.source_id = b.source_id AND a.day = b.day AND a.id % 10 = 0 AND b.id % 2 = 1 WHERE {_IOU} / {_UNION} >= 0.5)
+@query(_GEN + f"""m AS (SELECT a.id AS selected_id, b.id AS face_id, {_IOU} / {_UNION} AS overlap FROM f a JOIN f b ON a.source_id = b.source_id AND a.day = b.day AND a.id % 2 = 0 AND b.id % 2 = 1 WHERE {_IOU} / {_UNION} >= 0.5)
 SELECT selected_id, face_id FROM (SELECT *, count(*) OVER (PARTITION BY selected_id) AS n FROM m) WHERE n = 1""")
 def box_unique_match(spark, d):
     old, new = _generations(spark, d)
-    pairs = geometry.related(old.where("id % 10 = 0"), new, ["source_id", "day"], least=0.5, cosine=None)
+    pairs = geometry.related(old, new, ["source_id", "day"], least=0.5, cosine=None)
     return pairs.where("forward = 1").select(F.col("old_id").alias("selected_id"), F.col("new_id").alias("face_id"))
 
 

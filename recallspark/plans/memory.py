@@ -68,11 +68,14 @@ def evidence_payload(spark, d):
     return evidence.built(rows.withColumn("rank", F.row_number().over(order)))
 
 
-@query("""SELECT substr(payload, 1, 1) AS key, count(*) AS copies, string_agg(event_id::varchar, ',' ORDER BY event_id) AS ids FROM (SELECT event_id, sha256(event_type || ':' || event_id % 50) AS payload FROM events WHERE event_id % 20 = 0) GROUP BY 1""")
+@query("""WITH e AS (SELECT event_id, substr(sha256(event_type || ':' || event_id % 50), 1, 16) AS key FROM events)
+SELECT key, event_id, row_number() OVER (PARTITION BY key ORDER BY event_id) AS place, count(*) OVER (PARTITION BY key) AS copies FROM e""")
 def evidence_by_key(spark, d):
-    key = F.substring(F.sha2(F.concat("event_type", F.lit(":"), (F.col("event_id") % 50).cast("string")).cast("binary"), 256), 1, 1)
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",")
-    return table(spark, d, "events").where("event_id % 20 = 0").groupBy(key.alias("key")).agg(F.count("*").alias("copies"), ids.alias("ids"))
+    """Evidence under the key of its payload, numbered there; a key may hold any share of all rows."""
+    key = F.substring(F.sha2(F.concat("event_type", F.lit(":"), (F.col("event_id") % 50).cast("string")).cast("binary"), 256), 1, 16)
+    rows = relational.in_sequence(table(spark, d, "events").select(key.alias("key"), "event_id"), ["key", "event_id"], "n")
+    first = rows.groupBy("key").agg(F.min("n").alias("first"), F.count("*").alias("copies"))
+    return rows.join(first, "key").select("key", "event_id", (F.col("n") - F.col("first") + 1).alias("place"), "copies")
 
 
 # --- membership -------------------------------------------------------------------------------------
@@ -377,9 +380,9 @@ def jobs_outside_runs(spark, d):
     return jobs.join(hidden, "run_id", "left_anti").select("job_id")
 
 
-@query("SELECT o_orderkey AS job_id, c_custkey AS source_id, n_name AS artifact, r_name AS store FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey % 100 = 1")
+@query("SELECT o_orderkey AS job_id, c_custkey AS source_id, n_name AS artifact, r_name AS store FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 def job_input(spark, d):
-    rows = table(spark, d, "orders").where("o_orderkey % 100 = 1").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     rows = rows.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.select(F.col("o_orderkey").alias("job_id"), F.col("c_custkey").alias("source_id"), F.col("n_name").alias("artifact"), F.col("r_name").alias("store"))
 
@@ -394,9 +397,9 @@ def configuration_tree(spark, d):
     return rows.groupBy(F.col("r_name").alias("space"), F.col("n_name").alias("variant")).agg(F.countDistinct("c_custkey").alias("versions"), F.countDistinct("s_suppkey").alias("exports"), F.countDistinct("p_partkey").alias("components"))
 
 
-@query(with_views("det") + """SELECT det.id AS observation_id, 'crop-' || det.id AS artifact, c_name AS source FROM det JOIN customer ON c_custkey = det.source_id WHERE det.id % 4 = 0""")
+@query(with_views("det") + """SELECT det.id AS observation_id, 'crop-' || det.id AS artifact, c_name AS source FROM det JOIN customer ON c_custkey = det.source_id""")
 def face_crops(spark, d):
-    crops = views.detections(spark, d).where("id % 4 = 0").select(F.col("id").alias("observation_id"), "source_id", F.concat(F.lit("crop-"), F.col("id").cast("string")).alias("artifact"))
+    crops = views.detections(spark, d).select(F.col("id").alias("observation_id"), "source_id", F.concat(F.lit("crop-"), F.col("id").cast("string")).alias("artifact"))
     return crops.join(table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), F.col("c_name").alias("source")), "source_id").select("observation_id", "artifact", "source")
 
 
