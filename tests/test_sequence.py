@@ -197,3 +197,10 @@ SELECT a.id, b.id, round(list_dot_product(a.v, b.v), 6) >= 0.3 FROM r a JOIN r b
             x, y = sorted((root(a), root(b)))
             up[y] = x
     assert {r["id"]: r["cluster_id"] for r in catalog.queries()["cluster_unknown"](spark, SF_DIR).collect()} == {x: root(x) for x in up}
+
+
+def test_keys_of_near_pictures_are_never_broadcast(spark, tmp_path):
+    """A small table of prints has 84 keys a print, which Spark does not reckon with."""
+    spark.range(3000).selectExpr("id as picture_id", "xxhash64(id) as bits").write.parquet(str(tmp_path / "prints"))
+    plan = pictures.near_pairs(spark.read.parquet(str(tmp_path / "prints")), 8)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
