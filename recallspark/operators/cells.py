@@ -150,8 +150,9 @@ def _probing(centroids: np.ndarray, probes: int):
 _FOUND = "query_id long, id long, near double, met long"
 
 
-def _best(most: int):
-    """The `most` best index rows of each query of a block, by their codes, and how many were met there."""
+def _best(most: int, itself: bool):
+    """The `most` best index rows of each query of a block, by their codes (its own row, if `itself`, before its equals), and
+    how many were met there."""
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
@@ -160,14 +161,18 @@ def _best(most: int):
             g = np.frombuffer(b"".join(right["code"].to_pylist()), np.int8).reshape(right.num_rows, -1).astype(np.float32)
             g *= np.asarray(right["scale"], np.float32)[:, None]
             asked, row_id = left["query_id"].combine_chunks(), right["id"].combine_chunks()
+            ids, own = np.asarray(row_id), np.asarray(asked)
             for at in range(0, len(q), 512):
                 s = q[at : at + 512] @ g.T
                 n = min(most, s.shape[1])
-                near = np.argpartition(-s, n - 1, axis=1)[:, :n]
-                which = np.repeat(np.arange(at, at + len(s)), n)
-                met = np.zeros(len(which), np.int64)
-                met[::n] = s.shape[1]
-                parts.append(pa.table([asked.take(pa.array(which)), row_id.take(pa.array(near.ravel())), pa.array(np.take_along_axis(s, near, 1).ravel().astype(float)), pa.array(met)], names=["query_id", "id", "near", "met"]))
+                np.round(s, 5, out=s)  # equal codes may differ in the last bits; ties go by id
+                row, near = np.nonzero(s >= np.partition(s, -n, axis=1)[:, -n][:, None])
+                order = np.lexsort((ids[near], (ids[near] != own[at + row]) & itself, -s[row, near], row))
+                row, near = row[order], near[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row)
+                row, near = row[first < n], near[first < n]
+                met = np.where(first[first < n] == 0, s.shape[1], 0)
+                parts.append(pa.table([asked.take(pa.array(at + row)), row_id.take(pa.array(near)), pa.array(s[row, near].astype(float)), pa.array(met)], names=["query_id", "id", "near", "met"]))
         empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.float64()), "met": pa.array([], pa.int64())})
         return pa.concat_tables([empty, *parts])
 
@@ -187,7 +192,7 @@ def candidates(index: Index, queries: DataFrame, most: int, exclude_self: bool =
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = probes.join(size, "cell").select("cell", own("query_id", "q").alias("qb"), every("g").alias("gb"), "query_id", "raw").groupBy("cell", "gb", "qb")
     b = index.rows.join(size, "cell").select("cell", own("id", "g").alias("gb"), every("q").alias("qb"), "id", "scale", "code").groupBy("cell", "gb", "qb")
-    found = a.cogroup(b).applyInArrow(_best(most + exclude_self), _FOUND)
+    found = a.cogroup(b).applyInArrow(_best(most + exclude_self, exclude_self), _FOUND)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("own"), F.desc("near"), "id"))
     # a query itself is met, not found
     itself = F.coalesce(F.col("id") == F.col("query_id"), F.lit(False)) if exclude_self else F.lit(False)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from recallspark.operators import cells, retrieval
 from recallspark.plans import catalog
@@ -124,3 +125,18 @@ def test_every_two_blocks_meet_once(spark, monkeypatch):
             k = bool(who[i] == who[j]), round(float(s[i, j]), 6)
             want[k] = want.get(k, 0) + 1
     assert counts == want
+
+
+def test_copies_beyond_the_candidates_go_by_id(spark):
+    """Ninety copies of one vector are nearer than the rest: of equal rows the smallest ids are found."""
+    rng = np.random.default_rng(3)
+    v = unit(rng.normal(size=(200, 8)))
+    twin = set(rng.permutation(200)[:90].tolist())
+    for i in twin:
+        v[i] = v[min(twin)]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], SCHEMA).repartition(1, "vector").sortWithinPartitions(F.desc("id"))
+    asked = rows.where(F.col("id") == max(twin)).withColumnRenamed("id", "query_id")
+    index = cells.built(rows, 10)
+    index = cells.Index(index.centroids, len(index.centroids), index.rows)
+    got = cells.nearest_indexed(index, asked, rows, 10, exclude_self=True).orderBy("rank").collect()
+    assert [r["id"] for r in got] == sorted(twin)[:10] and {r["met"] for r in got} == {199}
