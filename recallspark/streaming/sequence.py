@@ -192,20 +192,26 @@ def select_kept(rows: DataFrame, track: Sequence[str], keep: int, min_score: flo
 
 def encounters(stream: DataFrame, source: str, ts: str, rate: float, max_gap: int, gap: str | None = None) -> DataFrame:
     """Closed encounters (source, first_slot, last_slot, seen) of a stream (source, ts) with a watermark
-    on `ts`; an encounter ends at a silence of more than max_gap slots or at a row marked `gap`.
+    on `ts`; an encounter ends at a silence of more than max_gap slots or at a row marked `gap`. Of one
+    slot gaps come first; one that is left in the last slot that holds a gap, or before it, ends when the
+    watermark moves, unless more rows have come.
 
-    State is one row a source with an open encounter. When the watermark has passed the longest silence
-    the encounter is emitted and the state dropped; rows behind the watermark are dropped by Spark.
+    State is one row a source with an open encounter, or with a gap that the watermark has not passed. When
+    the watermark has passed the longest silence the encounter is emitted and the state dropped; rows
+    behind the watermark are dropped by Spark.
     """
     rows = stream.select(source, ts, slot(F.col(ts), rate).alias("slot"), (F.col(gap) if gap else F.lit(False)).alias("gap"))
+    never = -(1 << 62)
 
     def closing(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
+        *held, cut = state.get if state.exists else (0, 0, 0, never)
+        open_ = tuple(held) if held[2] else None
         if state.hasTimedOut:
-            out.append((key[0], *state.get))
+            if open_ is not None:
+                out.append((key[0], *open_))
             state.remove()
         else:
-            open_ = state.get if state.exists else None
             seen = sorted((x, not g) for part in parts for x, g in zip(part["slot"].tolist(), part["gap"].tolist()))
             for x, real in seen:
                 if open_ is not None and (not real or x - open_[1] > max_gap):
@@ -213,18 +219,20 @@ def encounters(stream: DataFrame, source: str, ts: str, rate: float, max_gap: in
                     open_ = None
                 if real:
                     open_ = (x, x, 1) if open_ is None else (min(x, open_[0]), max(x, open_[1]), open_[2] + 1)
-            if open_ is None:
+                else:
+                    cut = max(cut, x)
+            if open_ is None and cut == never:
                 state.remove() if state.exists else None
             else:
-                state.update(open_)
-                until = int((open_[1] + max_gap + 1) / rate * 1000)
-                state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
+                state.update((*(open_ or (0, 0, 0)), cut))
+                until = cut + 1 if open_ is None else open_[1] + max_gap + 1 if cut < open_[1] else 0
+                state.setTimeoutTimestamp(max(round(until / rate * 1000), state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=[source, "first_slot", "last_slot", "seen"])
 
     kind = stream.schema[source].dataType.simpleString()
     return rows.groupBy(source).applyInPandasWithState(
-        closing, f"{source} {kind}, first_slot long, last_slot long, seen long", "first long, last long, seen long", "append", GroupStateTimeout.EventTimeTimeout
+        closing, f"{source} {kind}, first_slot long, last_slot long, seen long", "first long, last long, seen long, cut long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
