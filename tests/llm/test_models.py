@@ -162,6 +162,26 @@ def test_quality_verdict_on_held_out_labels(spark):
     assert len({(r["n_words"], r["anomaly"], r["kept"]) for r in same}) == 1 and same[0]["n_words"] == 80_000
 
 
+def test_every_document_shapes_the_forest_and_its_threshold(spark):
+    """More documents than a sample of 4,096 held: the median, the trees and the rank of the threshold take all of them."""
+    rng = np.random.default_rng(9)
+    longs = rng.integers(2, 2000, 6000)
+    docs = frame(spark, [(k, f"{'a' * int(n)} " + " ".join(f"w{k}x{i}" for i in range(50)), *(None,) * 6) for k, n in enumerate(longs)])
+    stats = np.array([quality_rules.statistics(r["text"]) for r in docs.collect()])
+    lengths = sorted(stats[:, 1] * 1_000_000 // stats[:, 0])
+    labels = spark.createDataFrame([(k, 0, 1) for k in range(6000)], "doc_id long, toxic int, quality int")
+    forest = quality_rules.train(docs, labels)
+    assert forest.center == lengths[(6000 - 1) // 2] / 1_000_000
+    score = np.sort(forest.score(quality_rules.features(stats, forest.center)))
+    assert forest.threshold == pytest.approx(score[int(np.ceil(6000 * 0.998)) - 1] + 0.02, abs=1e-9)
+    x = quality_rules.features(stats, forest.center)
+    assert max(t[1].max() for t in forest.trees) <= x.max()
+    parts = quality_rules.extents(quality_rules.joined([([-1], [0.0], [0], [0.0])] * 128), np.zeros(128, int), x, np.arange(6000), quality_rules.spread_of(6000))
+    assert sum(n for _, n, _, _ in parts) == 6000 * quality_rules.spread_of(6000)
+    numbers = spark.createDataFrame([(int(v),) for v in lengths[::7]], "length long")
+    assert [quality_rules.ranked(numbers, "length", k) for k in (0, 400, 857)] == [lengths[::7][k] for k in (0, 400, 857)]
+
+
 def test_quality_edges(spark):
     docs, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     forest = quality_rules.train(docs, labels)
