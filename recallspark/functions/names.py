@@ -25,7 +25,7 @@ def _mapped(text: Column, rule: Callable[[str], str]) -> Column:
     wide = F.create_map(*(F.lit(x) for pair in many.items() for x in pair))
     letters = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
     spread = F.array_join(F.transform(letters, lambda c: F.coalesce(F.element_at(wide, c), c)), "")
-    held = text.rlike("[" + "".join(f"\\x{{{ord(c):X}}}" for c in many) + "]")
+    held = F.length(F.translate(text, "".join(many), "")) < F.length(text)  # a look-up a character; a class of so many is tried one by one
     return F.translate(F.when(held, spread).otherwise(text), "".join(one), "".join(one.values()))
 
 
