@@ -10,15 +10,18 @@ from pyspark.sql import functions as F
 from recallspark.functions import boxes, vectors
 
 MIN_IOU, MIN_COSINE = 0.7, 0.9
+#: Side of a cell where boxes meet, as a share of the picture.
+CELL = 0.5
 
 
 def _box(side: str) -> list[Column]:
     return [F.col(f"{side}.{c}") for c in ("x0", "y0", "x1", "y1")]
 
 
-def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float = 0.125) -> DataFrame:
+def overlapping(a: DataFrame, b: DataFrame, keys: Sequence[str], cell: float = CELL) -> DataFrame:
     """Pairs of boxes (aliases a and b) of equal keys that may overlap: an equi-join on the cells of a grid
-    that they touch, each pair met in the one cell that holds the corner of what they share."""
+    that they touch, each pair met in the one cell that holds the corner of what they share. A box is
+    shuffled once a cell, so cells should not be smaller than usual boxes."""
     size = F.lit(cell)
 
     def gridded(rows: DataFrame) -> DataFrame:
