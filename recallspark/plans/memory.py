@@ -9,6 +9,7 @@ from recallspark.functions import names
 from recallspark.operators import evidence, history, lifecycle, relational
 from recallspark.plans.registry import query
 from recallspark.sources import views
+from recallspark.sources.staging import staged
 from recallspark.sources.views import table, with_views
 
 # --- evidence -------------------------------------------------------------------------------------
@@ -392,9 +393,19 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey
 def configuration_tree(spark, d):
     lines = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     rows = lines.join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = rows.join(table(spark, d, "supplier").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"))
-    return rows.groupBy(F.col("r_name").alias("space"), F.col("n_name").alias("variant")).agg(F.countDistinct("c_custkey").alias("versions"), F.countDistinct("s_suppkey").alias("exports"), F.countDistinct("p_partkey").alias("components"))
+    rows = rows.join(table(spark, d, "supplier").select("s_suppkey"), F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    rows = rows.join(table(spark, d, "part").select("p_partkey"), F.col("l_partkey") == F.col("p_partkey"), "left_semi")
+    # Names would travel with every key that is counted: a number stands for them until the counts are there.
+    nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nations = nations.select("n_nationkey", F.col("r_name").alias("space"), F.col("n_name").alias("variant"))
+    named = nations.groupBy("space", "variant").agg(F.min("n_nationkey").alias("place"))
+    own = nations.join(named, nations["space"].eqNullSafe(named["space"]) & nations["variant"].eqNullSafe(named["variant"])).select("n_nationkey", "place").distinct()
+    rows = rows.join(F.broadcast(own), F.col("c_nationkey") == F.col("n_nationkey")).select("place", "c_custkey", "l_suppkey", "l_partkey")
+    # One kind of key a pass over the written rows: a task holds the keys of its split, of one kind.
+    rows, counts = staged(rows, "configured"), named
+    for key, name in (("c_custkey", "versions"), ("l_suppkey", "exports"), ("l_partkey", "components")):
+        counts = counts.join(rows.select("place", key).distinct().groupBy("place").agg(F.count(key).alias(name)), "place")
+    return counts.select("space", "variant", "versions", "exports", "components")
 
 
 @query(with_views("det") + """SELECT det.id AS observation_id, 'crop-' || det.id AS artifact, c_name AS source FROM det JOIN customer ON c_custkey = det.source_id""")
