@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,10 @@ def gap_sessions(rows: DataFrame, source: str, slot_column: str, key: str, max_g
     return rows.withColumn("_new", new.cast("int")).withColumn("session", F.sum("_new").over(order)).drop("_new")
 
 
+#: Pairs of a live track and a box up to which they are compared one by one.
+FEW = 32
+
+
 class Tracks:
     """Live tracks of one session, as parallel arrays: where each was last seen and how it moved."""
 
@@ -60,30 +65,51 @@ class Tracks:
             return np.zeros((0, 3))
         return np.stack([fit[t, b], t, b], axis=1)[np.lexsort((b, t, -fit[t, b]))]
 
+    def few(self, now: int, boxes: np.ndarray, shapes: list, faces: list) -> list[tuple]:
+        """`fits` number by number, which is faster for the few tracks and boxes of a usual slot; the same operations in the same order."""
+        out, others = [], boxes.tolist()
+        for t, (box, speed, slot) in enumerate(zip(self.box.tolist(), self.speed.tolist(), self.slot.tolist())):
+            gap = now - slot
+            left, top, right, bottom = (x + v * gap for x, v in zip(box, speed))
+            area = (right - left) * (bottom - top)
+            for b, (x0, y0, x1, y1) in enumerate(others):
+                both = max(min(right, x1) - max(left, x0), 0.0) * max(min(bottom, y1) - max(top, y0), 0.0)
+                union = area + (x1 - x0) * (y1 - y0) - both
+                fit = both / union if union > 0 else 0.0
+                if fit >= self.min_iou:
+                    fit = fit * agreement(self.shape[t], shapes[b]) if alike(self.face[t], faces[b]) >= self.veto else -1.0
+                    if fit >= self.min_iou:
+                        out.append((-fit, t, b))
+        return sorted(out)
+
     def place(self, now: int, boxes: np.ndarray, shapes: list, faces: list) -> np.ndarray:
         """Track numbers of the boxes of a slot."""
-        self.keep(now - self.slot <= self.max_gap)
+        alive = now - self.slot <= self.max_gap
+        if not alive.all():
+            self.keep(alive)
         to = np.full(len(boxes), -1)
         used: set[int] = set()
-        for _, t, b in self.fits(now, boxes, shapes, faces):
+        for _, t, b in (self.few if len(self.number) * len(boxes) <= FEW else self.fits)(now, boxes, shapes, faces):
             t, b = int(t), int(b)
             if t not in used and to[b] < 0:
                 used.add(t)
                 to[b] = t
-        old = np.flatnonzero(to >= 0)
-        at = to[old]
-        self.speed[at] = (boxes[old] - self.box[at]) / np.maximum(now - self.slot[at], 1)[:, None]
-        self.box[at], self.slot[at] = boxes[old], now
-        for t, b in zip(at.tolist(), old.tolist()):
-            self.shape[t], self.face[t] = shapes[b], faces[b]
-        fresh = np.flatnonzero(to < 0)
-        out = np.where(to >= 0, self.number[to] if len(self.number) else 0, 0)
-        out[fresh] = self.begun + np.arange(len(fresh))
-        self.begun += len(fresh)
-        self.number, self.slot = np.append(self.number, out[fresh]), np.append(self.slot, np.full(len(fresh), now))
-        self.box, self.speed = np.concatenate([self.box, boxes[fresh]]), np.concatenate([self.speed, np.zeros((len(fresh), 4))])
-        self.shape += [shapes[b] for b in fresh]
-        self.face += [faces[b] for b in fresh]
+        old, fresh = np.flatnonzero(to >= 0), np.flatnonzero(to < 0)
+        out = np.empty(len(boxes), np.int64)
+        if len(old):
+            at = to[old]
+            out[old] = self.number[at]
+            self.speed[at] = (boxes[old] - self.box[at]) / np.maximum(now - self.slot[at], 1)[:, None]
+            self.box[at], self.slot[at] = boxes[old], now
+            for t, b in zip(at.tolist(), old.tolist()):
+                self.shape[t], self.face[t] = shapes[b], faces[b]
+        if len(fresh):
+            out[fresh] = self.begun + np.arange(len(fresh))
+            self.begun += len(fresh)
+            self.number, self.slot = np.concatenate([self.number, out[fresh]]), np.concatenate([self.slot, np.full(len(fresh), now)])
+            self.box, self.speed = np.concatenate([self.box, boxes[fresh]]), np.concatenate([self.speed, np.zeros((len(fresh), 4))])
+            self.shape += [shapes[b] for b in fresh]
+            self.face += [faces[b] for b in fresh]
         return out
 
     def keep(self, alive: np.ndarray) -> None:
@@ -103,7 +129,8 @@ def agreement(a, b) -> float:
     """1 for equal shapes (points in box coordinates) down to 0 at a mean distance of 0.5; 1 if one is missing."""
     if a is None or b is None:
         return 1.0
-    return max(0.0, 1.0 - float(np.hypot(*(np.asarray(a) - np.asarray(b)).T).mean()) / 0.5)
+    apart = np.hypot(*(np.asarray(a) - np.asarray(b)).T)
+    return max(0.0, 1.0 - float(np.add.reduce(apart)) / len(apart) / 0.5)
 
 
 def alike(a, b) -> float:
@@ -114,6 +141,18 @@ def alike(a, b) -> float:
     return float(np.dot(a, b)) / size if size > 0 else 1.0
 
 
+def _arrays(column: pa.ListArray) -> list:
+    """The numbers of each row's list; None where it is missing."""
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    return [flat[a:b] if on else None for a, b, on in zip(at, at[1:], column.is_valid().to_pylist())]
+
+
+def _points(column: pa.ListArray) -> list:
+    """The points of each row as rows of an array; None where they are missing."""
+    flat, inner, at = column.values.values.to_numpy(zero_copy_only=False).astype(float), column.values.offsets.to_numpy(), column.offsets.to_pylist()
+    return [flat[inner[a] : inner[b]].reshape(b - a, -1) if on else None for a, b, on in zip(at, at[1:], column.is_valid().to_pylist())]
+
+
 def track_boxes(rows: DataFrame, source: str, min_iou: float = 0.2, max_gap: int = 2, veto: float = 0.2) -> DataFrame:
     """Rows (source, slot, id, x0, y0, x1, y1) with `track`: in each slot, boxes continue the live
     tracks that they fit best (moved on at their last speed), best first; the rest begin new tracks.
@@ -127,34 +166,37 @@ def track_boxes(rows: DataFrame, source: str, min_iou: float = 0.2, max_gap: int
     names = [c for c in ("landmarks", "vector") if c in rows.columns]
     sessions = gap_sessions(rows, source, "slot", "id", max_gap)
 
-    def task(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, live, rest = None, Tracks(min_iou, max_gap, veto), None
 
-        def placed(part: pd.DataFrame) -> pd.DataFrame:
+        def placed(part: pa.RecordBatch, keys: list) -> pa.RecordBatch:
             nonlocal key, live
-            keys = list(zip(*(part[c].tolist() for c in (source, "session", "slot"))))
-            box = part[["x0", "y0", "x1", "y1"]].to_numpy(float)
-            marks, faces = ([part[c].tolist() if c in names else [None] * len(part)][0] for c in ("landmarks", "vector"))
-            marks = [None if x is None else np.stack([np.asarray(p, float) for p in x]) for x in marks]
+            box = np.stack([part.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1)
+            marks = _points(part.column("landmarks")) if "landmarks" in names else [None] * len(keys)
+            faces = _arrays(part.column("vector")) if "vector" in names else [None] * len(keys)
             cuts = [0, *(k for k in range(1, len(keys)) if keys[k] != keys[k - 1]), len(keys)]
             out = np.zeros(len(keys), np.int64)
             for lo, hi in zip(cuts, cuts[1:]):
                 if keys[lo][:2] != key:
                     key, live = keys[lo][:2], Tracks(min_iou, max_gap, veto)
                 out[lo:hi] = live.place(int(keys[lo][2]), box[lo:hi], marks[lo:hi], faces[lo:hi])
-            return part.assign(track=out)
+            return pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], names=[*part.schema.names, "track"])
 
         for part in parts:
-            part = part if rest is None else pd.concat([rest, part], ignore_index=True)
-            last = (part[[source, "session", "slot"]] == part[[source, "session", "slot"]].iloc[-1]).all(axis=1)
-            rest = part[last]  # the last slot may go on in the next batch
-            if not last.all():
-                yield placed(part[~last])
-        if rest is not None and len(rest):
-            yield placed(rest)
+            if rest is not None:
+                part = pa.Table.from_batches([rest, part]).combine_chunks().to_batches()[0]
+            keys = list(zip(*(part.column(c).to_pylist() for c in (source, "session", "slot"))))
+            last = len(keys)
+            while last and keys[last - 1] == keys[-1]:
+                last -= 1
+            if last:
+                yield placed(part.slice(0, last), keys[:last])
+            rest = part.slice(last) if len(keys) else None  # the last slot may go on in the next batch
+        if rest is not None:
+            yield placed(rest, list(zip(*(rest.column(c).to_pylist() for c in (source, "session", "slot")))))
 
     schema = T.StructType([*sessions.schema.fields, T.StructField("track", T.LongType())])
-    found = staged(sessions.repartition(source, "session").sortWithinPartitions(source, "session", "slot", "id").mapInPandas(task, schema), "tracked")
+    found = staged(sessions.repartition(source, "session").sortWithinPartitions(source, "session", "slot", "id").mapInArrow(task, schema), "tracked")
     many = found.groupBy(source, "session").agg((F.max("track") + 1).alias("_n"))
     before = Window.partitionBy(source).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
     base = many.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

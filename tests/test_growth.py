@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from recallspark.functions import names
 from recallspark.operators import geometry
 from recallspark.plans import catalog
 from recallspark.sources import views
+from recallspark.streaming import sequence
 from tests.conftest import SF_DIR
 
 
@@ -31,3 +33,16 @@ def test_a_box_travels_to_few_cells(spark):
 
 def test_keys_of_a_configuration_are_counted_one_kind_a_pass(spark):
     assert "Expand" not in plan_of(catalog.queries()["configuration_tree"](spark, SF_DIR))
+
+
+def test_few_boxes_fit_alike_one_by_one():
+    rng = np.random.default_rng(4)
+    tracks = sequence.Tracks(0.2, 24, 0.2)
+    for now in range(0, 60, 3):
+        box = np.round(rng.random((3, 2)) * 0.4, 1)
+        boxes = np.concatenate([box, box + 0.2 + rng.integers(0, 3, (3, 2)) / 20], axis=1)
+        shapes = [None if rng.random() < 0.2 else rng.random((5, 2)) for _ in range(3)]
+        faces = [None if rng.random() < 0.2 else rng.random(2) - 0.3 for _ in range(3)]
+        few, fits = tracks.few(now, boxes, shapes, faces), tracks.fits(now, boxes, shapes, faces)
+        assert [(-x, t, b) for x, t, b in few] == [tuple(r) for r in fits.tolist()]
+        tracks.place(now, boxes, shapes, faces)
