@@ -232,7 +232,7 @@ def train_on(stats: DataFrame, labels: DataFrame) -> Forest:
                 for at in range(0, batch.num_rows, step):
                     keys, rows = cols[0, at : at + step], features(cols[1:, at : at + step].T, center)
                     parts = extents(*share.value, rows, keys, each)
-                    ends = [np.array([e[k] for e in parts]).reshape(len(parts), -1) for k in (2, 3)]
+                    ends = [np.array([e[k] for e in parts], float).reshape(len(parts), FEATURES) for k in (2, 3)]
                     columns = [pa.array([e[k] for e in parts], pa.int64()) for k in (0, 1)] + [pa.array(e[:, f], pa.float64()) for e in ends for f in range(rows.shape[1])]
                     yield pa.RecordBatch.from_arrays(columns, names=["node", "n", *sides])
 

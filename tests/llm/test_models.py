@@ -182,6 +182,21 @@ def test_every_document_shapes_the_forest_and_its_threshold(spark):
     assert [quality_rules.ranked(numbers, "length", k) for k in (0, 400, 857)] == [lengths[::7][k] for k in (0, 400, 857)]
 
 
+def test_quality_forest_grows_on_batches_without_an_open_node(spark):
+    """A document isolated at once, in a batch of its own, reaches no open node while the others are still split."""
+    data = [(k, " ".join(["a" * (5 + k)] * 20 + [f"w{k}x{i}" for i in range(60)])) for k in range(40)] + [(40, " ".join(["a" * 90_000] + [f"v{i}" for i in range(60)]))]
+    docs = frame(spark, [(*x, *(None,) * 6) for x in data])
+    labels = spark.createDataFrame([(k, 0, int(k < 40)) for k in range(41)], "doc_id long, toxic int, quality int")
+    whole = quality_rules.train(docs, labels)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        forest = quality_rules.train(docs, labels)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(forest.trees) == 128 and max(len(t[0]) for t in forest.trees) > 3
+    assert forest.threshold == whole.threshold and all((a == b).all() for t, o in zip(forest.trees, whole.trees) for a, b in zip(t, o))
+
+
 def test_quality_edges(spark):
     docs, labels = frame(spark, []), spark.createDataFrame([], "doc_id long, toxic int, quality int")
     forest = quality_rules.train(docs, labels)
