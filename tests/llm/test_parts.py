@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from recallspark.llm import anchors, substring_dedup
+from recallspark.llm import anchors, substring_dedup, suffix_dedup
 from recallspark.llm import text as tx
 from tests.llm.corpus import WORD
 
@@ -35,3 +38,15 @@ def test_every_window_lies_in_a_part(monkeypatch, text, width):
         assert not new & seen
         seen |= new
     assert seen == set(range(len(plain(words, width))))
+
+
+def test_a_task_holds_little_beside_its_text(monkeypatch):
+    monkeypatch.setattr(tx, "_powers", {})
+    texts = pa.array([f"{k} " + "some words of a text " * 200 for k in range(1200)])
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, ids, texts], names=["did", "tie", "text"])
+    tracemalloc.start()
+    found = sum(x.num_rows for x in anchors._runs_of(suffix_dedup.byte_windows(240))([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found and most < 150 << 20

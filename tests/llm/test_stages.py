@@ -63,3 +63,15 @@ def test_run_leaves_only_its_result(spark):
     paths = {f.rsplit("/", 1)[0] for f in out.inputFiles()}
     assert len(paths) == 1 and out.count() > 0
     assert staged(out.limit(1), "again").count() == 1
+
+
+@pytest.mark.parametrize("given", [None, "77"])
+def test_batches_are_small_unless_the_session_says_otherwise(spark, given):
+    key, stage = "spark.sql.execution.arrow.maxRecordsPerBatch", dict(corpus_pipeline.STAGES)["suffix_array_dedup"]
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key) if given is None else spark.conf.set(key, given)
+    try:
+        stage(spark, spark.createDataFrame([(1, "a text")], "doc_id long, text string"), None)
+        assert spark.conf.get(key) == (given or str(corpus_pipeline.BATCH_ROWS))
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
