@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 from collections import Counter
 from datetime import UTC, datetime
@@ -166,3 +167,11 @@ def test_stream_query_gives_the_tracks_of_the_batch_query(spark):
 
     found = {name: {(r["source_id"], r["slot"], r["id"], r["track"]) for r in catalog.queries()[name](spark, SF_DIR).select("source_id", "slot", "id", "track").collect()} for name in ("stream_tracks", "track_boxes")}
     assert found["stream_tracks"] == found["track_boxes"] and len(found["track_boxes"]) > 900
+
+
+def test_faces_travel_as_json_until_their_slot_is_placed():
+    faces = [(k, k, [0.0, 0.0, 1.0, 1.0], [[0.1, 0.2], [0.3, 0.4]] if k % 2 else None, [1.0, 0.0] if k % 4 < 2 else [0.0, 1.0]) for k in range(12)]
+    texts = [(*f[:3], *(None if x is None else json.dumps(x) for x in f[3:])) for f in faces]
+    plain = live.Placing(0.2, 2, 0.2).place(faces)
+    assert live.Placing(0.2, 2, 0.2).place(texts) == plain
+    assert len({x[2] for x in plain}) > 1
