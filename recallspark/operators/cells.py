@@ -3,12 +3,13 @@
 * *Fit.* Cells are the centroids of a spherical k-means over a bounded sample (`SAMPLE` rows, in the order of a
   hash of the id); their number is the square root of the rows, `MOST_CELLS` at most. The number of cells a
   query probes is the smallest that reaches the wanted share of true neighbours within the sample.
-* *Index.* Every row is assigned to its nearest cell and written as (cell, id, scale, code): one signed byte
-  a dimension. New rows are assigned to the same cells and appended.
+* *Index.* Every row is assigned to its nearest cell and written as (cell, id, twin, scale, slack, code): two bytes
+  a dimension, how far the code is from the vector, and a hash that copies share. New rows are assigned to the same
+  cells and appended.
 * *Search.* Probes and index rows meet on the cell, an equi-join by cogroup. A cell of many rows, or one many
   queries probe, is cut into blocks. A task multiplies codes and keeps the best of each query; the best of
-  all its cells, `REFINE` * k of them, are joined to the vectors and scored exactly. Only these pairs are
-  scored, however large the gallery is.
+  all its cells, `REFINE` * k of them and every other whose code leaves open whether it is one of the k, are joined
+  to the vectors and scored exactly. Only these pairs are scored, however large the gallery is.
 
 Rows without an id or a vector, and vectors of other lengths, are not indexed; an empty gallery finds nothing.
 """
@@ -30,11 +31,13 @@ from recallspark.sources.staging import staged
 SAMPLE, MOST_CELLS, ROUNDS, ASKED = 50_000, 4096, 6, 1024
 #: Index rows and probes of a block, exactly scored candidates for each wanted neighbour.
 ROWS, PROBES, REFINE = 32_768, 4096, 3
+#: Scores are compared to six places.
+PLACE = 1e-6
 
 
 @dataclass(frozen=True)
 class Index:
-    """Cells, the number of them a query probes, and the table (cell, id, scale, code)."""
+    """Cells, the number of them a query probes, and the table (cell, id, twin, scale, slack, code)."""
 
     centroids: np.ndarray
     probes: int
@@ -60,10 +63,11 @@ def k_means(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
 
 
 def _nearest_cells(vectors: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """The n nearest cells of each vector, nearest first, ties by number."""
+    """The n nearest cells of each vector, nearest first, ties by number (equal cells tie whatever the product's last bits)."""
+    some, which = np.unique(centroids, axis=0, return_inverse=True)
     out = []
     for at in range(0, len(vectors), 1024):
-        s = vectors[at : at + 1024] @ centroids.T
+        s = (vectors[at : at + 1024] @ some.T)[:, which.ravel()]
         out.append(np.argsort(-s, axis=1, kind="stable")[:, :n])
     return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
@@ -98,17 +102,21 @@ def fit(vectors: DataFrame, k: int = 10, share: float = 0.95) -> tuple[np.ndarra
 
 
 def assigned(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
-    """(cell, id, scale, code) of every row (id, vector)."""
+    """(cell, id, twin, scale, slack, code) of every row (id, vector). The product of a query with the code is off by `slack` times
+    the query's length at most, what 32-bit arithmetic loses included."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
-            scale = np.abs(v).max(axis=1, initial=0) / 127
-            code = np.rint(v / np.where(scale > 0, scale, 1)[:, None]).astype(np.int8)
+            scale = np.abs(v).max(axis=1, initial=0) / 32_767
+            code = np.rint(v / np.where(scale > 0, scale, 1)[:, None]).astype(np.int16)
+            slack = np.linalg.norm(v - code * scale[:, None], axis=1) + np.linalg.norm(v, axis=1) * (v.shape[1] + 4) / (1 << 23)
             cell = _nearest_cells(v, centroids, 1)[:, 0].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), pa.array(scale), pa.array([c.tobytes() for c in code], pa.binary())], names=["cell", "id", "scale", "code"])
+            codes = pa.array([c.tobytes() for c in code], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(cell), batch.column(0), batch.column(2), pa.array(scale), pa.array(slack), codes], names=["cell", "id", "twin", "scale", "slack", "code"])
 
-    return _usable(vectors, centroids.shape[1]).mapInArrow(task, "cell int, id long, scale double, code binary")
+    rows = _usable(vectors, centroids.shape[1]).withColumn("twin", F.xxhash64("vector"))
+    return rows.mapInArrow(task, "cell int, id long, twin long, scale double, slack double, code binary")
 
 
 def built(vectors: DataFrame, k: int = 10, share: float = 0.95) -> Index:
@@ -147,40 +155,69 @@ def _probing(centroids: np.ndarray, probes: int):
     return task
 
 
-_FOUND = "query_id long, id long, near double, met long"
+_FOUND = "query_id long, id long, twin long, near double, off double, met long"
 
 
-def _best(most: int, itself: bool):
-    """The `most` best index rows of each query of a block, by their codes (its own row, if `itself`, before its equals), and
-    how many were met there."""
+def _first_copies(ids: np.ndarray, twin: np.ndarray, most: int) -> np.ndarray:
+    """Places of the rows that are among the `most` smallest ids of their copies."""
+    order = np.lexsort((ids, twin))
+    first = np.searchsorted(twin[order], twin[order])
+    return np.sort(order[np.arange(len(order)) - first < most])
+
+
+def _between(ordered: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Where the ids asked for begin and end."""
+    return np.stack([np.searchsorted(ordered, asked, side) for side in ("left", "right")])
+
+
+def _best(k: int, most: int, exclude_self: bool):
+    """The `most` best index rows of each query of a block by their codes, those that may be among its k best by their vectors,
+    and how many were met there (its own row is not, if `exclude_self`)."""
 
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
         if left.num_rows and right.num_rows:
             q = np.frombuffer(b"".join(left["raw"].to_pylist()), np.float32).reshape(left.num_rows, -1)
-            g = np.frombuffer(b"".join(right["code"].to_pylist()), np.int8).reshape(right.num_rows, -1).astype(np.float32)
+            asked, length = np.asarray(left["query_id"]), np.linalg.norm(q, axis=1)
+            every = np.full(left.num_rows, right.num_rows)
+            if exclude_self:
+                every -= np.diff(_between(np.sort(np.asarray(right["id"])), asked), axis=0)[0]
+            right = right.take(pa.array(_first_copies(np.asarray(right["id"]), np.asarray(right["twin"]), most + 1)))
+            g = np.frombuffer(b"".join(right["code"].to_pylist()), np.int16).reshape(right.num_rows, -1).astype(np.float32)
             g *= np.asarray(right["scale"], np.float32)[:, None]
-            asked, row_id = left["query_id"].combine_chunks(), right["id"].combine_chunks()
-            ids, own = np.asarray(row_id), np.asarray(asked)
+            ids, twin, slack = (np.asarray(right[c]) for c in ("id", "twin", "slack"))
+            by_id = np.argsort(ids, kind="stable")
+            own = _between(ids[by_id], asked)
             for at in range(0, len(q), 512):
                 s = q[at : at + 512] @ g.T
+                for i in np.flatnonzero(own[0][at : at + 512] < own[1][at : at + 512]) if exclude_self else ():
+                    s[i, by_id[own[0][at + i] : own[1][at + i]]] = -np.inf
                 n = min(most, s.shape[1])
-                np.round(s, 5, out=s)  # equal codes may differ in the last bits; ties go by id
-                row, near = np.nonzero(s >= np.partition(s, -n, axis=1)[:, -n][:, None])
-                order = np.lexsort((ids[near], (ids[near] != own[at + row]) & itself, -s[row, near], row))
-                row, near = row[order], near[order]
-                first = np.arange(len(row)) - np.searchsorted(row, row)
-                row, near = row[first < n], near[first < n]
-                met = np.where(first[first < n] == 0, s.shape[1], 0)
-                parts.append(pa.table([asked.take(pa.array(at + row)), row_id.take(pa.array(near)), pa.array(s[row, near].astype(float)), pa.array(met)], names=["query_id", "id", "near", "met"]))
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "near": pa.array([], pa.float64()), "met": pa.array([], pa.int64())})
-        return pa.concat_tables([empty, *parts])
+                top = np.sort(np.partition(s, -n, axis=1)[:, -n:], axis=1)
+                off = length[at : at + 512] * slack.max()
+                least = np.minimum(top[:, 0], _open_from(top[:, -min(k, n)] - off) - off)
+                row, near = np.nonzero(s >= np.maximum(least, np.finfo(np.float32).min)[:, None])
+                met = np.where(np.searchsorted(row, row) == np.arange(len(row)), every[at + row], 0)
+                score = s[row, near].astype(float)
+                parts.append(pa.table([asked[at + row], ids[near], twin[near], score, length[at + row] * slack[near], met], names=_names(_FOUND)))
+        return pa.concat_tables(parts) if parts else pa.table([np.zeros(0, np.int64)] * 3 + [np.zeros(0)] * 2 + [np.zeros(0, np.int64)], names=_names(_FOUND))
 
     return task
 
 
-def candidates(index: Index, queries: DataFrame, most: int, exclude_self: bool = False) -> DataFrame:
-    """(query_id, id, met): the `most` nearest rows of the probed cells by their codes, and the rows met there."""
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _open_from(least):
+    """From which score on a row may be among the k best, of which the last has `least` or more. Scores are
+    held to -1..1 and rounded."""
+    return np.where(least <= -1, -np.inf, np.minimum(least, 1.0) - PLACE)
+
+
+def candidates(index: Index, queries: DataFrame, k: int, most: int, exclude_self: bool = False) -> DataFrame:
+    """(query_id, id, met): the `most` nearest rows of the probed cells by their codes with every row that may be one of the k
+    nearest by its vector, and the rows met there. Of copies the `most` smallest ids are enough."""
     asked = _usable(queries.select(F.col("query_id").alias("id"), "vector"), index.centroids.shape[1])
     probes = asked.mapInArrow(_probing(index.centroids, index.probes), "cell int, query_id long, raw binary")
     probes = staged(probes, "probes")
@@ -191,14 +228,16 @@ def candidates(index: Index, queries: DataFrame, most: int, exclude_self: bool =
     own = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = probes.join(size, "cell").select("cell", own("query_id", "q").alias("qb"), every("g").alias("gb"), "query_id", "raw").groupBy("cell", "gb", "qb")
-    b = index.rows.join(size, "cell").select("cell", own("id", "g").alias("gb"), every("q").alias("qb"), "id", "scale", "code").groupBy("cell", "gb", "qb")
-    found = a.cogroup(b).applyInArrow(_best(most + exclude_self, exclude_self), _FOUND)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("own"), F.desc("near"), "id"))
-    # a query itself is met, not found
-    itself = F.coalesce(F.col("id") == F.col("query_id"), F.lit(False)) if exclude_self else F.lit(False)
-    met = F.sum("met").over(Window.partitionBy("query_id"))
-    rows = found.select("query_id", "id", "near", (~itself).alias("own"), (met - F.max(itself.cast("long")).over(Window.partitionBy("query_id"))).alias("met"))
-    return rows.withColumn("place", place).where((F.col("place") <= most) & F.col("own")).select("query_id", "id", "met")
+    b = index.rows.join(size, "cell").select("cell", own("id", "g").alias("gb"), every("q").alias("qb"), "id", "twin", "scale", "slack", "code").groupBy("cell", "gb", "qb")
+    found = a.cogroup(b).applyInArrow(_best(k, most, exclude_self), _FOUND)
+    whole = Window.partitionBy("query_id")
+    copy = F.row_number().over(Window.partitionBy("query_id", "twin").orderBy("id"))
+    rows = found.withColumn("met", F.sum("met").over(whole)).withColumn("copy", copy).where(F.col("copy") <= most)
+    surely = F.row_number().over(whole.orderBy(F.desc(F.col("near") - F.col("off"))))
+    rows = rows.withColumn("place", F.row_number().over(whole.orderBy(F.desc("near"), "id"))).withColumn("surely", surely)
+    least = F.max(F.when(F.col("surely") == k, F.col("near") - F.col("off"))).over(whole)
+    maybe = least.isNull() | (least <= -1) | (F.col("near") + F.col("off") >= F.least(least, F.lit(1.0)) - PLACE)
+    return rows.withColumn("maybe", maybe).where((F.col("place") <= most) | F.col("maybe")).select("query_id", "id", "met")
 
 
 def nearest_indexed(index: Index, queries: DataFrame, vectors: DataFrame, k: int, refine: int = REFINE, exclude_self: bool = False) -> DataFrame:
@@ -207,7 +246,7 @@ def nearest_indexed(index: Index, queries: DataFrame, vectors: DataFrame, k: int
     Similarities are exact, to six places, ties by id. `scored` pairs of a query were scored exactly, `met`
     rows compared by their codes.
     """
-    found = staged(candidates(index, queries, refine * k, exclude_self), "candidates")
+    found = staged(candidates(index, queries, k, refine * k, exclude_self), "candidates")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<double>").alias("asked"))
     rows = _usable(vectors, index.centroids.shape[1])
     pairs = found.join(rows, "id").join(asked, "query_id")

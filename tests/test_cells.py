@@ -140,3 +140,30 @@ def test_copies_beyond_the_candidates_go_by_id(spark):
     index = cells.Index(index.centroids, len(index.centroids), index.rows)
     got = cells.nearest_indexed(index, asked, rows, 10, exclude_self=True).orderBy("rank").collect()
     assert [r["id"] for r in got] == sorted(twin)[:10] and {r["met"] for r in got} == {199}
+
+
+def test_the_nearest_are_found_where_many_rows_are_close(spark):
+    """Two hundred rows of a cluster differ by less than a byte a dimension tells; what is met is ranked as by the vectors."""
+    rng = np.random.default_rng(12)
+    centre = unit(rng.normal(size=(3, 24)))
+    v = unit(centre[rng.integers(0, 3, 600)] + 0.004 * rng.normal(size=(600, 24)))
+    v[500:520] = v[7]
+    vectors = dict(enumerate(v))
+    rows, asked = rows_of(spark, vectors), {i: x for i, x in vectors.items() if i % 20 == 0}
+    index = cells.built(rows, 10)
+    index = cells.Index(index.centroids, len(index.centroids), index.rows)
+    got = {}
+    for r in cells.nearest_indexed(index, rows_of(spark, asked).withColumnRenamed("id", "query_id"), rows, 10, exclude_self=True).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+        assert r["met"] == 599 and 30 <= r["scored"] < 100
+    assert got == exact(vectors, asked, 10)
+
+
+def test_equal_cells_tie():
+    """A product's last bits depend on the column; a row goes to the first of equal cells."""
+    rng = np.random.default_rng(1)
+    centre = unit(rng.normal(size=(341, 64)))
+    centre[1::2] = centre[1]
+    near = cells._nearest_cells(rng.normal(size=(1024, 64)), centre, 341)
+    place = np.argsort(near, axis=1)
+    assert (np.diff(place[:, 1::2], axis=1) == 1).all()
