@@ -41,3 +41,10 @@ def test_two_best_identities_of_every_row(spark, monkeypatch):
 def test_leave_one_out_asks_every_row(spark, duck):
     got = QUERIES["leave_one_out"](spark, SF_DIR)
     assert got.count() == got.select("query_id").distinct().count() == spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
+
+
+def test_hard_negatives_are_those_of_all_rows(spark, duck):
+    """The nearest wrong answers are mostly to rows whose ids are not divisible by 20."""
+    wrong = QUERIES["leave_one_out"](spark, SF_DIR).where("not correct").toPandas()
+    got = QUERIES["hard_negatives"](spark, SF_DIR).orderBy("rank").toPandas()
+    assert got["best"].tolist() == sorted(wrong["best"], reverse=True)[:20] and (got["query_id"] % 20 != 0).any()
