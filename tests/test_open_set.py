@@ -48,3 +48,27 @@ def test_hard_negatives_are_those_of_all_rows(spark, duck):
     wrong = QUERIES["leave_one_out"](spark, SF_DIR).where("not correct").toPandas()
     got = QUERIES["hard_negatives"](spark, SF_DIR).orderBy("rank").toPandas()
     assert got["best"].tolist() == sorted(wrong["best"], reverse=True)[:20] and (got["query_id"] % 20 != 0).any()
+
+
+def table_of(spark, duck, folder, vectors):
+    """The given tables with an `embeddings` of ours: rows (vec_id, embedding, label)."""
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int")
+    frame.coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE TEMP VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    return con
+
+
+def turned(*degrees):
+    return [[float(np.cos(np.radians(x))), float(np.sin(np.radians(x)))] for x in degrees]
+
+
+def test_the_ceiling_comes_from_every_row(spark, duck, tmp_path):
+    """Rows count whose id 20 does not divide: the share of wrong ones is that of all seven."""
+    vectors = [(i, v, i % 2 if i < 12 else 5) for i, v in zip((0, 20, 3, 5, 7, 12, 13), turned(0, 40, 90, 100, 200, 300, 320))]
+    con = table_of(spark, duck, tmp_path, vectors)
+    ask = lambda name: QUERIES[name](spark, str(tmp_path))
+    places = ask("leave_one_out").toPandas()
+    shares = [(x, (~places["correct"][places["best"] <= x]).mean()) for x in places["best"]]
+    assert len(places) == 7 and ask("new_identity_ceiling").first()["ceiling"] == max((x for x, share in shares if share >= 0.99), default=None)
+    same_rows(ask("new_identity_ceiling"), con.sql(ORACLES["new_identity_ceiling"]))
