@@ -72,3 +72,13 @@ def test_the_ceiling_comes_from_every_row(spark, duck, tmp_path):
     shares = [(x, (~places["correct"][places["best"] <= x]).mean()) for x in places["best"]]
     assert len(places) == 7 and ask("new_identity_ceiling").first()["ceiling"] == max((x for x, share in shares if share >= 0.99), default=None)
     same_rows(ask("new_identity_ceiling"), con.sql(ORACLES["new_identity_ceiling"]))
+
+
+def test_a_sweep_counts_every_row(spark, duck, tmp_path):
+    """All rows are accepted somewhere at a margin of 0, and margins are compared as they are: 0.57 - 0.56 is a little below 0.01."""
+    most = QUERIES["policy_sweep"](spark, SF_DIR).where("margin = 0").agg(F.max("accepted")).first()[0]
+    assert most == spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
+    # row 40 has neighbours at 0.57 (label 1) and 0.56 (label 2); the others are far from them all
+    vectors = [(40, [1.0, 0.0, 0.0], 1), (1, [0.57, 0.8216446926, 0.0], 1), (2, [0.56, 0.0, 0.8284925472], 2), (3, [-1.0, 0.0, 0.0], 2)]
+    con = table_of(spark, duck, tmp_path, vectors)
+    same_rows(QUERIES["policy_sweep"](spark, str(tmp_path)), con.sql(ORACLES["policy_sweep"]))
