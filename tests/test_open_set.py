@@ -82,3 +82,16 @@ def test_a_sweep_counts_every_row(spark, duck, tmp_path):
     vectors = [(40, [1.0, 0.0, 0.0], 1), (1, [0.57, 0.8216446926, 0.0], 1), (2, [0.56, 0.0, 0.8284925472], 2), (3, [-1.0, 0.0, 0.0], 2)]
     con = table_of(spark, duck, tmp_path, vectors)
     same_rows(QUERIES["policy_sweep"](spark, str(tmp_path)), con.sql(ORACLES["policy_sweep"]))
+
+
+def test_the_operating_point_is_one_of_the_whole_sweep(spark, duck, tmp_path):
+    """Sixty rows of five people around a circle, every seventh under a wrong name."""
+    rng = np.random.default_rng(7)
+    angle = [72 * (i % 5) + float(rng.normal(0, 6)) for i in range(60)]
+    con = table_of(spark, duck, tmp_path, [(i, v, (i + (i % 7 == 0)) % 5) for i, v in enumerate(turned(*angle))])
+    places = QUERIES["leave_one_out"](spark, str(tmp_path)).toPandas()
+    got = QUERIES["operating_point"](spark, str(tmp_path))
+    point = got.first()
+    taken = places[(places["best"] >= point["threshold"]) & (places["margin"] >= point["margin"])]
+    assert len(places) == 60 and (point["accepted"], point["correct"]) == (len(taken), taken["correct"].sum())
+    same_rows(got, con.sql(ORACLES["operating_point"]))
